@@ -1,0 +1,95 @@
+"""Registry of runnable queries over the driver's tables.
+
+``QUERIES[name](spark, sf_dir) -> DataFrame`` and ``ORACLE[name] -> SQL``. The
+SQL twins are independent formulations (correlated subqueries, plain GROUP BY
+unions) of the same semantics, used as a correctness oracle.
+"""
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import prepare
+from . import metrics as M
+from . import oracle as O
+from . import views as V
+from .params import DEFAULT, Params
+
+
+class Domain:
+    """Lazily built domain views over one scale-factor folder."""
+
+    def __init__(self, spark: SparkSession, base: str, p: Params = DEFAULT):
+        self.spark, self.base, self.p = prepare(spark), base, p
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        return V.runs(self.spark, self.base)
+
+    @cached_property
+    def prs(self) -> DataFrame:
+        return V.prs(self.spark, self.base)
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        return V.reviews(self.spark, self.base, self.prs)
+
+    @cached_property
+    def team_repo(self) -> DataFrame:
+        return V.team_repo(self.spark, self.base)
+
+    @cached_property
+    def teams(self) -> DataFrame:
+        return V.teams(self.spark, self.base, self.team_repo)
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        return V.issues(self.spark, self.base)
+
+    @cached_property
+    def ai_usage(self) -> DataFrame:
+        return V.ai_usage(self.spark, self.base)
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return V.app_users(self.spark, self.base)
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        return V.audit_log(self.spark, self.base)
+
+    @cached_property
+    def mart(self) -> DataFrame:
+        return M.build_mart(self.runs, self.prs, self.team_repo, self.p)
+
+
+QueryFn = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, QueryFn] = {}
+ORACLE: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn: Callable[[Domain], DataFrame]):
+        QUERIES[name] = lambda spark, base, _f=fn: _f(Domain(spark, base))
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return deco
+
+
+# --- Q1-Q7: daily metric mart ------------------------------------------------
+register("deployment_frequency", O.metric_sql("deployment_frequency"))(
+    lambda d: M.deployment_frequency(d.runs, d.team_repo, d.p))
+register("lead_time_p50", O.metric_sql("lead_time_p50"))(
+    lambda d: M.lead_time(d.runs, d.prs, d.team_repo, d.p))
+register("change_failure_rate", O.metric_sql("change_failure_rate"))(
+    lambda d: M.change_failure_rate(d.runs, d.team_repo, d.p))
+register("mttr_p50", O.metric_sql("mttr_p50"))(
+    lambda d: M.mttr(d.runs, d.team_repo, d.p))
+register("pr_velocity", O.metric_sql("pr_velocity"))(
+    lambda d: M.pr_velocity(d.prs, d.team_repo, d.p))
+register("pr_cycle_time_p50", O.metric_sql("pr_cycle_time_p50"))(
+    lambda d: M.pr_cycle_time(d.prs, d.team_repo, d.p))
+register("build_mart", O.build_mart_sql())(lambda d: d.mart)
