@@ -20,6 +20,7 @@ The answer equals ``percentile_cont(p)``: ``lo + (hi - lo) * frac`` with
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,27 +30,36 @@ _SHIFTS = (42, 21, 0)
 
 def grouped_percentile(df: DataFrame, keys: list[str], value: str | Column, p: float = 0.5,
                        out: str = "value", count_out: str | None = "sample_size",
-                       group_limit: int = 1_000_000, scale: float | None = None) -> DataFrame:
+                       group_limit: int = 1_000_000, scale: float | None = None,
+                       storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Return ``keys + [out, count_out]``.
 
     ``value`` must be integral (it is cast to LONG); ``scale`` divides the result
     (e.g. microseconds -> hours). ``count_out`` is the group's row count, nulls
     included, like ``count(*)``. All-null groups get a null percentile.
+
+    The (key, value) pairs are persisted once; one small job counts the groups
+    and checks whether any is hot, in the way AQE re-plans from runtime
+    statistics. Without hot groups the plan is a single aggregate; with them,
+    the hot groups (at most ``values / group_limit`` rows: a proven bound, so
+    broadcast) take the distributed path and all others the aggregate.
     """
     v = F.col(value) if isinstance(value, str) else value
-    base = df.select(*[F.col(k) for k in keys], v.cast("long").alias(_V))
+    base = df.select(*[F.col(k) for k in keys], v.cast("long").alias(_V)).persist(storage)
     counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_all"), F.count(_V).alias("_n"))
-    # Hot groups: at most (values / group_limit) rows, a proven bound, so the
-    # table is broadcast; when it is empty AQE prunes the whole hot branch.
-    hot = F.broadcast(counts.filter(F.col("_n") > group_limit).select(*keys, "_n"))
-
-    small = (base.join(hot.select(*keys), keys, "left_anti")
-             .groupBy(*keys)
-             .agg(F.percentile(F.col(_V), F.lit(p)).alias("_q"), F.count(F.lit(1)).alias("_n_all")))
-    vals = base.filter(F.col(_V).isNotNull()).join(hot.select(*keys), keys, "left_semi")
-    big = (_radix_percentile(vals, hot, keys, p)
-           .join(counts.select(*keys, "_n_all"), keys, "inner"))
-    res = small.unionByName(big.select(*keys, "_q", "_n_all"))
+    hot = counts.filter(F.col("_n") > group_limit).select(*keys, "_n")
+    if hot.isEmpty():
+        res = base.groupBy(*keys).agg(F.percentile(F.col(_V), F.lit(p)).alias("_q"),
+                                      F.count(F.lit(1)).alias("_n_all"))
+    else:
+        hot = F.broadcast(hot)
+        small = (base.join(hot.select(*keys), keys, "left_anti")
+                 .groupBy(*keys)
+                 .agg(F.percentile(F.col(_V), F.lit(p)).alias("_q"), F.count(F.lit(1)).alias("_n_all")))
+        vals = base.filter(F.col(_V).isNotNull()).join(hot.select(*keys), keys, "left_semi")
+        big = (_radix_percentile(vals, hot, keys, p)
+               .join(counts.select(*keys, "_n_all"), keys, "inner"))
+        res = small.unionByName(big.select(*keys, "_q", "_n_all"))
     q = F.col("_q") / F.lit(scale) if scale else F.col("_q")
     cols = [*keys, q.alias(out)]
     if count_out:
@@ -61,9 +71,9 @@ def _radix_percentile(vals: DataFrame, hot: DataFrame, keys: list[str], p: float
     pos = (F.col("_n") - 1) * F.lit(p)
     # Two target ranks per hot group: which=0 -> floor(pos), which=1 -> ceil(pos).
     cur = hot.select(*keys, pos.alias("_pos"), F.explode(F.array(
-        F.struct(F.lit(0).alias("which"), F.floor(pos).cast("long").alias("k")),
-        F.struct(F.lit(1).alias("which"), F.ceil(pos).cast("long").alias("k")))).alias("_t")
-    ).select(*keys, "_pos", "_t.which", "_t.k", F.lit(0).cast("long").alias("_off"),
+        F.struct(F.lit(0).alias("_which"), F.floor(pos).cast("long").alias("_k")),
+        F.struct(F.lit(1).alias("_which"), F.ceil(pos).cast("long").alias("_k")))).alias("_t")
+    ).select(*keys, "_pos", "_t._which", "_t._k", F.lit(0).cast("long").alias("_off"),
              F.lit(None).cast("long").alias("_pfx"))
     prev = None
     for s in _SHIFTS:
@@ -73,18 +83,18 @@ def _radix_percentile(vals: DataFrame, hot: DataFrame, keys: list[str], p: float
             cand = per_b.join(cur.drop("_pfx"), keys, "inner")
         else:
             tagged = vals.withColumn("_pfx", F.shiftright(F.col(_V), prev))
-            per_b = (tagged.join(F.broadcast(cur.select(*keys, "which", "_pfx")), [*keys, "_pfx"], "inner")
-                     .groupBy(*keys, "which", b).agg(F.count(F.lit(1)).alias("_c")))
-            cand = per_b.join(cur.drop("_pfx"), [*keys, "which"], "inner")
-        w = Window.partitionBy(*keys, "which").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+            per_b = (tagged.join(F.broadcast(cur.select(*keys, "_which", "_pfx")), [*keys, "_pfx"], "inner")
+                     .groupBy(*keys, "_which", b).agg(F.count(F.lit(1)).alias("_c")))
+            cand = per_b.join(cur.drop("_pfx"), [*keys, "_which"], "inner")
+        w = Window.partitionBy(*keys, "_which").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
         cand = (cand.withColumn("_end", F.col("_off") + F.sum("_c").over(w))
                 .withColumn("_start", F.col("_end") - F.col("_c")))
-        cur = cand.filter((F.col("_start") <= F.col("k")) & (F.col("k") < F.col("_end"))).select(
-            *keys, "_pos", "which", "k", F.col("_start").alias("_off"), F.col("_b").alias("_pfx"))
+        cur = cand.filter((F.col("_start") <= F.col("_k")) & (F.col("_k") < F.col("_end"))).select(
+            *keys, "_pos", "_which", "_k", F.col("_start").alias("_off"), F.col("_b").alias("_pfx"))
         prev = s
     picked = cur.groupBy(*keys).agg(
-        F.max(F.when(F.col("which") == 0, F.col("_pfx"))).alias("_lo"),
-        F.max(F.when(F.col("which") == 1, F.col("_pfx"))).alias("_hi"),
+        F.max(F.when(F.col("_which") == 0, F.col("_pfx"))).alias("_lo"),
+        F.max(F.when(F.col("_which") == 1, F.col("_pfx"))).alias("_hi"),
         F.max("_pos").alias("_pos"))
     frac = F.col("_pos") - F.floor("_pos")
     lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
