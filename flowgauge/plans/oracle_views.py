@@ -160,4 +160,7 @@ def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = Non
     (name, sql) CTEs, which may reference the views)."""
     ctes = [f"{n} AS (\n{VIEW_SQL[n]}\n)" for n in _closure(list(names))]
     ctes += [f"{n} AS (\n{s.strip()}\n)" for n, s in (extra or [])]
-    return ("WITH " + ",\n".join(ctes) + "\n" + body.strip()) if ctes else body.strip()
+    body = body.strip()
+    if body[:5].upper() == "WITH ":  # merge the body's own CTEs into one WITH list
+        return ("WITH " + ",\n".join(ctes) + ",\n" + body[5:]) if ctes else body
+    return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body

@@ -93,3 +93,37 @@ register("pr_velocity", O.metric_sql("pr_velocity"))(
 register("pr_cycle_time_p50", O.metric_sql("pr_cycle_time_p50"))(
     lambda d: M.pr_cycle_time(d.prs, d.team_repo, d.p))
 register("build_mart", O.build_mart_sql())(lambda d: d.mart)
+
+# --- Q8-Q26: dashboards -------------------------------------------------------
+from . import dashboards as D  # noqa: E402
+from . import oracle_dash as OD  # noqa: E402
+
+PERSONAL_LOGIN = "dev-7"
+PERSONAL_REVIEWER = "rev-3"
+
+register("cockpit_tiles", OD.cockpit_sql())(lambda d: D.cockpit_tiles(d.mart, d.p))
+register("dora_tiers", OD.dora_sql())(lambda d: D.dora_tiers(D.cockpit_tiles(d.mart, d.p), d.p))
+register("deployment_outcomes", OD.outcomes_sql())(lambda d: D.deployment_outcomes(D.cockpit_tiles(d.mart, d.p)))
+register("cycle_stages", OD.cycle_stages_sql())(lambda d: D.cycle_stages(d.prs, d.reviews, d.team_repo, d.p))
+register("reviewer_load", OD.reviewer_load_sql())(lambda d: D.reviewer_load(d.reviews, d.team_repo, d.p))
+register("aging_prs_page", OD.aging_page_sql())(lambda d: D.aging_prs_page(d.prs, d.team_repo, d.p))
+register("aging_prs_total", OD.aging_total_sql())(lambda d: D.aging_prs_total(d.prs, d.team_repo, d.p))
+register("investment_breakdown", OD.breakdown_sql())(
+    lambda d: D.investment_breakdown(D.classify(d.prs, d.issues, d.team_repo, d.p)))
+register("investment_trend", OD.trend_sql())(
+    lambda d: D.investment_trend(D.classify(d.prs, d.issues, d.team_repo, d.p)))
+register("investment_by_team", OD.by_team_sql())(
+    lambda d: D.investment_by_team(D.classify(d.prs, d.issues, d.team_repo, d.p), d.team_repo, d.teams))
+register("unclassifiable_share", OD.unclassifiable_sql())(
+    lambda d: D.unclassifiable_share(D.investment_breakdown(D.classify(d.prs, d.issues, d.team_repo, d.p))))
+register("ai_spend_kpis", OD.kpis_sql())(lambda d: D.ai_spend_kpis(d.ai_usage, d.p))
+register("spend_by_tool", OD.spend_by_tool_sql())(lambda d: D.spend_by_tool(d.ai_usage, d.p))
+register("spend_trend", OD.spend_trend_sql())(lambda d: D.spend_trend(d.ai_usage, d.p))
+register("daily_spend", OD.daily_spend_sql())(lambda d: D.daily_spend(d.ai_usage, d.p))
+register("developer_allocation", OD.allocation_sql())(lambda d: D.developer_allocation(d.ai_usage, d.p))
+register("ai_impact", OD.impact_sql())(lambda d: D.ai_impact(d.prs, d.p))
+register("ai_roi", OD.roi_sql())(lambda d: D.ai_roi(D.ai_impact(d.prs, d.p), D.ai_spend_kpis(d.ai_usage, d.p), d.p))
+register("personal_open_prs", OD.personal_prs_sql(PERSONAL_LOGIN))(
+    lambda d: D.personal_open_prs(d.prs, PERSONAL_LOGIN, d.p))
+register("personal_reviews", OD.personal_reviews_sql(PERSONAL_REVIEWER))(
+    lambda d: D.personal_reviews(d.reviews, PERSONAL_REVIEWER))
