@@ -52,12 +52,11 @@ def long_or_null(text) -> Column:
 
 
 def repo_from_git_url(url) -> Column:
-    """``https://github.com/o/r.git`` or ``git@github.com:o/r`` -> ``o/r``;
-    other hosts are kept as they are."""
-    u = _c(url)
-    stripped = F.regexp_replace(u, r"\.git$", "")
-    owner_repo = F.regexp_extract(stripped, r"github\.com[:/]+([^/]+/[^/]+)$", 1)
-    return F.when(owner_repo != "", owner_repo).otherwise(u)
+    """Trim, drop a trailing ``.git``, keep what follows the first
+    ``github.com/``; URLs of other hosts are kept as they are."""
+    stripped = F.regexp_replace(F.trim(_c(url)), r"\.git$", "")
+    return F.when(F.instr(stripped, "github.com/") > 0,
+                  F.regexp_extract(stripped, r"github\.com/(.*)$", 1)).otherwise(stripped)
 
 
 def build_conclusion(result) -> Column:

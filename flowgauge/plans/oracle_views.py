@@ -91,14 +91,15 @@ SELECT 'PROJ-' || CAST(p_partkey AS VARCHAR) AS issue_key,
             THEN TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(p_partkey * 11 % 40320 AS BIGINT)) + INTERVAL 1 DAY
        END AS resolved_at,
        p_size % 9 = 0 AS reopened,
-       TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(p_partkey * 11 % 40320 AS BIGINT)) AS last_received_at
+       TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(p_partkey * 11 % 40320 AS BIGINT)) + INTERVAL 1 HOUR AS last_received_at
 FROM part
 """)
 
 _view("bench_ai_usage", """
 SELECT source, actor_key, day,
        count(*) AS sessions,
-       CAST(sum(cost) AS DECIMAL(18,2)) AS cost_usd,
+       CASE WHEN source = 'copilot' THEN CAST(round(CAST(19 AS DECIMAL(10,2)) / 30, 2) AS DECIMAL(18,2))
+            ELSE CAST(sum(cost) AS DECIMAL(18,2)) END AS cost_usd,
        CASE WHEN source = 'claude_code' THEN CAST(sum(pr) AS BIGINT) END AS prs,
        CAST(sum(tok) AS BIGINT) AS tokens_input,
        CAST(trunc(sum(tok) / 4) AS BIGINT) AS tokens_output,

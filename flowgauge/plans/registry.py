@@ -60,6 +60,12 @@ class Domain:
     def audit(self) -> DataFrame:
         return V.audit_log(self.spark, self.base)
 
+    @cached_property
+    def raw(self) -> DataFrame:
+        """Raw envelopes (with redeliveries) rebuilt from the views."""
+        from .raw_events import raw_envelopes
+        return raw_envelopes(self.runs, self.prs, self.reviews, self.issues, self.ai_usage)
+
     @cached_property
     def mart(self) -> DataFrame:
         return M.build_mart(self.runs, self.prs, self.team_repo, self.p)
@@ -127,3 +133,31 @@ register("personal_open_prs", OD.personal_prs_sql(PERSONAL_LOGIN))(
     lambda d: D.personal_open_prs(d.prs, PERSONAL_LOGIN, d.p))
 register("personal_reviews", OD.personal_reviews_sql(PERSONAL_REVIEWER))(
     lambda d: D.personal_reviews(d.reviews, PERSONAL_REVIEWER))
+
+# --- D1-D8, E1-E10: raw envelopes -> latest state --------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import state as S  # noqa: E402
+from . import oracle_state as OS  # noqa: E402
+from . import state_plans as SP  # noqa: E402
+
+register("dedup_events", OS.dedup_counts_sql())(lambda d: SP.dedup_counts(d.raw))
+register("route_events", OS.routed_counts_sql())(lambda d: SP.routed_counts(d.raw))
+register("connector_activity", OS.connector_activity_sql())(lambda d: S.connector_activity(d.raw))
+register("late_guard_report", OS.late_counts_sql())(lambda d: SP.late_event_counts(d.raw))
+register("rebuild_run_state", OS.run_state_sql())(
+    lambda d: SP.run_state(d.raw).select("repo", "run_id", "conclusion", "name", "ts", "last_received_at"))
+register("rebuild_pr_state", OS.pr_state_sql())(
+    lambda d: SP.pr_state(d.raw).select("repo", "pr_id", "number", "title", "author", "html_url", "state",
+                                        F.array_join("requested_reviewers", ",").alias("requested_reviewers"),
+                                        "created_at", "merged_at", "ai_assisted", "last_received_at"))
+register("rebuild_review_state", OS.review_state_sql())(
+    lambda d: SP.review_state(d.raw).select("repo", "pr_number", "review_id", "reviewer_login", "state",
+                                            "submitted_at", "last_received_at"))
+register("rebuild_issue_state", OS.issue_state_sql())(
+    lambda d: SP.issue_state(d.raw).select("issue_key", "issue_id", "project_key", "issue_type", "status", "summary",
+                                           "assignee", "created_at", "resolved_at", "reopened", "last_received_at"))
+register("rebuild_usage_state", OS.usage_state_sql())(
+    lambda d: SP.usage_state(d.raw).select("source", "actor_key", "day", "sessions",
+                                           F.col("cost_usd").cast("double").alias("cost_usd"), "prs", "tokens_input",
+                                           "tokens_output", "accepted_suggestions", "last_received_at"))

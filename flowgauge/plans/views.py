@@ -21,7 +21,9 @@ Mapping rules (fixed; the SQL twins must agree):
   ``team-5`` when u % 7 = 0.
 * issues  <- part: ``PROJ-{p_partkey}``, Bug iff p_size % 4 = 0, reopened iff
   p_size % 9 = 0.
-* ai_usage <- events grouped by (tool, user, day), tool by event_id % 2.
+* ai_usage <- events grouped by (tool, user, day), tool by event_id % 2; the
+  metered tool's cost is the sum of ``value``, the seat tool's is the seat price
+  spread over 30 days.
 """
 from __future__ import annotations
 
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
+from . import params as P
 from ..sources.tables import read_table
 
 EPOCH_2024 = 1704067200  # 2024-01-01T00:00:00Z
@@ -162,7 +165,7 @@ def issues(spark: SparkSession, base: str) -> DataFrame:
         created.alias("created_at"),
         F.when(done, F.timestamp_seconds(F.unix_seconds(created) + 86400)).alias("resolved_at"),
         (size % 9 == 0).alias("reopened"),
-        created.alias("last_received_at"),
+        F.timestamp_seconds(F.unix_seconds(created) + 3600).alias("last_received_at"),
     )
 
 
@@ -192,8 +195,12 @@ def ai_usage(spark: SparkSession, base: str) -> DataFrame:
         F.sum("rej").alias("rejected_suggestions"),
         F.max("ts").alias("last_received_at"),
     )
+    # The seat-priced tool has no per-use cost: its monthly seat price is spread
+    # over active days (every row here has at least one session).
+    seat_day = F.round(F.lit(P.COPILOT_MONTHLY_SEAT_USD).cast("decimal(10,2)") / 30, 2).cast("decimal(18,2)")
+    cost = F.when(F.col("source") == "copilot", seat_day).otherwise(F.col("cost_usd"))
     return g.select(
-        "source", "actor_key", "day", "sessions", "cost_usd",
+        "source", "actor_key", "day", "sessions", cost.alias("cost_usd"),
         F.when(F.col("source") == "claude_code", F.col("_prs")).alias("prs"),
         "tokens_input",
         (F.col("tokens_input") / 4).cast("long").alias("tokens_output"),
