@@ -126,7 +126,8 @@ _view("bench_app_users", """
 SELECT CAST(c_custkey AS VARCHAR) AS id,
        'Dev' || CAST(c_custkey AS VARCHAR) || '@Acme.io' AS email,
        c_name AS display_name,
-       CASE WHEN c_custkey % 50 = 0 THEN 'ADMIN' WHEN c_custkey % 7 = 0 THEN 'TEAM_LEAD' ELSE 'VIEWER' END AS role,
+       CASE WHEN c_custkey % 50 = 0 THEN 'ADMIN' WHEN c_custkey % 7 = 0 THEN 'MANAGER' WHEN c_custkey % 11 = 0 THEN 'ENG_LEADER'
+            WHEN c_custkey % 13 = 0 THEN 'FINANCE_READONLY' ELSE 'IC' END AS role,
        CASE WHEN c_custkey % 7 = 0 THEN 'team-' || CAST(c_custkey % 6 AS VARCHAR) END AS team_id,
        'dev-' || CAST(c_custkey AS VARCHAR) AS github_login
 FROM customer

@@ -161,3 +161,22 @@ register("rebuild_usage_state", OS.usage_state_sql())(
     lambda d: SP.usage_state(d.raw).select("source", "actor_key", "day", "sessions",
                                            F.col("cost_usd").cast("double").alias("cost_usd"), "prs", "tokens_input",
                                            "tokens_output", "accepted_suggestions", "last_received_at"))
+
+# --- Q27-Q32, F9: setup, admin, directory ---------------------------------------
+from . import admin as A  # noqa: E402
+from . import oracle_admin as OA  # noqa: E402
+
+SCOPE_USERS = [("dev7@acme.io", "team-3"), ("DEV50@acme.io", "acme/repo-4"), ("dev22@acme.io", None)]
+
+register("setup_status", OA.setup_sql())(lambda d: A.setup_status(S.dedup_events(d.raw), d.mart))
+register("connector_health", OA.connector_health_sql())(
+    lambda d: A.connector_health(S.dedup_events(d.raw), S.connector_activity(d.raw), d.p))
+register("repo_sync_status", OA.repo_sync_sql())(
+    lambda d: A.repo_sync_status(SP.pr_state(d.raw), SP.run_state(d.raw), A.sync_triggers(d.spark, d.base, d.p),
+                                 d.team_repo, d.teams, d.p))
+register("team_list", OA.team_list_sql())(lambda d: A.team_list(d.teams, d.team_repo))
+register("audit_recent", OA.audit_sql())(lambda d: A.audit_recent(d.audit))
+register("user_directory", OA.user_directory_sql())(lambda d: A.user_directory(d.users, d.teams))
+for _i, (_email, _asked) in enumerate(SCOPE_USERS):
+    register(f"scope_filter_{_i}", OA.scope_filter_sql(_email, _asked))(
+        lambda d, _e=_email, _a=_asked: A.scope_filter(d.users, _e, _a))

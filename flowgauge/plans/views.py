@@ -209,12 +209,14 @@ def ai_usage(spark: SparkSession, base: str) -> DataFrame:
 
 
 def app_users(spark: SparkSession, base: str) -> DataFrame:
-    """Dashboard users from ``customer``: every 50th customer is an org admin,
-    every 7th a team lead pinned to ``team-{c % 6}``, the rest viewers."""
+    """Dashboard users from ``customer``: every 50th customer is an admin, every
+    7th a manager pinned to ``team-{c % 6}``, every 11th an engineering leader,
+    every 13th finance (read-only), the rest individual contributors."""
     prepare(spark)
     c = read_table(spark, base, "customer", "c_custkey", "c_name")
     k = F.col("c_custkey")
-    role = F.when(k % 50 == 0, "ADMIN").when(k % 7 == 0, "TEAM_LEAD").otherwise("VIEWER")
+    role = (F.when(k % 50 == 0, "ADMIN").when(k % 7 == 0, "MANAGER").when(k % 11 == 0, "ENG_LEADER")
+            .when(k % 13 == 0, "FINANCE_READONLY").otherwise("IC"))
     return c.select(
         _s(k).alias("id"),
         F.concat(F.lit("Dev"), _s(k), F.lit("@Acme.io")).alias("email"),
