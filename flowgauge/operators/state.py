@@ -28,19 +28,21 @@ AI_SOURCES = ["claude_code", "copilot"]
 def dedup_events(env: DataFrame, key: list[str] = NATURAL_KEY, order: str = "seq") -> DataFrame:
     """First arrival per natural key wins. An aggregate (``min_by``) rather
     than a window, so duplicates collapse map-side before the shuffle."""
-    cols = [c for c in env.columns]
-    first = env.groupBy(*key).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("_e"))
-    return first.select("_e.*")
+    rest = [c for c in env.columns if c not in key]
+    first = env.groupBy(*key).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), F.col(order)).alias("_e"))
+    # Key columns come from the grouping keys, so filters on them (routing by
+    # source/event type) are pushed below the aggregate into the scan.
+    return first.select(*[F.col(k) for k in key], *[F.col("_e")[c].alias(c) for c in rest]).select(*env.columns)
 
 
 def latest_state(df: DataFrame, keys: list[str], order: str = "received_at", tie: str = "seq") -> DataFrame:
     """One row per key, the one with the greatest ``order``; among equal
     ``order`` values the earliest arrival wins (an update must be *strictly*
     newer to replace the stored row)."""
-    cols = df.columns
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in cols]),
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest]),
                                           F.struct(F.col(order), -F.col(tie))).alias("_s"))
-    return best.select("_s.*")
+    return best.select(*[F.col(k) for k in keys], *[F.col("_s")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def _record_high(keys: list[str], order: str, tie: str) -> Column:

@@ -6,18 +6,24 @@ unions) of the same semantics, used as a correctness oracle.
 """
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
+from ..sources.sinks import _exists, table_root, write_mart, write_raw
 from . import metrics as M
 from . import oracle as O
 from . import views as V
 from .params import DEFAULT, Params
 
 
+LAYOUT_VERSION = "1"
+
+
 class Domain:
     """Lazily built domain views over one scale-factor folder."""
 
@@ -60,25 +66,65 @@ class Domain:
     def audit(self) -> DataFrame:
         return V.audit_log(self.spark, self.base)
 
+    def _table(self, name: str) -> str:
+        # The tag covers the input folder and the layout version of the
+        # derived tables, so a changed builder never reuses stale output.
+        tag = hashlib.sha1(f"{LAYOUT_VERSION}:{os.path.abspath(self.base)}".encode()).hexdigest()[:12]
+        return table_root(self.spark, f"domain-{tag}", name)
+
     @cached_property
     def raw(self) -> DataFrame:
-        """Raw envelopes (with redeliveries) rebuilt from the views."""
+        """The delivery stream as landed by the connectors (redeliveries
+        included), rebuilt from the views once and kept as a parquet landing
+        table partitioned by source."""
         from .raw_events import raw_envelopes
-        return raw_envelopes(self.runs, self.prs, self.reviews, self.issues, self.ai_usage)
+        path = self._table("landing_envelopes")
+        if not _exists(self.spark, path + "/_SUCCESS"):
+            env = raw_envelopes(self.runs, self.prs, self.reviews, self.issues, self.ai_usage)
+            env.write.mode("overwrite").partitionBy("source").parquet(path)
+        return self.spark.read.parquet(path)
+
+    @cached_property
+    def raw_stored(self) -> DataFrame:
+        """``staging.raw_event``: first delivery of every natural key (K1)."""
+        path = self._table("raw_event")
+        write_raw(self.raw, path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def mart(self) -> DataFrame:
+        """The recomputed mart (Q7) as a plan."""
         return M.build_mart(self.runs, self.prs, self.team_repo, self.p)
 
+    @cached_property
+    def stored_mart(self) -> DataFrame:
+        """The mart as dashboards read it: written once (K3), then scanned
+        with partition pruning on metric_key."""
+        path = self._table("metric_daily")
+        write_mart(self.mart, path)
+        return self.spark.read.parquet(path)
+
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
+_DOMAINS: dict[tuple, Domain] = {}
+
+
+def domain(spark: SparkSession, base: str) -> Domain:
+    """One lazily built set of views per (session, folder): the DataFrame
+    definitions are shared between queries; nothing is cached as data."""
+    key = (id(spark), spark.sparkContext.applicationId, base)
+    if key not in _DOMAINS:
+        _DOMAINS[key] = Domain(spark, base)
+    return _DOMAINS[key]
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: Callable[[Domain], DataFrame]):
-        QUERIES[name] = lambda spark, base, _f=fn: _f(Domain(spark, base))
+        QUERIES[name] = lambda spark, base, _f=fn: _f(domain(prepare(spark), base))
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -107,9 +153,10 @@ from . import oracle_dash as OD  # noqa: E402
 PERSONAL_LOGIN = "dev-7"
 PERSONAL_REVIEWER = "rev-3"
 
-register("cockpit_tiles", OD.cockpit_sql())(lambda d: D.cockpit_tiles(d.mart, d.p))
-register("dora_tiers", OD.dora_sql())(lambda d: D.dora_tiers(D.cockpit_tiles(d.mart, d.p), d.p))
-register("deployment_outcomes", OD.outcomes_sql())(lambda d: D.deployment_outcomes(D.cockpit_tiles(d.mart, d.p)))
+register("cockpit_tiles", OD.cockpit_sql())(lambda d: D.cockpit_tiles(d.stored_mart, d.p))
+register("dora_tiers", OD.dora_sql())(lambda d: D.dora_tiers(D.cockpit_tiles(d.stored_mart, d.p), d.p))
+register("deployment_outcomes", OD.outcomes_sql())(
+    lambda d: D.deployment_outcomes(D.cockpit_tiles(d.stored_mart, d.p)))
 register("cycle_stages", OD.cycle_stages_sql())(lambda d: D.cycle_stages(d.prs, d.reviews, d.team_repo, d.p))
 register("reviewer_load", OD.reviewer_load_sql())(lambda d: D.reviewer_load(d.reviews, d.team_repo, d.p))
 register("aging_prs_page", OD.aging_page_sql())(lambda d: D.aging_prs_page(d.prs, d.team_repo, d.p))
@@ -168,12 +215,12 @@ from . import oracle_admin as OA  # noqa: E402
 
 SCOPE_USERS = [("dev7@acme.io", "team-3"), ("DEV50@acme.io", "acme/repo-4"), ("dev22@acme.io", None)]
 
-register("setup_status", OA.setup_sql())(lambda d: A.setup_status(S.dedup_events(d.raw), d.mart))
+register("setup_status", OA.setup_sql())(lambda d: A.setup_status(d.raw_stored, d.stored_mart))
 register("connector_health", OA.connector_health_sql())(
-    lambda d: A.connector_health(S.dedup_events(d.raw), S.connector_activity(d.raw), d.p))
+    lambda d: A.connector_health(d.raw_stored, S.connector_activity(d.raw), d.p))
 register("repo_sync_status", OA.repo_sync_sql())(
-    lambda d: A.repo_sync_status(SP.pr_state(d.raw), SP.run_state(d.raw), A.sync_triggers(d.spark, d.base, d.p),
-                                 d.team_repo, d.teams, d.p))
+    lambda d: A.repo_sync_status(SP.pr_state(d.raw_stored), SP.run_state(d.raw_stored),
+                                 A.sync_triggers(d.spark, d.base, d.p), d.team_repo, d.teams, d.p))
 register("team_list", OA.team_list_sql())(lambda d: A.team_list(d.teams, d.team_repo))
 register("audit_recent", OA.audit_sql())(lambda d: A.audit_recent(d.audit))
 register("user_directory", OA.user_directory_sql())(lambda d: A.user_directory(d.users, d.teams))
