@@ -19,7 +19,7 @@ ISSUE_KEY_PATTERN = r"[A-Z][A-Z0-9]{1,9}-[0-9]+"
 # ISO-8601 instant with an explicit zone (a bare date is rejected).
 ISO_INSTANT_GUARD = r"T.*(Z|[+-][0-9]{2}:?[0-9]{2})$"
 # Names of known automation accounts (case-insensitive prefix match).
-KNOWN_BOTS = ["dependabot", "renovate", "github-actions"]
+KNOWN_BOTS = ["dependabot", "renovate", "github-actions", "copilot"]
 # ------------------------------------------------------------------------------
 
 

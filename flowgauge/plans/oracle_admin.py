@@ -8,7 +8,7 @@ from .oracle_state import ENVELOPE_KEYS
 from .oracle_views import with_views
 from .params import Params
 
-_ALL = ("bench_runs", "bench_prs", "bench_reviews", "bench_issues", "bench_ai_usage", "bench_team_repo")
+_ALL = ("bench_runs", "bench_prs", "bench_reviews", "bench_issues", "bench_ai_usage", "bench_team_repo", "bench_team")
 
 
 def _ts(p: Params) -> str:

@@ -46,9 +46,21 @@ SELECT 'jira', 'jira:issue_updated', 'jira_issue', created_at + INTERVAL 600 SEC
 FROM bench_issues WHERE NOT reopened AND CAST(issue_id AS BIGINT) % 10 = 0
 UNION ALL
 SELECT source, 'usage.snapshot', 'ai_usage', last_received_at, epoch_us(last_received_at) * 4 FROM bench_ai_usage
+UNION ALL
+SELECT 'github', 'commit.snapshot', NULL, merged_at + INTERVAL 60 SECOND, (epoch_us(merged_at) + 60000000) * 4
+FROM bench_prs WHERE merged_at IS NOT NULL
+UNION ALL
+SELECT 'github', 'push', NULL, merged_at + INTERVAL 120 SECOND, (epoch_us(merged_at) + 120000000) * 4
+FROM bench_prs WHERE merged_at IS NOT NULL AND pr_id % 11 = 0
+UNION ALL
+SELECT 'github', 'team.snapshot', NULL, TIMESTAMP '2023-12-31 00:00:00' + to_seconds(page),
+       epoch_us(TIMESTAMP '2023-12-31 00:00:00' + to_seconds(page)) * 4
+FROM (SELECT id AS team_id, 0 AS page FROM bench_team
+      UNION SELECT team_id, CAST(regexp_extract(repo, '([0-9]+)$', 1) AS BIGINT) % 4 + 1 FROM bench_team_repo) tp
 """
 
-_ALL_VIEWS = ("bench_runs", "bench_prs", "bench_reviews", "bench_issues", "bench_ai_usage")
+_ALL_VIEWS = ("bench_runs", "bench_prs", "bench_reviews", "bench_issues", "bench_ai_usage", "bench_team_repo",
+              "bench_team")
 
 
 def _with_keys(body: str) -> str:

@@ -112,7 +112,7 @@ def pr_envelopes(prs: DataFrame) -> DataFrame:
     def pr_struct(state: Column, merged: Column) -> Column:
         return F.struct(pid.alias("id"), F.col("number"), F.col("title"), body.alias("body"), state.alias("state"),
                         F.col("html_url"), iso("created_at").alias("created_at"), iso(merged).alias("merged_at"),
-                        F.struct(F.col("author").alias("login"), F.abs(F.hash("author")).alias("id")).alias("user"),
+                        F.struct(F.col("author").alias("login"), user_id("author", 1_000_000).alias("id")).alias("user"),
                         F.struct(F.struct(F.col("repo").alias("full_name")).alias("repo")).alias("base"),
                         labels.alias("labels"),
                         F.transform("requested_reviewers", lambda x: F.struct(x.alias("login"))).alias("requested_reviewers"))
@@ -139,7 +139,7 @@ def review_envelopes(reviews: DataFrame) -> DataFrame:
         F.concat(F.lit("https://api.github.com/repos/"), F.col("repo"), F.lit("/pulls/"),
                  F.col("pr_number").cast("string")).alias("pull_request_url"),
         F.col("state"), iso("submitted_at").alias("submitted_at"),
-        F.struct(F.col("reviewer_login").alias("login")).alias("user")))
+        F.struct(F.col("reviewer_login").alias("login"), user_id("reviewer_login", 2_000_000).alias("id")).alias("user")))
     return _env(reviews, "github", F.concat(F.lit("review:"), F.col("review_id")), "pull_request_review.snapshot",
                 F.col("submitted_at"), payload)
 
@@ -152,7 +152,11 @@ def issue_envelopes(issues: DataFrame) -> DataFrame:
         F.struct(F.col("status").alias("name")).alias("status"),
         F.col("summary"),
         F.struct(F.col("assignee").alias("displayName"),
-                 F.concat(F.lit("acct-"), (key_n % 40).cast("string")).alias("accountId")).alias("assignee"),
+                 F.concat(F.lit("acct-"), (key_n % 40).cast("string")).alias("accountId"),
+                 F.when(key_n % 2 == 0, F.concat(F.lit("dev"), (key_n % 40).cast("string"), F.lit("@acme.io")))
+                 .alias("emailAddress")).alias("assignee"),
+        F.struct(F.concat(F.lit("Reporter "), (key_n % 7).cast("string")).alias("displayName"),
+                 F.concat(F.lit("acct-r"), (key_n % 7).cast("string")).alias("accountId")).alias("reporter"),
         F.date_format("created_at", JIRA).alias("created"),
         F.date_format("resolved_at", JIRA).alias("resolutiondate"),
         F.date_format("last_received_at", JIRA).alias("updated"))
@@ -211,6 +215,71 @@ def usage_envelopes(usage: DataFrame) -> DataFrame:
     return cc_env.unionByName(cp_env)
 
 
+def user_id(login: str, offset: int) -> Column:
+    """Platform user id of ``dev-<n>``/``rev-<n>``: offset + n."""
+    return F.regexp_extract(F.col(login), r"([0-9]+)$", 1).cast("long") + F.lit(offset)
+
+
+def commit_envelopes(prs: DataFrame) -> DataFrame:
+    """One commit per merged PR, a minute after the merge. Every 3rd commit has
+    no platform author (only the git signature); the signature's email is the
+    author's, in mixed case."""
+    m = prs.filter(F.col("merged_at").isNotNull())
+    n = F.regexp_extract("author", r"([0-9]+)$", 1)
+    sig = F.struct(F.concat(F.lit("Dev "), n).alias("name"), F.concat(F.lit("Dev"), n, F.lit("@Acme.io")).alias("email"))
+    gh = F.when(F.col("pr_id") % 3 != 0, F.struct(user_id("author", 1_000_000).cast("string").alias("id"),
+                                                  F.col("author").alias("login")))
+    sha = F.sha1(F.concat(F.lit("commit-"), F.col("pr_id").cast("string")))
+    payload = F.to_json(F.struct(sha.alias("sha"), gh.alias("author"), F.struct(sig.alias("author")).alias("commit")))
+    recv = _plus_seconds("merged_at", 60)
+    return _env(m, "github", F.concat(F.lit("commit:"), sha), "commit.snapshot", recv, payload)
+
+
+def push_envelopes(prs: DataFrame) -> DataFrame:
+    """A push for every 11th merged PR: the author's commit plus a bot commit."""
+    m = prs.filter(F.col("merged_at").isNotNull() & (F.col("pr_id") % 11 == 0))
+    n = F.regexp_extract("author", r"([0-9]+)$", 1)
+    commits = F.array(
+        F.struct(F.struct(F.concat(F.lit("Dev "), n).alias("name"),
+                          F.concat(F.lit("dev"), n, F.lit("@acme.io")).alias("email")).alias("author")),
+        F.struct(F.struct(F.lit("dependabot[bot]").alias("name"),
+                          F.lit("49699333+dependabot[bot]@users.noreply.github.com").alias("email")).alias("author")))
+    payload = F.to_json(F.struct(F.concat(F.lit("refs/heads/main")).alias("ref"), commits.alias("commits")))
+    recv = _plus_seconds("merged_at", 120)
+    return _env(m, "github", F.concat(F.lit("push:"), F.col("pr_id").cast("string")), "push", recv, payload)
+
+
+TEAM_SNAPSHOT_AT = 1703980800  # 2023-12-31T00:00:00Z, before any other event
+
+
+def team_envelopes(team_repo: DataFrame, teams: DataFrame, users: DataFrame) -> DataFrame:
+    """Team snapshots as the GitHub team API pages them: page 0 lists the
+    members (users pinned to the team) and no repositories; pages 1-4 list the
+    repositories (split by repo number % 4) and no members. Received before
+    every other event."""
+    num = F.regexp_extract("repo", r"([0-9]+)$", 1).cast("long")
+    pages = team_repo.select("team_id", "repo", (num % 4 + 1).alias("page"))
+    per_page = pages.groupBy("team_id", "page").agg(F.array_sort(F.collect_list("repo")).alias("repos"))
+    mem = users.filter(F.col("team_id").isNotNull()).select(
+        "team_id", F.struct(user_id("github_login", 1_000_000).cast("string").alias("id"),
+                            F.col("github_login").alias("login")).alias("m"))
+    members = mem.groupBy("team_id").agg(F.array_sort(F.collect_list("m")).alias("members"))
+    names = teams.select(F.col("id").alias("team_id"), "name")
+    member_pages = names.join(members, "team_id", "left").select(
+        "team_id", "name", F.lit(0).cast("long").alias("page"), F.lit(None).cast("array<string>").alias("repos"),
+        F.coalesce(F.col("members"), F.array().cast(members.schema["members"].dataType)).alias("members"))
+    repo_pages = per_page.join(names, "team_id", "inner").select(
+        "team_id", "name", "page", "repos", F.lit(None).cast(members.schema["members"].dataType).alias("members"))
+    j = member_pages.unionByName(repo_pages)
+    payload = F.to_json(F.struct(
+        F.col("team_id").alias("id"), F.col("name"), F.col("team_id").alias("slug"),
+        F.transform("repos", lambda r: F.struct(r.alias("full_name"))).alias("repositories"),
+        F.col("members")))
+    recv = F.timestamp_seconds(F.lit(TEAM_SNAPSHOT_AT) + F.col("page"))
+    return _env(j, "github", F.concat(F.lit("team:"), F.col("team_id"), F.lit(":"), F.col("page").cast("string")),
+                "team.snapshot", recv, payload)
+
+
 def with_redeliveries(env: DataFrame) -> DataFrame:
     """Every 7th envelope (by arrival number) arrives twice; the copy is
     received an hour later."""
@@ -221,9 +290,10 @@ def with_redeliveries(env: DataFrame) -> DataFrame:
     return env.unionByName(copy)
 
 
-def raw_envelopes(runs, prs, reviews, issues, usage) -> DataFrame:
+def raw_envelopes(runs, prs, reviews, issues, usage, team_repo, teams, users) -> DataFrame:
     """All envelopes, redeliveries included."""
     env = (run_envelopes(runs).unionByName(jenkins_envelopes(runs)).unionByName(pr_envelopes(prs))
            .unionByName(review_envelopes(reviews)).unionByName(issue_envelopes(issues))
-           .unionByName(usage_envelopes(usage)))
+           .unionByName(usage_envelopes(usage)).unionByName(commit_envelopes(prs))
+           .unionByName(push_envelopes(prs)).unionByName(team_envelopes(team_repo, teams, users)))
     return with_redeliveries(env)

@@ -21,7 +21,7 @@ from . import views as V
 from .params import DEFAULT, Params
 
 
-LAYOUT_VERSION = "1"
+LAYOUT_VERSION = "2"
 
 
 class Domain:
@@ -80,7 +80,8 @@ class Domain:
         from .raw_events import raw_envelopes
         path = self._table("landing_envelopes")
         if not _exists(self.spark, path + "/_SUCCESS"):
-            env = raw_envelopes(self.runs, self.prs, self.reviews, self.issues, self.ai_usage)
+            env = raw_envelopes(self.runs, self.prs, self.reviews, self.issues, self.ai_usage, self.team_repo,
+                                self.teams, self.users)
             env.write.mode("overwrite").partitionBy("source").parquet(path)
         return self.spark.read.parquet(path)
 
@@ -227,3 +228,19 @@ register("user_directory", OA.user_directory_sql())(lambda d: A.user_directory(d
 for _i, (_email, _asked) in enumerate(SCOPE_USERS):
     register(f"scope_filter_{_i}", OA.scope_filter_sql(_email, _asked))(
         lambda d, _e=_email, _a=_asked: A.scope_filter(d.users, _e, _a))
+
+# --- I1-I5: identities and teams --------------------------------------------------
+from ..operators import identity as I  # noqa: E402
+from . import identity_plans as IP  # noqa: E402
+from . import oracle_identity as OI  # noqa: E402
+
+register("resolve_identities", OI.aliases_sql())(
+    lambda d: IP.resolved(d.raw)[1].withColumn("match_confidence", F.col("match_confidence").cast("double")))
+register("contributors", OI.contributors_sql())(lambda d: IP.resolved(d.raw)[0])
+register("bot_filter", OI.humans_sql())(
+    lambda d: I.bot_filter(IP.resolved(d.raw)[0], IP.resolved(d.raw)[0]))
+register("import_teams", OI.imported_team_sql())(lambda d: IP.imported_teams(d.raw)[0])
+register("import_team_repos", OI.team_repo_sql())(
+    lambda d: IP.imported_teams(d.raw)[1].groupBy("team_id").agg(F.countDistinct("repo").alias("repos")))
+register("import_team_members", OI.team_members_sql())(lambda d: IP.imported_teams(d.raw)[2])
+register("manual_teams", OI.manual_teams_sql())(lambda d: I.manual_teams(IP.team_requests(d.spark, d.base)))
