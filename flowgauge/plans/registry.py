@@ -244,3 +244,44 @@ register("import_team_repos", OI.team_repo_sql())(
     lambda d: IP.imported_teams(d.raw)[1].groupBy("team_id").agg(F.countDistinct("repo").alias("repos")))
 register("import_team_members", OI.team_members_sql())(lambda d: IP.imported_teams(d.raw)[2])
 register("manual_teams", OI.manual_teams_sql())(lambda d: I.manual_teams(IP.team_requests(d.spark, d.base)))
+
+# --- S1-S11: landed vendor files -> envelopes ------------------------------------
+import datetime as _dt  # noqa: E402
+
+from ..sources import readers as R  # noqa: E402
+from . import oracle_sources as OSRC  # noqa: E402
+from . import source_plans as SRC  # noqa: E402
+
+
+def _since(d: Domain) -> _dt.datetime:
+    return d.p.as_of - _dt.timedelta(days=d.p.days)
+
+
+register("land_pull_requests", OSRC.land_prs_sql())(
+    lambda d: SRC.keys(R.land_pull_requests(SRC.pr_pages(d.prs), _since(d), d.p.as_of)))
+register("land_reviews", OSRC.land_reviews_sql())(
+    lambda d: SRC.keys(R.land_reviews(SRC.review_pages(d.reviews), d.p.as_of)))
+register("land_commits", OSRC.land_commits_sql())(
+    lambda d: SRC.keys(R.land_commits(SRC.commit_pages(d.prs), d.p.as_of)))
+register("land_workflow_runs", OSRC.land_runs_sql())(
+    lambda d: SRC.keys(R.land_workflow_runs(SRC.run_pages(d.runs), _since(d), d.p.as_of)))
+register("land_issues", OSRC.land_issues_sql())(
+    lambda d: SRC.keys(R.land_issues(SRC.issue_pages(d.issues), d.p.as_of)))
+register("land_builds", OSRC.land_builds_sql())(
+    lambda d: SRC.keys(R.land_builds(SRC.build_pages(d.runs), d.p.as_of)))
+register("assemble_team_snapshots", OSRC.team_snapshots_sql())(
+    lambda d: SRC.team_snapshot_stats(R.assemble_team_snapshots(
+        d.teams.withColumn("slug", F.col("id")),
+        d.team_repo.select("team_id", F.when(F.regexp_extract("repo", "([0-9]+)$", 1).cast("long") % 9 != 0,
+                                             F.col("repo")).alias("full_name")),
+        d.users.filter(F.col("team_id").isNotNull()).select(
+            "team_id", F.col("id"), F.when(F.col("id").cast("long") % 49 != 0, F.col("github_login")).alias("login")),
+        d.p.as_of)))
+register("webhook_key", OSRC.webhook_key_sql())(
+    lambda d: R.webhook_key(SRC.webhook_bodies(d.issues, d.p.as_of))[0].select("source", "source_id", "event_type"))
+register("read_usage_report", OSRC.usage_report_sql())(
+    lambda d: SRC.landed_usage_report(d.spark, d.ai_usage, d._table("landed_usage_report"), d.p.as_of))
+register("read_usage_ndjson", OSRC.usage_ndjson_sql())(
+    lambda d: SRC.landed_usage_ndjson(d.spark, d.ai_usage, d._table("landed_usage_ndjson"), d.p.as_of))
+register("read_envelopes", OSRC.read_envelopes_sql())(
+    lambda d: SRC.landed_envelopes(d.spark, d.raw, d._table("landed_envelopes_json")))
