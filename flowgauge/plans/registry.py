@@ -21,7 +21,7 @@ from . import views as V
 from .params import DEFAULT, Params
 
 
-LAYOUT_VERSION = "2"
+LAYOUT_VERSION = "3"
 
 
 class Domain:
@@ -285,3 +285,34 @@ register("read_usage_ndjson", OSRC.usage_ndjson_sql())(
     lambda d: SRC.landed_usage_ndjson(d.spark, d.ai_usage, d._table("landed_usage_ndjson"), d.p.as_of))
 register("read_envelopes", OSRC.read_envelopes_sql())(
     lambda d: SRC.landed_envelopes(d.spark, d.raw, d._table("landed_envelopes_json")))
+
+# --- D7: streaming ingest, checked equal to the batch rebuild --------------------
+from ..sources.sinks import read_state  # noqa: E402
+from ..streaming import stream_state as ST  # noqa: E402
+
+
+def _streamed(d: Domain) -> str:
+    """Land the delivery stream in arrival order and run the ingest stream over
+    it once per domain; returns the folder holding the state tables."""
+    src, root = d._table("landing_ordered"), d._table("stream")
+    if not _exists(d.spark, src + "_done/_SUCCESS"):
+        ST.land_in_arrival_order(d.raw, src)
+        d.spark.createDataFrame([("done",)], "v string").write.mode("overwrite").parquet(src + "_done")
+    ST.stream_state(d.spark, src, root, root + "/_checkpoint", schema=d.raw.schema)
+    return root
+
+
+register("stream_pr_state", OS.pr_state_sql())(
+    lambda d: read_state(d.spark, _streamed(d) + "/pull_request_state").select(
+        "repo", "pr_id", "number", "title", "author", "html_url", "state",
+        F.array_join("requested_reviewers", ",").alias("requested_reviewers"),
+        "created_at", "merged_at", "ai_assisted", "last_received_at"))
+register("stream_issue_state", OS.issue_state_sql())(
+    lambda d: read_state(d.spark, _streamed(d) + "/jira_issue_state").select(
+        "issue_key", "issue_id", "project_key", "issue_type", "status", "summary",
+        "assignee", "created_at", "resolved_at", "reopened", "last_received_at"))
+register("stream_run_state", OS.run_state_sql())(
+    lambda d: read_state(d.spark, _streamed(d) + "/workflow_run_state").select(
+        "repo", "run_id", "conclusion", "name", "ts", "last_received_at"))
+register("stream_connector_activity", OS.connector_activity_sql())(
+    lambda d: ST.connector_activity_table(d.spark, _streamed(d)))

@@ -49,20 +49,31 @@ def write_quarantine(bad: DataFrame, reason: str | F.Column, path: str) -> None:
         .write.mode("append").parquet(path)
 
 
-def write_state(updates: DataFrame, keys: list[str], path: str, order: str = "received_at",
-                tie: str = "seq") -> str:
-    """K2: merge ``updates`` into the latest-state table at ``path``
-    (copy-on-write). The current version's rows and the updates are reduced
-    with the same guard as :func:`latest_state` and written to a new version
-    folder; ``path/_CURRENT`` names the live version. Returns the new folder."""
+def write_state(updates: DataFrame, keys: list[str], path: str, sticky: str | None = None,
+                version: str | None = None) -> str:
+    """K2: merge extracted ``updates`` (with ``received_at`` and ``seq``) into
+    the latest-state table at ``path``, copy-on-write.
+
+    The stored rows re-enter as the earliest arrivals (``seq`` = -1), so an
+    update replaces a row only when strictly newer (D2), and a sticky flag is
+    OR-ed only from updates that pass that guard (D3). The result goes to a new
+    version folder (``version`` makes a replayed micro-batch idempotent) and
+    ``path/_CURRENT`` is switched to it. Returns the version folder."""
+    from ..operators.state import sticky_flag
     spark = updates.sparkSession
+    new = f"{path.rstrip('/')}/v-{version or uuid.uuid4().hex}"
     cur = current_version(spark, path)
+    if cur == new:
+        return new  # this version was already committed
     merged = updates
     if cur is not None:
-        old = spark.read.parquet(cur)
-        merged = old.unionByName(updates, allowMissingColumns=True)
-    new = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
-    latest_state(merged, keys, order, tie).write.mode("overwrite").parquet(new)
+        old = (spark.read.parquet(cur).withColumnRenamed("last_received_at", "received_at")
+               .withColumn("seq", F.lit(-1).cast("long")))
+        merged = old.unionByName(updates.select(*old.columns))
+    state = latest_state(merged, keys)
+    if sticky:
+        state = state.drop(sticky).join(sticky_flag(merged, keys, sticky), keys, "inner")
+    state.drop("seq").withColumnRenamed("received_at", "last_received_at").write.mode("overwrite").parquet(new)
     _write_pointer(spark, path, new)
     return new
 
@@ -91,7 +102,8 @@ def write_mart(mart: DataFrame, path: str) -> None:
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        mart.repartition("metric_key").write.mode("overwrite").partitionBy("metric_key").parquet(path)
+        # Cluster by (metric, day) so no single task writes a whole metric.
+        mart.repartition("metric_key", "day").write.mode("overwrite").partitionBy("metric_key").parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
