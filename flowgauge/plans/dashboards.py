@@ -77,6 +77,12 @@ def cockpit_tiles(mart: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
                     F.col("_computed").alias("computed_at"))
 
 
+def cockpit_series(mart: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
+    """Each tile's daily series (one row per metric and day)."""
+    return mart.filter(F.col("metric_key").isin([t[0] for t in TILES]) & (F.col("scope_id") == p.scope)
+                       & in_day_window("day", p.as_of, p.days)).select("metric_key", "day", "value", "sample_size")
+
+
 def dora_tiers(tiles: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
     """Q9: DORA band and score of the four core tiles (no value -> score 0)."""
     core = tiles.filter(F.col("metric_key").isin("deployment_frequency", "lead_time_p50_hours",

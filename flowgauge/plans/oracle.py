@@ -91,3 +91,18 @@ FROM ({mart_sql_body()}) u""")]
 
 def build_mart_sql(p: Params = P.DEFAULT) -> str:
     return with_views("SELECT * FROM mart", "bench_runs", "bench_prs", "bench_team_repo", extra=mart_ctes(p))
+
+
+def first_event_after_sql(p: Params = P.DEFAULT) -> str:
+    body = """
+SELECT m.pr_id, (SELECT min(d.ts) FROM m_deploys d WHERE d.repo = m.repo AND d.ts >= m.merged_at) AS deploy_ts
+FROM (SELECT pr_id, repo, merged_at FROM bench_prs WHERE merged_at IS NOT NULL AND merged_at >= """ + _since(p) + """) m"""
+    return with_views(body, "bench_runs", "bench_prs", "bench_team_repo", extra=metric_ctes(p))
+
+
+def followed_within_sql(p: Params = P.DEFAULT) -> str:
+    body = f"""
+SELECT r.run_id, CASE WHEN EXISTS (SELECT 1 FROM m_remed x WHERE x.repo = r.repo AND x.ts >= r.ts
+                                     AND x.ts <= r.ts + INTERVAL {p.within_hours} HOUR) THEN 1 ELSE 0 END AS followed
+FROM bench_runs r WHERE r.conclusion = 'success'"""
+    return with_views(body, "bench_runs", "bench_prs", "bench_team_repo", extra=metric_ctes(p))

@@ -316,3 +316,17 @@ register("stream_run_state", OS.run_state_sql())(
         "repo", "run_id", "conclusion", "name", "ts", "last_received_at"))
 register("stream_connector_activity", OS.connector_activity_sql())(
     lambda d: ST.connector_activity_table(d.spark, _streamed(d)))
+
+# --- J1/J3 and A12 as standalone queries ------------------------------------------
+from ..operators import asof as AS  # noqa: E402
+
+register("first_event_after", O.first_event_after_sql())(
+    lambda d: AS.first_at_or_after(M.merged_in_window(d.prs, d.p).join(
+        d.prs.select("repo", "pr_id", "created_at", "merged_at"), ["repo", "created_at", "merged_at"], "inner"),
+        M.deploys(d.runs, d.p), ["repo"], "merged_at", "ts", "deploy_ts", d.p.asof_slot_seconds)
+    .select("pr_id", "deploy_ts"))
+register("followed_within", O.followed_within_sql())(
+    lambda d: AS.followed_within(d.runs.filter(F.col("conclusion") == "success").select("repo", "run_id", "ts"),
+                                 M.remediations(d.runs, d.p), ["repo"], "ts", "ts", "followed",
+                                 d.p.within_hours * 3600, d.p.asof_slot_seconds).select("run_id", "followed"))
+register("cockpit_series", OD.series_sql())(lambda d: D.cockpit_series(d.stored_mart, d.p))
