@@ -55,7 +55,8 @@ _view("bench_reviews", """
 SELECT p.repo,
        l.l_orderkey AS pr_number,
        CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) || '-' ||
-         CAST(l.l_partkey AS VARCHAR) || '-' || CAST(l.l_suppkey AS VARCHAR) AS review_id,
+         CAST(l.l_partkey AS VARCHAR) || '-' || CAST(l.l_suppkey AS VARCHAR) || '-' ||
+         CAST(CAST(l.l_quantity AS BIGINT) AS VARCHAR) AS review_id,
        'rev-' || CAST(l.l_suppkey AS VARCHAR) AS reviewer_login,
        CASE l.l_returnflag WHEN 'A' THEN 'APPROVED' WHEN 'R' THEN 'CHANGES_REQUESTED' ELSE 'COMMENTED' END AS state,
        p.created_at + to_hours(CAST(l.l_quantity AS BIGINT)) AS submitted_at,

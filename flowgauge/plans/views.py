@@ -114,7 +114,8 @@ def reviews(spark: SparkSession, base: str, pr_df: DataFrame | None = None) -> D
     return j.select(
         F.col("repo"),
         F.col("l_orderkey").alias("pr_number"),
-        F.concat_ws("-", _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey"), _s("l_suppkey")).alias("review_id"),
+        F.concat_ws("-", _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey"), _s("l_suppkey"),
+                    _s(F.col("l_quantity").cast("long"))).alias("review_id"),
         F.concat(F.lit("rev-"), _s("l_suppkey")).alias("reviewer_login"),
         state.alias("state"),
         submitted.alias("submitted_at"),
