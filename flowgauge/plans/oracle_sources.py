@@ -101,3 +101,17 @@ UNION ALL
 SELECT 'quarantine', 'missing: source_id', count(*) FROM deliveries WHERE seq % 101 = 0 HAVING count(*) > 0"""
     return with_views(body, "bench_runs", "bench_prs", "bench_reviews", "bench_issues", "bench_ai_usage",
                       "bench_team_repo", "bench_team", extra=[("envelope_keys", ENVELOPE_KEYS)])
+
+
+def usage_quarantine_sql() -> str:
+    return with_views("""
+SELECT CASE WHEN sessions % 7 = 0 THEN '{not json' ELSE '{"user_login": null, "day": "2024-01-01"}' END AS record,
+       'not a usage record' AS reason
+FROM bench_ai_usage WHERE source = 'copilot' AND sessions % 7 IN (0, 2)""", "bench_ai_usage")
+
+
+def disconnected_sql() -> str:
+    return with_views("""
+SELECT repo, count(*) AS prs FROM bench_prs
+WHERE repo NOT IN (SELECT 'acme/repo-' || CAST(s_suppkey * 3 AS VARCHAR) FROM supplier WHERE s_suppkey % 4 = 3)
+GROUP BY repo""", "bench_prs")

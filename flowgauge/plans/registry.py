@@ -330,3 +330,25 @@ register("followed_within", O.followed_within_sql())(
                                  M.remediations(d.runs, d.p), ["repo"], "ts", "ts", "followed",
                                  d.p.within_hours * 3600, d.p.asof_slot_seconds).select("run_id", "followed"))
 register("cockpit_series", OD.series_sql())(lambda d: D.cockpit_series(d.stored_mart, d.p))
+
+
+# --- K4, F10 ------------------------------------------------------------------------
+from ..operators.filters import exclude_disconnected  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+
+def _quarantine(d: Domain) -> DataFrame:
+    import uuid as _uuid
+    q = d._table(f"quarantine/usage-{_uuid.uuid4().hex}")
+    return SRC.quarantined_usage_lines(d.spark, d.ai_usage, d._table("landed_usage_ndjson_q"), q, d.p.as_of)
+
+
+def _disconnected(d: Domain) -> DataFrame:
+    """Repositories an admin disconnected: every 4th supplier's ``acme/repo-{3s}``."""
+    s = read_table(d.spark, d.base, "supplier", "s_suppkey").filter(F.col("s_suppkey") % 4 == 3)
+    return s.select(F.concat(F.lit("acme/repo-"), (F.col("s_suppkey") * 3).cast("string")).alias("repo"))
+
+
+register("usage_quarantine", OSRC.usage_quarantine_sql())(_quarantine)
+register("exclude_disconnected", OSRC.disconnected_sql())(
+    lambda d: exclude_disconnected(d.prs, _disconnected(d)).groupBy("repo").agg(F.count(F.lit(1)).alias("prs")))

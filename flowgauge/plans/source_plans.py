@@ -124,6 +124,15 @@ def landed_usage_ndjson(spark, usage: DataFrame, folder: str, received_at: dt.da
     return keys(good)
 
 
+def quarantined_usage_lines(spark, usage: DataFrame, folder: str, quarantine: str, received_at: dt.datetime) -> DataFrame:
+    """K4 behind S2: the NDJSON lines the reader rejects, kept with a reason."""
+    from ..sources.sinks import write_quarantine
+    landed_usage_ndjson(spark, usage, folder, received_at)
+    _, bad = R.read_usage_ndjson(spark, folder, received_at)
+    write_quarantine(bad, "not a usage record", quarantine)
+    return spark.read.parquet(quarantine).select("record", "reason")
+
+
 def landed_envelopes(spark, env: DataFrame, folder: str) -> DataFrame:
     """Write envelopes as JSON files, every 101st arrival missing its
     ``source_id``, and read them back through the typed scan (S3)."""
