@@ -282,12 +282,16 @@ def team_envelopes(team_repo: DataFrame, teams: DataFrame, users: DataFrame) ->
 
 def with_redeliveries(env: DataFrame) -> DataFrame:
     """Every 7th envelope (by arrival number) arrives twice; the copy is
-    received an hour later."""
-    again = env.filter(F.pmod(F.col("seq"), F.lit(7)) == 0)
-    copy = again.select("source", "source_id", "event_type",
-                        _plus_seconds("received_at", 3600).alias("received_at"), "connector_version", "payload",
-                        ((F.col("seq") / 4).cast("long") * 4 + F.lit(3600 * 1_000_000 * 4) + 2).alias("seq"))
-    return env.unionByName(copy)
+    received an hour later. One pass: each envelope explodes into itself and,
+    when redelivered, its copy."""
+    seq = F.col("seq")
+    orig = F.struct(F.col("received_at").alias("received_at"), seq.alias("seq"))
+    copy = F.struct(_plus_seconds("received_at", 3600).alias("received_at"),
+                    ((seq / 4).cast("long") * 4 + F.lit(3600 * 1_000_000 * 4) + 2).alias("seq"))
+    versions = F.when(F.pmod(seq, F.lit(7)) == 0, F.array(orig, copy)).otherwise(F.array(orig))
+    return env.select("source", "source_id", "event_type", "connector_version", "payload",
+                      F.explode(versions).alias("_d")).select(
+        "source", "source_id", "event_type", "_d.received_at", "connector_version", "payload", "_d.seq")
 
 
 def raw_envelopes(runs, prs, reviews, issues, usage, team_repo, teams, users) -> DataFrame:

@@ -21,7 +21,7 @@ from . import views as V
 from .params import DEFAULT, Params
 
 
-LAYOUT_VERSION = "4"
+LAYOUT_VERSION = "5"
 
 
 class Domain:
@@ -76,13 +76,13 @@ class Domain:
     def raw(self) -> DataFrame:
         """The delivery stream as landed by the connectors (redeliveries
         included), rebuilt from the views once and kept as a parquet landing
-        table partitioned by source."""
+        table partitioned by (source, event_type), so routing prunes files."""
         from .raw_events import raw_envelopes
         path = self._table("landing_envelopes")
         if not _exists(self.spark, path + "/_SUCCESS"):
             env = raw_envelopes(self.runs, self.prs, self.reviews, self.issues, self.ai_usage, self.team_repo,
                                 self.teams, self.users)
-            env.write.mode("overwrite").partitionBy("source").parquet(path)
+            env.write.mode("overwrite").partitionBy("source", "event_type").parquet(path)
         return self.spark.read.parquet(path)
 
     @cached_property

@@ -1,7 +1,7 @@
 """Sinks (K1-K5).
 
 Tables are parquet folders. Raw events are append-only and partitioned by
-``source``; state tables are rewritten copy-on-write into a new version folder
+``source`` and ``event_type`` (routing then prunes whole folders); state tables are rewritten copy-on-write into a new version folder
 (plain parquet has no MERGE); the mart uses dynamic partition overwrite by
 ``metric_key``. Nothing is ever read and overwritten in the same folder.
 """
@@ -38,7 +38,7 @@ def write_raw(env: DataFrame, path: str) -> DataFrame:
     if _exists(spark, path):
         stored = spark.read.parquet(path).select(*NATURAL_KEY)
         fresh = fresh.join(stored, NATURAL_KEY, "left_anti")
-    fresh.write.mode("append").partitionBy("source").parquet(path)
+    fresh.write.mode("append").partitionBy("source", "event_type").parquet(path)
     return fresh
 
 
