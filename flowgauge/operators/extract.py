@@ -50,11 +50,43 @@ TEAM = "id string, name string, slug string, repositories array<struct<full_name
 _ENV = ["received_at", "seq"]
 
 
-def _wrapped(payload: str, wrapper: str, inner_ddl: str) -> Column:
+def _parsed(events: DataFrame, **parsers: Column) -> DataFrame:
+    """Evaluate each JSON parse exactly once per row. The parse sits under a
+    one-element ``inline``; without that boundary the optimizer inlines the
+    parsed struct into every field access and into pushed-down filters, and
+    the payload would be parsed once per reference."""
+    row = F.struct(*[c.alias(n) for n, c in parsers.items()], *[F.col(c) for c in _ENV])
+    return events.select(F.inline(F.array(row)))
+
+
+def _wrapped_schema(wrapper: str, inner_ddl: str) -> str:
+    """One schema for both shapes: the wrapper field plus the entity's own
+    top-level fields."""
+    return f"{wrapper} struct<{_ddl_to_struct_fields(inner_ddl)}>, {inner_ddl}"
+
+
+def _pick(j: str, wrapper: str, inner_ddl: str) -> Column:
     """The wrapper's struct when the payload has it, else the payload itself."""
-    outer = F.from_json(F.col(payload), f"{wrapper} struct<{_ddl_to_struct_fields(inner_ddl)}>")
-    flat = F.from_json(F.col(payload), inner_ddl)
-    return F.when(outer[wrapper].isNotNull(), outer[wrapper]).otherwise(flat)
+    flat = F.struct(*[F.col(j)[n].alias(n) for n in _top_names(inner_ddl)])
+    return F.when(F.col(j)[wrapper].isNotNull(), F.col(j)[wrapper]).otherwise(flat)
+
+
+def _top_names(ddl: str) -> list[str]:
+    return [f.split(":", 1)[0] for f in _split_top(_ddl_to_struct_fields(ddl))]
+
+
+def _split_top(fields: str) -> list[str]:
+    out, depth, cur = [], 0, ""
+    for ch in fields:
+        depth += ch == "<"
+        depth -= ch == ">"
+        if ch == "," and depth == 0:
+            out.append(cur.strip())
+            cur = ""
+        else:
+            cur += ch
+    out.append(cur.strip())
+    return out
 
 
 def _ddl_to_struct_fields(ddl: str) -> str:
@@ -76,11 +108,10 @@ def _ddl_to_struct_fields(ddl: str) -> str:
 
 def extract_runs(events: DataFrame) -> DataFrame:
     """Workflow runs. Repo from the run, else the payload, else 'unknown'."""
-    run = _wrapped("payload", "workflow_run", RUN)
-    top = F.from_json(F.col("payload"), "repository struct<full_name:string>")
-    r = events.select(run.alias("r"), top.alias("t"), *_ENV)
+    r = _parsed(events, j=F.from_json(F.col("payload"), _wrapped_schema("workflow_run", RUN)))
+    r = r.select(_pick("j", "workflow_run", RUN).alias("r"), F.col("j.repository").alias("t"), *_ENV)
     return r.filter(F.col("r.id").isNotNull()).select(
-        C.first_non_blank(F.col("r.repository.full_name"), F.col("t.repository.full_name"), F.lit("unknown")).alias("repo"),
+        C.first_non_blank(F.col("r.repository.full_name"), F.col("t.full_name"), F.lit("unknown")).alias("repo"),
         F.col("r.id").alias("run_id"), F.col("r.conclusion").alias("conclusion"), F.col("r.name").alias("name"),
         C.iso_instant(F.col("r.updated_at")).alias("ts"), *_ENV)
 
@@ -89,7 +120,7 @@ def extract_builds(events: DataFrame) -> DataFrame:
     """Jenkins builds as runs: run_id ``jenkins:{job}:{number}``; repo from
     the first git BuildData action with remote URLs; result mapped (C7); time
     from epoch milliseconds."""
-    b = events.select(F.from_json(F.col("payload"), BUILD).alias("b"), *_ENV).filter(
+    b = _parsed(events, b=F.from_json(F.col("payload"), BUILD)).filter(
         F.col("b.number").isNotNull() & F.col("b.job_name").isNotNull())
     git = F.filter(F.col("b.actions"), lambda a: (a["_class"] == JENKINS_GIT_BUILD_DATA) & (F.size(a["remoteUrls"]) > 0))
     url = F.get(F.get(git, 0)["remoteUrls"], 0)
@@ -110,8 +141,8 @@ def ai_assisted_flag(title, body, labels) -> Column:
 
 def extract_pull_requests(events: DataFrame) -> DataFrame:
     """Pull requests."""
-    pr = _wrapped("payload", "pull_request", PR)
-    r = events.select(pr.alias("p"), *_ENV).filter(F.col("p.id").isNotNull())
+    r = _parsed(events, j=F.from_json(F.col("payload"), _wrapped_schema("pull_request", PR)))
+    r = r.select(_pick("j", "pull_request", PR).alias("p"), *_ENV).filter(F.col("p.id").isNotNull())
     return r.select(
         C.first_non_blank(F.col("p.base.repo.full_name"), F.lit("unknown")).alias("repo"),
         C.long_or_null(F.col("p.id")).alias("pr_id"),
@@ -127,7 +158,7 @@ def extract_pull_requests(events: DataFrame) -> DataFrame:
 
 def extract_reviews(events: DataFrame) -> DataFrame:
     """E5: reviews; repo and PR number come from ``pull_request_url``."""
-    r = events.select(F.from_json(F.col("payload"), REVIEW).alias("v"), *_ENV).filter(
+    r = _parsed(events, v=F.from_json(F.col("payload"), REVIEW)).filter(
         F.col("v.id").isNotNull() & F.col("v.pull_request_url").isNotNull())
     url = F.col("v.pull_request_url")
     repo = F.nullif(F.regexp_extract(url, r"/repos/(.+?)/pulls/(\d+)$", 1), F.lit(""))
@@ -151,12 +182,10 @@ def reopened_flag(changelog: Column) -> Column:
 
 def extract_issues(events: DataFrame) -> DataFrame:
     """E6 (+E7): Jira issues; key, id and fields are required."""
-    wrapper = F.from_json(F.col("payload"), f"issue struct<{_ddl_to_struct_fields(ISSUE)}>, "
-                                            f"changelog struct<items:{_ITEMS}, histories:array<struct<items:{_ITEMS}>>>")
-    flat = F.from_json(F.col("payload"), ISSUE)
-    r = events.select(wrapper.alias("w"), flat.alias("f"), *_ENV)
-    issue = F.when(F.col("w.issue").isNotNull(), F.col("w.issue")).otherwise(F.col("f"))
-    changelog = F.when(F.col("w.changelog").isNotNull(), F.col("w.changelog")).otherwise(issue["changelog"])
+    r = _parsed(events, j=F.from_json(F.col("payload"), _wrapped_schema("issue", ISSUE)))
+    issue = _pick("j", "issue", ISSUE)
+    # a webhook's changelog is the issue's sibling, a snapshot's is its own
+    changelog = F.coalesce(F.col("j.changelog"), F.col("j.issue.changelog"))
     r = r.select(issue.alias("i"), changelog.alias("cl"), *_ENV).filter(
         F.col("i.key").isNotNull() & F.col("i.id").isNotNull() & F.col("i.fields").isNotNull())
     return r.select(
@@ -184,7 +213,7 @@ _USAGE_COLS = ["source", "actor_key", "day", "sessions", "loc_added", "loc_remov
 def extract_usage_metered(events: DataFrame) -> DataFrame:
     """Per-day metered usage; tokens and cost summed over the model
     breakdown (null cost -> 0), accepted/rejected summed over every tool."""
-    u = events.select(F.from_json(F.col("payload"), METERED).alias("u"), *_ENV).filter(
+    u = _parsed(events, u=F.from_json(F.col("payload"), METERED)).filter(
         F.col("u.actor.email_address").isNotNull() & F.col("u.date").isNotNull())
     mb = F.coalesce(F.col("u.model_breakdown"), F.array())
     acts = F.map_values(F.coalesce(F.col("u.tool_actions"), F.create_map().cast("map<string,struct<accepted:int,rejected:int>>")))
@@ -210,7 +239,7 @@ def extract_usage_metered(events: DataFrame) -> DataFrame:
 
 def extract_usage_seat(events: DataFrame, monthly_seat_usd: float) -> DataFrame:
     """E9 (+E10): per-day seat-priced usage; surface = first IDE listed."""
-    u = events.select(F.from_json(F.col("payload"), SEAT).alias("u"), *_ENV).filter(
+    u = _parsed(events, u=F.from_json(F.col("payload"), SEAT)).filter(
         F.col("u.user_login").isNotNull() & F.col("u.day").isNotNull())
     cli = F.col("u.totals_by_cli")
     return u.select(
