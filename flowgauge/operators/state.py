@@ -45,24 +45,44 @@ def latest_state(df: DataFrame, keys: list[str], order: str = "received_at", tie
     return best.select(*[F.col(k) for k in keys], *[F.col("_s")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def _record_high(keys: list[str], order: str, tie: str) -> Column:
-    """True when ``order`` is strictly greater than every earlier arrival's."""
-    w = Window.partitionBy(*keys).orderBy(F.col(tie)).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max(F.col(order)).over(w)
-    return prev.isNull() | (F.col(order) > prev)
+# Arrival chunks for the guard: seq >> CHUNK_SHIFT. With seq = arrival
+# microseconds x 4 a chunk spans about 18 minutes of arrivals.
+CHUNK_SHIFT = 32
+
+
+def with_record_high(df: DataFrame, keys: list[str], order: str = "received_at", tie: str = "seq",
+                     out: str = "_high", chunk_shift: int = CHUNK_SHIFT) -> DataFrame:
+    """Add ``out``: True when ``order`` is strictly greater than that of every
+    earlier arrival (by ``tie``) with the same key - the latest-state guard.
+
+    This is a prefix maximum in arrival order. Done as one window per key it
+    would put a hot key in one task, so arrivals are cut into chunks of
+    ``tie >> chunk_shift``: the maximum of each (key, chunk) is a partial
+    aggregate, a window over a key's *chunks* carries the maximum of all
+    earlier chunks in, and a window over one (key, chunk) finishes the prefix.
+    """
+    chunk = F.shiftright(F.col(tie), chunk_shift)
+    c = df.withColumn("_chunk", chunk)
+    per_chunk = c.groupBy(*keys, "_chunk").agg(F.max(order).alias("_cmax"))
+    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_chunk.select(*keys, "_chunk", F.max("_cmax").over(wc).alias("_carry"))
+    wi = Window.partitionBy(*keys, "_chunk").orderBy(F.col(tie)).rowsBetween(Window.unboundedPreceding, -1)
+    j = c.join(carry, [*keys, "_chunk"], "left").withColumn("_inner", F.max(order).over(wi))
+    prev = F.greatest(F.col("_carry"), F.col("_inner"))
+    return j.withColumn(out, prev.isNull() | (F.col(order) > prev)).drop("_chunk", "_carry", "_inner")
 
 
 def sticky_flag(df: DataFrame, keys: list[str], flag: str, order: str = "received_at", tie: str = "seq") -> DataFrame:
     """D3: per key, OR of ``flag`` over the events that passed the latest-state
     guard (a late, older event cannot set the flag). Returns keys + flag."""
-    passed = df.withColumn("_passed", _record_high(keys, order, tie))
+    passed = with_record_high(df, keys, order, tie, "_passed")
     return passed.groupBy(*keys).agg(
         F.coalesce(F.bool_or(F.col("_passed") & F.coalesce(F.col(flag), F.lit(False))), F.lit(False)).alias(flag))
 
 
 def late_events(df: DataFrame, keys: list[str], order: str = "received_at", tie: str = "seq") -> DataFrame:
     """The events the guard ignored (not newer than what had arrived)."""
-    return df.withColumn("_high", _record_high(keys, order, tie)).filter(~F.col("_high")).drop("_high")
+    return with_record_high(df, keys, order, tie, "_high").filter(~F.col("_high")).drop("_high")
 
 
 def connector_activity(env: DataFrame) -> DataFrame:

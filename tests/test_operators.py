@@ -78,3 +78,22 @@ def test_scope_fanout_counts_repo_in_two_teams(spark):
                           (2, "repo", "r2"), (2, "org", "*"), (2, "team", "t1"),
                           (3, "repo", "r3"), (3, "org", "*")])
     assert F is not None
+
+
+def test_record_high_guard_matches_serial_loop(spark):
+    import datetime as dt
+    import random as rnd_mod
+    from flowgauge.operators.state import with_record_high
+    rnd = rnd_mod.Random(11)
+    rows = []
+    for i in range(600):
+        key = "hot" if i % 3 else f"k{i % 7}"
+        rows.append((key, i * (1 << 30) + rnd.randint(0, 5), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rnd.randint(0, 50))))
+    df = spark.createDataFrame(rows, "k string, seq long, received_at timestamp")
+    for shift in (0, 31, 34, 60):
+        got = {r["seq"]: r["_high"] for r in with_record_high(df, ["k"], chunk_shift=shift).collect()}
+        best = {}
+        for k, seq, ts in sorted(rows, key=lambda r: r[1]):
+            want = k not in best or ts > best[k]
+            assert got[seq] == want, (shift, k, seq)
+            best[k] = max(best.get(k, ts), ts)
