@@ -352,3 +352,24 @@ def _disconnected(d: Domain) -> DataFrame:
 register("usage_quarantine", OSRC.usage_quarantine_sql())(_quarantine)
 register("exclude_disconnected", OSRC.disconnected_sql())(
     lambda d: exclude_disconnected(d.prs, _disconnected(d)).groupBy("repo").agg(F.count(F.lit(1)).alias("prs")))
+
+# --- scoped and sorted variants (F4, F5, O2) ---------------------------------------
+import dataclasses as _dc  # noqa: E402
+
+_TEAM2 = _dc.replace(DEFAULT, scope="team-2")
+_TEAM1 = _dc.replace(DEFAULT, scope="team-1")
+_TEAM0 = _dc.replace(DEFAULT, scope="team-0")
+_REPO3 = _dc.replace(DEFAULT, scope="acme/repo-3")
+
+register("cockpit_tiles_team", OD.cockpit_sql(_TEAM2))(lambda d: D.cockpit_tiles(d.stored_mart, _TEAM2))
+register("cycle_stages_team", OD.cycle_stages_sql(_TEAM1))(
+    lambda d: D.cycle_stages(d.prs, d.reviews, d.team_repo, _TEAM1))
+register("reviewer_load_repo", OD.reviewer_load_sql(_REPO3))(lambda d: D.reviewer_load(d.reviews, d.team_repo, _REPO3))
+register("aging_prs_by_repo", OD.aging_page_sql(DEFAULT, page=1, size=15, repo_filter="REPO-1", sort_by="repo",
+                                                sort_dir="desc"))(
+    lambda d: D.aging_prs_page(d.prs, d.team_repo, d.p, repo_filter="REPO-1", sort_by="repo", sort_dir="desc",
+                               page=1, size=15))
+register("aging_prs_total_filtered", OD.aging_total_sql(DEFAULT, size=15, repo_filter="repo-1"))(
+    lambda d: D.aging_prs_total(d.prs, d.team_repo, d.p, repo_filter="repo-1", size=15))
+register("investment_breakdown_team", OD.breakdown_sql(_TEAM0))(
+    lambda d: D.investment_breakdown(D.classify(d.prs, d.issues, d.team_repo, _TEAM0)))
