@@ -21,7 +21,7 @@ from . import views as V
 from .params import DEFAULT, Params
 
 
-LAYOUT_VERSION = "5"
+LAYOUT_VERSION = "6"
 
 
 class Domain:

@@ -1,14 +1,15 @@
 """Sinks (K1-K5).
 
 Tables are parquet folders. Raw events are append-only and partitioned by
-``source`` and ``event_type`` (routing then prunes whole folders); state tables are rewritten copy-on-write into a new version folder
-(plain parquet has no MERGE); the mart uses dynamic partition overwrite by
-``metric_key``. Nothing is ever read and overwritten in the same folder.
+``source`` and ``event_type`` (routing then prunes whole folders); state
+tables are partitioned by a hash bucket of their key and merged bucket by
+bucket (plain parquet has no MERGE); the mart uses dynamic partition overwrite
+by ``metric_key``. Nothing is read and overwritten in one plan: merged rows
+are checkpointed first.
 """
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,49 +50,52 @@ def write_quarantine(bad: DataFrame, reason: str | F.Column, path: str) -> None:
         .write.mode("append").parquet(path)
 
 
+STATE_BUCKETS = 64
+
+
 def write_state(updates: DataFrame, keys: list[str], path: str, sticky: str | None = None,
-                version: str | None = None) -> str:
+                buckets: int = STATE_BUCKETS) -> None:
     """K2: merge extracted ``updates`` (with ``received_at`` and ``seq``) into
-    the latest-state table at ``path``, copy-on-write.
-
-    The stored rows re-enter as the earliest arrivals (``seq`` = -1), so an
-    update replaces a row only when strictly newer (D2), and a sticky flag is
-    OR-ed only from updates that pass that guard (D3). The result goes to a new
-    version folder (``version`` makes a replayed micro-batch idempotent) and
-    ``path/_CURRENT`` is switched to it. Returns the version folder."""
+    the latest-state table at ``path``.
+
+    The table is partitioned by a hash bucket of the key; only the buckets the
+    updates touch are read, merged and replaced (dynamic partition overwrite),
+    so a micro-batch costs the state it touches, not the whole table. Stored
+    rows re-enter as the earliest arrivals (``seq`` = -1): an update replaces a
+    row only when strictly newer (D2) and a sticky flag is OR-ed only from
+    updates that pass that guard (D3). The merged rows are checkpointed before
+    the overwrite, so the write never reads the files it replaces. The merge is
+    idempotent, so replaying a micro-batch after a failure (even one that
+    replaced only some buckets) gives the same table."""
     from ..operators.state import sticky_flag
     spark = updates.sparkSession
-    new = f"{path.rstrip('/')}/v-{version or uuid.uuid4().hex}"
-    cur = current_version(spark, path)
-    if cur == new:
-        return new  # this version was already committed
-    merged = updates
-    if cur is not None:
-        old = (spark.read.parquet(cur).withColumnRenamed("last_received_at", "received_at")
-               .withColumn("seq", F.lit(-1).cast("long")))
-        merged = old.unionByName(updates.select(*old.columns))
-    state = latest_state(merged, keys)
+    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+    upd = updates.withColumn("bucket", bucket)
+    merged = upd
+    # (dynamic partition overwrite commits partitions without a _SUCCESS marker)
+    if _exists(spark, path):
+        # the touched bucket numbers: at most `buckets` small integers
+        touched = [r[0] for r in upd.select("bucket").distinct().collect()]
+        old = (spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+               .withColumnRenamed("last_received_at", "received_at").withColumn("seq", F.lit(-1).cast("long")))
+        merged = old.unionByName(upd.select(*old.columns))
+    state = latest_state(merged, [*keys, "bucket"])
     if sticky:
-        state = state.drop(sticky).join(sticky_flag(merged, keys, sticky), keys, "inner")
-    state.drop("seq").withColumnRenamed("received_at", "last_received_at").write.mode("overwrite").parquet(new)
-    _write_pointer(spark, path, new)
-    return new
-
-
-def current_version(spark: SparkSession, path: str) -> str | None:
-    ptr = f"{path.rstrip('/')}/_CURRENT"
-    if not _exists(spark, ptr):
-        return None
-    return spark.read.text(ptr).head()[0]
-
-
-def _write_pointer(spark: SparkSession, path: str, target: str) -> None:
-    spark.createDataFrame([(target,)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path.rstrip('/')}/_CURRENT")
+        state = state.drop(sticky).join(sticky_flag(merged, [*keys, "bucket"], sticky), [*keys, "bucket"], "inner")
+    # one writer per bucket: a bucket folder gets one file per merge
+    out = state.drop("seq").withColumnRenamed("received_at", "last_received_at").repartition("bucket")
+    checkpoint_dir(spark)
+    out = out.checkpoint(eager=True)
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        out.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(current_version(spark, path))
+    return spark.read.parquet(path).drop("bucket")
 
 
 def write_mart(mart: DataFrame, path: str) -> None:
