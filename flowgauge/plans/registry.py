@@ -21,7 +21,7 @@ from . import views as V
 from .params import DEFAULT, Params
 
 
-LAYOUT_VERSION = "6"
+LAYOUT_VERSION = "7"
 
 
 class Domain:
@@ -103,7 +103,8 @@ class Domain:
         with partition pruning on metric_key."""
         path = self._table("metric_daily")
         write_mart(self.mart, path)
-        return self.spark.read.parquet(path)
+        m = self.spark.read.parquet(path)
+        return m.select(*self.mart.columns)
 
 
 QueryFn = Callable[[SparkSession, str], DataFrame]

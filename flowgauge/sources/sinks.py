@@ -99,15 +99,17 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_mart(mart: DataFrame, path: str) -> None:
-    """K3: upsert on (metric_key, scope_id, day): the recomputed window replaces
-    the stored rows of each metric (dynamic partition overwrite by metric_key),
-    so rows that stop being produced disappear too."""
+    """K3: upsert on (metric_key, scope_id, day). The table is partitioned by
+    (metric_key, day) and written with dynamic partition overwrite: each
+    recomputed (metric, day) is replaced as a whole, so rows that stop being
+    produced inside the window disappear, while days outside the recomputed
+    window are kept. Dashboards prune on both partition columns."""
     spark = mart.sparkSession
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        # Cluster by (metric, day) so no single task writes a whole metric.
-        mart.repartition("metric_key", "day").write.mode("overwrite").partitionBy("metric_key").parquet(path)
+        # one writer per (metric, day) partition
+        mart.repartition("metric_key", "day").write.mode("overwrite").partitionBy("metric_key", "day").parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 

@@ -53,11 +53,13 @@ def test_write_state_guard_and_sticky(spark):
 def test_write_mart_replaces_window(spark):
     path = os.path.join(_tmp(), "mart")
     schema = "metric_key string, scope_type string, scope_id string, day date, value double, sample_size long"
-    d = dt.date(2024, 1, 1)
-    K.write_mart(spark.createDataFrame([("m1", "repo", "r1", d, 1.0, 1), ("m2", "repo", "r1", d, 2.0, 2)], schema), path)
-    K.write_mart(spark.createDataFrame([("m1", "repo", "r2", d, 3.0, 3)], schema), path)
-    got = sorted((r["metric_key"], r["scope_id"]) for r in spark.read.parquet(path).collect())
-    assert got == [("m1", "r2"), ("m2", "r1")]
+    d0, d1 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    K.write_mart(spark.createDataFrame([("m1", "repo", "r1", d0, 1.0, 1), ("m1", "repo", "r1", d1, 1.0, 1),
+                                        ("m2", "repo", "r1", d1, 2.0, 2)], schema), path)
+    # a recompute of m1 over day 2 only: r1 stopped being produced, r2 appeared
+    K.write_mart(spark.createDataFrame([("m1", "repo", "r2", d1, 3.0, 3)], schema), path)
+    got = sorted((r["metric_key"], str(r["day"]), r["scope_id"]) for r in spark.read.parquet(path).collect())
+    assert got == [("m1", "2024-01-01", "r1"), ("m1", "2024-01-02", "r2"), ("m2", "2024-01-02", "r1")]
 
 
 def test_quarantine_and_csv(spark):
