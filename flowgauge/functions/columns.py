@@ -180,7 +180,7 @@ def dora_tier(metric_key, value, sample_size, window_days: int) -> Column:
 def tier_score(tier) -> Column:
     t = _c(tier)
     return (F.when(t == "Elite", 100).when(t == "High", 75).when(t == "Medium", 50)
-            .when(t == "Low", 25).otherwise(0))
+            .when(t == "Low", 25).otherwise(0)).cast("long")
 
 
 def tool_label(source) -> Column:

@@ -75,4 +75,4 @@ def followed_within(left: DataFrame, right: DataFrame, by: list[str], left_ts: s
                     out: str, within_seconds: int, slot_seconds: int = 3600) -> DataFrame:
     """0/1 flag, 1 when some right row lies in [left_ts, left_ts + within]."""
     j = first_within(left, right, by, left_ts, right_ts, "_fw_match", within_seconds, slot_seconds)
-    return j.withColumn(out, F.col("_fw_match").isNotNull().cast("int")).drop("_fw_match")
+    return j.withColumn(out, F.col("_fw_match").isNotNull().cast("long")).drop("_fw_match")

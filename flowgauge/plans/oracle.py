@@ -102,7 +102,7 @@ FROM (SELECT pr_id, repo, merged_at FROM bench_prs WHERE merged_at IS NOT NULL A
 
 def followed_within_sql(p: Params = P.DEFAULT) -> str:
     body = f"""
-SELECT r.run_id, CASE WHEN EXISTS (SELECT 1 FROM m_remed x WHERE x.repo = r.repo AND x.ts >= r.ts
-                                     AND x.ts <= r.ts + INTERVAL {p.within_hours} HOUR) THEN 1 ELSE 0 END AS followed
+SELECT r.run_id, CAST(CASE WHEN EXISTS (SELECT 1 FROM m_remed x WHERE x.repo = r.repo AND x.ts >= r.ts
+                                     AND x.ts <= r.ts + INTERVAL {p.within_hours} HOUR) THEN 1 ELSE 0 END AS BIGINT) AS followed
 FROM bench_runs r WHERE r.conclusion = 'success'"""
     return with_views(body, "bench_runs", "bench_prs", "bench_team_repo", extra=metric_ctes(p))

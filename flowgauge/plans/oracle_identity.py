@@ -77,7 +77,7 @@ _VIEWS = ("bench_prs", "bench_reviews", "bench_issues", "bench_app_users", "benc
 def aliases_sql() -> str:
     body = """
 SELECT f.contributor_id, k.source, k.source_user_id, k.name, k.email,
-       CASE WHEN k.source = f.fs AND k.source_user_id = f.fu THEN 1.00 ELSE 0.90 END AS match_confidence
+       CAST(CASE WHEN k.source = f.fs AND k.source_user_id = f.fu THEN 1.00 ELSE 0.90 END AS DOUBLE) AS match_confidence
 FROM keyed k JOIN founders f ON f.k = k.k"""
     return with_views(body, *_VIEWS, extra=RESOLVED)
 
