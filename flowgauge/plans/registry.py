@@ -320,10 +320,12 @@ register("stream_connector_activity", OS.connector_activity_sql())(
 
 # --- J1/J3 and A12 as standalone queries ------------------------------------------
 from ..operators import asof as AS  # noqa: E402
+from ..operators.filters import in_window  # noqa: E402
 
 register("first_event_after", O.first_event_after_sql())(
-    lambda d: AS.first_at_or_after(M.merged_in_window(d.prs, d.p).join(
-        d.prs.select("repo", "pr_id", "created_at", "merged_at"), ["repo", "created_at", "merged_at"], "inner"),
+    lambda d: AS.first_at_or_after(
+        d.prs.filter(F.col("merged_at").isNotNull() & in_window("merged_at", d.p.as_of, d.p.days))
+        .select("repo", "pr_id", "merged_at"),
         M.deploys(d.runs, d.p), ["repo"], "merged_at", "ts", "deploy_ts", d.p.asof_slot_seconds)
     .select("pr_id", "deploy_ts"))
 register("followed_within", O.followed_within_sql())(
