@@ -13,6 +13,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.state import NATURAL_KEY, dedup_events, latest_state
 from ..session import checkpoint_dir
@@ -76,7 +77,10 @@ def write_state(updates: DataFrame, keys: list[str], path: str, sticky: str | No
     if _exists(spark, path):
         # the touched bucket numbers: at most `buckets` small integers
         touched = [r[0] for r in upd.select("bucket").distinct().collect()]
-        old = (spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+        # explicit schema: a table whose earlier batches had no rows is a bare folder
+        stored = T.StructType([T.StructField("last_received_at" if f.name == "received_at" else f.name, f.dataType)
+                               for f in upd.schema.fields if f.name != "seq"])
+        old = (spark.read.schema(stored).parquet(path).filter(F.col("bucket").isin(touched))
                .withColumnRenamed("last_received_at", "received_at").withColumn("seq", F.lit(-1).cast("long")))
         merged = old.unionByName(upd.select(*old.columns))
     state = latest_state(merged, [*keys, "bucket"])
