@@ -31,11 +31,13 @@ _SHIFTS = (42, 21, 0)
 def grouped_percentile(df: DataFrame, keys: list[str], value: str | Column, p: float = 0.5,
                        out: str = "value", count_out: str | None = "sample_size",
                        group_limit: int = 1_000_000, scale: float | None = None,
+                       nonnull_out: str | None = None,
                        storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Return ``keys + [out, count_out]``.
 
     ``value`` must be integral (it is cast to LONG); ``scale`` divides the result
-    (e.g. microseconds -> hours). ``count_out`` is the group's row count, nulls
+    (e.g. microseconds -> hours). ``nonnull_out`` names an optional count of
+    the non-null values. ``count_out`` is the group's row count, nulls
     included, like ``count(*)``. All-null groups get a null percentile.
 
     The (key, value) pairs are persisted once; one small job counts the groups
@@ -50,20 +52,23 @@ def grouped_percentile(df: DataFrame, keys: list[str], value: str | Column, p: f
     hot = counts.filter(F.col("_n") > group_limit).select(*keys, "_n")
     if hot.isEmpty():
         res = base.groupBy(*keys).agg(F.percentile(F.col(_V), F.lit(p)).alias("_q"),
-                                      F.count(F.lit(1)).alias("_n_all"))
+                                      F.count(F.lit(1)).alias("_n_all"), F.count(_V).alias("_n"))
     else:
         hot = F.broadcast(hot)
         small = (base.join(hot.select(*keys), keys, "left_anti")
                  .groupBy(*keys)
-                 .agg(F.percentile(F.col(_V), F.lit(p)).alias("_q"), F.count(F.lit(1)).alias("_n_all")))
+                 .agg(F.percentile(F.col(_V), F.lit(p)).alias("_q"), F.count(F.lit(1)).alias("_n_all"),
+                      F.count(_V).alias("_n")))
         vals = base.filter(F.col(_V).isNotNull()).join(hot.select(*keys), keys, "left_semi")
         big = (_radix_percentile(vals, hot, keys, p)
-               .join(counts.select(*keys, "_n_all"), keys, "inner"))
-        res = small.unionByName(big.select(*keys, "_q", "_n_all"))
+               .join(counts.select(*keys, "_n_all", "_n"), keys, "inner"))
+        res = small.unionByName(big.select(*keys, "_q", "_n_all", "_n"))
     q = F.col("_q") / F.lit(scale) if scale else F.col("_q")
     cols = [*keys, q.alias(out)]
     if count_out:
         cols.append(F.col("_n_all").alias(count_out))
+    if nonnull_out:
+        cols.append(F.col("_n").alias(nonnull_out))
     return res.select(*cols)
 
 

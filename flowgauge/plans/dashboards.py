@@ -123,11 +123,10 @@ def cycle_stages(prs: DataFrame, reviews: DataFrame, team_repo: DataFrame, p: Pa
         F.struct(F.lit(STAGES[1]).alias("stage"), F.when(frv.isNotNull(), C.micros(frv, fa)).alias("us")),
         F.struct(F.lit(STAGES[2]).alias("stage"), C.micros(fa, "merged_at").alias("us")))
     long_form = j.select(F.inline(stages))
-    med = grouped_percentile(long_form, ["stage"], "us", 0.5, out="h", count_out=None,
+    med = grouped_percentile(long_form, ["stage"], "us", 0.5, out="h", count_out=None, nonnull_out="prs",
                              group_limit=p.median_group_limit, scale=3.6e9)
-    n = long_form.groupBy("stage").agg(F.count("us").alias("prs"))
     names = _lit_table(prs.sparkSession, [(s, i) for i, s in enumerate(STAGES)], "stage string, ord int")
-    return (names.join(med, "stage", "left").join(n, "stage", "left")
+    return (names.join(med, "stage", "left")
             .select("stage", F.round("h", 1).alias("hours_p50"),
                     F.coalesce(F.col("prs"), F.lit(0)).cast("long").alias("prs")))
 
