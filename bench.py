@@ -2,8 +2,10 @@
 
 Runs on ``local[$BENCH_CPUS]`` over ``$BENCH_SF_DIR`` (default sf0.1) and prints
 one JSON line: total seconds plus seconds per query. Each query is executed in
-full with the ``noop`` sink (every row computed, nothing collected), after one
-warm-up pass of the flagship query so JVM start-up is not counted.
+full with the ``noop`` sink (every row computed, nothing collected) twice; the
+headline numbers are the second (steady-state) runs, the first (cold) runs are
+reported beside them. Landing the raw event table and recomputing the mart are
+timed apart as ``setup``.
 """
 from __future__ import annotations
 
@@ -56,14 +58,19 @@ def main() -> None:
     setup["recompute_and_write_mart"] = round(time.perf_counter() - t0, 3)
     QUERIES[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     times = {}
+    cold = {}
     for name in names:
-        t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
-        spark.catalog.clearCache()
+        # first run: cold (plan build, JIT, file listing); second run: steady
+        # state, as a dashboard serving repeated requests sees it. Both kept.
+        for attempt in (0, 1):
+            t0 = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            (cold if attempt == 0 else times)[name] = round(time.perf_counter() - t0, 3)
+            spark.catalog.clearCache()
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "setup": setup,
+                      "queries": times, "cold_total": round(sum(cold.values()), 3), "cold_queries": cold,
+                      "setup": setup,
                       "sf": float(sf) if sf.replace(".", "").isdigit() else sf, "cpus": cpus}))
     spark.stop()
 
