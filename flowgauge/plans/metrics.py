@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import first_at_or_after, first_within
 from ..operators.filters import in_window, name_matches
-from ..operators.rollup import additive_rollup, median_rollup, micros_between
+from ..operators.rollup import additive_rollup, medians_rollup, micros_between
 from . import params as P
 from .params import Params
 
@@ -50,20 +50,30 @@ def pr_velocity(prs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT) ->
     return additive_rollup(m, team_repo, P.MK_VELOCITY, {"n": F.count(F.lit(1))}, F.col("n"), F.col("n"))
 
 
+def cycle_values(prs: DataFrame, p: Params) -> DataFrame:
+    m = merged_in_window(prs, p).withColumn("day", F.to_date("merged_at"))
+    return m.select(F.lit(P.MK_CYCLE).alias("metric_key"), "repo", "day",
+                    micros_between("created_at", "merged_at").alias("_us"))
+
+
 def pr_cycle_time(prs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
     """Q6: median created -> merged hours per merge day."""
-    m = merged_in_window(prs, p).withColumn("day", F.to_date("merged_at"))
-    return median_rollup(m, team_repo, P.MK_CYCLE, micros_between("created_at", "merged_at"), p.median_group_limit)
+    return medians_rollup(cycle_values(prs, p), team_repo, p.median_group_limit)
+
+
+def lead_values(runs: DataFrame, prs: DataFrame, p: Params) -> DataFrame:
+    linked = first_at_or_after(merged_in_window(prs, p), deploys(runs, p), ["repo"], "merged_at", "ts",
+                               "deploy_ts", p.asof_slot_seconds)
+    lt = linked.filter(F.col("deploy_ts").isNotNull()).withColumn("day", F.to_date("deploy_ts"))
+    return lt.select(F.lit(P.MK_LEAD_TIME).alias("metric_key"), "repo", "day",
+                     micros_between("created_at", "deploy_ts").alias("_us"))
 
 
 def lead_time(runs: DataFrame, prs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
     """Q2: for each PR merged in the window, the first (windowed) deploy of the
     same repo at or after the merge; hours from PR *creation* to that deploy,
     booked on the deploy's day. Undeployed PRs are dropped."""
-    linked = first_at_or_after(merged_in_window(prs, p), deploys(runs, p), ["repo"], "merged_at", "ts",
-                               "deploy_ts", p.asof_slot_seconds)
-    lt = linked.filter(F.col("deploy_ts").isNotNull()).withColumn("day", F.to_date("deploy_ts"))
-    return median_rollup(lt, team_repo, P.MK_LEAD_TIME, micros_between("created_at", "deploy_ts"), p.median_group_limit)
+    return medians_rollup(lead_values(runs, prs, p), team_repo, p.median_group_limit)
 
 
 def deploys_with_restore(runs: DataFrame, p: Params) -> DataFrame:
@@ -81,11 +91,15 @@ def change_failure_rate(runs: DataFrame, team_repo: DataFrame, p: Params = P.DEF
                            F.col("f").cast("double") / F.col("n"), F.col("n"))
 
 
+def mttr_values(marked: DataFrame) -> DataFrame:
+    f = marked.filter(F.col("restore_ts").isNotNull())
+    return f.select(F.lit(P.MK_MTTR).alias("metric_key"), "repo", "day", micros_between("ts", "restore_ts").alias("_us"))
+
+
 def mttr(runs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT, marked: DataFrame | None = None) -> DataFrame:
     """Q4: median deploy -> first remediation hours (<= 48 h), deploy's day."""
     m = marked if marked is not None else deploys_with_restore(runs, p)
-    f = m.filter(F.col("restore_ts").isNotNull())
-    return median_rollup(f, team_repo, P.MK_MTTR, micros_between("ts", "restore_ts"), p.median_group_limit)
+    return medians_rollup(mttr_values(m), team_repo, p.median_group_limit)
 
 
 def build_mart(runs: DataFrame, prs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
@@ -93,13 +107,14 @@ def build_mart(runs: DataFrame, prs: DataFrame, team_repo: DataFrame, p: Params
     ``computed_at`` (= ``as_of``). The J2 result is shared by Q3 and Q4 as one
     subtree, so Spark's exchange reuse computes it once."""
     marked = deploys_with_restore(runs, p)
+    # the three median metrics share one fan-out, hot-group check and aggregate
+    medians = medians_rollup(lead_values(runs, prs, p).unionByName(mttr_values(marked))
+                             .unionByName(cycle_values(prs, p)), team_repo, p.median_group_limit)
     parts = [
         deployment_frequency(runs, team_repo, p),
-        lead_time(runs, prs, team_repo, p),
         change_failure_rate(runs, team_repo, p, marked),
-        mttr(runs, team_repo, p, marked),
         pr_velocity(prs, team_repo, p),
-        pr_cycle_time(prs, team_repo, p),
+        medians,
     ]
     u = parts[0]
     for x in parts[1:]:
