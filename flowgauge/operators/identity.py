@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .extract import TEAM, _ddl_to_struct_fields
+from .extract import TEAM
 from .state import latest_state
 
 EMAIL_MATCH_CONFIDENCE = 0.90
@@ -166,4 +166,4 @@ def bot_filter(df: DataFrame, contributors: DataFrame, id_col: str = "contributo
 
 
 __all__ = ["observe_identities", "team_member_observations", "resolve_identities", "parse_team_snapshots",
-           "import_teams", "manual_teams", "bot_filter", "_ddl_to_struct_fields"]
+           "import_teams", "manual_teams", "bot_filter"]
