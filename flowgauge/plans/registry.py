@@ -376,3 +376,18 @@ register("aging_prs_total_filtered", OD.aging_total_sql(DEFAULT, size=15, repo_f
     lambda d: D.aging_prs_total(d.prs, d.team_repo, d.p, repo_filter="repo-1", size=15))
 register("investment_breakdown_team", OD.breakdown_sql(_TEAM0))(
     lambda d: D.investment_breakdown(D.classify(d.prs, d.issues, d.team_repo, _TEAM0)))
+
+# --- K5: cockpit report export, read back ------------------------------------------
+from ..sources.sinks import export_report_csv  # noqa: E402
+
+_TILE_CSV = "metric_key string, label string, unit string, aggregation string, value double, sample_size long"
+
+
+def _exported_report(d: Domain) -> DataFrame:
+    folder = d._table("report_csv")
+    tiles = D.cockpit_tiles(d.stored_mart, d.p)
+    export_report_csv(tiles, D.cockpit_series(d.stored_mart, d.p), folder)
+    return d.spark.read.schema(_TILE_CSV).option("header", True).option("escape", '"').csv(folder + "/summary")
+
+
+register("export_report_csv", OD.report_csv_sql())(_exported_report)
