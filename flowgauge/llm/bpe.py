@@ -2,8 +2,9 @@
 
 A rolling hash over the last ``WINDOW`` bytes cuts every text where the hash has
 ``CUT_BITS`` zero bits, so equal passages fall into equal chunks wherever they
-stand. A worker encodes each distinct chunk once and reuses its ids and token
-strings for all documents it meets (the store is emptied when it has grown to
+stand. A worker encodes each distinct chunk once and reuses its ids for
+all documents it meets; inside a new chunk, words met before are reused as well
+(the store forgets what was not used lately when it has grown to
 ``STORE_BYTES``, which changes no result). A cut may fall inside a word, so
 each chunk keeps the bytes before its first and after its last ASCII white space
 aside; at a chunk join those ends are put together and re-encoded as one piece,
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 from flowgauge.llm.common import documents_of
 
 WINDOW = 8
-CUT_BITS = 7
-STORE_BYTES = 96 << 20
+CUT_BITS = 8
+#: Bound of the store of a worker process (chunks and words, two generations each).
+STORE_BYTES = 256 << 20
 BATCH_CHARS = 4 << 20
+CALL_WORDS = 20_000
 RESULT = "n_tokens long, ids string, decoded string, ids_sha256 string, decoded_sha256 string"
 
 _SPACE = re.compile(rb"[\t\n\r ]")
@@ -50,23 +53,33 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return ends[(ends < len(data)) & (ends >= WINDOW)]
 
 
-class Piece:
-    """Encoded bytes: number of tokens, ids and token strings ready to be joined."""
-
-    __slots__ = ("n", "ids", "tokens")
-
-    def __init__(self, n: int, ids: bytes, tokens: bytes):
-        self.n, self.ids, self.tokens = n, ids, tokens
-
-
-NOTHING = Piece(0, b"", b"")
-
-
-def _merged(pieces: list[Piece]) -> Piece:
-    pieces = [p for p in pieces if p.n]
-    if len(pieces) == 1:
-        return pieces[0]
-    return Piece(sum(p.n for p in pieces), b" ".join([p.ids for p in pieces]), b" ".join([p.tokens for p in pieces]))
+class Store(dict):
+    """Encoded bytes by text; keeps what was used lately in two generations of bounded size."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held, self.older = limit, 0, {}
+
+    def lacks(self, keys) -> list[bytes]:
+        """Keys that neither generation has; those of the older one come forward."""
+        older, missing = self.older, []
+        for k in keys:
+            if k not in self:
+                if k in older:
+                    self[k] = older.pop(k)
+                else:
+                    missing.append(k)
+        return missing
+
+    def put(self, key: bytes, value, size: int) -> None:
+        self[key] = value
+        self.held += size
+
+    def age(self) -> None:
+        """Called between groups of texts, when nothing is half done."""
+        if self.held > self.limit:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
 
 
 class ChunkEncoder:
@@ -79,22 +92,24 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.names = [self.tokenizer.id_to_token(k) for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.chunks: dict[bytes, tuple[bytes, Piece | None, bytes]] = {}
-        self.words: dict[bytes, Piece] = {}
-        self.held = 0
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+        self.names = [self.tokenizer.id_to_token(k) or "" for k in range(size)]
+        self.numbers = [str(k) for k in range(size)]
+        self.chunks, self.words = Store(STORE_BYTES // 4), Store(STORE_BYTES // 4)
 
     def _learn_words(self, words: set[bytes]) -> None:
-        """Encode words that the store lacks, all in one call of the library."""
-        missing = [w for w in words if w not in self.words]
-        if not missing:
-            return
-        texts = [w.decode("utf-8", "surrogatepass") for w in missing]
-        for word, found in zip(missing, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = found.ids
-            piece = Piece(len(ids), " ".join(map(str, ids)).encode(), " ".join([self.names[i] for i in ids]).encode()) if ids else NOTHING
-            self.words[word] = piece
-            self.held += 400 + len(word) + len(piece.ids) + len(piece.tokens)
+        """Encode words that the store lacks, many to a call of the library."""
+        missing = self.words.lacks(words)
+        for start in range(0, len(missing), CALL_WORDS):
+            part = missing[start : start + CALL_WORDS]
+            found = self.tokenizer.encode([w.decode("utf-8", "surrogatepass") for w in part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.kind).tobytes()
+            ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part)), side="right") * self.kind.itemsize
+            at = 0
+            for word, end in zip(part, ends.tolist(), strict=True):
+                self.words.put(word, ids[at:end], 200 + len(word))
+                at = end
 
     @staticmethod
     def _ends(chunk: bytes) -> tuple[int, int]:
@@ -104,60 +119,61 @@ class ChunkEncoder:
             return -1, -1
         return first.start(), max(chunk.rfind(c) for c in (b" ", b"\n", b"\t", b"\r")) + 1
 
-    def encode(self, texts: list[str]) -> list[Piece]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
         cut_texts = []
         fresh: dict[bytes, None] = {}
         for text in texts:
             data = text.encode("utf-8", "surrogatepass")
-            if not data:
-                cut_texts.append([])
-                continue
-            bounds = [0, *cuts(np.frombuffer(data, dtype=np.uint8)).tolist(), len(data)]
+            bounds = [0, *cuts(np.frombuffer(data, dtype=np.uint8)).tolist(), len(data)] if data else [0]
             chunks = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
             cut_texts.append(chunks)
-            for c in chunks:
-                if c not in self.chunks:
-                    fresh[c] = None
-        # Words inside fresh chunks, then the ends that meet at joins: two calls of the library.
+            fresh.update(dict.fromkeys(chunks))
+        # Words inside fresh chunks, then the ends that meet at joins.
         words: set[bytes] = set()
-        split: dict[bytes, tuple[bytes, list[bytes] | None, bytes]] = {}
-        for c in fresh:
+        split = []
+        for c in self.chunks.lacks(fresh):
             head, tail = self._ends(c)
             inner = None if head < 0 else c[head:tail].split()
-            split[c] = (c, None, b"") if inner is None else (c[:head], inner, c[tail:])
+            split.append((c, head, inner, tail))
             words.update(inner or ())
         self._learn_words(words)
-        for c, (head, inner, tail) in split.items():
-            piece = None if inner is None else _merged([self.words[w] for w in inner])
-            self.chunks[c] = (head, piece, tail)
-            self.held += 300 + 2 * len(c) + (len(piece.ids) + len(piece.tokens) if piece else 0)
-        plans: list[list[Piece | bytes]] = []
+        word = self.words.__getitem__
+        for c, head, inner, tail in split:
+            # no white space: the whole chunk is an open end
+            found = (c, None, b"") if inner is None else (c[:head], b"".join(map(word, inner)), c[tail:])
+            self.chunks.put(c, found, 350 + 2 * len(c))
+        plans: list[list[tuple[bool, bytes]]] = []
         joins: set[bytes] = set()
         for chunks in cut_texts:
-            plan: list[Piece | bytes] = []
+            plan: list[tuple[bool, bytes]] = []
             open_end = b""
             for c in chunks:
-                head, piece, tail = self.chunks[c]
+                head, ids, tail = self.chunks[c]
                 open_end += head
-                if piece is None:  # no white space yet: the join reaches into the next chunk
+                if ids is None:  # the join reaches into the next chunk
                     continue
                 if open_end:
-                    plan.append(open_end)
-                plan.append(piece)
+                    plan.append((True, open_end))
+                    joins.add(open_end)
+                plan.append((False, ids))
                 open_end = tail
             if open_end:
-                plan.append(open_end)
+                plan.append((True, open_end))
+                joins.add(open_end)
             plans.append(plan)
-            joins.update(x for x in plan if isinstance(x, bytes))
         # A join holds no space, tab, CR or LF, so it is one word to the store.
         self._learn_words(joins)
-        found = [_merged([self.words[x] if isinstance(x, bytes) else x for x in plan]) for plan in plans]
-        if self.held > STORE_BYTES:
-            self.chunks.clear()
-            self.words.clear()
-            self.held = 0
+        found = [np.frombuffer(b"".join([self.words[x] if is_join else x for is_join, x in plan]), dtype=self.kind) for plan in plans]
+        self.chunks.age()
+        self.words.age()
         return found
 
+    def strings(self, ids: np.ndarray) -> tuple[str, str]:
+        """Decimal ids and token strings, each joined by a space."""
+        plain = ids.tolist()
+        return " ".join([self.numbers[k] for k in plain]), " ".join([self.names[k] for k in plain])
+
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -192,9 +208,10 @@ def encode_column(text, path: str, with_ids: bool = True, with_decoded: bool = T
         work = encoder(path)
         rows = []
         for run in _groups([t if isinstance(t, str) else "" for t in column]):
-            for p in work.encode(run):
-                ids, decoded = p.ids.decode() if with_ids else None, p.tokens.decode() if with_decoded else None
-                rows.append((p.n, ids, decoded, hashlib.sha256(p.ids).hexdigest(), hashlib.sha256(p.tokens).hexdigest()))
+            for found in work.encode(run):
+                ids, decoded = work.strings(found)
+                digests = [hashlib.sha256(x.encode()).hexdigest() for x in (ids, decoded)]
+                rows.append((len(found), ids if with_ids else None, decoded if with_decoded else None, *digests))
         return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
 
     return encode(text)
