@@ -145,7 +145,8 @@ def exact_duplicates(docs: DataFrame, primes: tuple[int, ...] = PRIMES, row_id:
     top = F.max(F.struct("doc_id", "uid")).alias("top")
     groups = stored(prints.groupBy(*KEY).agg(top, F.count("*").alias("n")).where("n > 1").select(*KEY, F.col("top.uid").alias("keep_uid")), "groups")
     bodies = source.mapInArrow(_mapper(primes, True), BODY_SCHEMA)
-    members = stored(bodies.join(groups, KEY), "members")
+    # sorted and merged at every size: both sides are split where a key is hot
+    members = stored(bodies.join(groups.hint("merge"), KEY), "members")
     classes = members.where("uid = keep_uid").select("uid", "keep_uid")
     while True:
         verdict = stored(_compared(members), "verdict")
