@@ -193,15 +193,30 @@ def test_substring_against_brute_force(spark, window):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substring(ROWS, window)
 
 
+def test_word_names_tell_words_apart(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab \n\u000bé") for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["x" * 5000]
+    blobs = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(blobs), dtype=np.uint8)
+    offsets = np.cumsum([0, *map(len, blobs)])
+    words = [b.split() for b in blobs]
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(substring, "BYTES", size)
+        names, bounds = substring.word_names(data, offsets)
+        assert np.diff(bounds).tolist() == [len(w) for w in words]
+        flat = [w for part in words for w in part]
+        assert len(set(zip(flat, names.tolist(), strict=True))) == len(set(flat)) == len(set(names.tolist()))
+
+
 def test_equal_windows_have_equal_symbols():
     """The representative of a window depends on its words alone."""
     rng = random.Random(9)
     common = [rng.choice("abc") for _ in range(80)]
     seen = {}
-    known = substring.WordNames(1)
     for _ in range(60):
         words = [rng.choice("abcdef") for _ in range(rng.randint(0, 40))] + common + [rng.choice("abcdef") for _ in range(rng.randint(0, 40))]
-        names = known.of([w.encode() for w in words])
+        data = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+        names, _ = substring.word_names(data, np.array([0, len(data)]))
         symbol, first, n = substring.representatives(names, np.zeros(len(words), dtype=int), np.full(len(words), len(words)), 50)
         for s, f, count in zip(symbol.tolist(), first.tolist(), n.tolist(), strict=True):
             for p in range(f, f + count):
