@@ -39,27 +39,48 @@ _MARK = "\u0001"
 UNITS = "mm|cm|dm|m|km|mg|g|kg|t|ml|cl|l|s|ms|min|h|hr|hrs|hours?|minutes?|seconds?|days?|weeks?|months?|years?|usd|eur|gbp|dollars?|euros?|pounds?|percent|inch|inches|ft|feet|miles?|mph|kmh|kw|kwh|w|v|a|hz|khz|mhz|ghz|kb|mb|gb|tb"
 
 
-def cleaned(text: Column) -> Column:
-    """Tokens with their values, separated by single spaces; names carry a mark."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001\u0002]", " ")
-    named = F.regexp_replace(plain, r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", _MARK)
-    spaced = F.regexp_replace(named, r"(?:[^\p{L}\p{N}" + _MARK + r".,]|[.,](?![0-9])|(?<![0-9])[.,])++", " ")
-    return F.trim(spaced)
+def _if_it_has(text: Column, part: str, changed: Column) -> Column:
+    """``changed`` where the text holds ``part``; a plain search spares most texts the pattern."""
+    return F.when(text.contains(part), changed).otherwise(text)
 
 
-def template(clean: Column) -> Column:
+def cleaned(text: Column, digits: Column) -> Column:
+    """Tokens with their values, separated by spaces; names carry a mark."""
+    named = F.regexp_replace(text, r" (?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", " " + _MARK)
+    numbers = r"(?:[^\p{L}\p{N}" + _MARK + r".,]|[.,](?![0-9])|(?<![0-9])[.,])++"
+    plain = r"[^\p{L}\p{N}" + _MARK + "]+"
+    return F.trim(F.when(digits, F.regexp_replace(named, numbers, " ")).otherwise(F.regexp_replace(named, plain, " ")))
+
+
+def template(clean: Column, digits: Column) -> Column:
     """The tokens of ``clean`` with placeholders for names, numbers and units, one for one."""
-    t = F.regexp_replace(clean, _MARK + r"[\p{L}\p{N}.,]++", NAME)
-    t = F.lower(t)
-    t = F.regexp_replace(t, r"(?<![^ ])[0-9][0-9.,]*+(?![^ ])", NUMBER)
-    t = F.regexp_replace(t, r"(?<![^ ])[0-9][0-9.,]*+(?:" + UNITS + r")(?![^ ])", QUANTITY)
-    return F.regexp_replace(t, "(?<=" + NUMBER + " )(?:" + UNITS + ")(?![^ ])", UNIT)
+    t = F.lower(_if_it_has(clean, _MARK, F.regexp_replace(clean, _MARK + r"[\p{L}\p{N}.,]++", NAME)))
+    n = F.regexp_replace(t, r"(?<![^ ])[0-9][0-9.,]*+(?![^ ])", NUMBER)
+    n = F.regexp_replace(n, r"(?<![^ ])[0-9][0-9.,]*+(?:" + UNITS + r")(?![^ ])", QUANTITY)
+    n = F.regexp_replace(n, "(?<=" + NUMBER + " )(?:" + UNITS + ")(?![^ ])", UNIT)
+    return F.when(digits, n).otherwise(t)
+
+
+def _once(rows: DataFrame, drop: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row: a one-row ``inline`` keeps later
+    filters and projections from repeating the patterns below it."""
+    kept = [c for c in rows.columns if c not in drop]
+    return rows.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def tokenised(rows: DataFrame) -> DataFrame:
-    """Adds ``values`` and ``tokens``, two arrays of equal length; empty texts go."""
-    clean = rows.withColumn("clean", cleaned(F.col("text"))).where("clean != ''")
-    return clean.withColumn("tokens", F.split(template(F.col("clean")), " ")).withColumn("values", F.split("clean", " ")).drop("text", "clean")
+    """Adds ``values`` and ``tokens``, two arrays of equal length (one empty token for an empty text)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    for sign in ("\u0001", "\u0002"):
+        text = _if_it_has(text, sign, F.replace(text, F.lit(sign), F.lit(" ")))
+    digits = F.col("digits")
+    rows = _once(rows.withColumn("text", text), digits=F.col("text").rlike("[0-9]"))
+    rows = _once(rows, ("text",), clean=cleaned(F.col("text"), digits))
+    rows = _once(rows, ("digits",), filled=template(F.col("clean"), digits))
+    rows = _once(rows, tokens=F.split("filled", " "))
+    # without a placeholder no value is ever looked at
+    values = F.when(F.col("filled").contains("\u0002"), F.split("clean", " ")).otherwise(F.col("tokens"))
+    return _once(rows, ("clean", "filled"), values=values)
 
 
 def windows(rows: DataFrame, length: int) -> DataFrame:
@@ -77,7 +98,7 @@ def _sliced(rows: DataFrame, length: int, prefix: str) -> DataFrame:
 def item_windows(benchmark: DataFrame, window: int, literals: int) -> DataFrame:
     """(item_id, n_windows, length, item_at, h, item_tokens, item_values) of all items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = tokenised(with_row_id(items, "item_row"))
+    items = tokenised(with_row_id(items, "item_row")).where("tokens[0] != ''")
     parts = []
     for length in range(1, window + 1):
         own = items.where(F.size("tokens") == length) if length < window else items.where(F.size("tokens") >= window)
