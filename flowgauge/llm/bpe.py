@@ -22,10 +22,11 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ from flowgauge.llm.common import documents_of
 WINDOW = 8
 CUT_BITS = 8
 #: Bound of the store of a worker process (chunks and words, two generations each).
-STORE_BYTES = 256 << 20
-BATCH_CHARS = 4 << 20
+STORE_BYTES = 128 << 20
+BATCH_CHARS = 2 << 20
 CALL_WORDS = 20_000
 RESULT = "n_tokens long, ids string, decoded string, ids_sha256 string, decoded_sha256 string"
 
@@ -184,7 +185,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
+def _groups(texts: Iterable[str]) -> Iterator[list[str]]:
     """Runs of texts of about ``BATCH_CHARS``, to bound memory whatever the Arrow batch holds."""
     run, size = [], 0
     for t in texts:
@@ -197,33 +198,29 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-def encode_column(text, path: str, with_ids: bool = True, with_decoded: bool = True):
-    """Struct column (n_tokens, ids, decoded, ids_sha256, decoded_sha256) of a text column.
-
-    Without ``with_ids`` or ``with_decoded`` those strings stay null.
-    """
-
-    @F.pandas_udf(RESULT)
-    def encode(column: pd.Series) -> pd.DataFrame:
-        work = encoder(path)
-        rows = []
-        for run in _groups([t if isinstance(t, str) else "" for t in column]):
-            for found in work.encode(run):
-                ids, decoded = work.strings(found)
-                digests = [hashlib.sha256(x.encode()).hexdigest() for x in (ids, decoded)]
-                rows.append((len(found), ids if with_ids else None, decoded if with_decoded else None, *digests))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
-
-    return encode(text)
-
-
 def encode(docs: DataFrame, path: str, with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded, ids_sha256, decoded_sha256), one row per row of ``docs``.
 
-    ``ids`` are decimal, joined by one space; other columns of ``docs`` are ignored.
+    ``ids`` are decimal, joined by one space; without ``with_ids`` or
+    ``with_decoded`` those strings stay null. Other columns of ``docs`` are
+    ignored. Results leave the worker by groups of texts, not by Arrow batches.
     """
-    coded = documents_of(docs).select("doc_id", encode_column(F.col("text"), path, with_ids, with_decoded).alias("coded"))
-    return coded.select("doc_id", "coded.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = encoder(path)
+        for batch in batches:
+            start = 0
+            for texts in _groups(t.as_py() or "" for t in batch.column("text")):
+                rows = []
+                for found in work.encode(texts):
+                    ids, decoded = (x.encode() for x in work.strings(found))
+                    rows.append((len(found), ids if with_ids else None, decoded if with_decoded else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string()), strict=True)]
+                columns[1:3] = [c.cast(pa.string()) for c in columns[1:3]]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(rows)), *columns], names=["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+                start += len(rows)
+
+    return documents_of(docs).mapInArrow(run, "doc_id long, " + RESULT)
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
