@@ -212,7 +212,8 @@ _USAGE_COLS = ["source", "actor_key", "day", "sessions", "loc_added", "loc_remov
 
 def extract_usage_metered(events: DataFrame) -> DataFrame:
     """Per-day metered usage; tokens and cost summed over the model
-    breakdown (null cost -> 0), accepted/rejected summed over every tool."""
+    breakdown (null cost -> 0; unrounded, reports round), accepted/rejected
+    summed over every tool."""
     u = _parsed(events, u=F.from_json(F.col("payload"), METERED)).filter(
         F.col("u.actor.email_address").isNotNull() & F.col("u.date").isNotNull())
     mb = F.coalesce(F.col("u.model_breakdown"), F.array())
@@ -225,10 +226,10 @@ def extract_usage_metered(events: DataFrame) -> DataFrame:
         F.col("u.core_metrics.lines_of_code.removed").cast("long").alias("loc_removed"),
         F.col("u.core_metrics.commits_by_claude_code").cast("long").alias("commits"),
         F.col("u.core_metrics.pull_requests_by_claude_code").cast("long").alias("prs"),
-        F.aggregate(mb, F.lit(0).cast("decimal(38,2)"),
-                    lambda acc, m: (acc + F.coalesce(m["estimated_cost"]["amount"].cast("decimal(18,2)"),
-                                                     F.lit(0).cast("decimal(18,2)"))).cast("decimal(38,2)"))
-        .cast("decimal(18,2)").alias("cost_usd"),
+        F.aggregate(mb, F.lit(0).cast("decimal(38,10)"),
+                    lambda acc, m: (acc + F.coalesce(m["estimated_cost"]["amount"].cast("decimal(28,10)"),
+                                                     F.lit(0).cast("decimal(28,10)"))).cast("decimal(38,10)"))
+        .alias("cost_usd"),
         F.aggregate(mb, F.lit(0).cast("long"), lambda acc, m: acc + F.coalesce(m["tokens"]["input"], F.lit(0))).alias("tokens_input"),
         F.aggregate(mb, F.lit(0).cast("long"), lambda acc, m: acc + F.coalesce(m["tokens"]["output"], F.lit(0))).alias("tokens_output"),
         F.lit(None).cast("long").alias("prompts"), F.lit(None).cast("long").alias("requests"),

@@ -155,7 +155,7 @@ def aging_prs_page(prs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT,
     desc = sort_dir.lower() != "asc"
     if key == "repo":
         order = [F.col("repo").desc() if desc else F.col("repo").asc(), F.col("created_at").asc()]
-    else:  # "age" and the not-yet-backed "size" both order by age
+    else:  # no line counts are stored, so "size" falls back to age
         order = [F.col("created_at").asc() if desc else F.col("created_at").desc()]
     order += [F.col("repo").asc(), F.col("number").asc()]
     as_of = F.lit(p.as_of).cast("timestamp")
@@ -329,7 +329,7 @@ def ai_roi(impact: DataFrame, kpis: DataFrame, p: Params = P.DEFAULT) -> DataFra
         *[F.max(c).alias(c) for c in ("a", "o", "n", "ok", "spend")])
     delta = (F.col("o").cast("decimal(20,1)") - F.col("a").cast("decimal(20,1)"))
     hours = F.round(delta * F.col("n").cast("decimal(20,0)"), 1)
-    value = F.round(hours * F.lit(p.hourly_rate).cast("decimal(10,0)"), 2)
+    value = F.round(hours * F.lit(p.hourly_rate).cast("decimal(18,4)"), 2)
     spend_c = (F.col("spend").cast("decimal(28,2)") * 100).cast("long")
     value_c = (value * 100).cast("long")
     sign = F.when(value_c < 0, -1).otherwise(1)
