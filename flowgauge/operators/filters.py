@@ -7,7 +7,6 @@ post-scan filters, which is expected).
 from __future__ import annotations
 
 import datetime as dt
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,12 +53,10 @@ def clamp(value: int, lo: int, hi: int) -> int:
     return max(lo, min(hi, int(value)))
 
 
-# A scope naming a team: a UUID (stored teams) or a "team-<n>" id.
-TEAM_ID_PATTERN = r"^(team-[0-9]+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})$"
-
-
 def is_team_scope(scope: str | None) -> bool:
-    return bool(scope) and re.match(TEAM_ID_PATTERN, scope) is not None
+    """Repositories are named ``owner/name``; every team id (stored, imported as
+    ``<source>:<id>``, manual as ``manual:<slug>``) has no slash."""
+    return bool(scope) and bool(scope.strip()) and scope != "*" and "/" not in scope
 
 
 def scope_repos(df: DataFrame, scope: str | None, team_repo: DataFrame, repo_col: str = "repo") -> DataFrame:

@@ -81,23 +81,25 @@ def observe_identities(events: DataFrame) -> DataFrame:
              .when(src == "jira", F.array(jira_user(jfields["assignee"]), jira_user(jfields["reporter"]),
                                           jira_user(jira["user"]))))
     rel = events.filter(src.isin("github", "jira"))
-    return (rel.select(F.explode(F.filter(F.coalesce(found, F.array().cast(f"array<{OBS}>")), lambda o: o.isNotNull()))
-                       .alias("o"), "seq")
-            .select("o.*", "seq"))
+    return (rel.select(F.posexplode(F.filter(F.coalesce(found, F.array().cast(f"array<{OBS}>")), lambda o: o.isNotNull()))
+                       .alias("pos", "o"), "seq")
+            .select("o.*", "seq", "pos"))
 
 
 def team_member_observations(teams: DataFrame) -> DataFrame:
     """Team import resolves every member as an observation with no email."""
-    return teams.select(F.explode("members").alias("m"), "seq").select(
+    return teams.select(F.posexplode("members").alias("pos", "m"), "seq").select(
         F.lit("github").alias("source"), F.col("m.id").alias("source_user_id"), F.col("m.login").alias("name"),
-        F.lit(None).cast("string").alias("email"), "seq")
+        F.lit(None).cast("string").alias("email"), "seq", "pos")
 
 
 def resolve_identities(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """I2 (+I5 flag): ``(contributors, aliases)`` from observations in
-    ``seq`` order; see the module doc for why this equals the serial loop."""
+    ``(seq, pos)`` order, ``pos`` being the place inside an envelope (0 if
+    absent); see the module doc for why this equals the serial loop."""
+    place = F.struct("seq", F.col("pos") if "pos" in obs.columns else F.lit(0).alias("pos"))
     first = obs.groupBy("source", "source_user_id").agg(
-        F.min_by(F.struct("name", "email"), "seq").alias("_f"), F.min("seq").alias("first_seq"))
+        F.min_by(F.struct("name", "email"), place).alias("_f"), F.min(place).alias("first_seq"))
     first = first.select("source", "source_user_id", F.col("_f.name").alias("name"),
                          C.normalize_email(F.col("_f.email")).alias("email"), "first_seq")
     alias_key = F.concat_ws(":", "source", "source_user_id")

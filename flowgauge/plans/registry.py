@@ -6,6 +6,7 @@ unions) of the same semantics, used as a correctness oracle.
 """
 from __future__ import annotations
 
+import datetime
 import hashlib
 import os
 from collections.abc import Callable
@@ -102,7 +103,8 @@ class Domain:
         """The mart as dashboards read it: written once (K3), then scanned
         with partition pruning on metric_key."""
         path = self._table("metric_daily")
-        write_mart(self.mart, path)
+        last = self.p.as_of.date()
+        write_mart(self.mart, path, ((self.p.as_of - datetime.timedelta(days=self.p.days)).date(), last))
         m = self.spark.read.parquet(path)
         return m.select(*self.mart.columns)
 
@@ -259,17 +261,17 @@ def _since(d: Domain) -> _dt.datetime:
 
 
 register("land_pull_requests", OSRC.land_prs_sql())(
-    lambda d: SRC.keys(R.land_pull_requests(SRC.pr_pages(d.prs), _since(d), d.p.as_of)))
+    lambda d: SRC.keys(R.land_pull_requests(SRC.pr_pages(d.prs), _since(d), d.p.as_of)[0]))
 register("land_reviews", OSRC.land_reviews_sql())(
-    lambda d: SRC.keys(R.land_reviews(SRC.review_pages(d.reviews), d.p.as_of)))
+    lambda d: SRC.keys(R.land_reviews(SRC.review_pages(d.reviews), d.p.as_of)[0]))
 register("land_commits", OSRC.land_commits_sql())(
-    lambda d: SRC.keys(R.land_commits(SRC.commit_pages(d.prs), d.p.as_of)))
+    lambda d: SRC.keys(R.land_commits(SRC.commit_pages(d.prs), d.p.as_of)[0]))
 register("land_workflow_runs", OSRC.land_runs_sql())(
-    lambda d: SRC.keys(R.land_workflow_runs(SRC.run_pages(d.runs), _since(d), d.p.as_of)))
+    lambda d: SRC.keys(R.land_workflow_runs(SRC.run_pages(d.runs), _since(d), d.p.as_of)[0]))
 register("land_issues", OSRC.land_issues_sql())(
-    lambda d: SRC.keys(R.land_issues(SRC.issue_pages(d.issues), d.p.as_of)))
+    lambda d: SRC.keys(R.land_issues(SRC.issue_pages(d.issues), d.p.as_of)[0]))
 register("land_builds", OSRC.land_builds_sql())(
-    lambda d: SRC.keys(R.land_builds(SRC.build_pages(d.runs), d.p.as_of)))
+    lambda d: SRC.keys(R.land_builds(SRC.build_pages(d.runs), d.p.as_of)[0]))
 register("assemble_team_snapshots", OSRC.team_snapshots_sql())(
     lambda d: SRC.team_snapshot_stats(R.assemble_team_snapshots(
         d.teams.withColumn("slug", F.col("id")),

@@ -5,8 +5,9 @@ webhook bodies) as files; these readers turn them into the common envelope
 ``(source, source_id, event_type, received_at, connector_version, payload,
 seq)``. Everything is a DataFrame scan with an explicit schema; a page or a
 report is exploded into one envelope per record, so no record list is ever
-held by the driver. Records that cannot be keyed are returned separately for
-the quarantine sink, never silently dropped.
+held by the driver. A payload is the record's own JSON text, whole. Records that
+cannot be keyed and pages that cannot be read are returned separately, with
+their text, for the quarantine sink.
 """
 from __future__ import annotations
 
@@ -53,20 +54,39 @@ USAGE_RECORD = ("date string, actor struct<email_address:string>, terminal_type
                 "tool_actions map<string, struct<accepted:int,rejected:int>>")
 
 
+def _elements(pages: DataFrame, schema: str, field: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One row per element of each page: ``record`` is the element's whole JSON
+    text (the payload; nothing is cut to a schema), ``r`` the parsed side struct
+    for keys and filters, ``position`` its place in the page. Second frame:
+    pages that are no such document, with their text."""
+    listed = F.from_json("body", f"struct<{field}:array<string>>" if field else "array<string>")
+    keep = [c for c in pages.columns if c != "body"]
+    opened = pages.select("*", F.inline(F.array(F.struct((listed[field] if field else listed).alias("_list")))))
+    bad = opened.filter(F.col("_list").isNull()).select(F.col("body").alias("record"), F.lit("unreadable page").alias("reason"))
+    rows = opened.select(*keep, F.posexplode("_list").alias("position", "record"))
+    parsed = rows.select("*", F.inline(F.array(F.struct(F.from_json("record", schema).alias("r")))))
+    return parsed, bad
+
+
+def _split(rows: DataFrame, key: Column, bad: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a key, and the bad pages together with the rows without one."""
+    rows = rows.withColumn("_key", key)
+    lost = rows.filter(F.col("_key").isNull()).select("record", F.lit(reason).alias("reason"))
+    return rows.filter(F.col("_key").isNotNull()), bad.unionByName(lost)
+
+
 def read_usage_report(spark: SparkSession, path: str, received_at: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Usage reports, one JSON document ``{"data": [...]}`` per file. One
-    envelope per record; records without an email or a date are returned as the
-    second frame. A report file is one document, so it is parsed by one task;
-    parallelism comes from many report files."""
-    doc = spark.read.option("multiLine", True).schema(f"data array<struct<{_fields(USAGE_RECORD)}>>").json(path)
-    rec = doc.select(F.explode("data").alias("r"))
-    ok = F.col("r.actor.email_address").isNotNull() & F.col("r.date").isNotNull()
+    envelope per record with the record's whole text; records without an email
+    or a date, and files that are no such document, are the second frame. A
+    report file is one document, so it is parsed by one task; parallelism comes
+    from many report files."""
+    doc = spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
+    rows, bad = _elements(doc, f"struct<{_fields(USAGE_RECORD)}>", "data")
     day = F.substring(F.col("r.date"), 1, 10)
-    good = envelope(rec.filter(ok), "claude_code",
-                    F.concat(F.lit("claude_code:"), F.col("r.actor.email_address"), F.lit(":"), day),
-                    "usage.snapshot", F.to_json("r"), received_at)
-    bad = rec.filter(~ok | ok.isNull()).select(F.to_json("r").alias("record"))
-    return good, bad
+    key = F.concat(F.lit("claude_code:"), F.col("r.actor.email_address"), F.lit(":"), day)
+    rows, bad = _split(rows, key, bad, "no email or date")
+    return envelope(rows, "claude_code", F.col("_key"), "usage.snapshot", F.col("record"), received_at), bad
 
 
 SEAT_RECORD = ("user_login string, day string, loc_added_sum int, loc_deleted_sum int, code_acceptance_activity_count int, "
@@ -97,91 +117,87 @@ def _fields(ddl: str) -> str:
 # --------------------------------------------------------------------- S3 ----
 def read_envelopes(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "json"):
     """S3: typed envelope scan (batch or stream). All six fields are required;
-    returns ``(good, bad)`` where ``bad`` carries a reason for the quarantine."""
+    returns ``(good, bad)`` where ``bad`` carries a reason for the quarantine
+    and, for a line that is no JSON, its text in ``record``."""
     reader = spark.readStream if streaming else spark.read
-    df = reader.schema(ENVELOPE).format(fmt).load(path)
+    if fmt == "json":
+        schema = T.StructType([*ENVELOPE.fields, T.StructField("record", T.StringType())])
+        df = reader.schema(schema).option("columnNameOfCorruptRecord", "record").json(path)
+    else:
+        df = reader.schema(ENVELOPE).format(fmt).load(path).withColumn("record", F.lit(None).cast("string"))
     missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED]
-    reason = F.concat_ws(",", *missing)
-    good = df.filter(reason == "")
-    bad = df.filter(reason != "").withColumn("reason", F.concat(F.lit("missing: "), reason))
-    return good, bad
+    lacks = F.concat_ws(",", *missing)
+    reason = F.when(F.col("record").isNotNull(), F.lit("unreadable line")).when(lacks != "", F.concat(F.lit("missing: "), lacks))
+    marked = df.withColumn("reason", reason)
+    good = marked.filter(F.col("reason").isNull()).drop("reason", "record")
+    return good, marked.filter(F.col("reason").isNotNull())
 
 
 # ---------------------------------------------------------------- S4 - S9 ----
-PR_PAGE = ("array<struct<id:bigint, number:bigint, title:string, body:string, state:string, html_url:string, "
-           "created_at:string, updated_at:string, merged_at:string, user:struct<id:bigint,login:string>, "
-           "base:struct<repo:struct<full_name:string>>, labels:array<struct<name:string>>, "
-           "requested_reviewers:array<struct<login:string>>>>")
-REVIEW_PAGE = ("array<struct<id:string, pull_request_url:string, state:string, submitted_at:string, "
-               "user:struct<id:bigint,login:string>>>")
-COMMIT_PAGE = "array<struct<sha:string, author:struct<id:bigint,login:string>, commit:struct<author:struct<name:string,email:string>>>>"
-RUNS_PAGE = ("struct<total_count:bigint, workflow_runs:array<struct<id:bigint, name:string, conclusion:string, "
-             "updated_at:string, repository:struct<full_name:string>>>>")
-ISSUES_PAGE = ("struct<issues:array<struct<key:string, id:string, fields:struct<project:struct<key:string>, "
-               "issuetype:struct<name:string>, status:struct<name:string>, summary:string, "
-               "assignee:struct<accountId:string,displayName:string,emailAddress:string>, created:string, "
-               "resolutiondate:string, updated:string>, changelog:struct<histories:array<struct<items:array<"
-               "struct<field:string,fromString:string,toString:string>>>>>>>>")
-BUILDS_PAGE = ("struct<builds:array<struct<number:bigint, result:string, timestamp:bigint, "
-               "actions:array<struct<_class:string, remoteUrls:array<string>>>>>>")
-
-
-def _explode_page(pages: DataFrame, schema: str, field: str | None = None) -> DataFrame:
-    parsed = F.from_json("body", schema)
-    arr = parsed[field] if field else parsed
-    keep = [c for c in pages.columns if c != "body"]
-    return pages.select(*keep, F.explode(F.coalesce(arr, F.array())).alias("r"))
+# Side structs: only what keys and filters need; the payload is the element itself.
+PR_SIDE = "struct<id:bigint, updated_at:string>"
+REVIEW_SIDE = "struct<id:string, submitted_at:string>"
+COMMIT_SIDE = "struct<sha:string>"
+RUN_SIDE = "struct<id:bigint, updated_at:string>"
+ISSUE_SIDE = "struct<id:string, fields:struct<updated:string>>"
+BUILD_SIDE = "struct<number:bigint>"
+
+
+def _versioned(kind: str) -> Column:
+    return F.concat(F.lit(f"{kind}:"), F.col("r.id").cast("string"), F.lit(":"), F.col("r.updated_at"))
 
 
-def land_pull_requests(pages: DataFrame, since: dt.datetime, received_at: dt.datetime) -> DataFrame:
-    """PR list pages -> envelopes for PRs updated at/after ``since``."""
-    r = _explode_page(pages, PR_PAGE)
-    upd = C.iso_instant(F.col("r.updated_at"))
-    r = r.filter(upd >= F.lit(since).cast("timestamp"))
-    return envelope(r, "github", F.concat(F.lit("pr:"), F.col("r.id").cast("string"), F.lit(":"), F.col("r.updated_at")),
-                    "pull_request.snapshot", F.to_json("r"), received_at)
+def land_pull_requests(pages: DataFrame, since: dt.datetime, received_at: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """PR list pages -> envelopes for PRs updated at/after ``since``; second
+    frame: unreadable pages and PRs without an id or an update time."""
+    rows, bad = _elements(pages, PR_SIDE)
+    rows, bad = _split(rows, _versioned("pr"), bad, "no id or update time")
+    rows = rows.filter(C.iso_instant(F.col("r.updated_at")) >= F.lit(since).cast("timestamp"))
+    return envelope(rows, "github", F.col("_key"), "pull_request.snapshot", F.col("record"), received_at), bad
 
 
-def land_reviews(pages: DataFrame, received_at: dt.datetime) -> DataFrame:
+def land_reviews(pages: DataFrame, received_at: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Review pages; pending drafts (no ``submitted_at``) are skipped."""
-    r = _explode_page(pages, REVIEW_PAGE).filter(F.col("r.submitted_at").isNotNull())
-    return envelope(r, "github", F.concat(F.lit("review:"), F.col("r.id")), "pull_request_review.snapshot",
-                    F.to_json("r"), received_at)
+    rows, bad = _elements(pages, REVIEW_SIDE)
+    rows, bad = _split(rows, F.concat(F.lit("review:"), F.col("r.id")), bad, "no id")
+    rows = rows.filter(F.col("r.submitted_at").isNotNull())
+    return envelope(rows, "github", F.col("_key"), "pull_request_review.snapshot", F.col("record"), received_at), bad
 
 
-def land_commits(pages: DataFrame, received_at: dt.datetime) -> DataFrame:
+def land_commits(pages: DataFrame, received_at: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Commit pages."""
-    r = _explode_page(pages, COMMIT_PAGE).filter(F.col("r.sha").isNotNull())
-    return envelope(r, "github", F.concat(F.lit("commit:"), F.col("r.sha")), "commit.snapshot", F.to_json("r"),
-                    received_at)
+    rows, bad = _elements(pages, COMMIT_SIDE)
+    rows, bad = _split(rows, F.concat(F.lit("commit:"), F.col("r.sha")), bad, "no sha")
+    return envelope(rows, "github", F.col("_key"), "commit.snapshot", F.col("record"), received_at), bad
 
 
-def land_workflow_runs(pages: DataFrame, since: dt.datetime, received_at: dt.datetime) -> DataFrame:
+def land_workflow_runs(pages: DataFrame, since: dt.datetime, received_at: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Workflow-run pages (``workflow_runs[]``), updated at/after ``since``."""
-    r = _explode_page(pages, RUNS_PAGE, "workflow_runs")
-    r = r.filter(C.iso_instant(F.col("r.updated_at")) >= F.lit(since).cast("timestamp"))
-    return envelope(r, "github",
-                    F.concat(F.lit("workflow_run:"), F.col("r.id").cast("string"), F.lit(":"), F.col("r.updated_at")),
-                    "workflow_run.snapshot", F.to_json("r"), received_at)
+    rows, bad = _elements(pages, RUN_SIDE, "workflow_runs")
+    rows, bad = _split(rows, _versioned("workflow_run"), bad, "no id or update time")
+    rows = rows.filter(C.iso_instant(F.col("r.updated_at")) >= F.lit(since).cast("timestamp"))
+    return envelope(rows, "github", F.col("_key"), "workflow_run.snapshot", F.col("record"), received_at), bad
 
 
-def land_issues(pages: DataFrame, received_at: dt.datetime) -> DataFrame:
+def land_issues(pages: DataFrame, received_at: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Jira search pages (``issues[]`` with changelog); issues without
     ``fields.updated`` are skipped."""
-    r = _explode_page(pages, ISSUES_PAGE, "issues").filter(F.col("r.fields.updated").isNotNull())
-    return envelope(r, "jira", F.concat(F.lit("issue:"), F.col("r.id"), F.lit(":"), F.col("r.fields.updated")),
-                    "issue.snapshot", F.to_json("r"), received_at)
+    rows, bad = _elements(pages, ISSUE_SIDE, "issues")
+    lost = rows.filter(F.col("r.id").isNull()).select("record", F.lit("no id").alias("reason"))
+    rows = rows.filter(F.col("r.id").isNotNull() & F.col("r.fields.updated").isNotNull())
+    key = F.concat(F.lit("issue:"), F.col("r.id"), F.lit(":"), F.col("r.fields.updated"))
+    return envelope(rows, "jira", key, "issue.snapshot", F.col("record"), received_at), bad.unionByName(lost)
 
 
-def land_builds(pages: DataFrame, received_at: dt.datetime) -> DataFrame:
+def land_builds(pages: DataFrame, received_at: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Jenkins job pages (``builds[]``, job name beside the page); the job
-    name is added to each build; builds without a number are skipped."""
-    r = _explode_page(pages, BUILDS_PAGE, "builds").filter(F.col("r.number").isNotNull())
-    build = F.struct(F.col("r.number").alias("number"), F.col("r.result").alias("result"),
-                     F.col("r.timestamp").alias("timestamp"), F.col("job_name").alias("job_name"),
-                     F.col("r.actions").alias("actions"))
-    return envelope(r, "jenkins", F.concat(F.lit("jenkins:"), F.col("job_name"), F.lit(":"), F.col("r.number").cast("string")),
-                    "build.snapshot", F.to_json(build), received_at)
+    name is put in front of each build's own fields."""
+    rows, bad = _elements(pages, BUILD_SIDE, "builds")
+    key = F.concat(F.lit("jenkins:"), F.col("job_name"), F.lit(":"), F.col("r.number").cast("string"))
+    rows, bad = _split(rows, key, bad, "no build number")
+    name = F.regexp_replace(F.to_json(F.struct("job_name")), r"\}$", "")
+    payload = F.concat(name, F.lit(","), F.substring("record", 2, 2**31 - 1))
+    return envelope(rows, "jenkins", F.col("_key"), "build.snapshot", payload, received_at), bad
 
 
 # -------------------------------------------------------------------- S10 ----

@@ -9,6 +9,7 @@ are checkpointed first.
 """
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,36 +87,41 @@ def write_state(updates: DataFrame, keys: list[str], path: str, sticky: str | No
     state = latest_state(merged, [*keys, "bucket"])
     if sticky:
         state = state.drop(sticky).join(sticky_flag(merged, [*keys, "bucket"], sticky), [*keys, "bucket"], "inner")
-    # one writer per bucket: a bucket folder gets one file per merge
-    out = state.drop("seq").withColumnRenamed("received_at", "last_received_at").repartition("bucket")
+    # gathered by bucket; a large bucket is split over several tasks at run time
+    out = state.drop("seq").withColumnRenamed("received_at", "last_received_at").hint("rebalance", "bucket")
     checkpoint_dir(spark)
     out = out.checkpoint(eager=True)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        out.write.mode("overwrite").partitionBy("bucket").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
-def write_mart(mart: DataFrame, path: str) -> None:
+def write_mart(mart: DataFrame, path: str, window: tuple[dt.date, dt.date] | None = None) -> None:
     """K3: upsert on (metric_key, scope_id, day). The table is partitioned by
     (metric_key, day) and written with dynamic partition overwrite: each
-    recomputed (metric, day) is replaced as a whole, so rows that stop being
-    produced inside the window disappear, while days outside the recomputed
-    window are kept. Dashboards prune on both partition columns."""
+    recomputed (metric, day) is replaced as a whole. ``window`` names the first
+    and last day that were recomputed; a (metric, day) inside it that no longer
+    has any row is dropped, days outside are kept. Dashboards prune on both
+    partition columns; rows are sorted by scope, so row groups prune as well."""
     spark = mart.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        # one writer per (metric, day) partition
-        mart.repartition("metric_key", "day").write.mode("overwrite").partitionBy("metric_key", "day").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    # a large metric-day is split over several tasks at run time
+    rows = mart.hint("rebalance", "metric_key", "day").sortWithinPartitions("metric_key", "day", "scope_type", "scope_id")
+    if window is not None:
+        checkpoint_dir(spark)
+        rows = mart = rows.checkpoint(eager=True)  # written and listed from one computation
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric_key", "day").parquet(path)
+    if window is None:
+        return
+    low, high = (F.lit(d).cast("date") for d in window)
+    stored = spark.read.parquet(path).where(F.col("day").cast("date").between(low, high)).select("metric_key", "day").distinct()
+    made = mart.select("metric_key", "day").distinct()
+    stale = stored.join(made, ["metric_key", "day"], "left_anti").collect()  # metrics x days of the window at most
+    jvm = spark.sparkContext._jvm
+    for r in stale:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/metric_key={r['metric_key']}/day={r['day']}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def export_report_csv(tiles: DataFrame, series: DataFrame, path: str) -> None:
