@@ -21,72 +21,57 @@ def _us(a: str, b: str) -> str:
     return f"(epoch_us({b}) - epoch_us({a}))"
 
 
-def _rollup_sql(src: str, metric: str, value: str, sample: str = "count(*)") -> str:
-    """Three-scope daily rollup over CTE ``src`` (columns repo, day, ...)."""
-    return f"""
-SELECT '{metric}' AS metric_key, 'repo' AS scope_type, repo AS scope_id, day,
-       CAST({value} AS DOUBLE) AS value, CAST({sample} AS BIGINT) AS sample_size
-FROM {src} GROUP BY repo, day
-UNION ALL
-SELECT '{metric}', 'org', '*', day, CAST({value} AS DOUBLE), CAST({sample} AS BIGINT)
-FROM {src} GROUP BY day
-UNION ALL
-SELECT '{metric}', 'team', tr.team_id, s.day, CAST({value} AS DOUBLE), CAST({sample} AS BIGINT)
-FROM {src} s JOIN bench_team_repo tr ON tr.repo = s.repo GROUP BY tr.team_id, s.day
-"""
-
-
-def _median(col: str = "us") -> str:
-    return f"round(quantile_cont({col}, 0.5) / 3.6e9, 6)"
-
-
 def metric_ctes(p: Params) -> list[tuple[str, str]]:
-    s = _since(p)
+    """One table of facts for all metrics and one table of who sees a repository."""
+    fix = f"INTERVAL {p.within_hours} HOUR"
     return [
-        ("m_deploys", f"""SELECT repo, ts FROM bench_runs
-            WHERE conclusion = 'success' AND regexp_matches(name, '{p.deploy_pattern}', 'i') AND ts >= {s}"""),
-        ("m_remed", f"""SELECT repo, ts FROM bench_runs
-            WHERE conclusion = 'success' AND regexp_matches(name, '{p.hotfix_pattern}', 'i')"""),
-        ("m_merged", f"""SELECT repo, created_at, merged_at FROM bench_prs
-            WHERE merged_at IS NOT NULL AND merged_at >= {s}"""),
-        ("m_freq", "SELECT repo, CAST(ts AS DATE) AS day FROM m_deploys"),
-        ("m_vel", "SELECT repo, CAST(merged_at AS DATE) AS day, " + _us("created_at", "merged_at") + " AS us FROM m_merged"),
-        ("m_linked", """SELECT m.repo, m.created_at,
-            (SELECT min(d.ts) FROM m_deploys d WHERE d.repo = m.repo AND d.ts >= m.merged_at) AS deploy_ts
-            FROM m_merged m"""),
-        ("m_lead", "SELECT repo, CAST(deploy_ts AS DATE) AS day, " + _us("created_at", "deploy_ts")
-         + " AS us FROM m_linked WHERE deploy_ts IS NOT NULL"),
-        ("m_restore", f"""SELECT d.repo, d.ts, CAST(d.ts AS DATE) AS day,
-            (SELECT min(r.ts) FROM m_remed r WHERE r.repo = d.repo AND r.ts >= d.ts
-               AND r.ts <= d.ts + INTERVAL {p.within_hours} HOUR) AS restore_ts
-            FROM m_deploys d"""),
-        ("m_cfr", "SELECT repo, day, CASE WHEN restore_ts IS NULL THEN 0 ELSE 1 END AS failed FROM m_restore"),
-        ("m_mttr", "SELECT repo, day, " + _us("ts", "restore_ts") + " AS us FROM m_restore WHERE restore_ts IS NOT NULL"),
+        ("good_runs", f"""SELECT repo, run_id, ts, regexp_matches(name, '{p.deploy_pattern}', 'i') AS ships,
+            regexp_matches(name, '{p.hotfix_pattern}', 'i') AS mends FROM bench_runs WHERE conclusion = 'success'"""),
+        ("releases", f"SELECT repo, ts FROM good_runs WHERE ships AND ts >= {_since(p)}"),
+        ("fixes", "SELECT repo, ts FROM good_runs WHERE mends"),
+        ("landed", f"SELECT pr_id, repo, created_at, merged_at FROM bench_prs WHERE merged_at >= {_since(p)}"),
+        ("facts", f"""
+            SELECT '{P.MK_DEPLOY_FREQ}' AS metric_key, repo, CAST(ts AS DATE) AS day, NULL::BIGINT AS us, 0 AS failed FROM releases
+            UNION ALL BY NAME
+            SELECT '{P.MK_LEAD_TIME}' AS metric_key, l.repo, CAST(r.ts AS DATE) AS day, {_us('l.created_at', 'r.ts')} AS us
+            FROM landed l ASOF JOIN releases r ON l.repo = r.repo AND l.merged_at <= r.ts
+            UNION ALL BY NAME
+            SELECT unnest(CASE WHEN f.ts <= r.ts + {fix} THEN ['{P.MK_CFR}', '{P.MK_MTTR}'] ELSE ['{P.MK_CFR}'] END) AS metric_key,
+                   r.repo, CAST(r.ts AS DATE) AS day, {_us('r.ts', 'f.ts')} AS us, coalesce(f.ts <= r.ts + {fix}, FALSE)::INT AS failed
+            FROM releases r ASOF LEFT JOIN fixes f ON r.repo = f.repo AND r.ts <= f.ts
+            UNION ALL BY NAME
+            SELECT unnest(['{P.MK_VELOCITY}', '{P.MK_CYCLE}']) AS metric_key, repo, CAST(merged_at AS DATE) AS day,
+                   {_us('created_at', 'merged_at')} AS us FROM landed"""),
+        ("audience", """
+            SELECT repo, unnest([{'scope_type': 'repo', 'scope_id': repo}, {'scope_type': 'org', 'scope_id': '*'}]
+                || list_transform(coalesce(teams, []), lambda t: {'scope_type': 'team', 'scope_id': t}), recursive := true)
+            FROM (SELECT DISTINCT repo FROM facts)
+            LEFT JOIN (SELECT repo, list(DISTINCT team_id) AS teams FROM bench_team_repo GROUP BY repo) USING (repo)"""),
     ]
 
 
-METRIC_BODIES = {
-    "deployment_frequency": lambda: _rollup_sql("m_freq", P.MK_DEPLOY_FREQ, "count(*)"),
-    "lead_time_p50": lambda: _rollup_sql("m_lead", P.MK_LEAD_TIME, _median()),
-    "change_failure_rate": lambda: _rollup_sql("m_cfr", P.MK_CFR, "CAST(sum(failed) AS DOUBLE) / count(*)"),
-    "mttr_p50": lambda: _rollup_sql("m_mttr", P.MK_MTTR, _median()),
-    "pr_velocity": lambda: _rollup_sql("m_vel", P.MK_VELOCITY, "count(*)"),
-    "pr_cycle_time_p50": lambda: _rollup_sql("m_vel", P.MK_CYCLE, _median()),
-}
+METRICS = {"deployment_frequency": P.MK_DEPLOY_FREQ, "lead_time_p50": P.MK_LEAD_TIME, "change_failure_rate": P.MK_CFR,
+           "mttr_p50": P.MK_MTTR, "pr_velocity": P.MK_VELOCITY, "pr_cycle_time_p50": P.MK_CYCLE}
 
 
-def mart_sql_body() -> str:
-    return "\nUNION ALL\n".join(f"({f()})" for f in METRIC_BODIES.values())
+def _daily(where: str = "TRUE") -> str:
+    return f"""
+SELECT metric_key, scope_type, scope_id, day,
+       CAST(CASE WHEN metric_key IN ('{P.MK_DEPLOY_FREQ}', '{P.MK_VELOCITY}') THEN count(*)
+                 WHEN metric_key = '{P.MK_CFR}' THEN avg(failed)
+                 ELSE round(quantile_cont(us, 0.5) / 3.6e9, 6) END AS DOUBLE) AS value,
+       count(*) AS sample_size
+FROM facts JOIN audience USING (repo) WHERE {where} GROUP BY metric_key, scope_type, scope_id, day"""
 
 
 def metric_sql(key: str, p: Params = P.DEFAULT) -> str:
-    return with_views(METRIC_BODIES[key](), "bench_runs", "bench_prs", "bench_team_repo", extra=metric_ctes(p))
+    return with_views(_daily(f"metric_key = '{METRICS[key]}'"), "bench_runs", "bench_prs", "bench_team_repo", extra=metric_ctes(p))
 
 
 def mart_ctes(p: Params) -> list[tuple[str, str]]:
     return metric_ctes(p) + [("mart", f"""
 SELECT *, '{P.METRIC_LOGIC_VERSION}' AS metric_logic_version, TIMESTAMP '{p.as_of_sql}' AS computed_at
-FROM ({mart_sql_body()}) u""")]
+FROM ({_daily()}) u""")]
 
 
 def build_mart_sql(p: Params = P.DEFAULT) -> str:
@@ -94,15 +79,12 @@ def build_mart_sql(p: Params = P.DEFAULT) -> str:
 
 
 def first_event_after_sql(p: Params = P.DEFAULT) -> str:
-    body = """
-SELECT m.pr_id, (SELECT min(d.ts) FROM m_deploys d WHERE d.repo = m.repo AND d.ts >= m.merged_at) AS deploy_ts
-FROM (SELECT pr_id, repo, merged_at FROM bench_prs WHERE merged_at IS NOT NULL AND merged_at >= """ + _since(p) + """) m"""
+    body = "SELECT l.pr_id, r.ts AS deploy_ts FROM landed l ASOF LEFT JOIN releases r ON l.repo = r.repo AND l.merged_at <= r.ts"
     return with_views(body, "bench_runs", "bench_prs", "bench_team_repo", extra=metric_ctes(p))
 
 
 def followed_within_sql(p: Params = P.DEFAULT) -> str:
     body = f"""
-SELECT r.run_id, CAST(CASE WHEN EXISTS (SELECT 1 FROM m_remed x WHERE x.repo = r.repo AND x.ts >= r.ts
-                                     AND x.ts <= r.ts + INTERVAL {p.within_hours} HOUR) THEN 1 ELSE 0 END AS BIGINT) AS followed
-FROM bench_runs r WHERE r.conclusion = 'success'"""
+SELECT g.run_id, CAST(coalesce(f.ts <= g.ts + INTERVAL {p.within_hours} HOUR, FALSE) AS BIGINT) AS followed
+FROM good_runs g ASOF LEFT JOIN fixes f ON g.repo = f.repo AND g.ts <= f.ts"""
     return with_views(body, "bench_runs", "bench_prs", "bench_team_repo", extra=metric_ctes(p))
