@@ -1,113 +1,73 @@
 """Exact interpolated percentile per group (``percentile_cont``), skew-safe.
 
 Spark's ``percentile`` aggregate is exact, but its final merge holds every
-distinct value of a group in one task. That suits the many small groups of a
-rollup (repo x day) but not a hot group, such as the org-wide scope of a busy
-day, which may hold a large share of all rows. Groups are therefore split by
-size:
+distinct value of a group in one task. That does not suit a hot group, such as
+the org-wide scope of a busy day, which may hold a large share of all rows. Here
+every group takes the same path, whatever its size, in one lazy plan:
 
-* groups with at most ``group_limit`` values use the built-in aggregate;
-* larger ("hot") groups use a distributed radix selection on the integer
-  value (durations are exact microsecond counts): three passes, each a partial
-  aggregate of per-bucket counts over ``value >> shift`` restricted to the
-  prefix chosen by the previous pass, plus a running sum over at most 2^21
-  buckets of one group to locate the bucket that holds the wanted rank. Every
-  step is a deterministic aggregate, so re-running a stage after executor loss
-  gives the same answer, and no step holds a hot group's rows in one task.
+1. equal values of a group are counted (combined before the shuffle);
+2. the counts are added up by value prefix (``value >> BUCKET_BITS``), and a
+   running sum over a group's prefixes finds the one or two that hold the
+   wanted ranks: a group has as many rows here as prefixes, not as values;
+3. only the values under those prefixes, at most ``2 ** BUCKET_BITS`` distinct
+   ones each, are joined back and ranked by a second running sum.
 
-The answer equals ``percentile_cont(p)``: ``lo + (hi - lo) * frac`` with
-``lo``/``hi`` the values at ranks ``floor((n-1)p)``/``ceil((n-1)p)``.
+Values are integers (durations are exact microsecond counts; a prefix is about
+four seconds wide). The answer equals ``percentile_cont(p)``:
+``lo + (hi - lo) * frac`` with ``lo``/``hi`` the values at ranks
+``floor((n-1)p)``/``ceil((n-1)p)``.
 """
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _V = "_pv"
-_SHIFTS = (42, 21, 0)
+BUCKET_BITS = 22
+
+
+def _holds(rank: Column) -> Column:
+    return (F.col("_start") <= rank) & (rank < F.col("_end"))
 
 
 def grouped_percentile(df: DataFrame, keys: list[str], value: str | Column, p: float = 0.5,
-                       out: str = "value", count_out: str | None = "sample_size",
-                       group_limit: int = 1_000_000, scale: float | None = None,
-                       nonnull_out: str | None = None,
-                       storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+                       out: str = "value", count_out: str | None = "sample_size", scale: float | None = None,
+                       nonnull_out: str | None = None, bucket_bits: int = BUCKET_BITS) -> DataFrame:
     """Return ``keys + [out, count_out]``.
 
     ``value`` must be integral (it is cast to LONG); ``scale`` divides the result
     (e.g. microseconds -> hours). ``nonnull_out`` names an optional count of
     the non-null values. ``count_out`` is the group's row count, nulls
-    included, like ``count(*)``. All-null groups get a null percentile.
-
-    The (key, value) pairs are persisted once; one small job counts the groups
-    and checks whether any is hot, in the way AQE re-plans from runtime
-    statistics. Without hot groups the plan is a single aggregate; with them,
-    the hot groups (at most ``values / group_limit`` rows: a proven bound, so
-    broadcast) take the distributed path and all others the aggregate.
-    """
+    included, like ``count(*)``. All-null groups get a null percentile."""
     v = F.col(value) if isinstance(value, str) else value
-    base = df.select(*[F.col(k) for k in keys], v.cast("long").alias(_V)).persist(storage)
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_all"), F.count(_V).alias("_n"))
-    hot = counts.filter(F.col("_n") > group_limit).select(*keys, "_n")
-    if hot.isEmpty():
-        res = base.groupBy(*keys).agg(F.percentile(F.col(_V), F.lit(p)).alias("_q"),
-                                      F.count(F.lit(1)).alias("_n_all"), F.count(_V).alias("_n"))
-    else:
-        hot = F.broadcast(hot)
-        small = (base.join(hot.select(*keys), keys, "left_anti")
-                 .groupBy(*keys)
-                 .agg(F.percentile(F.col(_V), F.lit(p)).alias("_q"), F.count(F.lit(1)).alias("_n_all"),
-                      F.count(_V).alias("_n")))
-        vals = base.filter(F.col(_V).isNotNull()).join(hot.select(*keys), keys, "left_semi")
-        big = (_radix_percentile(vals, hot, keys, p)
-               .join(counts.select(*keys, "_n_all", "_n"), keys, "inner"))
-        res = small.unionByName(big.select(*keys, "_q", "_n_all", "_n"))
-    q = F.col("_q") / F.lit(scale) if scale else F.col("_q")
+    counts = df.select(*[F.col(k) for k in keys], v.cast("long").alias(_V)).groupBy(*keys, _V).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_b", F.shiftright(F.col(_V), bucket_bits))
+    known = F.when(F.col("_b").isNotNull(), F.col("_c")).otherwise(0)
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")).select(
+        *keys, "_b", F.sum("_c").over(group).alias("_n_all"), F.sum(known).over(group).alias("_n"),
+        F.sum(known).over(upto).alias("_end"), known.alias("_known")).withColumn("_start", F.col("_end") - F.col("_known"))
+    pos = (F.col("_n") - 1) * F.lit(p)
+    low, high = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
+    wanted = F.when(F.col("_n") == 0, F.lit(True)).otherwise(F.col("_b").isNotNull() & (_holds(low) | _holds(high)))
+    picks = ranked.filter(wanted).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_pb"),
+                                         F.col("_start").alias("_before"), "_n", "_n_all")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b").eqNullSafe(F.col("_pb"))]
+    inside = counts.join(picks, reduce(lambda a, b: a & b, same))
+    within = Window.partitionBy(*keys, "_b").orderBy(_V).rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_end", F.col("_before") + F.sum("_c").over(within)).withColumn("_start", F.col("_end") - F.col("_c"))
+    res = inside.groupBy(*keys).agg(
+        F.max(F.when(_holds(low), F.col(_V))).cast("double").alias("_lo"), F.max(F.when(_holds(high), F.col(_V))).cast("double").alias("_hi"),
+        F.max("_n").alias("_n"), F.max("_n_all").alias("_n_all"))
+    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (pos - F.floor(pos))
+    if scale:
+        q = q / F.lit(scale)
     cols = [*keys, q.alias(out)]
     if count_out:
         cols.append(F.col("_n_all").alias(count_out))
     if nonnull_out:
         cols.append(F.col("_n").alias(nonnull_out))
     return res.select(*cols)
-
-
-def _radix_percentile(vals: DataFrame, hot: DataFrame, keys: list[str], p: float) -> DataFrame:
-    pos = (F.col("_n") - 1) * F.lit(p)
-    # Two target ranks per hot group: which=0 -> floor(pos), which=1 -> ceil(pos).
-    cur = hot.select(*keys, pos.alias("_pos"), F.explode(F.array(
-        F.struct(F.lit(0).alias("_which"), F.floor(pos).cast("long").alias("_k")),
-        F.struct(F.lit(1).alias("_which"), F.ceil(pos).cast("long").alias("_k")))).alias("_t")
-    ).select(*keys, "_pos", "_t._which", "_t._k", F.lit(0).cast("long").alias("_off"),
-             F.lit(None).cast("long").alias("_pfx"))
-    prev = None
-    for s in _SHIFTS:
-        b = F.shiftright(F.col(_V), s).alias("_b")
-        if prev is None:
-            per_b = vals.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_c"))
-            cand = per_b.join(cur.drop("_pfx"), keys, "inner")
-        else:
-            tagged = vals.withColumn("_pfx", F.shiftright(F.col(_V), prev))
-            per_b = (tagged.join(F.broadcast(cur.select(*keys, "_which", "_pfx")), [*keys, "_pfx"], "inner")
-                     .groupBy(*keys, "_which", b).agg(F.count(F.lit(1)).alias("_c")))
-            cand = per_b.join(cur.drop("_pfx"), [*keys, "_which"], "inner")
-        w = Window.partitionBy(*keys, "_which").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        cand = (cand.withColumn("_end", F.col("_off") + F.sum("_c").over(w))
-                .withColumn("_start", F.col("_end") - F.col("_c")))
-        cur = cand.filter((F.col("_start") <= F.col("_k")) & (F.col("_k") < F.col("_end"))).select(
-            *keys, "_pos", "_which", "_k", F.col("_start").alias("_off"), F.col("_b").alias("_pfx"))
-        prev = s
-    picked = cur.groupBy(*keys).agg(
-        F.max(F.when(F.col("_which") == 0, F.col("_pfx"))).alias("_lo"),
-        F.max(F.when(F.col("_which") == 1, F.col("_pfx"))).alias("_hi"),
-        F.max("_pos").alias("_pos"))
-    frac = F.col("_pos") - F.floor("_pos")
-    lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
-    return picked.select(*keys, (lo + (hi - lo) * frac).alias("_q"))
-
-
-def p50(col: str | Column) -> Column:
-    """Exact interpolated median as an aggregate expression, for groups that are
-    bounded by construction (use :func:`grouped_percentile` otherwise)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.percentile(c, F.lit(0.5))

@@ -52,21 +52,13 @@ def additive_rollup(df: DataFrame, team_repo: DataFrame, metric_key: str,
                         value.cast("double").alias("value"), sample.cast("long").alias("sample_size"))
 
 
-def median_rollup(df: DataFrame, team_repo: DataFrame, metric_key: str, micros: Column,
-                  group_limit: int = 1_000_000) -> DataFrame:
-    """Median hours per scope and day (rounded to 6 dp, far below a microsecond);
-    ``micros`` is a duration in microseconds."""
-    vals = df.select(F.lit(metric_key).alias("metric_key"), "repo", "day", micros.alias("_us"))
-    return medians_rollup(vals, team_repo, group_limit)
-
-
-def medians_rollup(vals: DataFrame, team_repo: DataFrame, group_limit: int = 1_000_000) -> DataFrame:
+def medians_rollup(vals: DataFrame, team_repo: DataFrame) -> DataFrame:
     """Several median metrics in one pass: ``vals`` has ``metric_key, repo,
-    day, _us``; one fan-out, one hot-group check and one aggregation serve
+    day, _us``; one fan-out and one selection serve
     every metric (the metric key is part of the group key)."""
     fanned = scope_fanout(vals, team_repo)
     med = grouped_percentile(fanned, ["metric_key", "scope_type", "scope_id", "day"], "_us", 0.5, out="value",
-                             count_out="sample_size", group_limit=group_limit, scale=3.6e9)
+                             count_out="sample_size", scale=3.6e9)
     return med.select("metric_key", "scope_type", "scope_id", "day",
                       F.round(F.col("value").cast("double"), 6).alias("value"), F.col("sample_size").cast("long"))
 

@@ -124,7 +124,7 @@ def cycle_stages(prs: DataFrame, reviews: DataFrame, team_repo: DataFrame, p: Pa
         F.struct(F.lit(STAGES[2]).alias("stage"), C.micros(fa, "merged_at").alias("us")))
     long_form = j.select(F.inline(stages))
     med = grouped_percentile(long_form, ["stage"], "us", 0.5, out="h", count_out=None, nonnull_out="prs",
-                             group_limit=p.median_group_limit, scale=3.6e9)
+                             scale=3.6e9)
     names = _lit_table(prs.sparkSession, [(s, i) for i, s in enumerate(STAGES)], "stage string, ord int")
     return (names.join(med, "stage", "left")
             .select("stage", F.round("h", 1).alias("hours_p50"),
@@ -305,7 +305,7 @@ def ai_impact(prs: DataFrame, p: Params = P.DEFAULT, min_prs: int = P.MIN_PRS_PE
     m = prs.filter(F.col("merged_at").isNotNull() & F.col("created_at").isNotNull()
                    & (F.col("merged_at") >= F.lit(start).cast("timestamp")))
     m = m.select(F.coalesce(F.col("ai_assisted"), F.lit(False)).alias("ai"), C.micros("created_at", "merged_at").alias("us"))
-    med = grouped_percentile(m, ["ai"], "us", 0.5, out="h", count_out="n", group_limit=p.median_group_limit, scale=3.6e9)
+    med = grouped_percentile(m, ["ai"], "us", 0.5, out="h", count_out="n", scale=3.6e9)
     w = med.groupBy().agg(
         F.max(F.when(F.col("ai"), F.round("h", 1))).alias("ai_h"),
         F.max(F.when(~F.col("ai"), F.round("h", 1))).alias("other_h"),

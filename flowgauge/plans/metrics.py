@@ -58,7 +58,7 @@ def cycle_values(prs: DataFrame, p: Params) -> DataFrame:
 
 def pr_cycle_time(prs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
     """Q6: median created -> merged hours per merge day."""
-    return medians_rollup(cycle_values(prs, p), team_repo, p.median_group_limit)
+    return medians_rollup(cycle_values(prs, p), team_repo)
 
 
 def lead_values(runs: DataFrame, prs: DataFrame, p: Params) -> DataFrame:
@@ -73,7 +73,7 @@ def lead_time(runs: DataFrame, prs: DataFrame, team_repo: DataFrame, p: Params =
     """Q2: for each PR merged in the window, the first (windowed) deploy of the
     same repo at or after the merge; hours from PR *creation* to that deploy,
     booked on the deploy's day. Undeployed PRs are dropped."""
-    return medians_rollup(lead_values(runs, prs, p), team_repo, p.median_group_limit)
+    return medians_rollup(lead_values(runs, prs, p), team_repo)
 
 
 def deploys_with_restore(runs: DataFrame, p: Params) -> DataFrame:
@@ -99,7 +99,7 @@ def mttr_values(marked: DataFrame) -> DataFrame:
 def mttr(runs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT, marked: DataFrame | None = None) -> DataFrame:
     """Q4: median deploy -> first remediation hours (<= 48 h), deploy's day."""
     m = marked if marked is not None else deploys_with_restore(runs, p)
-    return medians_rollup(mttr_values(m), team_repo, p.median_group_limit)
+    return medians_rollup(mttr_values(m), team_repo)
 
 
 def build_mart(runs: DataFrame, prs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
@@ -109,7 +109,7 @@ def build_mart(runs: DataFrame, prs: DataFrame, team_repo: DataFrame, p: Params
     marked = deploys_with_restore(runs, p)
     # the three median metrics share one fan-out, hot-group check and aggregate
     medians = medians_rollup(lead_values(runs, prs, p).unionByName(mttr_values(marked))
-                             .unionByName(cycle_values(prs, p)), team_repo, p.median_group_limit)
+                             .unionByName(cycle_values(prs, p)), team_repo)
     parts = [
         deployment_frequency(runs, team_repo, p),
         change_failure_rate(runs, team_repo, p, marked),

@@ -53,8 +53,6 @@ class Params:
     scope: str = "*"
     seats: int = LICENSED_SEATS
     hourly_rate: int = HOURLY_RATE_USD
-    # Groups above this many values get the skew-safe distributed median.
-    median_group_limit: int = 1_000_000
     # Slot width (seconds) of the skew-safe as-of join.
     asof_slot_seconds: int = 3600
     extra: dict = field(default_factory=dict)

@@ -28,9 +28,9 @@ def test_percentile_hot_path_matches_brute_force(spark):
             rows.append((f"g{g}", rnd.randint(0, 10**9)))
     rows.append(("nulls", None))
     df = spark.createDataFrame(rows, "k string, v long")
-    for p in (0.5, 0.25, 0.9):
+    for p, bits in ((0.5, 22), (0.25, 1), (0.9, 40), (0.5, 0)):
         got = {r["k"]: (r["value"], r["sample_size"])
-               for r in grouped_percentile(df, ["k"], "v", p, group_limit=40).collect()}
+               for r in grouped_percentile(df, ["k"], "v", p, bucket_bits=bits).collect()}
         groups = {}
         for k, v in rows:
             groups.setdefault(k, []).append(v)
