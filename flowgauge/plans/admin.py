@@ -128,7 +128,7 @@ def user_directory(users: DataFrame, teams: DataFrame) -> DataFrame:
     """Q32 (J11): users with their team's name."""
     t = teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))
     return users.join(t, "team_id", "left").select("id", F.lower("email").alias("email"), "display_name", "role",
-                                                   "team_id", "team_name", "github_login")
+                                                   "team_id", "team_name", "github_login").orderBy("display_name", "id")
 
 
 def find_user(users: DataFrame, email: str) -> DataFrame:

@@ -212,14 +212,14 @@ def investment_breakdown(classified: DataFrame) -> DataFrame:
 def investment_trend(classified: DataFrame) -> DataFrame:
     """Q15 (A8): categories per month of PR creation, zero-filled."""
     return classified.groupBy(C.month_key("created_at").alias("month_key"),
-                              C.month_label("created_at").alias("month_label")).agg(*_category_counts())
+                              C.month_label("created_at").alias("month_label")).agg(*_category_counts()).orderBy("month_key")
 
 
 def investment_by_team(classified: DataFrame, team_repo: DataFrame, teams: DataFrame) -> DataFrame:
     """Q16 (J7): categories per team *name* (same-named teams merge)."""
     j = (classified.join(team_repo, "repo", "inner")
          .join(teams.select(F.col("id").alias("team_id"), F.col("name").alias("team")), "team_id", "inner"))
-    return j.groupBy("team").agg(*_category_counts())
+    return j.groupBy("team").agg(*_category_counts()).orderBy("team")
 
 
 def unclassifiable_share(breakdown: DataFrame) -> DataFrame:
@@ -266,7 +266,8 @@ def spend_by_tool(usage: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
     s = _usage_window(usage, p).groupBy("source").agg(F.coalesce(F.sum("cost_usd"), F.lit(0)).alias("spend"))
     total = F.sum(_cents(F.col("spend"))).over(Window.partitionBy())
     return s.select(C.tool_label("source").alias("tool"), "source", F.col("spend").cast("double").alias("spend"),
-                    (C.ratio_half_up(_cents(F.col("spend")), total, 4) / F.lit(10000.0)).alias("share"))
+                    (C.ratio_half_up(_cents(F.col("spend")), total, 4) / F.lit(10000.0)).alias("share")
+                    ).orderBy(F.desc("spend"), "source")
 
 
 def spend_trend(usage: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
@@ -275,7 +276,8 @@ def spend_trend(usage: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
         F.coalesce(F.sum("cost_usd"), F.lit(0)).alias("spend"),
         F.coalesce(F.sum("prs"), F.lit(0)).cast("long").alias("prs"))
     return g.select("month", C.month_label("month").alias("month_label"), F.col("spend").cast("double").alias("spend"),
-                    "prs", (C.ratio_half_up(_cents(F.col("spend")), F.col("prs"), 0) / F.lit(100.0)).alias("cost_per_pr"))
+                    "prs", (C.ratio_half_up(_cents(F.col("spend")), F.col("prs"), 0) / F.lit(100.0)).alias("cost_per_pr")
+                    ).orderBy("month")
 
 
 def daily_spend(usage: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
@@ -285,7 +287,7 @@ def daily_spend(usage: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
         F.sum(F.when(F.col("source") == "claude_code", F.col("cost_usd")).otherwise(0)).alias("cc"),
         F.sum(F.when(F.col("source") == "copilot", F.col("cost_usd")).otherwise(0)).alias("cp"))
     return g.select("day", F.col("cc").cast("double").alias("claude_code"), F.col("cp").cast("double").alias("copilot"),
-                    F.lit(0.0).alias("cursor"))
+                    F.lit(0.0).alias("cursor")).orderBy("day")
 
 
 def developer_allocation(usage: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
@@ -294,7 +296,7 @@ def developer_allocation(usage: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
         F.coalesce(F.sum("cost_usd"), F.lit(0)).alias("spend"),
         F.coalesce(F.sum("prs"), F.lit(0)).cast("long").alias("prs"))
     return g.select("actor_key", C.tool_label("source").alias("tool"), "source",
-                    F.col("spend").cast("double").alias("spend"), "prs")
+                    F.col("spend").cast("double").alias("spend"), "prs").orderBy(F.desc("spend"), "actor_key", "source")
 
 
 def ai_impact(prs: DataFrame, p: Params = P.DEFAULT, min_prs: int = P.MIN_PRS_PER_BUCKET) -> DataFrame:
