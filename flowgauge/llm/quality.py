@@ -57,18 +57,21 @@ def statistics(text: str | None) -> list[float]:
     words = data.split()
     count = max(1, len(words))
     seen = Counter(words)
-    pairs = Counter(zip(words, words[1:], strict=False)) if len(words) <= 4000 else Counter(w for w in zip(words[::2], words[1::2], strict=False))
     lines = [x for x in data.split(b"\n") if x]
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    number = dict(zip(seen, range(len(seen)), strict=True))
+    coded = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+    pairs = np.sort(coded[:-1] * len(seen) + coded[1:])
+    runs = np.diff(np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1], True])) if len(pairs) else np.zeros(1)
     shorts = float((lengths <= 2).sum()) / count
     uppers = sum(w.isupper() for w in words) / count
     symbols = sum(not w[-1:].isalnum() and w[-1] < 128 for w in words) / count
-    repeats = sum(a == b for a, b in zip(words, words[1:], strict=False)) / count
+    repeats = int((coded[1:] == coded[:-1]).sum()) / count
     common = sum(c for w, c in seen.items() if len(w) <= 4 and w.isalpha() and c > 1) / count
     return [
         math.log1p(len(data)), math.log1p(len(words)), float(lengths.mean()) if len(words) else 0.0,
         kinds[0], kinds[1], kinds[2], kinds[3], kinds[4], kinds[5], kinds[6], kinds[7], kinds[10],
-        len(seen) / count, max(seen.values(), default=0) / count, max(pairs.values(), default=0) / count,
+        len(seen) / count, max(seen.values(), default=0) / count, int(runs.max()) / count,
         len(set(lines)) / max(1, len(lines)), float((lengths > 15).sum()) / count, symbols, uppers, shorts, repeats, common,
     ]
 
