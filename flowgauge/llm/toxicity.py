@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import documents_of
+from flowgauge.llm.common import documents_of, stored
 
 LABELS = 20_000
 SLOTS = 1 << 18
@@ -113,8 +113,12 @@ class Model:
     constant: float | None = None
 
     def chance(self, score: float, length: int) -> float:
-        """Chance of a segment of this score or more in clean text of ``length`` tokens."""
-        return -math.expm1(-math.exp(min(50.0, self.size + math.log(max(1, length)) - self.rate * score)))
+        return chance(score, length, self.rate, self.size)
+
+
+def chance(score: float, length: int, rate: float, size: float) -> float:
+    """Chance of a segment of this score or more in clean text of ``length`` tokens."""
+    return -math.expm1(-math.exp(min(50.0, size + math.log(max(1, length)) - rate * score)))
 
 
 class Scorer:
@@ -179,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the texts of ``docs`` that have a bounded label (doc_id, label)."""
     rows = documents_of(docs).join(F.broadcast(labels), "doc_id")  # bounded by LABELS
     half = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2))
-    rows = rows.select("doc_id", "text", "label", half.cast("int").alias("half"))
+    rows = stored(rows.select("text", "label", half.cast("int").alias("half")), "labelled")  # the steps below read it several times
     flat = Model(np.zeros(SLOTS), 1.0, 0.0, np.zeros(3), 0.5)
     sums = rows.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     if not sums["n"] or sums["ones"] in (0, sums["n"]):
@@ -197,26 +201,36 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     crossed = [odds_of(rows.where(F.col("half") != k)) for k in (0, 1)]
     spread = rows.sparkSession.sparkContext.broadcast(crossed)
 
-    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = [Scorer(x) for x in spread.value]
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("text", "label", "half")]
-            out = []
-            for text, label, k in zip(*columns, strict=True):
-                words = tokens(text)
-                found = sorted((s for *_, s in segments(scorers[k](words))), reverse=True)
-                out.append((label, len(words), found[:64]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.float64()))], names=["label", "n", "scores"])
-
-    judged = rows.select("text", "label", "half").mapInArrow(best_of, "label int, n long, scores array<double>").toPandas()  # LABELS rows at most
-    best = np.array([max(s, default=0.0) if s is not None and len(s) else 0.0 for s in judged["scores"]])
-    clean = (judged["label"] == 0).to_numpy() & (judged["n"] > 0).to_numpy()
+    def judged(what: str, columns: str) -> pd.DataFrame:
+        """A few numbers for each labelled text (LABELS rows at most), worked out where the texts are."""
+        fitted = law
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorers = [Scorer(x) for x in spread.value]
+            for batch in batches:
+                out = []
+                for text, label, k in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "half")), strict=True):
+                    words = tokens(text)
+                    found = segments(scorers[k](words))
+                    if what == "best":
+                        out.append((float(label), float(len(words)), max((s for *_, s in found), default=0.0)))
+                    else:
+                        out.append((float(label), *_evidence([(a, b, s, chance(s, len(words), *fitted)) for a, b, s in found])))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.float64()) for c in range(3)], names=columns.split())
+
+        return rows.select("text", "label", "half").mapInArrow(run, ", ".join(f"{c} double" for c in columns.split())).toPandas()
+
+    law = (1.0, 0.0)
+    first = judged("best", "label n best")
+    best, length = first["best"].to_numpy(), first["n"].to_numpy()
+    clean = (first["label"] == 0).to_numpy() & (length > 0)
     order = np.sort(best[clean])
     bulk = clean & (best <= (order[int(0.98 * (len(order) - 1))] if len(order) else 0.0))  # mislabelled texts are no clean background
-    rate, size = extreme_value(best[bulk], judged["n"].to_numpy()[bulk])
-    model = Model(odds_of(rows), rate, size, np.zeros(3))
-    x = np.array([(1.0, *_evidence([(0, 0, s, model.chance(s, n)) for s in scores])) for n, scores in zip(judged["n"], judged["scores"], strict=True)])
-    model.weights = logistic(x, judged["label"].to_numpy(dtype=np.float64))
+    law = extreme_value(best[bulk], length[bulk])
+    model = Model(odds_of(rows), *law, np.zeros(3))
+    second = judged("evidence", "label one all")
+    x = np.column_stack([np.ones(len(second)), second["one"], second["all"]])
+    model.weights = logistic(x, second["label"].to_numpy())
     return model
 
 
