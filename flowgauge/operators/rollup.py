@@ -60,7 +60,7 @@ def medians_rollup(vals: DataFrame, team_repo: DataFrame) -> DataFrame:
     med = grouped_percentile(fanned, ["metric_key", "scope_type", "scope_id", "day"], "_us", 0.5, out="value",
                              count_out="sample_size", scale=3.6e9)
     return med.select("metric_key", "scope_type", "scope_id", "day",
-                      F.round(F.col("value").cast("double"), 6).alias("value"), F.col("sample_size").cast("long"))
+                      F.col("value").cast("double").alias("value"), F.col("sample_size").cast("long"))
 
 
 def micros_between(start: str | Column, end: str | Column) -> Column:

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import first_at_or_after, first_within
 from ..operators.filters import in_window, name_matches
-from ..operators.rollup import additive_rollup, medians_rollup, micros_between
+from ..operators.percentile import grouped_percentile
+from ..operators.rollup import additive_rollup, medians_rollup, micros_between, scope_fanout
 from . import params as P
 from .params import Params
 
@@ -102,6 +103,48 @@ def mttr(runs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT, marked: D
     return medians_rollup(mttr_values(m), team_repo)
 
 
+def cfr_chain_attribution(runs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
+    """Change failure rate with one failure per remediation: deploys whose first
+    remediation within the bound is the same form a chain, which is charged to its
+    earliest deploy (on that deploy's day). A deploy that is itself a remediation
+    counts as a deploy but never as a failure."""
+    out = runs.filter((F.col("conclusion") == "success") & in_window("ts", p.as_of, p.days) & name_matches("name", p.deploy_pattern))
+    plain = out.filter(~name_matches("name", p.hotfix_pattern)).select("repo", "ts")
+    marked = first_within(plain, remediations(runs, p), ["repo"], "ts", "ts", "restore_ts", p.within_hours * 3600, p.asof_slot_seconds)
+    charged = marked.filter(F.col("restore_ts").isNotNull()).groupBy("repo", "restore_ts").agg(F.min("ts").alias("ts"))
+    rows = out.select("repo", "ts", F.lit(0).alias("f"), F.lit(1).alias("n")).unionByName(
+        charged.select("repo", "ts", F.lit(1).alias("f"), F.lit(0).alias("n"))).withColumn("day", F.to_date("ts"))
+    return additive_rollup(rows, team_repo, "change_failure_rate_chain", {"f": F.sum("f"), "n": F.sum("n")},
+                           F.col("f").cast("double") / F.col("n"), F.col("n"))
+
+
+def lead_time_percentiles(runs: DataFrame, prs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
+    """p50, p75 and p90 of the lead time of each scope over the window, in hours;
+    longer times than ``P.LEAD_CAP_DAYS`` are cut to it and counted in ``n_capped``."""
+    keys = ["scope_type", "scope_id"]
+    cap = F.lit(P.LEAD_CAP_DAYS * 86_400_000_000)
+    vals = lead_values(runs, prs, p).select("repo", F.least("_us", cap).alias("_us"), (F.col("_us") > cap).cast("long").alias("_cut"))
+    fanned = scope_fanout(vals, team_repo)
+    out = fanned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_changes"), F.sum("_cut").alias("n_capped"))
+    for share in (50, 75, 90):
+        part = grouped_percentile(fanned, keys, "_us", share / 100, out=f"p{share}_hours", count_out=None, scale=3.6e9)
+        out = out.join(part, keys)
+    return out
+
+
+def open_pr_age_buckets(prs: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
+    """Open PRs by age at ``as_of``; stale ones had no activity
+    for more than ``P.STALE_PR_DAYS``."""
+    as_of = F.lit(p.as_of).cast("timestamp")
+    age = micros_between("created_at", as_of) / 86_400_000_000
+    names = F.lit(f"over {P.AGE_BANDS_DAYS[-1]} d")
+    for days in reversed(P.AGE_BANDS_DAYS):
+        names = F.when(age <= days, F.lit(f"up to {days} d")).otherwise(names)
+    stale = micros_between("last_received_at", as_of) > P.STALE_PR_DAYS * 86_400_000_000
+    return prs.filter(F.col("state") == "open").groupBy(names.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n_prs"), F.sum(stale.cast("long")).alias("n_stale"))
+
+
 def build_mart(runs: DataFrame, prs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
     """Q7: all six metrics as one plan, stamped with logic version and
     ``computed_at`` (= ``as_of``). The J2 result is shared by Q3 and Q4 as one

@@ -59,7 +59,7 @@ def _daily(where: str = "TRUE") -> str:
 SELECT metric_key, scope_type, scope_id, day,
        CAST(CASE WHEN metric_key IN ('{P.MK_DEPLOY_FREQ}', '{P.MK_VELOCITY}') THEN count(*)
                  WHEN metric_key = '{P.MK_CFR}' THEN avg(failed)
-                 ELSE round(quantile_cont(us, 0.5) / 3.6e9, 6) END AS DOUBLE) AS value,
+                 ELSE quantile_cont(us, 0.5) / 3.6e9 END AS DOUBLE) AS value,
        count(*) AS sample_size
 FROM facts JOIN audience USING (repo) WHERE {where} GROUP BY metric_key, scope_type, scope_id, day"""
 
@@ -88,3 +88,36 @@ def followed_within_sql(p: Params = P.DEFAULT) -> str:
 SELECT g.run_id, CAST(coalesce(f.ts <= g.ts + INTERVAL {p.within_hours} HOUR, FALSE) AS BIGINT) AS followed
 FROM good_runs g ASOF LEFT JOIN fixes f ON g.repo = f.repo AND g.ts <= f.ts"""
     return with_views(body, "bench_runs", "bench_prs", "bench_team_repo", extra=metric_ctes(p))
+
+
+def chain_sql(p: Params = P.DEFAULT) -> str:
+    body = f"""
+SELECT 'change_failure_rate_chain' AS metric_key, scope_type, scope_id, day, sum(f) / sum(n)::DOUBLE AS value, CAST(sum(n) AS BIGINT) AS sample_size
+FROM (SELECT repo, CAST(ts AS DATE) AS day, 0 AS f, 1 AS n FROM releases
+      UNION ALL
+      SELECT repo, CAST(first_ts AS DATE), 1, 0 FROM (
+        SELECT r.repo, f.ts AS fix, min(r.ts) AS first_ts
+        FROM (SELECT repo, ts FROM good_runs WHERE ships AND NOT mends AND ts >= {_since(p)}) r
+        ASOF JOIN fixes f ON r.repo = f.repo AND r.ts <= f.ts
+        WHERE f.ts <= r.ts + INTERVAL {p.within_hours} HOUR GROUP BY r.repo, f.ts) chains) x
+JOIN audience USING (repo) GROUP BY scope_type, scope_id, day"""
+    return with_views(body, "bench_runs", "bench_prs", "bench_team_repo", extra=metric_ctes(p))
+
+
+def lead_percentiles_sql(p: Params = P.DEFAULT) -> str:
+    cap = P.LEAD_CAP_DAYS * 86_400_000_000
+    cuts = ", ".join(f"quantile_cont(least(us, {cap}), {s / 100}) / 3.6e9 AS p{s}_hours" for s in (50, 75, 90))
+    body = f"""
+SELECT scope_type, scope_id, count(*) AS n_changes, CAST(sum((us > {cap})::INT) AS BIGINT) AS n_capped, {cuts}
+FROM facts JOIN audience USING (repo) WHERE metric_key = '{P.MK_LEAD_TIME}' GROUP BY scope_type, scope_id"""
+    return with_views(body, "bench_runs", "bench_prs", "bench_team_repo", extra=metric_ctes(p))
+
+
+def open_age_sql(p: Params = P.DEFAULT) -> str:
+    now = f"TIMESTAMP '{p.as_of_sql}'"
+    bands = " ".join(f"WHEN {now} - created_at <= INTERVAL {d} DAY THEN 'up to {d} d'" for d in P.AGE_BANDS_DAYS)
+    body = f"""
+SELECT CASE {bands} ELSE 'over {P.AGE_BANDS_DAYS[-1]} d' END AS bucket, count(*) AS n_prs,
+       CAST(sum(({now} - last_received_at > INTERVAL {P.STALE_PR_DAYS} DAY)::INT) AS BIGINT) AS n_stale
+FROM bench_prs WHERE state = 'open' GROUP BY 1"""
+    return with_views(body, "bench_prs")

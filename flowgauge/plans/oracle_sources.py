@@ -103,6 +103,17 @@ SELECT 'quarantine', 'missing: source_id', count(*) FROM deliveries WHERE seq %
                       "bench_team_repo", "bench_team", extra=[("envelope_keys", ENVELOPE_KEYS)])
 
 
+def stream_quarantine_sql() -> str:
+    body = """
+SELECT 'missing: source_id' AS reason, source, event_type, count(*) AS events FROM (
+  SELECT source, event_type, seq FROM envelope_keys
+  UNION ALL
+  SELECT source, event_type, ((seq // 4) + 3600000000) * 4 + 2 FROM envelope_keys WHERE seq % 7 = 0) d
+WHERE seq % 101 = 0 GROUP BY source, event_type"""
+    return with_views(body, "bench_runs", "bench_prs", "bench_reviews", "bench_issues", "bench_ai_usage",
+                      "bench_team_repo", "bench_team", extra=[("envelope_keys", ENVELOPE_KEYS)])
+
+
 def usage_quarantine_sql() -> str:
     return with_views("""
 SELECT CASE WHEN sessions % 7 = 0 THEN '{not json' ELSE '{"user_login": null, "day": "2024-01-01"}' END AS record,

@@ -17,6 +17,9 @@ HOTFIX_PATTERN = "hotfix|rollback|revert"
 # A deploy counts as failed when a remediation follows within this many hours.
 REMEDIATION_HOURS = 48
 METRIC_LOGIC_VERSION = "v1"
+# Lead times are cut at this many days; an open PR without activity for longer is stale.
+LEAD_CAP_DAYS = 90
+STALE_PR_DAYS = 7
 # Metric keys as stored in the daily mart.
 MK_DEPLOY_FREQ = "deployment_frequency"
 MK_LEAD_TIME = "lead_time_p50_hours"
@@ -41,6 +44,8 @@ STUCK_AFTER_MINUTES = 35
 # Time-to-first-value target (minutes).
 TARGET_MINUTES = 30
 # ----------------------------------------------------------------------------
+# Upper ends of the age bands of open PRs, in days.
+AGE_BANDS_DAYS = (1, 3, 7, 14)
 
 
 @dataclass(frozen=True)

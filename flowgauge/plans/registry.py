@@ -22,14 +22,27 @@ from . import views as V
 from .params import DEFAULT, Params
 
 
-LAYOUT_VERSION = "7"
+LAYOUT_VERSION = "8"
+
+
+def input_mark(spark: SparkSession, base: str) -> str:
+    """Names, times, sizes and file counts of the tables of a folder, as one text."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(base)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.listStatus(folder):
+        held = fs.getContentSummary(status.getPath())
+        found.append(f"{status.getPath().getName()}:{status.getModificationTime()}:{held.getLength()}:{held.getFileCount()}")
+    return ",".join(sorted(found))
 
 
 class Domain:
     """Lazily built domain views over one scale-factor folder."""
 
-    def __init__(self, spark: SparkSession, base: str, p: Params = DEFAULT):
+    def __init__(self, spark: SparkSession, base: str, p: Params = DEFAULT, mark: str | None = None):
         self.spark, self.base, self.p = prepare(spark), base, p
+        self.mark = mark or input_mark(spark, base)
 
     @cached_property
     def runs(self) -> DataFrame:
@@ -68,9 +81,10 @@ class Domain:
         return V.audit_log(self.spark, self.base)
 
     def _table(self, name: str) -> str:
-        # The tag covers the input folder and the layout version of the
-        # derived tables, so a changed builder never reuses stale output.
-        tag = hashlib.sha1(f"{LAYOUT_VERSION}:{os.path.abspath(self.base)}".encode()).hexdigest()[:12]
+        # The tag covers the input folder, the sizes and times of its tables and
+        # the layout version of the derived tables, so neither a changed builder
+        # nor changed input reuses stale output.
+        tag = hashlib.sha1(f"{LAYOUT_VERSION}:{os.path.abspath(self.base)}:{self.mark}".encode()).hexdigest()[:12]
         return table_root(self.spark, f"domain-{tag}", name)
 
     @cached_property
@@ -118,11 +132,12 @@ _DOMAINS: dict[tuple, Domain] = {}
 
 
 def domain(spark: SparkSession, base: str) -> Domain:
-    """One lazily built set of views per (session, folder): the DataFrame
-    definitions are shared between queries; nothing is cached as data."""
-    key = (id(spark), spark.sparkContext.applicationId, base)
+    """One lazily built set of views per (session, folder, state of its tables):
+    the DataFrame definitions are shared between queries; nothing is cached as data."""
+    mark = input_mark(spark, base)
+    key = (id(spark), spark.sparkContext.applicationId, base, mark)
     if key not in _DOMAINS:
-        _DOMAINS[key] = Domain(spark, base)
+        _DOMAINS[key] = Domain(spark, base, mark=mark)
     return _DOMAINS[key]
 
 
@@ -148,6 +163,10 @@ register("pr_velocity", O.metric_sql("pr_velocity"))(
     lambda d: M.pr_velocity(d.prs, d.team_repo, d.p))
 register("pr_cycle_time_p50", O.metric_sql("pr_cycle_time_p50"))(
     lambda d: M.pr_cycle_time(d.prs, d.team_repo, d.p))
+register("cfr_chain_attribution", O.chain_sql())(lambda d: M.cfr_chain_attribution(d.runs, d.team_repo, d.p))
+register("lead_time_percentiles", O.lead_percentiles_sql())(
+    lambda d: M.lead_time_percentiles(d.runs, d.prs, d.team_repo, d.p))
+register("open_pr_age_buckets", O.open_age_sql())(lambda d: M.open_pr_age_buckets(d.prs, d.p))
 register("build_mart", O.build_mart_sql())(lambda d: d.mart)
 
 # --- Q8-Q26: dashboards -------------------------------------------------------
@@ -295,13 +314,20 @@ from ..streaming import stream_state as ST  # noqa: E402
 
 
 def _streamed(d: Domain) -> str:
-    """Land the delivery stream in arrival order and run the ingest stream over
-    it once per domain; returns the folder holding the state tables."""
+    """Land the delivery stream in arrival order as JSON, slice by slice, and run
+    the ingest stream after each; every 101st delivery comes a second time without
+    its ``source_id``. Returns the folder holding the state tables. A slice that
+    was cut off is landed anew; one that was processed is not read again."""
     src, root = d._table("landing_ordered"), d._table("stream")
-    if not _exists(d.spark, src + "_done/_SUCCESS"):
-        ST.land_in_arrival_order(d.raw, src)
-        d.spark.createDataFrame([("done",)], "v string").write.mode("overwrite").parquet(src + "_done")
-    ST.stream_state(d.spark, src, root, root + "/_checkpoint", schema=d.raw.schema)
+    if _exists(d.spark, src + "_done/_SUCCESS"):
+        return root
+    for i, part in enumerate(ST.arrival_slices(d.raw)):
+        folder = f"{src}/slice-{i}"
+        if not _exists(d.spark, folder + "/_SUCCESS"):
+            faulty = part.filter(F.col("seq") % 101 == 0).withColumn("source_id", F.lit(None).cast("string"))
+            part.unionByName(faulty).write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
+        ST.stream_state(d.spark, src + "/slice-*", root, root + "/_checkpoint")
+    d.spark.createDataFrame([("done",)], "v string").write.mode("overwrite").parquet(src + "_done")
     return root
 
 
@@ -317,6 +343,16 @@ register("stream_issue_state", OS.issue_state_sql())(
 register("stream_run_state", OS.run_state_sql())(
     lambda d: read_state(d.spark, _streamed(d) + "/workflow_run_state").select(
         "repo", "run_id", "conclusion", "name", "ts", "last_received_at"))
+register("stream_review_state", OS.review_state_sql())(
+    lambda d: read_state(d.spark, _streamed(d) + "/pull_request_review_state").select(
+        "repo", "pr_number", "review_id", "reviewer_login", "state", "submitted_at", "last_received_at"))
+register("stream_usage_state", OS.usage_state_sql())(
+    lambda d: read_state(d.spark, _streamed(d) + "/ai_usage_state").select(
+        "source", "actor_key", "day", "sessions", F.col("cost_usd").cast("double").alias("cost_usd"), "prs", "tokens_input",
+        "tokens_output", "accepted_suggestions", "last_received_at"))
+register("stream_quarantine", OSRC.stream_quarantine_sql())(
+    lambda d: ST.quarantine_table(d.spark, _streamed(d)).groupBy("reason", "source", "event_type").agg(
+        F.count(F.lit(1)).alias("events")))
 register("stream_connector_activity", OS.connector_activity_sql())(
     lambda d: ST.connector_activity_table(d.spark, _streamed(d)))
 

@@ -115,22 +115,42 @@ def _fields(ddl: str) -> str:
 
 
 # --------------------------------------------------------------------- S3 ----
-def read_envelopes(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "json"):
-    """S3: typed envelope scan (batch or stream). All six fields are required;
-    returns ``(good, bad)`` where ``bad`` carries a reason for the quarantine
-    and, for a line that is no JSON, its text in ``record``."""
+# Arrival numbers of landed files: landing time in milliseconds, then the place of
+# the row in its task.
+PLACE_BITS = 22
+
+
+def scan_envelopes(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "json") -> DataFrame:
+    """S3, first half: the typed scan of landed envelopes (batch or stream), with
+    the broker's own arrival number ``seq`` where the files carry one, the time
+    the file landed, and the text of a line that is no JSON (``record``)."""
     reader = spark.readStream if streaming else spark.read
+    fields = [*ENVELOPE.fields, T.StructField("seq", T.LongType())]
     if fmt == "json":
-        schema = T.StructType([*ENVELOPE.fields, T.StructField("record", T.StringType())])
+        schema = T.StructType([*fields, T.StructField("record", T.StringType())])
         df = reader.schema(schema).option("columnNameOfCorruptRecord", "record").json(path)
     else:
-        df = reader.schema(ENVELOPE).format(fmt).load(path).withColumn("record", F.lit(None).cast("string"))
-    missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED]
-    lacks = F.concat_ws(",", *missing)
+        df = reader.schema(T.StructType(fields)).format(fmt).load(path).withColumn("record", F.lit(None).cast("string"))
+    return df.select("*", F.col("_metadata.file_modification_time").alias("landed_at"))
+
+
+def split_envelopes(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S3, second half: ``(good, bad)``. All six fields are required; ``bad`` has a
+    reason for the quarantine. A good envelope without an arrival number gets one
+    from its file's landing time and its place, so a load keeps its order."""
+    lacks = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED])
     reason = F.when(F.col("record").isNotNull(), F.lit("unreadable line")).when(lacks != "", F.concat(F.lit("missing: "), lacks))
-    marked = df.withColumn("reason", reason)
-    good = marked.filter(F.col("reason").isNull()).drop("reason", "record")
-    return good, marked.filter(F.col("reason").isNotNull())
+    marked = scanned.withColumn("reason", reason)
+    good = marked.filter(F.col("reason").isNull())
+    if not scanned.isStreaming:  # a stream is numbered batch by batch
+        place = F.pmod(F.monotonically_increasing_id(), F.lit(1 << PLACE_BITS))
+        good = good.withColumn("seq", F.coalesce("seq", F.shiftleft(F.unix_millis("landed_at"), PLACE_BITS) + place))
+    return good.drop("reason", "record", "landed_at"), marked.filter(F.col("reason").isNotNull()).drop("landed_at")
+
+
+def read_envelopes(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "json"):
+    """S3: typed envelope scan (batch or stream) as ``(good, bad)``."""
+    return split_envelopes(scan_envelopes(spark, path, streaming, fmt))
 
 
 # ---------------------------------------------------------------- S4 - S9 ----

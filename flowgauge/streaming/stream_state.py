@@ -2,6 +2,7 @@
 
 ``readStream`` over landed envelope files, ``foreachBatch`` per micro-batch:
 
+0. unreadable envelopes and those that lack a field go to the quarantine (K4);
 1. connector activity (D4) from every delivery, duplicates included;
 2. exact dedup (D1): first arrival per natural key inside the batch, then an
    anti-join against the stored raw table (state grows with the table, which is
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from ..operators import extract as E
 from ..operators import state as S
 from ..plans import params as P
+from ..sources import readers as R
 from ..sources.sinks import _exists, write_state
 from ..operators.state import NATURAL_KEY, dedup_events
 
@@ -44,6 +46,9 @@ STATE_TABLE = {"workflow_run": "workflow_run_state", "jenkins_build": "workflow_
 
 def process_batch(batch: DataFrame, epoch_id: int, root: str) -> None:
     spark = batch.sparkSession
+    # S3: envelopes that cannot be read or lack a field are kept as dead letters (K4).
+    batch, bad = R.split_envelopes(batch)
+    bad.write.mode("overwrite").parquet(f"{root}/quarantine/epoch={epoch_id}")
     raw_path, act_path = f"{root}/raw_event", f"{root}/connector_activity"
     # Activity over all deliveries (tiny: one row per source).
     act = S.connector_activity(batch).withColumn("epoch", F.lit(epoch_id))
@@ -69,16 +74,19 @@ def process_batch(batch: DataFrame, epoch_id: int, root: str) -> None:
             updates = updates.unionByName(x)
         entity = next(e for e, t in STATE_TABLE.items() if t == table)
         _, keys, sticky = ENTITIES[entity]
+        # payloads are parsed once a batch: the merge reads its updates several times
+        staged = f"{root}/_updates/{table}"
+        updates.write.mode("overwrite").parquet(staged)
+        updates = spark.read.schema(updates.schema).parquet(staged)
         write_state(updates, keys, f"{root}/{table}", sticky=sticky)
 
 
 def stream_state(spark: SparkSession, source_path: str, root: str, checkpoint: str,
-                 files_per_trigger: int = 1, fmt: str = "parquet", schema=None):
-    """Run the ingest stream over ``source_path`` until all available files are
-    processed (``availableNow``); state tables land under ``root``."""
-    schema = schema or spark.read.format(fmt).load(source_path).schema
-    stream = (spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger)
-              .load(source_path))
+                 fmt: str = "json"):
+    """Run the ingest stream over landed envelope files (S3) until all that are
+    there are processed (``availableNow``); state tables, and the dead letters in
+    ``quarantine``, land under ``root``."""
+    stream = R.scan_envelopes(spark, source_path, streaming=True, fmt=fmt)
     q = (stream.writeStream.foreachBatch(lambda df, eid: process_batch(df, eid, root))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -98,18 +106,20 @@ def bounded_dedup(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
     return stream.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(NATURAL_KEY)
 
 
-def land_in_arrival_order(env: DataFrame, path: str, slices: int = 4) -> None:
-    """Test harness for the stream: land envelopes as ``slices`` successive
-    files in arrival (seq) order, one file per slice, so a file stream with one
-    file per trigger replays them as ordered micro-batches (a broker delivers
-    in order; a folder of files written in parallel does not). The slice
-    bounds are a handful of approximate quantiles of ``seq``."""
+def quarantine_table(spark: SparkSession, root: str) -> DataFrame:
+    """Dead letters of all processed micro-batches."""
+    return spark.read.parquet(f"{root}/quarantine")
+
+
+def arrival_slices(env: DataFrame, slices: int = 4) -> list[DataFrame]:
+    """Test harness for the stream: the envelopes cut into successive ranges of
+    arrival numbers. A slice is landed (by many tasks) once its predecessor was
+    processed, as a broker delivers in order. The bounds are a handful of
+    approximate quantiles of ``seq``."""
     bounds = env.approxQuantile("seq", [i / slices for i in range(1, slices)], 0.001)
     edges = [None, *bounds, None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        part = env
-        if lo is not None:
-            part = part.filter(F.col("seq") > F.lit(lo))
-        if hi is not None:
-            part = part.filter(F.col("seq") <= F.lit(hi))
-        part.coalesce(1).sortWithinPartitions("seq").write.mode("append").parquet(path)
+    found = []
+    for low, high in zip(edges[:-1], edges[1:]):
+        part = env if low is None else env.filter(F.col("seq") > F.lit(low))
+        found.append(part if high is None else part.filter(F.col("seq") <= F.lit(high)))
+    return found

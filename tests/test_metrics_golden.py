@@ -85,3 +85,21 @@ def test_recompute_is_idempotent(spark, empty_tr):
     a = sorted(map(tuple, M.build_mart(runs, prs, empty_tr, P).drop("computed_at").collect()))
     b = sorted(map(tuple, M.build_mart(runs, prs, empty_tr, P).drop("computed_at").collect()))
     assert a == b and len(a) == len(set(a))
+
+
+def test_chain_is_charged_to_its_earliest_deploy(spark, empty_tr):
+    runs = spark.createDataFrame([
+        ("o/a", "1", "deploy", "success", h(5)), ("o/a", "2", "deploy", "success", h(4)), ("o/a", "3", "hotfix", "success", h(3)),
+        ("o/b", "4", "deploy rollback", "success", h(3)),  # a remediation is no failure of its own
+    ], RUNS)
+    got = rows(M.cfr_chain_attribution(runs, empty_tr, P))
+    day = h(5).date()
+    assert got[("o/a", day)] == (0.5, 2) and got[("o/b", day)] == (0.0, 1) and got[("*", day)][1] == 3
+
+
+def test_lead_times_are_cut_and_counted(spark, empty_tr):
+    prs = spark.createDataFrame([("o/a", 1, h(24 * 100), h(40)), ("o/a", 2, h(48), h(40))], PRS)
+    runs = spark.createDataFrame([("o/a", "9", "deploy", "success", h(38))], RUNS)
+    got = {r["scope_id"]: r for r in M.lead_time_percentiles(runs, prs, empty_tr, P).collect()}["o/a"]
+    assert (got["n_changes"], got["n_capped"], got["p50_hours"]) == (2, 1, (10 + 24 * 90) / 2)
+    assert abs(got["p90_hours"] - (10 + 0.9 * (24 * 90 - 10))) < 1e-9

@@ -38,8 +38,23 @@ def test_stream_ingest_keeps_first_delivery_and_latest_state(spark):
     _land(spark, src, [("github", "pr:7:a", "pull_request.snapshot", T0 + dt.timedelta(hours=5), "1", pr % "open", 8),
                        ("github", "pr:7:b", "pull_request.snapshot", T0 + dt.timedelta(hours=2), "1", pr % "closed", 9)])
     out = os.path.join(root, "tables")
-    ST.stream_state(spark, src, out, os.path.join(root, "ck"))
+    ST.stream_state(spark, src, out, os.path.join(root, "ck"), fmt="parquet")
     st = read_state(spark, out + "/pull_request_state").head()
     assert (st["state"], st["last_received_at"]) == ("closed", T0 + dt.timedelta(hours=2))
     raw = spark.read.parquet(out + "/raw_event")
     assert raw.count() == 2 and raw.filter("source_id = 'pr:7:a'").head()["seq"] == 4
+
+
+def test_stream_reads_landed_json_and_keeps_dead_letters(spark):
+    root = tempfile.mkdtemp(prefix="fg-stream-", dir="/tmp")
+    src, out = os.path.join(root, "in"), os.path.join(root, "tables")
+    os.makedirs(src)
+    pr = '{\\"id\\": 7, \\"number\\": 7, \\"state\\": \\"%s\\", \\"base\\": {\\"repo\\": {\\"full_name\\": \\"o/a\\"}}}'
+    line = '{"source": "github", %s"event_type": "pull_request.snapshot", "received_at": "2024-01-01T00:00:00Z", "connector_version": "1", "payload": "%s"}'
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.write("\n".join([line % ('"source_id": "pr:7:a", ', pr % "open"), line % ('"source_id": "pr:7:b", ', pr % "closed"), line % ("", "{}"), "{no json"]))
+    ST.stream_state(spark, src, out, os.path.join(root, "ck"))
+    # equal times: the earlier line stays
+    assert [r["state"] for r in read_state(spark, out + "/pull_request_state").collect()] == ["open"]
+    bad = {r["reason"]: r["record"] for r in ST.quarantine_table(spark, out).collect()}
+    assert bad == {"missing: source_id": None, "unreadable line": "{no json"}
