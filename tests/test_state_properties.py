@@ -49,7 +49,10 @@ def test_dedup_is_idempotent(spark):
 
 def test_entry_schema(spark):
     import __spark_entry__ as E
+    from flowgauge.plans.registry import ORACLE, QUERIES
     assert E.entry(spark).schema.simpleString() == (
         "struct<metric_key:string,scope_type:string,scope_id:string,day:date,value:double,sample_size:bigint,"
         "metric_logic_version:string,computed_at:timestamp>")
-    assert set(E.queries()) == set(E.oracle_sql())
+    # every query of the reference's own operators has a twin; others may lack one
+    assert set(QUERIES) == set(ORACLE) <= set(E.queries())
+    assert set(E.oracle_sql()) <= set(E.queries())
