@@ -131,8 +131,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     found = None
     for length in lengths or [window]:
         side = items.where(F.col("length") == length).drop("length")
-        joined = windows(rows, length).join(F.broadcast(side) if small else side, "h")
-        part = _sliced(joined, length, "doc_").where("doc_tokens = item_tokens").drop("doc_tokens")
+        if small:
+            joined = _sliced(windows(rows, length).join(F.broadcast(side), "h"), length, "doc_")
+        else:  # a window travels with its own tokens only, never with its whole text
+            joined = _sliced(windows(rows, length), length, "doc_").join(side, "h")
+        part = joined.where("doc_tokens = item_tokens").drop("doc_tokens")
         found = part if found is None else found.unionByName(part)
     slots = F.filter(
         F.transform(
