@@ -32,6 +32,8 @@ TILES = [
     ("pr_velocity", "PR velocity", "merged PRs", "sum"),
     ("pr_cycle_time_p50_hours", "PR cycle time", "hours (median)", "latest"),
 ]
+# Metrics whose falling value is good; the others should rise.
+LOWER_IS_BETTER = ["lead_time_p50_hours", "change_failure_rate", "mttr_p50_hours", "pr_cycle_time_p50_hours"]
 # Review stages in display order.
 STAGES = ["open_to_first_review", "first_review_to_approval", "approval_to_merge"]
 # Aging PR sort keys accepted (anything else falls back to age).
@@ -50,6 +52,7 @@ def cockpit_tiles(mart: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
     """Q8 (+W3, A10-A12): one row per tile for ``p.scope`` over the last
     ``p.days`` + 1 calendar days (the window includes both end days)."""
     spark = mart.sparkSession
+    p = p.asked()
     m = mart.filter(F.col("metric_key").isin([t[0] for t in TILES]) & (F.col("scope_id") == p.scope)
                     & in_day_window("day", p.as_of, p.days))
     agg = m.groupBy("metric_key").agg(
@@ -67,27 +70,31 @@ def cockpit_tiles(mart: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
     value = (F.when(agg_col == "sum", F.col("_sum"))
              .when(agg_col == "rate", F.when(F.col("_n") > 0, F.round(F.col("_wn") / F.col("_n"), 4)))
              .otherwise(F.col("_latest")))
-    trend = F.when((F.col("n_days") >= 2) & (F.col("_first") != 0),
-                   F.round((F.col("_latest") - F.col("_first")) / F.abs(F.col("_first")) * 100, 4))
+    has_trend = (F.col("n_days") >= 2) & (F.col("_first") != 0)
+    trend = F.when(has_trend, F.round((F.col("_latest") - F.col("_first")) / F.abs(F.col("_first")) * 100, 4))
+    good = F.when(F.col("metric_key").isin(LOWER_IS_BETTER), F.col("_latest") <= F.col("_first")).otherwise(
+        F.col("_latest") >= F.col("_first"))
     return j.select("metric_key", "label", "unit", "aggregation",
                     F.round(value, 6).alias("value"),
                     F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("sample_size"),
                     F.coalesce(F.col("n_days"), F.lit(0)).cast("long").alias("n_days"),
-                    trend.alias("trend_pct"),
+                    trend.alias("trend_pct"), F.when(has_trend, good).alias("trend_is_good"),
                     F.col("_computed").alias("computed_at"))
 
 
 def cockpit_series(mart: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
-    """Each tile's daily series (one row per metric and day)."""
+    """Each tile's daily series (one row per metric and day), in order."""
+    p = p.asked()
     return mart.filter(F.col("metric_key").isin([t[0] for t in TILES]) & (F.col("scope_id") == p.scope)
-                       & in_day_window("day", p.as_of, p.days)).select("metric_key", "day", "value", "sample_size")
+                       & in_day_window("day", p.as_of, p.days)).select(
+                           "metric_key", "day", "value", "sample_size").orderBy("metric_key", "day")
 
 
 def dora_tiers(tiles: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
     """Q9: DORA band and score of the four core tiles (no value -> score 0)."""
     core = tiles.filter(F.col("metric_key").isin("deployment_frequency", "lead_time_p50_hours",
                                                  "change_failure_rate", "mttr_p50_hours"))
-    tier = C.dora_tier("metric_key", "value", "sample_size", p.days)
+    tier = C.dora_tier("metric_key", "value", "sample_size", p.asked().days)
     return core.select("metric_key", tier.alias("tier"), C.tier_score(tier).alias("score"))
 
 
@@ -113,6 +120,7 @@ def first_reviews(reviews: DataFrame) -> DataFrame:
 def cycle_stages(prs: DataFrame, reviews: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
     """Q11: org/team/repo-scoped median hours of three review stages, each over
     its own non-null set, 1 dp; negatives and self-reviews kept."""
+    p = p.asked()
     pr = scope_repos(prs.filter(F.col("number").isNotNull() & in_window("created_at", p.as_of, p.days)),
                      p.scope, team_repo).select("repo", "number", "created_at", "merged_at")
     fr = first_reviews(reviews).withColumnRenamed("pr_number", "number")
@@ -133,6 +141,7 @@ def cycle_stages(prs: DataFrame, reviews: DataFrame, team_repo: DataFrame, p: Pa
 
 def reviewer_load(reviews: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT, n: int = 10) -> DataFrame:
     """Q12 (O1): top reviewers by reviews submitted in the window."""
+    p = p.asked()
     r = scope_repos(reviews.filter(F.col("reviewer_login").isNotNull()
                                    & in_window("submitted_at", p.as_of, p.days)), p.scope, team_repo)
     return (r.groupBy("reviewer_login").agg(F.count(F.lit(1)).alias("reviews"))
@@ -140,6 +149,7 @@ def reviewer_load(reviews: DataFrame, team_repo: DataFrame, p: Params = P.DEFAUL
 
 
 def _aging_base(prs: DataFrame, team_repo: DataFrame, p: Params, repo_filter: str | None) -> DataFrame:
+    p = p.asked()
     pr = prs.filter((F.col("state") == "open") & F.col("number").isNotNull()
                     & in_window("created_at", p.as_of, p.days) & repo_like("repo", repo_filter))
     return scope_repos(pr, p.scope, team_repo)
@@ -160,9 +170,11 @@ def aging_prs_page(prs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT,
     order += [F.col("repo").asc(), F.col("number").asc()]
     as_of = F.lit(p.as_of).cast("timestamp")
     base = _aging_base(prs, team_repo, p, repo_filter)
+    age = C.whole_hours("created_at", as_of)
+    band = F.when(age >= P.LATE_HOURS, "late").when(age >= P.AGING_HOURS, "aging").otherwise("fresh")
     return (base.orderBy(*order).offset(page * size).limit(size)
             .select(F.concat(F.lit("#"), F.col("number").cast("string")).alias("id"), "title", "repo", "author",
-                    C.whole_hours("created_at", as_of).alias("age_hours"),
+                    age.alias("age_hours"), band.alias("age_band"),
                     F.array_join("requested_reviewers", ",").alias("reviewers"),
                     F.lit(None).cast("long").alias("size_lines")))
 
@@ -180,6 +192,7 @@ def classify(prs: DataFrame, issues: DataFrame, team_repo: DataFrame, p: Params
     """C8 + J6: category per PR created in the window. Precedence: no key or no
     matching issue -> Unclassifiable; reopened -> Rework; bug -> Unplanned;
     else Planned."""
+    p = p.asked(P.MAX_DAYS_INVESTMENT)
     pr = scope_repos(prs.filter(in_window("created_at", p.as_of, p.days)), p.scope, team_repo).select(
         "repo", "created_at", C.issue_key("title").alias("issue_key"))
     iss = issues.select("issue_key", "issue_type", "reopened")
@@ -234,7 +247,7 @@ def unclassifiable_share(breakdown: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- AI cost ----
 def _usage_window(usage: DataFrame, p: Params) -> DataFrame:
-    return usage.filter(in_day_window("day", p.as_of, p.days))
+    return usage.filter(in_day_window("day", p.as_of, p.asked().days))
 
 
 def _cents(x) -> F.Column:
@@ -302,7 +315,8 @@ def developer_allocation(usage: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
 def ai_impact(prs: DataFrame, p: Params = P.DEFAULT, min_prs: int = P.MIN_PRS_PER_BUCKET) -> DataFrame:
     """Q23: median created -> merged hours of AI-assisted vs other PRs merged
     since the window's first day (1 dp before use); null when a side has fewer
-    than ``min_prs`` PRs; AI share 4 dp."""
+    than ``min_prs`` PRs; AI share 4 dp; few AI-assisted PRs are flagged."""
+    p = p.asked()
     start = dt.datetime.combine(p.as_of.date() - dt.timedelta(days=p.days), dt.time())
     m = prs.filter(F.col("merged_at").isNotNull() & F.col("created_at").isNotNull()
                    & (F.col("merged_at") >= F.lit(start).cast("timestamp")))
@@ -317,7 +331,8 @@ def ai_impact(prs: DataFrame, p: Params = P.DEFAULT, min_prs: int = P.MIN_PRS_PE
     share = C.ratio_half_up(F.col("ai_prs"), F.col("ai_prs") + F.col("other_prs"), 4) / F.lit(10000.0)
     return w.select(F.when(ok, F.col("ai_h")).alias("ai_median_hours"),
                     F.when(ok, F.col("other_h")).alias("other_median_hours"),
-                    "ai_prs", "other_prs", F.when(ok, share).alias("ai_share"), ok.alias("enough_data"))
+                    "ai_prs", "other_prs", F.when(ok, share).alias("ai_share"), ok.alias("enough_data"),
+                    F.when(ok, F.col("ai_prs") < P.SMALL_SAMPLE_PRS).alias("small_sample"))
 
 
 def ai_roi(impact: DataFrame, kpis: DataFrame, p: Params = P.DEFAULT) -> DataFrame:

@@ -6,7 +6,7 @@ passed in explicitly, so a recompute is reproducible and testable.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 # --- fixed values that must equal the reference's defaults -------------------
 # Deploy rule: a successful workflow run whose name matches (case-insensitive,
@@ -35,6 +35,14 @@ COPILOT_MONTHLY_SEAT_USD = 19
 LICENSED_SEATS = 30
 HOURLY_RATE_USD = 85
 MIN_PRS_PER_BUCKET = 3
+# Below this many AI-assisted PRs the comparison is flagged as a small sample.
+SMALL_SAMPLE_PRS = 10
+# Widest windows a request may ask for, in days: in general, and of the investment reports.
+MAX_DAYS = 90
+MAX_DAYS_INVESTMENT = 180
+# Age bands of the open-PR list: lower ends in hours.
+AGING_HOURS = 48
+LATE_HOURS = 72
 TOOL_LABEL_CLAUDE = "Claude Code"
 TOOL_LABEL_COPILOT = "GitHub Copilot"
 # Connector health: no activity for this long means STALE.
@@ -62,6 +70,10 @@ class Params:
     asof_slot_seconds: int = 3600
     extra: dict = field(default_factory=dict)
 
+    def asked(self, most: int = MAX_DAYS) -> Params:
+        """F8: these parameters with the window clamped to 1..``most`` days."""
+        return replace(self, days=max(1, min(most, int(self.days))))
+
     @property
     def as_of_sql(self) -> str:
         return self.as_of.strftime("%Y-%m-%d %H:%M:%S")

@@ -418,14 +418,30 @@ register("investment_breakdown_team", OD.breakdown_sql(_TEAM0))(
 # --- K5: cockpit report export, read back ------------------------------------------
 from ..sources.sinks import export_report_csv  # noqa: E402
 
-_TILE_CSV = "metric_key string, label string, unit string, aggregation string, value double, sample_size long"
+_REPORT_BLOCKS = {
+    "about": "name string, value string",
+    "summary": "metric string, label string, aggregate double, unit string, sample_size long, tier string",
+    "series": "metric string, day date, value double",
+}
 
 
-def _exported_report(d: Domain) -> DataFrame:
-    folder = d._table("report_csv")
+def _exported_report(d: Domain, block: str) -> DataFrame:
+    folder = d._table(f"report_csv-{block}")
     tiles = D.cockpit_tiles(d.stored_mart, d.p)
-    export_report_csv(tiles, D.cockpit_series(d.stored_mart, d.p), folder)
-    return d.spark.read.schema(_TILE_CSV).option("header", True).option("escape", '"').csv(folder + "/summary")
-
-
-register("export_report_csv", OD.report_csv_sql())(_exported_report)
+    export_report_csv(tiles, D.cockpit_series(d.stored_mart, d.p), folder, d.p.scope, d.p.days)
+    return d.spark.read.schema(_REPORT_BLOCKS[block]).option("header", True).option("escape", '"').csv(f"{folder}/{block}")
+
+
+register("export_report_csv", OD.report_csv_sql())(lambda d: _exported_report(d, "summary"))
+register("export_report_series", OD.report_series_sql())(
+    lambda d: _exported_report(d, "series").withColumn("value", F.round("value", 6)))
+register("export_report_about", OD.report_about_sql())(lambda d: _exported_report(d, "about"))
+
+# --- F8: requests for a window wider than allowed get the widest one -----------------
+_WIDE = _dc.replace(DEFAULT, days=4000)
+register("aging_prs_wide", OD.aging_page_sql(_dc.replace(DEFAULT, days=90), size=100))(
+    lambda d: D.aging_prs_page(d.prs, d.team_repo, _WIDE, size=5000))
+register("investment_breakdown_wide", OD.breakdown_sql(_dc.replace(DEFAULT, days=180)))(
+    lambda d: D.investment_breakdown(D.classify(d.prs, d.issues, d.team_repo, _WIDE)))
+register("ai_spend_kpis_wide", OD.kpis_sql(_dc.replace(DEFAULT, days=90)))(
+    lambda d: D.ai_spend_kpis(d.ai_usage, _WIDE))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import columns as C
 from ..operators.state import NATURAL_KEY, dedup_events, latest_state
 from ..session import checkpoint_dir
 
@@ -124,11 +125,19 @@ def write_mart(mart: DataFrame, path: str, window: tuple[dt.date, dt.date] | Non
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def export_report_csv(tiles: DataFrame, series: DataFrame, path: str) -> None:
-    """K5: cockpit report as CSV: a summary block and the daily series, with
-    RFC-4180 quoting (quote every field that needs it, double embedded quotes)."""
+def export_report_csv(tiles: DataFrame, series: DataFrame, path: str, scope: str = "*", days: int = 30) -> None:
+    """K5: cockpit report as three CSV folders with RFC-4180 quoting: ``about``
+    (scope, window, time of the figures), ``summary`` (one line a tile, with its
+    DORA tier) and ``series`` (one line a tile and day, in order). The first two
+    hold a handful of rows."""
     opts = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "false"}
-    tiles.select("metric_key", "label", "unit", "aggregation", "value", "sample_size") \
-        .coalesce(1).write.mode("overwrite").options(**opts).csv(f"{path.rstrip('/')}/summary")
-    series.select("metric_key", "day", "value").write.mode("overwrite").options(**opts).csv(
-        f"{path.rstrip('/')}/series")
+    root = path.rstrip("/")
+    as_of = F.date_format(F.max("computed_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    head = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in
+                     (("scope", F.lit(scope)), ("window_days", F.lit(str(days))), ("as_of", as_of))])
+    tiles.groupBy().agg(head.alias("head")).select(F.inline("head")).write.mode("overwrite").options(**opts).csv(f"{root}/about")
+    tier = C.dora_tier("metric_key", "value", "sample_size", days)
+    tiles.select(F.col("metric_key").alias("metric"), "label", F.col("value").alias("aggregate"), "unit", "sample_size", tier.alias("tier")) \
+        .coalesce(1).write.mode("overwrite").options(**opts).csv(f"{root}/summary")
+    series.select(F.col("metric_key").alias("metric"), "day", "value").orderBy("metric", "day") \
+        .write.mode("overwrite").options(**opts).csv(f"{root}/series")

@@ -10,6 +10,7 @@ ORDERS = {
     "spend_by_tool": lambda r: (-r.spend, r.source), "spend_trend": lambda r: r.month, "daily_spend": lambda r: r.day,
     "developer_allocation": lambda r: (-r.spend, r.actor_key, r.source), "investment_trend": lambda r: r.month_key,
     "investment_by_team": lambda r: r.team, "user_directory": lambda r: (r.display_name, r.id),
+    "cockpit_series": lambda r: (r.metric_key, r.day),
 }
 
 

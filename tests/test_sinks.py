@@ -68,9 +68,12 @@ def test_quarantine_and_csv(spark):
     K.write_quarantine(bad, "unparseable", os.path.join(root, "q"))
     q = spark.read.parquet(os.path.join(root, "q")).head()
     assert q["reason"] == "unparseable" and q["record"] == "{broken"
-    tiles = spark.createDataFrame([("m", 'Lead "time", p50', "h", "latest", 1.5, 3)],
-                                  "metric_key string, label string, unit string, aggregation string, value double, sample_size long")
+    tiles = spark.createDataFrame([("mttr_p50_hours", 'Lead "time", p50', "h", "latest", 1.5, 3, dt.datetime(2024, 1, 3))],
+                                  "metric_key string, label string, unit string, aggregation string, value double, "
+                                  "sample_size long, computed_at timestamp")
     series = spark.createDataFrame([("m", dt.date(2024, 1, 2), 1.5)], "metric_key string, day date, value double")
-    K.export_report_csv(tiles, series, os.path.join(root, "csv"))
+    K.export_report_csv(tiles, series, os.path.join(root, "csv"), "team-1", 7)
     back = spark.read.option("header", True).option("escape", '"').csv(os.path.join(root, "csv", "summary")).head()
-    assert back["label"] == 'Lead "time", p50'
+    assert back["label"] == 'Lead "time", p50' and back["tier"] == "High"
+    about = spark.read.option("header", True).csv(os.path.join(root, "csv", "about")).collect()
+    assert {r["name"]: r["value"] for r in about} == {"scope": "team-1", "window_days": "7", "as_of": "2024-01-03T00:00:00Z"}
