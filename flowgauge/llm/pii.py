@@ -33,6 +33,7 @@ from flowgauge.llm.common import documents_of, stored
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.5
 BEFORE = 40
+RUN = 256
 #: Voters and their opinion before any data: chance to be right if they speak.
 LABELERS = ("strict", "check", "gazetteer", "context", "border")
 
@@ -68,24 +69,36 @@ DOUBTS = r"(?i)(?:version|release|build|isbn|order|invoice|serial|hash|commit|pa
 
 
 def spans(text: Column, pattern: str, needs: str, valid) -> Column:
-    """Array of (start, end, value) of the matches that pass ``valid``, in code points.
+    """Array of (start, end, value, before, ahead) of the matches that pass ``valid``, in code points.
 
-    Pieces between matches and matches alternate, so their lengths add up to
-    the positions in one pass.
+    Pieces between matches and matches alternate, so their lengths add up to the
+    positions in one pass, which also hands on the last ``BEFORE`` characters:
+    the text is never searched again by position. Matches gather in runs of
+    ``RUN``, so a text full of them costs no quadratic copying.
     """
-    kind = "array<struct<start:bigint,end:bigint,value:string>>"
+    kind = "array<struct<start:bigint,end:bigint,value:string,before:string,ahead:string>>"
     possible = text.contains(needs) if len(needs) == 1 else text.rlike(needs)
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rest = lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1)))
+    pieces = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), rest(gaps).alias("next_gap"), rest(hits).alias("next_hit"))
 
     def step(state: Column, z: Column) -> Column:
         start = state["at"] + F.length(z["gap"])
         end = start + F.coalesce(F.length(z["hit"]), F.lit(0))
-        found = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), z["hit"].alias("value"))
+        before = F.right(F.concat(state["tail"], z["gap"]), F.lit(BEFORE))
+        ahead = F.when(F.length(z["next_gap"]) > 0, F.substring(z["next_gap"], 1, 1)).otherwise(F.coalesce(F.substring(z["next_hit"], 1, 1), F.lit("")))
+        found = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), z["hit"].alias("value"), before.alias("before"), ahead.alias("ahead"))
         good = z["hit"].isNotNull() & F.coalesce(valid(z["hit"]), F.lit(False))
-        return F.struct(end.cast("long").alias("at"), F.when(good, F.array_append(state["found"], found)).otherwise(state["found"]).alias("found"))
+        full = F.size(state["run"]) >= RUN
+        return F.struct(
+            end.cast("long").alias("at"),
+            F.right(F.concat(state["tail"], z["gap"], F.coalesce(z["hit"], F.lit(""))), F.lit(BEFORE)).alias("tail"),
+            F.when(good, F.when(full, F.array(found)).otherwise(F.array_append(state["run"], found))).otherwise(state["run"]).alias("run"),
+            F.when(full & good, F.array_append(state["done"], state["run"])).otherwise(state["done"]).alias("done"),
+        )
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("found"))
-    return F.when(possible, F.aggregate(pieces, first, step, lambda s: s["found"])).otherwise(F.array().cast(kind))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(kind).alias("run"), F.array().cast(f"array<{kind}>").alias("done"))
+    return F.when(possible, F.aggregate(pieces, first, step, lambda s: F.flatten(F.array_append(s["done"], s["run"])))).otherwise(F.array().cast(kind))
 
 
 def digits(value: Column) -> Column:
@@ -125,12 +138,9 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return found.otherwise(0)
 
 
-def votes(kind: str, text: Column, span: Column, strict: bool) -> Column:
+def votes(kind: str, span: Column, strict: bool) -> Column:
     """Struct of the labelers' votes and the shape number of a candidate."""
-    value = span["value"]
-    from_ = F.greatest(span["start"] - BEFORE, F.lit(0))
-    before = F.substring(text, (from_ + 1).cast("int"), (span["start"] - from_).cast("int"))
-    ahead = F.substring(text, (span["end"] + 1).cast("int"), F.lit(1))
+    value, before, ahead = span["value"], span["before"], span["ahead"]
     number = digits(value)
     if kind == "email":
         check = _vote(value.rlike(r"(?i)[a-z]") & (F.length(value) <= 254), F.length(value) > 254)
@@ -156,7 +166,7 @@ def votes(kind: str, text: Column, span: Column, strict: bool) -> Column:
 def _voted(kind: str, strict: bool):
     def run(s: Column) -> Column:
         place = [F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end")]
-        return F.struct(*place, F.lit(strict).alias("base"), votes(kind, F.col("text"), s, strict).alias("votes"))
+        return F.struct(*place, F.lit(strict).alias("base"), votes(kind, s, strict).alias("votes"))
 
     return run
 
