@@ -372,6 +372,21 @@ def test_decontamination_finds_templates(spark):
         decontam.BROADCAST_WINDOWS = by_shuffle
 
 
+def test_decontamination_of_names_anywhere(spark):
+    tom = "Tom has 3 apples. Tom buys 5 more. How many apples does Tom have now?"
+    bench = spark.createDataFrame([(1, tom), (2, QUESTION)], "item_id long, text string")
+    ann = tom.replace("Tom", "Ann").replace("3", "4").replace("5", "7")
+    wrapped = re.sub(r" (?=[A-Z])", "\n", QUESTION)
+    rows = [
+        (1, ann), (2, "seen: \"" + ann + "\""), (3, tom.lower().replace("3", "4")), (4, tom.upper()), (5, wrapped), (6, QUESTION.lower()), (7, wrapped.lower()),
+        (8, wrapped.replace("Maria", "Olga").replace("Peter", "Ivan")), (9, ann.replace("Ann buys", "Bob buys")), (10, "Clean Text. With Names. Of All. Kinds And. No Question. At All."),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(frame(spark, rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (7, 2), (8, 2)}
+    assert all(r.n_matched == r.n_windows for r in got.values())
+    assert got[1, 1].n_changed == 5 and got[3, 1].n_changed == 1 and got[4, 1].n_changed == got[7, 2].n_changed == 0 and got[8, 2].n_changed == 2
+
+
 def test_segments_against_recursion():
     rng = np.random.default_rng(0)
 
