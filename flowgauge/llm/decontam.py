@@ -17,7 +17,8 @@ consistent matches cover at least ``coverage`` of the item's windows.
 
 An item of fewer tokens than a window is one window of its own length. Windows
 with fewer than ``literals`` ordinary or different tokens (but whole short items)
-say nothing as templates and are left out. The benchmark side is broadcast up to
+say nothing as templates; they are joined on their values, so rows of numbers and
+repeated words match copies word for word only. The benchmark side is broadcast up to
 ``BROADCAST_WINDOWS`` windows, counted first; beyond that both sides are shuffled
 by the hash. A copy that changes names and drops their capitals at once is found
 only by its windows without names.
@@ -150,6 +151,7 @@ def item_windows(benchmark: DataFrame, window: int, literals: int) -> DataFrame:
     form = lambda c, kept: F.when(kept, F.struct(F.lit(c == "wide").alias("wide"), F.col(c).alias("item_tokens")))
     forms = F.array(
         form("words", whole | says["words"]),
+        form("values", ~whole & ~says["words"]),
         form("inner", (F.col("inner") != F.col("words")) & (whole | says["inner"])),
         form("wide", (F.col("wide") != F.col("inner")) & says["wide"]),
     )

@@ -387,6 +387,20 @@ def test_decontamination_of_names_anywhere(spark):
     assert got[1, 1].n_changed == 5 and got[3, 1].n_changed == 1 and got[4, 1].n_changed == got[7, 2].n_changed == 0 and got[8, 2].n_changed == 2
 
 
+def test_decontamination_of_items_full_of_slots(spark):
+    numbers, names, sums, refrain = "12 13 14 15 16 17 18 19 20 21", "Anna, Berta, Carl, Dora, Emil, Frida, Gustav, Hanna, Ida", "2 + 3 = 5, 4 + 9 = 13, 5 + 6 = 11 and 7 + 8 = 15", "la la la la la la la la la la"
+    mostly = "add 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 then tell all your very good friends about them"
+    bench = spark.createDataFrame(list(enumerate([numbers, names, sums, refrain, mostly], 1)), "item_id long, text string")
+    rows = [
+        (1, "row: " + numbers.replace(" ", "\n") + " end"), (2, "Present were " + names), (3, sums.replace(" + ", "+")), (4, "sing " + refrain), (5, mostly),
+        (6, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (7, "12 13 14 15 16 17 18 99 20 21"), (8, "3 + 2 = 5, 9 + 4 = 13, 6 + 5 = 11 and 8 + 7 = 15"), (9, "do re do re do re do re do re"), (10, "Otto, Paul, Rita, Sara, Toni, Ulla, Vera, Willi, Xaver"),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(frame(spark, rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)}
+    assert all(r.n_matched == r.n_windows and r.n_changed == 0 for r in got.values())
+    assert got[1, 1].n_windows == 3 and got[5, 5].n_windows == 18
+
+
 def test_segments_against_recursion():
     rng = np.random.default_rng(0)
 
