@@ -66,24 +66,36 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
 
 
-def bounded_labels(labels: DataFrame, column: str, parts: int, held_out: int, bound: int, salt: int) -> DataFrame:
-    """Labels of the learning folds, at most about ``bound`` rows, as (doc_id, label).
+def learning_labels(labels: DataFrame, column: str, parts: int, held_out: int) -> DataFrame:
+    """Labels of the learning folds as (doc_id, label).
 
     Rows with a null id or label are left out; a repeated id counts once, with
-    label 1 if any of its rows has 1. Above ``bound`` rows, a hash of doc_id
-    picks ``bound`` of them in expectation, the same on every run.
+    label 1 if any of its rows has 1.
     """
-    rows = (
+    return (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold(F.col("doc_id"), parts) != held_out))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
+
+
+def sampling_order(doc_id: Column, salt: int) -> Column:
+    """A number from 0 to below 1 by a hash of doc_id, the same on every run."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(salt)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+
+
+def bounded_labels(labels: DataFrame, column: str, parts: int, held_out: int, bound: int, salt: int) -> DataFrame:
+    """``learning_labels``, at most about ``bound`` rows.
+
+    Above ``bound`` rows, a hash of doc_id picks ``bound`` of them in expectation,
+    the same on every run.
+    """
+    rows = learning_labels(labels, column, parts, held_out)
     count = rows.count()
     if count <= bound:
         return rows
-    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return rows.where(share < bound / count)
+    return rows.where(sampling_order(F.col("doc_id"), salt) < bound / count)
 
 
 def any_of(conditions: list[Column]) -> Column:

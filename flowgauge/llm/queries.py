@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.llm import bpe, decontam, exact, langid, pii, quality, simhash, substring, toxicity, urlfilter
-from flowgauge.llm.common import bounded_labels, documents_of, fold, stored, table
+from flowgauge.llm.common import bounded_labels, documents_of, fold, learning_labels, stored, table
 from flowgauge.llm.oracle import SQL
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -31,7 +31,7 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_of(table(spark, sf_dir, "documents"))
-    labels = bounded_labels(table(spark, sf_dir, "labels"), "toxic", 4, 2, toxicity.LABELS, 3)
+    labels = learning_labels(table(spark, sf_dir, "labels"), "toxic", 4, 2)
     model = toxicity.train(docs, stored(labels, "labels"))
     out = docs.select("doc_id", toxicity.judge(F.col("text"), model, docs).alias("found"))
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))

@@ -10,7 +10,8 @@ its two parameters are fitted to the best segments of clean learning documents,
 and give each segment a chance value and each text the score of the union. The
 text's probability is a logistic fit to these.
 
-Labels come from at most about ``LABELS`` rows (a documented bound). A null text
+Counts, prior and extreme-value law cover every learning row; only the logistic
+fit reads a sample of at most about ``LABELS`` rows (a documented bound). A null text
 counts as empty; a text without a segment has the probability of that case.
 Without labels of both kinds every row gets the share of ones (0.5 if there are
 none). Extra columns are ignored; repeated rows are scored alike.
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import documents_of, stored
+from flowgauge.llm.common import documents_of, sampling_order, stored
 
 LABELS = 20_000
 SLOTS = 1 << 18
@@ -49,21 +50,25 @@ def slot(token: bytes) -> int:
     return xxhash.xxh32_intdigest(token, seed=9) % SLOTS
 
 
-def token_counts(rows: DataFrame) -> pd.DataFrame:
-    """(slot, toxic, other): in how many rows of (text, label) a slot occurs; each task sends at most SLOTS rows."""
+def token_counts(rows: DataFrame) -> DataFrame:
+    """(half, slot, toxic, other): in how many rows of (text, label, half) a slot occurs; slot -1
+    counts the rows. Each task sends at most 2 * SLOTS rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SLOTS), dtype=np.int64)
+        total = np.zeros((2, 2, SLOTS + 1), dtype=np.int64)
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            for text, label, half in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "half")), strict=True):
                 words = tokens(text)
+                total[half, label, SLOTS] += 1
                 if words:
-                    total[label, np.unique(np.fromiter(map(slot, words), np.int64, len(words)))] += 1
-        at = np.flatnonzero(total.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[1][at], pa.int64()), pa.array(total[0][at], pa.int64())], names=["slot", "toxic", "other"])
+                    total[half, label, np.unique(np.fromiter(map(slot, words), np.int64, len(words)))] += 1
+        for half in (0, 1):
+            at = np.flatnonzero(total[half].sum(axis=0))
+            slots = np.where(at == SLOTS, -1, at)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(at), half), slots, total[half, 1, at], total[half, 0, at])], names=["half", "slot", "toxic", "other"])
 
-    parts = rows.select("text", "label").mapInArrow(run, "slot long, toxic long, other long")
-    return parts.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas()  # SLOTS rows at most
+    parts = rows.select("text", "label", "half").mapInArrow(run, "half long, slot long, toxic long, other long")
+    return parts.groupBy("half", "slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def log_odds(toxic: np.ndarray, other: np.ndarray, toxic_texts: int, other_texts: int) -> np.ndarray:
@@ -154,15 +159,16 @@ def _evidence(found: list[tuple[int, int, float, float]]) -> tuple[float, float]
     return min(30.0, -math.log(max(best, 1e-12))), math.log1p(union)
 
 
-def extreme_value(best: np.ndarray, length: np.ndarray) -> tuple[float, float]:
-    """(lambda, log K) by moments of the length-corrected best scores of clean texts."""
-    deviation = float(np.std(best))
-    if len(best) < 10 or deviation <= 1e-9:
+def extreme_value(n: int, best: float, square: float, log_length: float) -> tuple[float, float]:
+    """(lambda, log K) by moments of the length-corrected best scores of ``n`` clean texts:
+    means of the scores, of their squares and of the logarithms of the lengths."""
+    deviation = math.sqrt(max(0.0, square - best * best))
+    if n < 10 or deviation <= 1e-9:
         return 1.0, 0.0
     rate = math.pi / math.sqrt(6) / deviation
     rate = min(max(rate, 0.2), 5.0)
     # E[max] = (log(K n) + gamma) / lambda
-    return rate, float(np.mean(rate * best - np.log(np.maximum(length, 1)))) - 0.5772156649
+    return rate, rate * best - log_length - 0.5772156649
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -180,57 +186,59 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the texts of ``docs`` that have a bounded label (doc_id, label)."""
-    rows = documents_of(docs).join(F.broadcast(labels), "doc_id")  # bounded by LABELS
-    half = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2))
-    rows = stored(rows.select("text", "label", half.cast("int").alias("half")), "labelled")  # the steps below read it several times
+    """Fit on the texts of ``docs`` that have a label (doc_id, label), however many."""
+    rows = documents_of(docs).join(labels, "doc_id")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2)).cast("int")
+    rows = rows.select("text", "label", half.alias("half"), sampling_order(F.col("doc_id"), 3).alias("order"))
     flat = Model(np.zeros(SLOTS), 1.0, 0.0, np.zeros(3), 0.5)
-    sums = rows.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
-    if not sums["n"] or sums["ones"] in (0, sums["n"]):
-        flat.constant = sums["ones"] / sums["n"] if sums["n"] else 0.5
+    counted = stored(token_counts(rows), "counts")  # 2 * SLOTS rows at most
+    texts = np.zeros((2, 2))  # by half and label
+    total = np.zeros((2, 2, SLOTS))
+    for r in counted.where("slot < 0").collect():
+        texts[r["half"]] = r["other"], r["toxic"]
+    n, ones = int(texts.sum()), int(texts[:, 1].sum())
+    if not n or ones in (0, n):
+        flat.constant = ones / n if n else 0.5
         return flat
+    found = counted.where("slot >= 0").toPandas()
+    total[found["half"], 0, found["slot"]], total[found["half"], 1, found["slot"]] = found["other"], found["toxic"]
 
-    def odds_of(part: DataFrame) -> np.ndarray:
-        found = token_counts(part)
-        texts = {r["label"]: r["n"] for r in part.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        both = np.zeros((2, SLOTS))
-        both[0, found["slot"]], both[1, found["slot"]] = found["toxic"], found["other"]
-        return log_odds(both[0], both[1], texts.get(1, 0), texts.get(0, 0))
+    def odds_of(halves: list[int]) -> np.ndarray:
+        other, toxic = total[halves].sum(axis=0)
+        return log_odds(toxic, other, *texts[halves].sum(axis=0)[::-1])
 
     # Each half of the rows is judged by the counts of the other half, as new texts will be.
-    crossed = [odds_of(rows.where(F.col("half") != k)) for k in (0, 1)]
-    spread = rows.sparkSession.sparkContext.broadcast(crossed)
-
-    def judged(what: str, columns: str) -> pd.DataFrame:
-        """A few numbers for each labelled text (LABELS rows at most), worked out where the texts are."""
-        fitted = law
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorers = [Scorer(x) for x in spread.value]
-            for batch in batches:
-                out = []
-                for text, label, k in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "half")), strict=True):
-                    words = tokens(text)
-                    found = segments(scorers[k](words))
-                    if what == "best":
-                        out.append((float(label), float(len(words)), max((s for *_, s in found), default=0.0)))
-                    else:
-                        out.append((float(label), *_evidence([(a, b, s, chance(s, len(words), *fitted)) for a, b, s in found])))
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.float64()) for c in range(3)], names=columns.split())
-
-        return rows.select("text", "label", "half").mapInArrow(run, ", ".join(f"{c} double" for c in columns.split())).toPandas()
-
-    law = (1.0, 0.0)
-    first = judged("best", "label n best")
-    best, length = first["best"].to_numpy(), first["n"].to_numpy()
-    clean = (first["label"] == 0).to_numpy() & (length > 0)
-    order = np.sort(best[clean])
-    bulk = clean & (best <= (order[int(0.98 * (len(order) - 1))] if len(order) else 0.0))  # mislabelled texts are no clean background
-    law = extreme_value(best[bulk], length[bulk])
-    model = Model(odds_of(rows), *law, np.zeros(3))
-    second = judged("evidence", "label one all")
-    x = np.column_stack([np.ones(len(second)), second["one"], second["all"]])
-    model.weights = logistic(x, second["label"].to_numpy())
+    spread = rows.sparkSession.sparkContext.broadcast([odds_of([1]), odds_of([0])])
+    kept = min(1.0, LABELS / n)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Label, length and best score of every text; of those in the sample also the segments."""
+        scorers = [Scorer(x) for x in spread.value]
+        for batch in batches:
+            out = []
+            for text, label, k, order in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "half", "order")), strict=True):
+                words = tokens(text)
+                scores = [s for *_, s in segments(scorers[k](words))]
+                out.append((label, len(words), max(scores, default=0.0), scores if order < kept else None))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())))], names=["label", "n", "best", "scores"])
+
+    first = stored(rows.mapInArrow(judged, "label long, n long, best double, scores array<double>"), "segments")
+    clean = first.where("label = 0 and n > 0")
+    top = clean.agg(F.percentile_approx("best", 0.98, 10_000)).first()[0]  # mislabelled texts are no clean background
+    bulk = clean.where(F.col("best") <= F.lit(top or 0.0))
+    moments = bulk.agg(F.count("*"), F.avg("best"), F.avg(F.col("best") * F.col("best")), F.avg(F.log("n"))).first()
+    law = extreme_value(moments[0], *(x or 0.0 for x in moments[1:]))
+    model = Model(odds_of([0, 1]), *law, np.zeros(3))
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("label", "n", "scores"))
+            out = [(float(y), *_evidence([(0, 0, s, chance(s, n, *law)) for s in scores])) for y, n, scores in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.float64()) for c in range(3)], names=["label", "one", "all"])
+
+    sample = first.where("scores is not null").mapInArrow(evidence, "label double, one double, all double").toPandas()  # about LABELS rows
+    x = np.column_stack([np.ones(len(sample)), sample["one"], sample["all"]])
+    model.weights = logistic(x, sample["label"].to_numpy())
     return model
 
 

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from flowgauge.llm import bpe, decontam, exact, langid, pii, quality, simhash, substring, toxicity, urlfilter
+from flowgauge.llm import bpe, decontam, exact, langid, pii, quality, queries, simhash, substring, toxicity, urlfilter
 from flowgauge.llm.queries import tokenizer_path
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
@@ -448,6 +448,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert [r.t.n_passages for r in out if r.doc_id == 1002] == [1]
 
 
+def test_toxicity_counts_cover_rows_beyond_the_sample(spark, monkeypatch):
+    docs, labels = labelled(n=2400)
+    docs = [(k, text + " seldom" * 3 if k % 120 == 0 else text) for k, text in docs]  # toxic texts only
+    docs.append((5000, "word1 " * 20 + "seldom seldom seldom seldom"))
+    tables = {"documents": frame(spark, docs), "labels": spark.createDataFrame(labels, "doc_id long, toxic int")}
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: tables[name])
+    monkeypatch.setattr(toxicity, "LABELS", 200)
+    got = {r.doc_id: r for r in queries.op3_toxicity(spark, "").collect()}
+    assert len(got) == len(docs) and got[5000].passages == "20-24" and got[5000].predicted == 1
+    right = [got[k].predicted == y for k, y in labels if got[k].held_out]
+    assert sum(right) / len(right) > 0.97
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(1, 1)]])
 def test_classifiers_without_both_kinds(spark, labels):
     docs = frame(spark, ROWS)
