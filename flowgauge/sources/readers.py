@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,8 +116,12 @@ def _fields(ddl: str) -> str:
 
 # --------------------------------------------------------------------- S3 ----
 # Arrival numbers of landed files: landing time in milliseconds, then the place of
-# the row in its task.
+# the row among all that landed then. A place that needs more bits runs on into the
+# next millisecond's numbers, and later rows are numbered after it.
 PLACE_BITS = 22
+# monotonically_increasing_id: row of the task in the lower bits
+ROW_BITS = 33
+SPLIT = ["landed_at", "landed_file", "landed_block"]
 
 
 def scan_envelopes(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "json") -> DataFrame:
@@ -131,21 +135,40 @@ def scan_envelopes(spark: SparkSession, path: str, streaming: bool = False, fmt:
         df = reader.schema(schema).option("columnNameOfCorruptRecord", "record").json(path)
     else:
         df = reader.schema(T.StructType(fields)).format(fmt).load(path).withColumn("record", F.lit(None).cast("string"))
-    return df.select("*", F.col("_metadata.file_modification_time").alias("landed_at"))
+    return df.select("*", F.col("_metadata.file_modification_time").alias("landed_at"),
+                     F.col("_metadata.file_path").alias("landed_file"),
+                     F.col("_metadata.file_block_start").alias("landed_block"))
+
+
+def _numbered(good: DataFrame) -> DataFrame:
+    """Arrival numbers for rows without one, in the order of landing time, file, split of
+    the file and row in the split. Splits are counted first; only one row per split
+    is put in order by a single task."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    rows = good.withColumn("_row", row)
+    splits = rows.filter(F.col("seq").isNull()).groupBy(*SPLIT).agg(
+        F.min("_row").alias("_first"), (F.max("_row") - F.min("_row") + 1).alias("_n"))
+    order = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # each split starts at its landing time or behind its predecessor, whichever is later
+    splits = splits.withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
+    ahead = F.shiftleft(F.unix_millis("landed_at"), PLACE_BITS) - F.col("_before")
+    splits = splits.withColumn("_start", F.col("_before") + F.max(ahead).over(order))
+    joined = rows.join(F.broadcast(splits.select(*SPLIT, "_start", "_first")), SPLIT, "left")
+    seq = F.coalesce("seq", F.col("_start") + F.col("_row") - F.col("_first"))
+    return joined.select(*[seq.alias("seq") if c == "seq" else F.col(c) for c in good.columns])
 
 
 def split_envelopes(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S3, second half: ``(good, bad)``. All six fields are required; ``bad`` has a
     reason for the quarantine. A good envelope without an arrival number gets one
-    from its file's landing time and its place, so a load keeps its order."""
+    from its file's landing time and its place in the load, so a load keeps its order."""
     lacks = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED])
     reason = F.when(F.col("record").isNotNull(), F.lit("unreadable line")).when(lacks != "", F.concat(F.lit("missing: "), lacks))
     marked = scanned.withColumn("reason", reason)
     good = marked.filter(F.col("reason").isNull())
     if not scanned.isStreaming:  # a stream is numbered batch by batch
-        place = F.pmod(F.monotonically_increasing_id(), F.lit(1 << PLACE_BITS))
-        good = good.withColumn("seq", F.coalesce("seq", F.shiftleft(F.unix_millis("landed_at"), PLACE_BITS) + place))
-    return good.drop("reason", "record", "landed_at"), marked.filter(F.col("reason").isNotNull()).drop("landed_at")
+        good = _numbered(good)
+    return good.drop("reason", "record", *SPLIT), marked.filter(F.col("reason").isNotNull()).drop(*SPLIT)
 
 
 def read_envelopes(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "json"):

@@ -69,6 +69,25 @@ def test_usage_report_and_envelopes(spark):
     assert lost["unreadable line"] == "{half a line" and len(lost) == 2
 
 
+def test_large_files_keep_their_order(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="fg-read-", dir="/tmp")
+    row = {"source": "s", "event_type": "e", "received_at": "2024-01-01T00:00:00Z", "connector_version": "1", "payload": "{}"}
+    for k in range(2):
+        with open(f"{root}/{k}.json", "w") as f:
+            f.writelines(json.dumps({**row, "source_id": str(10_000 * k + n)}) + "\n" for n in range(1000))
+        os.utime(f"{root}/{k}.json", (1_700_000_000, 1_700_000_000))
+    monkeypatch.setattr(R, "PLACE_BITS", 8)  # fewer than the rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        good, _ = R.read_envelopes(spark, root)
+        assert good.rdd.getNumPartitions() > 4
+        got = sorted((r.seq, int(r.source_id)) for r in good.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({n for n, _ in got}) == 2000
+    assert [k for _, k in got] == [*range(1000), *range(10_000, 11_000)]
+
+
 def test_small_amounts_are_summed_before_rounding(spark):
     entry = {"estimated_cost": {"amount": 0.004}, "tokens": {"input": 1, "output": 1}}
     payload = json.dumps({"date": "2024-01-02", "actor": {"email_address": "a@b.c"}, "model_breakdown": [entry] * 10})
