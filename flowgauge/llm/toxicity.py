@@ -20,8 +20,11 @@ none). Extra columns are ignored; repeated rows are scored alike.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,11 +42,28 @@ CERTAIN = 4.5
 DRIFT = 0.25
 SIGNIFICANT = 0.01
 STORE_WORDS = 200_000
-_PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
+_PLAIN = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
+
+
+# Scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Chinese characters.
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.category(c)[0] == "M")
+_ALONE = re.compile(f"[{_SINGLE}]")
+_WORDS = re.compile(rf"(?:[^\W_{_SINGLE}]+[{_MARKS}]*)+|(?=[^\W_])[{_SINGLE}][{_MARKS}]*")
+
+
+@lru_cache(1 << 16)
+def _is_letter(c: str) -> bool:
+    """ASCII, or a letter or digit that only goes with its neighbours."""
+    return c.isascii() or (c.isalnum() and not _ALONE.match(c))
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    """Runs of letters and digits, lower-cased; single characters of scripts without spaces. Marks stay with their letter."""
+    text = (text or "").lower()
+    if text.isascii() or all(map(_is_letter, set(text))):  # other bytes belong to words
+        return text.encode("utf-8").translate(_PLAIN).split()
+    return [w.encode("utf-8", "surrogatepass") for w in _WORDS.findall(text)]
 
 
 def slot(token: bytes) -> int:

@@ -434,6 +434,14 @@ def labelled(seed=3, n=600):
     return docs, labels
 
 
+def test_toxicity_tokens_of_any_script():
+    words = lambda text: [w.decode() for w in toxicity.tokens(text)]
+    assert words("You \u201cIdiot\u201d\u2014go\u00a0away\uff01 snake_case don't x2") == ["you", "idiot", "go", "away", "snake", "case", "don", "t", "x2"]
+    assert words("naïve Ünder cafe\u0301s, हिन्दी") == ["naïve", "ünder", "cafe\u0301s", "हिन्दी"]
+    assert words("你好，世界abc。カナ") == ["你", "好", "世", "界", "abc", "カ", "ナ"]
+    assert words(None) == words("") == words("\u2014 !") == []
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = labelled()
     given = spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, label int")
