@@ -32,7 +32,8 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_of(table(spark, sf_dir, "documents"))
     labels = learning_labels(table(spark, sf_dir, "labels"), "toxic", 4, 2)
-    model = toxicity.train(docs, stored(labels, "labels"))
+    learning = docs.where(fold(F.col("doc_id"), 4) != 2)  # no other row has a label there
+    model = toxicity.train(learning, stored(labels, "labels"))
     out = docs.select("doc_id", toxicity.judge(F.col("text"), model, docs).alias("found"))
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     score = F.col("found.score")

@@ -207,9 +207,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the texts of ``docs`` that have a label (doc_id, label), however many."""
-    rows = documents_of(docs).join(labels, "doc_id")
+    # texts meet their labels in one shuffle, at every size; the steps below read the labelled ones twice
+    rows = documents_of(docs).join(labels.hint("merge"), "doc_id")
     half = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2)).cast("int")
-    rows = rows.select("text", "label", half.alias("half"), sampling_order(F.col("doc_id"), 3).alias("order"))
+    rows = stored(rows.select("text", "label", half.alias("half"), sampling_order(F.col("doc_id"), 3).alias("order")), "labelled")
     flat = Model(np.zeros(SLOTS), 1.0, 0.0, np.zeros(3), 0.5)
     counted = stored(token_counts(rows), "counts")  # 2 * SLOTS rows at most
     texts = np.zeros((2, 2))  # by half and label
