@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm import bpe, decontam, exact, langid, pii, quality, simhash, substring, toxicity, urlfilter
+from flowgauge.llm import bpe, decontam, exact, langid, merkle, pii, quality, simhash, substring, toxicity, urlfilter, whitening
 from flowgauge.llm.common import bounded_labels, documents_of, fold, learning_labels, stored, table
 from flowgauge.llm.oracle import SQL
 
@@ -81,6 +81,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_substring": op2_substring,
@@ -92,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op11_merkle": op11_merkle,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE: dict[str, str] = dict(SQL)
