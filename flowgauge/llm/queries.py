@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm import bpe, decontam, exact, langid, merkle, pii, quality, simhash, substring, toxicity, urlfilter, whitening
+from flowgauge.llm import bpe, decontam, exact, jaccard, langid, merkle, pii, quality, simhash, substring, toxicity, urlfilter, whitening
 from flowgauge.llm.common import bounded_labels, documents_of, fold, learning_labels, stored, table
 from flowgauge.llm.oracle import SQL
 
@@ -89,6 +89,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_substring": op2_substring,
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_merkle": op11_merkle,
     "op12_whitening": op12_whitening,
+    "op13_jaccard": op13_jaccard,
 }
 
 ORACLE: dict[str, str] = dict(SQL)
