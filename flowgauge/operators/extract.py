@@ -47,6 +47,10 @@ SEAT = ("user_login string, day string, loc_added_sum int, loc_deleted_sum int,
         "token_usage:struct<prompt_tokens_sum:bigint, output_tokens_sum:bigint>>, totals_by_ide array<struct<ide:string>>")
 TEAM = "id string, name string, slug string, repositories array<struct<full_name:string>>, members array<struct<id:string,login:string>>"
 
+PR_COMMITS = "pull_request_url string, commits array<struct<sha:string, commit:struct<author:struct<date:string>>>>"
+HISTORY = (f"key string, fields struct<updated:string>, "
+           f"changelog struct<items:{_ITEMS}, histories:array<struct<created:string, items:{_ITEMS}>>>")
+
 _ENV = ["received_at", "seq"]
 
 
@@ -169,6 +173,34 @@ def extract_reviews(events: DataFrame) -> DataFrame:
         C.iso_instant(F.col("v.submitted_at")).alias("submitted_at"), *_ENV)
 
 
+def extract_pr_commits(events: DataFrame) -> DataFrame:
+    """Commit lists of pull requests: one row per received list, so that
+    ``latest_state`` over (repo, pr_number) keeps the commits that stand and drops
+    what a force-push discarded. Commits without an author date keep a null one."""
+    r = _parsed(events, v=F.from_json(F.col("payload"), PR_COMMITS)).filter(F.col("v.pull_request_url").isNotNull() & F.col("v.commits").isNotNull())
+    url = F.col("v.pull_request_url")
+    repo = F.nullif(F.regexp_extract(url, r"/repos/(.+?)/pulls/(\d+)$", 1), F.lit(""))
+    num = F.nullif(F.regexp_extract(url, r"/repos/(.+?)/pulls/(\d+)$", 2), F.lit(""))
+    kept = F.filter("v.commits", lambda c: c["sha"].isNotNull())
+    commits = F.transform(kept, lambda c: F.struct(c["sha"].alias("sha"), C.iso_instant(c["commit"]["author"]["date"]).alias("authored_at")))
+    return r.filter(repo.isNotNull() & num.isNotNull()).select(repo.alias("repo"), num.cast("long").alias("pr_number"), commits.alias("commits"), *_ENV)
+
+
+def extract_transitions(events: DataFrame) -> DataFrame:
+    """Status changes (issue_key, to_status, at) of ticket envelopes: every entry of a
+    changelog history, or the single change of a webhook, dated by the update.
+    The same change in several envelopes is one row."""
+    r = _parsed(events, j=F.from_json(F.col("payload"), _wrapped_schema("issue", HISTORY)))
+    issue = _pick("j", "issue", HISTORY)
+    changelog = F.coalesce(F.col("j.changelog"), F.col("j.issue.changelog"))
+    r = r.select(issue.alias("i"), changelog.alias("cl")).filter(F.col("i.key").isNotNull())
+    single = F.array(F.struct(F.col("i.fields.updated").alias("created"), F.col("cl.items").alias("items")))
+    listed = r.select(F.col("i.key").alias("issue_key"), F.explode(F.coalesce("cl.histories", single)).alias("h"))
+    moved = listed.select("issue_key", C.jira_instant(F.col("h.created")).alias("at"), F.explode("h.items").alias("item"))
+    kept = moved.filter((F.col("item.field") == "status") & F.col("at").isNotNull() & F.col("item.toString").isNotNull())
+    return kept.select("issue_key", F.col("item.toString").alias("to_status"), "at").distinct()
+
+
 def reopened_flag(changelog: Column) -> Column:
     """A status change away from a terminal status; full ``histories`` when
     present, else the single ``items`` delta."""

@@ -20,6 +20,8 @@ METRIC_LOGIC_VERSION = "v1"
 # Lead times are cut at this many days; an open PR without activity for longer is stale.
 LEAD_CAP_DAYS = 90
 STALE_PR_DAYS = 7
+# Ticket statuses (lower case) that count as work in progress.
+IN_PROGRESS_STATUSES = ["in progress", "in development", "in review"]
 # Metric keys as stored in the daily mart.
 MK_DEPLOY_FREQ = "deployment_frequency"
 MK_LEAD_TIME = "lead_time_p50_hours"

@@ -169,6 +169,15 @@ register("lead_time_percentiles", O.lead_percentiles_sql())(
 register("open_pr_age_buckets", O.open_age_sql())(lambda d: M.open_pr_age_buckets(d.prs, d.p))
 register("build_mart", O.build_mart_sql())(lambda d: d.mart)
 
+# --- stages of a change, tickets -----------------------------------
+from . import flow_metrics as FM  # noqa: E402
+from . import oracle_flow as OF  # noqa: E402
+
+register("lead_time_stages", OF.stages_sql())(
+    lambda d: FM.lead_time_stages(d.runs, d.prs, d.reviews, V.pr_commits(d.spark, d.base, d.prs), d.team_repo, d.p))
+register("ticket_lead_time", OF.tickets_sql())(
+    lambda d: FM.ticket_lead_time(d.runs, d.prs, V.transitions(d.spark, d.base), d.team_repo, d.p))
+
 # --- Q8-Q26: dashboards -------------------------------------------------------
 from . import dashboards as D  # noqa: E402
 from . import oracle_dash as OD  # noqa: E402

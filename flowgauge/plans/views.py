@@ -123,6 +123,33 @@ def reviews(spark: SparkSession, base: str, pr_df: DataFrame | None = None) -> D
     )
 
 
+def pr_commits(spark: SparkSession, base: str, pr_df: DataFrame | None = None) -> DataFrame:
+    """The commit list of each pull request as it stood last: one commit per line
+    item, every 10th supplier's discarded by a force-push, some written after the
+    opening, some carrying dates 100 days old."""
+    prepare(spark)
+    li = read_table(spark, base, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").filter(F.col("l_suppkey") % 10 != 0)
+    p = (pr_df if pr_df is not None else prs(spark, base)).select("repo", "number", "created_at")
+    back = (F.col("l_partkey") * 7 + F.col("l_linenumber") * 13) % 4000 - 200 + F.when(F.col("l_partkey") % 97 == 0, 144000).otherwise(0)
+    authored = F.timestamp_seconds(F.unix_seconds("created_at") - back.cast("long") * 60)
+    sha = F.sha1(F.concat_ws("-", F.lit("commit"), _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey")))
+    commit = F.struct(sha.alias("sha"), authored.alias("authored_at"))
+    return li.join(p, li.l_orderkey == p.number, "inner").groupBy("repo", F.col("number").alias("pr_number")).agg(F.collect_list(commit).alias("commits"))
+
+
+def transitions(spark: SparkSession, base: str) -> DataFrame:
+    """Status changes of the issues: taken up (all but every 5th size), done, and
+    taken up again where the issue was reopened."""
+    prepare(spark)
+    part = read_table(spark, base, "part", "p_partkey", "p_size")
+    k, z = F.col("p_partkey"), F.col("p_size")
+    created = (k * 11 % 40320).cast("long")
+    change = lambda to, hours: F.struct(F.lit(to).alias("to_status"), _minutes_after_2024(created + hours * 60).alias("at"))
+    rows = F.array_compact(F.array(F.when(z % 5 != 0, change("In Progress", k % 7)), change("Done", F.lit(30)),
+                                   F.when(z % 9 == 0, change("In Progress", F.lit(100)))))
+    return part.select(F.concat(F.lit("PROJ-"), _s("p_partkey")).alias("issue_key"), F.inline(rows))
+
+
 def team_repo(spark: SparkSession, base: str) -> DataFrame:
     prepare(spark)
     u = read_table(spark, base, "events", "user_id").distinct()
