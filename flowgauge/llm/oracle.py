@@ -49,7 +49,8 @@ OP8 = rf"""
 WITH parts AS (
   SELECT row_number() OVER () AS row_no, page_id,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+         coalesce(url, '') AS url, coalesce(((page_id % 5) + 5) % 5 = 0, FALSE) AS held
   FROM pages
 ), ruled AS (
   SELECT *, CASE
@@ -60,12 +61,12 @@ WITH parts AS (
   FROM parts
 ), signed AS (
   SELECT *, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS given,
-         '^^^' || regexp_replace(regexp_replace(translate(host || path, '{UPPER}', '{LOWER}'), '[0-9]', '0', 'g'), '[^a-z0./-]', '~', 'g') || '$' AS signs
+         '^^^' || regexp_replace(regexp_replace(translate(url, '{UPPER}', '{LOWER}'), '[0-9]', '0', 'g'), '[^a-z0./-]', '~', 'g') || '$' AS signs
   FROM ruled
 ), grams AS (
-  SELECT row_no, given, substr(signs, place, 4) AS gram FROM (SELECT *, unnest(range(1, length(signs) - 2)) AS place FROM signed)
+  SELECT row_no, given, held, substr(signs, place, 4) AS gram FROM (SELECT *, unnest(range(1, length(signs) - 2)) AS place FROM signed)
 ), counted AS (
-  SELECT label, gram, sum((coalesce(given, '') = label)::INT)::DOUBLE AS n
+  SELECT label, gram, sum((NOT held AND coalesce(given, '') = label)::INT)::DOUBLE AS n
   FROM grams, (VALUES ('allow'), ('block')) labels(label) GROUP BY ALL
 ), seen0 AS (
   SELECT label, right(gram, 1) AS tail, sum(n) AS n FROM counted GROUP BY ALL
@@ -76,10 +77,12 @@ ratios AS (
   SELECT a.tail AS gram, ln(a.p) - ln(b.p) AS ratio FROM p3 a JOIN p3 b ON a.tail = b.tail AND a.label = 'allow' AND b.label = 'block'
 ), scored AS (
   SELECT row_no, avg(ratio) AS ratio FROM grams JOIN ratios USING (gram) GROUP BY row_no
+), chosen AS (
+  SELECT CASE WHEN count(DISTINCT given) FILTER (held) = 2 THEN TRUE ELSE FALSE END AS by_held FROM signed
 ), stats AS (
   SELECT avg(ratio) FILTER (given = 'allow') AS ma, stddev_pop(ratio) FILTER (given = 'allow') AS da,
          avg(ratio) FILTER (given = 'block') AS mb, stddev_pop(ratio) FILTER (given = 'block') AS db
-  FROM signed JOIN scored USING (row_no)
+  FROM signed JOIN scored USING (row_no), chosen WHERE held OR NOT by_held
 ), threshold AS (
   SELECT CASE WHEN ma IS NULL OR mb IS NULL THEN NULL WHEN da + db > 0 THEN (ma * db + mb * da) / (da + db) ELSE (ma + mb) / 2 END AS t FROM stats
 )

@@ -2,18 +2,22 @@
 
 Explicit rules judge first: a rule fits its host and all subdomains if the url's
 path starts with the rule's path; the longest rule wins. Urls that rules allow
-and block train two variable-order Markov models over the characters of host and
-path (contexts of up to three characters, Witten-Bell smoothing: each order
-falls back on the next shorter one as far as its context is new). Other urls are
-judged by the difference of the two log-likelihoods divided by the length,
-against a threshold between the means of both classes, weighted by their
-deviations.
+and block train two variable-order Markov models over the characters of the whole
+url, scheme, query and fragment included (contexts of up to three characters,
+Witten-Bell smoothing: each order falls back on the next shorter one as far as its
+context is new). Other urls are judged by the difference of the two
+log-likelihoods divided by the length, against a threshold between the means of
+both classes, weighted by their deviations. Every ``FOLDS``-th page_id is held out
+of the models; the threshold comes from those rows (from all ruled rows where
+they lack a class).
 
 Characters are folded to ``SYMBOLS`` signs (letters, one sign for digits, three
 marks, one sign for the rest, begin and end), so the models have at most
 ``SYMBOLS ** 4`` entries whatever the input; that is the bound of what is
-broadcast. A null url, or one without ``://``, has an empty host and path.
-Without urls of both classes every other url is allowed. Rows are judged one by
+broadcast. A null url, or one without ``://``, has an empty host and path; the
+method judges a url without scheme by its text, a null or empty one by the end
+sign alone, so all of these get one verdict. A url of any length is read whole.
+An empty table gives no rows. Without urls of both classes every other url is allowed. Rows are judged one by
 one; repeated rows and extra columns change nothing.
 """
 
@@ -28,6 +32,7 @@ from flowgauge.llm.common import stored, with_row_id
 
 ORDER = 3
 SYMBOLS = 33
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,9 +69,9 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return best
 
 
-def folded(host: Column, path: Column) -> Column:
-    """Host and path in the model's signs, with begin and end signs."""
-    text = F.translate(F.concat(host, path), UPPER, LOWER)
+def folded(url: Column) -> Column:
+    """The whole url in the model's signs, with begin and end signs."""
+    text = F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER)
     text = F.regexp_replace(F.regexp_replace(text, "[0-9]", "0"), "[^a-z0./-]", "~")
     return F.concat(F.lit("^" * ORDER), text, F.lit("$"))
 
@@ -107,18 +112,23 @@ def ratios(counts: DataFrame) -> DataFrame:
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, ratio), one row per row of ``pages``."""
     source = with_row_id(pages.select("page_id", F.col("url").cast("string").alias("url")))
-    parts = source.select("uid", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    held = F.coalesce(F.pmod(F.col("page_id"), F.lit(FOLDS)) == 0, F.lit(False))
+    parts = source.select("uid", "page_id", held.alias("held"), folded(F.col("url")).alias("signs"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parts = parts.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    rows = parts.select("uid", "page_id", "host", "path", F.col("fit.name").alias("rule"), F.col("fit.verdict").alias("given"), folded(F.col("host"), F.col("path")).alias("signs"))
+    rows = parts.select("uid", "page_id", "held", "host", "path", F.col("fit.name").alias("rule"), F.col("fit.verdict").alias("given"), "signs")
     every = grams(rows)
-    label = lambda v: F.sum((F.coalesce(F.col("given"), F.lit("")) == v).cast("long"))
+    label = lambda v: F.sum((~F.col("held") & (F.coalesce(F.col("given"), F.lit("")) == v)).cast("long"))
     counts = stored(every.groupBy("gram").agg(label("allow").alias("allowed"), label("block").alias("blocked")), "grams")
     table = stored(ratios(counts), "ratios")
-    keys = ["uid", "page_id", "host", "path", "rule", "given"]
+    keys = ["uid", "page_id", "held", "host", "path", "rule", "given"]
     scored = every.join(F.broadcast(table), "gram").groupBy(*keys).agg(F.avg("ratio").alias("ratio"))  # SYMBOLS ** 4 rows at most
     scored = stored(scored, "scored")
-    known = scored.where("given is not null").groupBy("given").agg(F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("deviation"))
-    stats = {r["given"]: (r["mean"], r["deviation"]) for r in known.collect()}
+    known = scored.where("given is not null").groupBy("given", "held").agg(F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("deviation"))
+    sides = known.collect()  # four rows at most
+    stats = {r["given"]: (r["mean"], r["deviation"]) for r in sides if r["held"]}
+    if len(stats) < 2:
+        every_row = scored.where("given is not null").groupBy("given").agg(F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("deviation"))
+        stats = {r["given"]: (r["mean"], r["deviation"]) for r in every_row.collect()}
     if {"allow", "block"} <= set(stats):
         (a, da), (b, db) = stats["allow"], stats["block"]
         threshold = (a * db + b * da) / (da + db) if da + db > 0 else (a + b) / 2
