@@ -81,10 +81,8 @@ class Powers:
         return self.tables[0][:n], self.tables[1][:n]
 
 
-_BYTE = np.random.default_rng(77).integers(0, 1 << 64, 256, dtype=np.uint64)
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[0x20, 9, 10, 11, 12, 13]] = False
-_BYTE_POWERS = Powers(0x9FB21C651E98DF25)
 _WORD_POWERS = (Powers(0xD1342543DE82EF95), Powers(0xAF251AF3B0F025B5))
 
 
@@ -95,24 +93,33 @@ def _sums(values: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[np.uint64(0), np.cumsum(values * down[:-1], dtype=np.uint64)], up
 
 
-def word_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit names of all words of texts laid end to end, and the number of words up to each offset."""
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all words of texts laid end to end, two columns of 64 bits of a cryptographic hash of
+    the word, and the number of words up to each offset."""
     inside = _IN_WORD[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside & (edge[:-1] | ~np.r_[False, inside[:-1]]))
     stops = np.flatnonzero(inside & (edge[1:] | ~np.r_[inside[1:], False])) + 1
-    names = np.empty(len(starts), dtype=np.uint64)
+    names = np.empty((len(starts), 2), dtype=np.uint64)
     at = 0
     while at < len(starts):  # about BYTES bytes at a time, whole words
         end = max(at + 1, int(np.searchsorted(starts, starts[at] + BYTES)))
         low, high = starts[at], stops[end - 1]
-        sums, up = _sums(_BYTE[data[low:high]], _BYTE_POWERS)
-        names[at:end] = _mix((sums[stops[at:end] - low] - sums[starts[at:end] - low]) * up[starts[at:end] - low])
+        text = data[low:high].tobytes()
+        words = [text[i:j] for i, j in zip((starts[at:end] - low).tolist(), (stops[at:end] - low).tolist(), strict=True)]
+        named = {w: hashlib.blake2b(w, digest_size=16).digest() for w in set(words)}
+        names[at:end] = np.frombuffer(b"".join(map(named.__getitem__, words)), dtype=np.uint64).reshape(-1, 2)
         at = end
     return names, np.searchsorted(starts, offsets)
 
 
+def word_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first column of ``word_digests``, and the number of words up to each offset."""
+    names, bounds = word_digests(data, offsets)
+    return names[:, 0].copy(), bounds
+
+
 def _column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column laid end to end, and the offset of each text; a null is empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -135,11 +142,11 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 class Windows:
-    """128-bit names of windows of the words, wherever asked for."""
+    """128-bit names of windows of the words, each half from its own half of the words' names, wherever asked for."""
 
     def __init__(self, names: np.ndarray, window: int):
         self.window = window
-        self.sides = [_sums(v, p) for v, p in zip((names, _mix(names ^ _MIX)), _WORD_POWERS, strict=True)]
+        self.sides = [_sums(v, p) for v, p in zip(names.T, _WORD_POWERS, strict=True)]
 
     def at(self, place: np.ndarray) -> list[np.ndarray]:
         return [_mix((sums[place + self.window] - sums[place]) * up[place]) for sums, up in self.sides]
@@ -293,7 +300,7 @@ _FIRST, _LAST = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
 
 def _opened_spans(part: pa.RecordBatch, column: str, window: int) -> tuple[Windows, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """Windows of the rows' words; row, first window (in the words laid end to end) and fields of each span."""
-    names, bounds = word_names(*_column_bytes(part.column("text")))
+    names, bounds = word_digests(*_column_bytes(part.column("text")))
     spans = part.column(column)
     row = np.repeat(np.arange(part.num_rows), np.diff(spans.offsets.to_numpy()))
     flat = spans.flatten()
