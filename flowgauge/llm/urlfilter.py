@@ -77,9 +77,12 @@ def folded(url: Column) -> Column:
 
 
 def grams(rows: DataFrame) -> DataFrame:
-    """One row per sign of ``signs``: the sign after its ORDER predecessors."""
-    at = rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("signs") - ORDER)))
-    return at.withColumn("gram", F.substring("signs", F.col("at"), F.lit(ORDER + 1))).drop("at", "signs")
+    """One row per sign of ``signs``: the sign after its ORDER predecessors.
+
+    The look-ahead matches at every sign, so a url of any length takes one pass.
+    """
+    cut = F.regexp_extract_all("signs", F.lit(f"(?s)(?=(.{{{ORDER + 1}}}))"), F.lit(1))
+    return rows.withColumn("gram", F.explode(cut)).drop("signs")
 
 
 def ratios(counts: DataFrame) -> DataFrame:
@@ -116,13 +119,13 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     parts = source.select("uid", "page_id", held.alias("held"), folded(F.col("url")).alias("signs"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parts = parts.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     rows = parts.select("uid", "page_id", "held", "host", "path", F.col("fit.name").alias("rule"), F.col("fit.verdict").alias("given"), "signs")
-    every = grams(rows)
+    rows = stored(rows, "urls")  # one numbering for both uses
+    every = grams(rows.select("uid", "held", "given", "signs"))
     label = lambda v: F.sum((~F.col("held") & (F.coalesce(F.col("given"), F.lit("")) == v)).cast("long"))
     counts = stored(every.groupBy("gram").agg(label("allow").alias("allowed"), label("block").alias("blocked")), "grams")
     table = stored(ratios(counts), "ratios")
-    keys = ["uid", "page_id", "held", "host", "path", "rule", "given"]
-    scored = every.join(F.broadcast(table), "gram").groupBy(*keys).agg(F.avg("ratio").alias("ratio"))  # SYMBOLS ** 4 rows at most
-    scored = stored(scored, "scored")
+    scores = every.join(F.broadcast(table), "gram").groupBy("uid").agg(F.avg("ratio").alias("ratio"))  # SYMBOLS ** 4 rows at most
+    scored = stored(rows.drop("signs").join(scores, "uid"), "scored")
     known = scored.where("given is not null").groupBy("given", "held").agg(F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("deviation"))
     sides = known.collect()  # four rows at most
     stats = {r["given"]: (r["mean"], r["deviation"]) for r in sides if r["held"]}
