@@ -12,15 +12,15 @@ has no set and no links. Sets link when |A n B| / |A u B| >= NUMERATOR / DENOMIN
    all classes (small sets have all their tokens counted), so a set whose prefix
    is full of tokens that no other class holds has no link and is done. The order,
    the sample and the list only decide how much is left to do, never what links.
-3. *Groups.* The sets left over are sorted by their least tokens under a hash and cut
-   into runs of ``GROUP`` at most; members of a run that link with its leader form
-   a group. A run never grows with a hot cluster; several rounds with other hashes
-   connect the groups of one cluster.
-4. *Token-group matrix.* (token, group) rows of the prefixes are joined with the
-   prefixes of sets of other components. A group qualifies for a set if their
+3. *Groups.* The sets left over are dealt to groups by their least common token under
+   a hash, and by a salt to groups of about ``GROUP``, so a group never grows with a hot
+   cluster. Members are compared with the leaders of their group; rounds with
+   other hashes connect more of a cluster, and give its first components.
+4. *Token-group matrix.* (token, group) rows of the members' prefixes (the shorter ones
+   that suffice towards sets that aren't smaller) are joined with the prefixes of
+   sets of other components. A group qualifies for a set if their
    sizes can fit and the set's overlap with the union of the group's tokens
    is large enough for a link; only then its members are opened and compared.
-   Members of a group are connected already, so the first link found settles it.
 5. Components over all links, and one row per document.
 
 No pairs inside a component are emitted, no link between components is lost.
@@ -56,14 +56,14 @@ HOT_LOCAL, HOT_LIST = 32, 1 << 18
 STRETCH = 2_000_000
 #: Bits of the filter that spares the sets of most finished documents a shuffle; a full filter passes all.
 FILTER_BITS = 1 << 27
-GROUP, LEADERS, GROUP_TOKENS = 256, 16, 4_000_000
+GROUP, LEADERS = 512, 16
 ROUNDS = 2
 #: Sets compared with one copy of a group.
 ASKED = 512
 #: Rows counted in one task.
 COUNT_ROWS = 4_000_000
 SEED = 0x5BD1E995
-MIX = [np.uint64(x | 1) for x in np.random.default_rng(13).integers(1 << 62, 1 << 63, SHINGLE + 2 * ROUNDS, dtype=np.uint64)]
+MIX = [np.uint64(x | 1) for x in np.random.default_rng(13).integers(1 << 62, 1 << 63, SHINGLE + ROUNDS, dtype=np.uint64)]
 
 
 def tokens_of(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -93,6 +93,11 @@ def prefix_size(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
+def short_prefix(n: int) -> int:
+    """Of the prefix, the first tokens that must hold a common one with any linked set that isn't smaller."""
+    return n - -(-2 * NUMERATOR * n // (NUMERATOR + DENOMINATOR)) + 1
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if len(small) * DENOMINATOR < len(large) * NUMERATOR:
@@ -267,10 +272,10 @@ def sets_of(docs: DataFrame, opened: DataFrame, shingle: int) -> DataFrame:
 
 
 def with_prefix(sets: DataFrame, shared: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(key, n, tokens, prefix, a0, b0, ...): the prefix without tokens no other class holds, and least tokens per round."""
+    """(key, n, tokens, prefix, a0, ...): the prefix without tokens no other class holds, and the least common token of each round."""
     spread = sets.sparkSession.sparkContext.broadcast(hot)
-    names = [f"{c}{k}" for k in range(ROUNDS) for c in "ab"]
-    kinds = [("key", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64())), *[(c, pa.int64()) for c in names]]
+    names = [f"a{k}" for k in range(ROUNDS)]
+    kinds = [("key", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.struct([("token", pa.int64()), ("near", pa.bool_())]))), *[(c, pa.int64()) for c in names]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.argsort(spread.value)
@@ -294,71 +299,104 @@ def with_prefix(sets: DataFrame, shared: DataFrame, hot: np.ndarray) -> DataFram
                 weight = np.where(tier == 0, sets, np.where(tier == 2, heat, 0))
                 first = np.lexsort((tokens, weight, tier))[: prefix_size(len(tokens))]
                 counted = (tier == 0) | ((tier == 1) & (len(tokens) <= SMALL))
-                first = first[~(counted & (sets == 1))[first]]
+                common = tokens[(sets > 1) | (heat >= 0)]
                 least = []
-                for k in range(2 * ROUNDS):
-                    turned = tokens * MIX[SHINGLE + k]
+                for k in range(ROUNDS):
+                    turned = (common if len(common) else tokens) * MIX[SHINGLE + k]
                     least.append(int((turned ^ (turned >> np.uint64(33))).min() >> np.uint64(1)))
-                rows.append((key, len(tokens), data, tokens[first].view(np.int64), *least))
+                near = np.arange(len(first)) < short_prefix(len(tokens))
+                first, near = (x[~(counted & (sets == 1))[first]] for x in (first, near))
+                rows.append((key, len(tokens), data, [{"token": t, "near": v} for t, v in zip(tokens[first].view(np.int64).tolist(), near.tolist(), strict=True)], *least))
             yield batch_of(kinds, rows)
 
     mates = shared.groupBy("cls").agg(F.collect_list(F.struct("token", "sets")).alias("mates"))  # a set's tokens at most
-    schema = "key binary, n long, tokens binary, prefix array<long>, " + ", ".join(f"{c} long" for c in names)
+    schema = "key binary, n long, tokens binary, prefix array<struct<token:long,near:boolean>>, " + ", ".join(f"{c} long" for c in names)
     return sets.join(mates, "cls", "left").select("key", "tokens", "mates").mapInArrow(run, schema)
 
 
 def grouped(sets: DataFrame, round_no: int) -> DataFrame:
-    """(key, part): the leader of each set's group; runs of sets with the same least token, GROUP at most."""
-    a, b = f"a{round_no}", f"b{round_no}"
+    """(key, run, leader): the group of each set, and every leader in it that the set links with (null: none).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, count, total = None, 0, 0
-        leaders: list[tuple[bytes, np.ndarray]] = []
-        for batch in batches:
-            rows = []
-            for least, key, data in zip(*(batch.column(c).to_pylist() for c in (a, "key", "tokens")), strict=True):
-                tokens = unpacked(data)
-                if least != now or count >= GROUP or total + len(tokens) > GROUP_TOKENS:
-                    now, count, total, leaders = least, 0, 0, []
-                count, total = count + 1, total + len(tokens)
-                part = next((k for k, other in leaders if linked(tokens, other)), None)
-                if part is None:
-                    part = key
-                    leaders = [*leaders[-LEADERS + 1 :], (key, tokens)]
-                rows.append((key, part))
-            yield batch_of([("key", pa.binary()), ("part", pa.binary())], rows)
+    Sets with the same least token make a group; a larger number of them is dealt to
+    groups of about GROUP by a hash. Sets that link with no leader become leaders.
+    """
+    least = F.col(f"a{round_no}")
+
+    def lead(block: pa.Table) -> pa.Table:
+        rows, leaders = [], []
+        columns = block.sort_by("key").select(["key", "tokens"]).to_pydict()
+        name = columns["key"][0]
+        for key, data in zip(columns["key"], columns["tokens"], strict=True):
+            tokens = unpacked(data)
+            found = [k for k, other in leaders if linked(tokens, other)]
+            if not found and len(leaders) < LEADERS:
+                leaders.append((key, tokens))
+            rows += [(key, name, k) for k in found or [None]]
+        return pa.table([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], names=["key", "run", "leader"])
 
-    ranged = sets.select(a, b, "key", "tokens").repartitionByRange(a, b, "key").sortWithinPartitions(a, b, "key")
-    return ranged.mapInArrow(run, "key binary, part binary")
+    sizes = sets.groupBy(least.alias("least")).agg(F.ceil(F.count("*") / GROUP).alias("salts"))
+    dealt = sets.select(least.alias("least"), "key", "tokens").join(sizes, "least").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")))
+    return dealt.select("least", "salt", "key", "tokens").groupBy("least", "salt").applyInArrow(lead, "key binary, run binary, leader binary")
 
 
 def compared(block: pa.Table) -> pa.Table:
-    """Links between sets and a group: the sets that pass the bound are compared with the members, up to the first link."""
-    rows = block.to_pydict()
-    members = [unpacked(d) for d, asked in zip(rows["tokens"], rows["asked"], strict=True) if not asked]
+    """Links (a, b) between components, of sets that pass the bound with the members of a group.
+
+    The group's union is the list of its tokens, with the members that hold each.
+    Of the links only those that connect something new within the block are given.
+    """
+    rows = block.select(["label", "tokens", "asked"]).to_pydict()
+    members = [(label, unpacked(d)) for label, d, asked in zip(rows["label"], rows["tokens"], rows["asked"], strict=True) if not asked]
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := root.get(x, x)) != x:
+            x = up
+        return x
+
     found: list[tuple[bytes, bytes]] = []
     if members:
-        union = np.unique(np.concatenate(members))
-        for key, data, asked in zip(rows["key"], rows["tokens"], rows["asked"], strict=True):
-            if asked and DENOMINATOR * overlap(mine := unpacked(data), union) >= NUMERATOR * len(mine) and any(linked(mine, m) for m in members):
-                found.append((key, rows["part"][0]))
+        sizes = np.array([len(m) for _, m in members])
+        tokens, owners = np.concatenate([m for _, m in members]), np.repeat(np.arange(len(members)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], owners[order]
+        union, starts = np.unique(tokens, return_index=True)
+        ends = np.r_[starts[1:], len(tokens)]
+        for label, data, asked in zip(rows["label"], rows["tokens"], rows["asked"], strict=True):
+            if not asked:
+                continue
+            mine = unpacked(data)
+            at = np.minimum(np.searchsorted(union, mine), len(union) - 1)
+            at = at[union[at] == mine]
+            if DENOMINATOR * len(at) < NUMERATOR * len(mine):
+                continue
+            held = ends[at] - starts[at]
+            places = np.repeat(starts[at] - np.r_[0, np.cumsum(held)[:-1]], held) + np.arange(held.sum())
+            both = np.bincount(owners[places], minlength=len(members))
+            for k in np.flatnonzero(DENOMINATOR * both >= NUMERATOR * (len(mine) + sizes - both)):
+                x, y = find(label), find(members[k][0])
+                if x != y:
+                    root[x] = y
+                    found.append((label, members[k][0]))
     return pa.table([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
-def matrix_links(sets: DataFrame, parts: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): a set and the leader of a group of another component that holds a link of it."""
-    placed = sets.select("key", "n", "prefix").join(parts, "key").join(labels, "key")
-    rows = stored(placed.select("key", "n", "part", "label", F.explode("prefix").alias("token")), "prefix-rows")
-    matrix = rows.groupBy("token", "part", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asking = rows.select("token", "key", "n", F.col("label").alias("own"))
-    fits = (F.col("own") != F.col("label")) & (F.col("n") >= F.col("least")) & (F.col("n") * NUMERATOR <= F.col("most") * DENOMINATOR)
-    pairs = stored(asking.join(matrix, "token").where(fits).select("key", "part").distinct(), "candidates")
-    salts = pairs.groupBy("part").agg(F.ceil(F.count("*") / ASKED).alias("salts"))
-    body = sets.select("key", "tokens")
-    asked = pairs.join(salts, "part").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts"))).join(body, "key")
-    held = parts.join(salts, "part").withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)"))).join(body, "key")
+def matrix_links(sets: DataFrame, runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): components with linked sets, of which one is in a group that qualifies for the other."""
+    placed = sets.select("key", "n", "prefix").join(runs, "key").join(labels, "key")
+    rows = stored(placed.select("key", "n", "run", "label", F.explode("prefix")).select("key", "n", "run", "label", "col.*"), "prefix-rows")
+    ends = [F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("first"), F.max("label").alias("last")]
+    matrix = rows.where("near").groupBy("token", "run").agg(*ends)
+    asking = rows.select("token", "key", "n", "label")
+    other = (F.col("label") != F.col("first")) | (F.col("label") != F.col("last"))
+    fits = other & (F.col("n") >= F.col("least")) & (F.col("n") * NUMERATOR <= F.col("most") * DENOMINATOR)
+    pairs = stored(asking.join(matrix, "token").where(fits).select("key", "run").distinct(), "candidates")
+    salts = pairs.groupBy("run").agg(F.ceil(F.count("*") / ASKED).alias("salts"))
+    body = sets.select("key", "tokens").join(labels, "key")
+    asked = pairs.join(salts, "run").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts"))).join(body, "key")
+    held = runs.join(salts, "run").withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)"))).join(body, "key")
     both = asked.withColumn("asked", F.lit(True)).unionByName(held.withColumn("asked", F.lit(False)))
-    return both.select("part", "salt", "key", "tokens", "asked").groupBy("part", "salt").applyInArrow(compared, "a binary, b binary")
+    return both.select("run", "salt", "label", "tokens", "asked").groupBy("run", "salt").applyInArrow(compared, "a binary, b binary")
 
 
 def link_classes(docs: DataFrame, light: DataFrame, shingle: int) -> DataFrame:
@@ -371,13 +409,11 @@ def link_classes(docs: DataFrame, light: DataFrame, shingle: int) -> DataFrame:
     edges = rounds[0]
     for more in rounds[1:]:
         edges = edges.unionByName(more)
-    near = stored(components(edges.select(F.col("key").alias("a"), F.col("part").alias("b"))), "near")
+    edges = edges.where("leader is not null").select(F.col("key").alias("a"), F.col("leader").alias("b"))
+    near = stored(components(edges), "near")
     labels = sets.select("key").join(near, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("label"))
     labels = stored(labels, "labels")
-    links = matrix_links(sets, rounds[0], labels)
-    named = labels.withColumnRenamed("key", "a").withColumnRenamed("label", "x")
-    other = labels.withColumnRenamed("key", "b").withColumnRenamed("label", "y")
-    far = components(links.join(named, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    far = components(matrix_links(sets, rounds[0].select("key", "run").distinct(), labels))
     found = labels.join(far, F.col("label") == F.col("node"), "left").select("key", F.coalesce("root", "label").alias("root"))
     return stored(found, "roots")
 
