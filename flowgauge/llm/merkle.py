@@ -13,12 +13,12 @@ upper tree start at ``TOP``; so numbers rise on the way up.
 A Spark recursive query (``WITH RECURSIVE``) climbs from every leaf: each step
 joins the node row, folds the digest with the sibling and moves to the parent,
 until a node has no row. The siblings are emitted step by step and gathered per
-leaf afterwards (``log2`` of the rows, so at most some 60 a leaf): a row of the
+leaf at the end (``log2`` of the rows, so at most some 60 a leaf): a row of the
 recursion keeps its width, and what Spark stores for each step stays small.
 The climb has two parts. Nodes high up are shared by many leaves and few in
 number: the largest subtrees, at most ``SHARED_NODES`` rows, are broadcast. Below
-them a node has few leaves and the join is shuffled by node number, so no task
-gets the leaves of a hot node.
+them a node has few leaves: the leaves' rows are shuffled by node number to a
+table in buckets by node, so no task gets the leaves of a hot node.
 
 Defined results: a null field counts as ``-``; rows that share a doc_id, or lack
 one (first in order, never tampered), are leaves of their own, ordered by digest
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import stored
+from flowgauge.llm.common import TABLE_FOLDER, shared_folder, stored
 
 #: Levels of a block that one task folds: 2 ** BLOCK leaves at most.
 BLOCK = 12
@@ -156,31 +156,43 @@ def build(rows: DataFrame, first: int, last: int | None, tag: str) -> tuple[Data
     return merge(nodes), merge(roots)
 
 
-def climbed(starts: DataFrame, nodes: DataFrame, shared: bool) -> DataFrame:
-    """(place, node, folded, sibling): every step from ``starts`` (place, node, folded) up to a node without a row."""
-    spark, name = starts.sparkSession, uuid.uuid4().hex
-    starts.createOrReplaceTempView(f"starts_{name}")
-    nodes.createOrReplaceTempView(f"nodes_{name}")
+def climbed(starts: DataFrame, nodes: str, shared: bool) -> DataFrame:
+    """(place, path, end) of the way from ``starts`` (place, node, folded) up to a node without a row in the view ``nodes``.
+
+    path: structs (node, sibling) from the bottom up; end: the last node and the
+    digest folded there.
+    """
+    spark, name = starts.sparkSession, f"starts_{uuid.uuid4().hex}"
+    starts.createOrReplaceTempView(name)
     hint = "/*+ BROADCAST(n) */" if shared else ""
     limit = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit, None)
     spark.conf.set(limit, "-1")  # else the climb of a large table is refused
     try:
-        found = spark.sql(f"""
+        steps = spark.sql(f"""
             WITH RECURSIVE climb(place, node, folded, sibling) AS (
-              SELECT place, node, folded, CAST(NULL AS BINARY) FROM starts_{name}
+              SELECT place, node, folded, CAST(NULL AS BINARY) FROM {name}
               UNION ALL
               SELECT {hint} c.place, n.parent, unhex(sha2(CASE
                   WHEN n.sibling IS NULL THEN lower(hex(c.folded))
                   WHEN n.is_left THEN lower(concat(hex(c.folded), hex(n.sibling)))
                   ELSE lower(concat(hex(n.sibling), hex(c.folded))) END, 256)), n.sibling
-              FROM climb c JOIN nodes_{name} n ON c.node = n.node)
+              FROM climb c JOIN {nodes} n ON c.node = n.node)
             SELECT place, node, folded, sibling FROM climb""")
-        return stored(found, "climb")
+        sibling = F.when(F.col("sibling").isNotNull(), F.struct("node", "sibling"))
+        paths = steps.groupBy("place").agg(F.sort_array(F.collect_list(sibling)).alias("path"), F.max_by(F.struct("node", "folded"), "node").alias("end"))
+        return stored(paths, "paths")
     finally:
         spark.conf.set(limit, before) if before is not None else spark.conf.unset(limit)
-        spark.catalog.dropTempView(f"starts_{name}")
-        spark.catalog.dropTempView(f"nodes_{name}")
+        spark.catalog.dropTempView(name)
+
+
+def bucketed(nodes: DataFrame, name: str) -> None:
+    """Stores node rows as a table in buckets by node, so that no step of a climb shuffles them again."""
+    spark = nodes.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_folder(spark)}/{TABLE_FOLDER}/{name}"
+    nodes.repartition(buckets, "node").write.bucketBy(buckets, "node").sortBy("node").option("path", path).saveAsTable(name)
 
 
 def shared_from(nodes: DataFrame, bound: int) -> int:
@@ -196,7 +208,7 @@ def shared_from(nodes: DataFrame, bound: int) -> int:
     return least
 
 
-def manifest(docs: DataFrame, every: int = 7, shared_nodes: int = SHARED_NODES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def manifest(docs: DataFrame, every: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(leaves, node rows, trees): the stored manifest.
 
     leaves: doc_id, lang, leaf, changed, place, tree, n, node. trees: tree,
@@ -219,15 +231,20 @@ def manifest(docs: DataFrame, every: int = 7, shared_nodes: int = SHARED_NODES)
 def checked(docs: DataFrame, every: int = 7, shared_nodes: int = SHARED_NODES) -> DataFrame:
     """One row per document: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified, n_siblings."""
     leaves, nodes, trees = manifest(docs, every)
-    nodes = stored(nodes, "nodes")
+    spark = docs.sparkSession
+    power = F.floor(F.log2("leaves"))
     least = shared_from(nodes, shared_nodes)
-    starts = leaves.select("place", "node", F.coalesce("changed", "leaf").alias("folded"))
-    low, high = nodes.where(F.floor(F.log2("leaves")) < least), nodes.where(F.floor(F.log2("leaves")) >= least)
-    steps = climbed(starts, low, shared=False)
-    ends = steps.groupBy("place").agg(F.max_by(F.struct("node", "folded"), "node").alias("end")).select("place", "end.*")
-    steps = steps.unionByName(climbed(stored(ends, "ends"), high, shared=True))
-    sibling = F.when(F.col("sibling").isNotNull(), F.struct("node", "sibling"))
-    paths = steps.groupBy("place").agg(F.sort_array(F.collect_list(sibling)).alias("path"), F.max_by("folded", "node").alias("folded"))
+    name = f"llm_nodes_{uuid.uuid4().hex}"
+    high = nodes.where(power >= least)
+    high.createOrReplaceTempView(f"{name}_high")
+    bucketed(nodes.where(power < least), name)
+    try:
+        paths = climbed(leaves.select("place", "node", F.coalesce("changed", "leaf").alias("folded")), name, shared=False)
+        upper = climbed(paths.select("place", "end.*"), f"{name}_high", shared=True)
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # its files stay in the shared folder, as those of other steps
+        spark.catalog.dropTempView(f"{name}_high")
+    paths = paths.select("place", F.col("path").alias("first")).join(upper, "place").select("place", F.concat("first", "path").alias("path"), F.col("end.folded").alias("folded"))
     proof = F.sha2(F.array_join(F.transform("path", lambda x: hex_of(x["sibling"])), ""), 256)
     out = leaves.join(paths, "place").join(trees, "tree")
     return out.select(
