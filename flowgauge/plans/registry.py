@@ -289,17 +289,17 @@ def _since(d: Domain) -> _dt.datetime:
 
 
 register("land_pull_requests", OSRC.land_prs_sql())(
-    lambda d: SRC.keys(R.land_pull_requests(SRC.pr_pages(d.prs), _since(d), d.p.as_of)[0]))
+    lambda d: SRC.keys(R.land_pull_requests(SRC.pr_pages(d.prs), _since(d), d.p.as_of)[0], *SRC.PR_DETAIL))
 register("land_reviews", OSRC.land_reviews_sql())(
-    lambda d: SRC.keys(R.land_reviews(SRC.review_pages(d.reviews), d.p.as_of)[0]))
+    lambda d: SRC.keys(R.land_reviews(SRC.review_pages(d.reviews), d.p.as_of)[0], *SRC.REVIEW_DETAIL))
 register("land_commits", OSRC.land_commits_sql())(
-    lambda d: SRC.keys(R.land_commits(SRC.commit_pages(d.prs), d.p.as_of)[0]))
+    lambda d: SRC.keys(R.land_commits(SRC.commit_pages(d.prs), d.p.as_of)[0], *SRC.COMMIT_DETAIL))
 register("land_workflow_runs", OSRC.land_runs_sql())(
-    lambda d: SRC.keys(R.land_workflow_runs(SRC.run_pages(d.runs), _since(d), d.p.as_of)[0]))
+    lambda d: SRC.keys(R.land_workflow_runs(SRC.run_pages(d.runs), _since(d), d.p.as_of)[0], *SRC.RUN_DETAIL))
 register("land_issues", OSRC.land_issues_sql())(
-    lambda d: SRC.keys(R.land_issues(SRC.issue_pages(d.issues), d.p.as_of)[0]))
+    lambda d: SRC.keys(R.land_issues(SRC.issue_pages(d.issues), d.p.as_of)[0], *SRC.ISSUE_DETAIL))
 register("land_builds", OSRC.land_builds_sql())(
-    lambda d: SRC.keys(R.land_builds(SRC.build_pages(d.runs), d.p.as_of)[0]))
+    lambda d: SRC.keys(R.land_builds(SRC.build_pages(d.runs), d.p.as_of)[0], *SRC.BUILD_DETAIL))
 register("assemble_team_snapshots", OSRC.team_snapshots_sql())(
     lambda d: SRC.team_snapshot_stats(R.assemble_team_snapshots(
         d.teams.withColumn("slug", F.col("id")),

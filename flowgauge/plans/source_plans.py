@@ -15,8 +15,9 @@ PAGE = 100
 
 
 def _pages(df: DataFrame, page_of: Column, item: Column, wrap=None, extra: list[str] | None = None) -> DataFrame:
+    """One JSON page per ``page_of``; its elements come in the order of their first field."""
     keys = [page_of.alias("page")] + [F.col(c) for c in (extra or [])]
-    g = df.groupBy(*keys).agg(F.collect_list(item).alias("items"))
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
     body = F.to_json(wrap(F.col("items")) if wrap else F.col("items"))
     return g.select(*(extra or []), "page", body.alias("body"))
 
@@ -84,12 +85,29 @@ def build_pages(runs: DataFrame) -> DataFrame:
                     F.array(F.struct(F.lit("hudson.plugins.git.util.BuildData").alias("_class"),
                                      F.array(F.concat(F.lit("https://github.com/"), F.col("repo"), F.lit(".git")))
                                      .alias("remoteUrls"))).alias("actions"))
-    return _pages(b, F.floor(rid / (PAGE * 13)), item, wrap=lambda items: F.struct(items.alias("builds")),
+    # one job after the other: job number in the upper bits of the page number
+    job = F.regexp_extract("repo", r"([0-9]+)$", 1).cast("long")
+    return _pages(b, F.shiftleft(job, 32) + F.floor(rid / (PAGE * 13)), item, wrap=lambda items: F.struct(items.alias("builds")),
                   extra=["job_name"])
 
 
-def keys(env: DataFrame) -> DataFrame:
-    return env.select("source", "source_id", "event_type")
+def keys(env: DataFrame, *paths: str) -> DataFrame:
+    """What identifies an envelope, its place in the load, and the payload's values at
+    ``paths`` joined by ``|`` (absent ones left out)."""
+    detail = F.concat_ws("|", *[F.get_json_object("payload", f"$.{p}") for p in paths])
+    place = F.col("seq") - F.shiftleft(F.unix_millis("received_at"), R.PLACE_BITS)
+    return env.select("source", "source_id", "event_type", place.alias("place"), detail.alias("detail"))
+
+
+# What each kind of payload is compared by, in the order of the SQL twins.
+PR_DETAIL = ("id", "title", "state", "user.login", "base.repo.full_name")
+REVIEW_DETAIL = ("id", "state", "user.login", "pull_request_url")
+COMMIT_DETAIL = ("sha", "author.login", "commit.author.email")
+RUN_DETAIL = ("id", "name", "conclusion", "repository.full_name")
+ISSUE_DETAIL = ("key", "fields.summary", "fields.status.name", "fields.issuetype.name")
+BUILD_DETAIL = ("job_name", "number", "result")
+REPORT_DETAIL = ("date", "actor.email_address", "terminal_type", "core_metrics.num_sessions")
+SEAT_DETAIL = ("user_login", "day", "totals_by_cli.session_count")
 
 
 def landed_usage_report(spark, usage: DataFrame, folder: str, received_at: dt.datetime) -> DataFrame:
@@ -106,7 +124,7 @@ def landed_usage_report(spark, usage: DataFrame, folder: str, received_at: dt.da
     docs = cc.groupBy(F.date_format("day", "yyyy-MM-dd").alias("d"), shard).agg(F.collect_list(rec).alias("data"))
     docs.repartition("d", "b").write.mode("overwrite").partitionBy("d", "b").json(folder)
     good, bad = R.read_usage_report(spark, folder, received_at)
-    return keys(good)
+    return keys(good, *REPORT_DETAIL).drop("place")
 
 
 def landed_usage_ndjson(spark, usage: DataFrame, folder: str, received_at: dt.datetime) -> DataFrame:
@@ -121,7 +139,7 @@ def landed_usage_ndjson(spark, usage: DataFrame, folder: str, received_at: dt.da
     lines = cp.select(line.alias("value")).unionByName(cp.select(junk.alias("value")).filter(F.col("value").isNotNull()))
     lines.write.mode("overwrite").text(folder)
     good, bad = R.read_usage_ndjson(spark, folder, received_at)
-    return keys(good)
+    return keys(good, *SEAT_DETAIL).drop("place")
 
 
 def quarantined_usage_lines(spark, usage: DataFrame, folder: str, quarantine: str, received_at: dt.datetime) -> DataFrame:

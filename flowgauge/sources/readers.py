@@ -8,6 +8,11 @@ report is exploded into one envelope per record, so no record list is ever
 held by the driver. A payload is the record's own JSON text, whole. Records that
 cannot be keyed and pages that cannot be read are returned separately, with
 their text, for the quarantine sink.
+
+Every record has its own arrival number ``seq``: the time of the load, then the
+record's place in it (page, then place in the page; line; webhook body). The same
+load read again gives the same numbers, so first arrivals, ties of latest states
+and late events are decided alike on every run.
 """
 from __future__ import annotations
 
@@ -35,15 +40,51 @@ def _ts(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x).cast("timestamp")
 
 
+# Arrival numbers: time of the load in milliseconds, then the place of the record in
+# it. A place that needs more bits runs on into the next millisecond's numbers.
+PLACE_BITS = 22
+# pages whose counts are added up by one task before the sums of all such runs are
+PAGE_RUN_BITS = 12
+
+
+def _running_starts(counted: DataFrame, order: list[str]) -> DataFrame:
+    """``order + [_start]``: the sum of ``_n`` over the rows before. ``order`` begins
+    with a non-negative long. Sums are run inside stretches of ``2 ** PAGE_RUN_BITS``
+    numbers and over the stretches, so one task sorts stretches, never all rows."""
+    within = Window.partitionBy("_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = counted.withColumn("_run", F.shiftright(order[0], PAGE_RUN_BITS))
+    totals = runs.groupBy("_run").agg(F.sum("_n").alias("_n")).select(
+        "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return runs.withColumn("_upto", F.sum("_n").over(within)).join(totals, "_run").select(
+        *order, (F.col("_base") + F.col("_upto") - F.col("_n")).alias("_start"))
+
+
 def envelope(df: DataFrame, source, source_id: Column, event_type, payload: Column,
              received_at: dt.datetime | Column) -> DataFrame:
+    """Envelopes of ``df``, whose column ``place`` is the record's place in the load."""
     rec = _ts(received_at)
     return df.select(
         (F.lit(source) if isinstance(source, str) else source).alias("source"),
         source_id.alias("source_id"),
         (F.lit(event_type) if isinstance(event_type, str) else event_type).alias("event_type"),
         rec.alias("received_at"), F.lit(CONNECTOR_VERSION).alias("connector_version"),
-        payload.alias("payload"), (F.unix_micros(rec) * 4).alias("seq"))
+        payload.alias("payload"), (F.shiftleft(F.unix_millis(rec), PLACE_BITS) + F.col("place")).alias("seq"))
+
+
+def _scan_text(spark: SparkSession, path: str, wholetext: bool = False) -> DataFrame:
+    """Rows of text with the place they were read from, as :func:`scan_envelopes` gives it."""
+    return spark.read.text(path, wholetext=wholetext).select(
+        "value", F.col("_metadata.file_modification_time").alias("landed_at"),
+        F.col("_metadata.file_path").alias("landed_file"), F.col("_metadata.file_block_start").alias("landed_block"))
+
+
+def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Landed pages as ``(body, page)``: each file, or with ``lines`` each line, is one
+    page; pages are numbered by landing time, file and line, so the page order is
+    the order of the load."""
+    scanned = _scan_text(spark, path, not lines).withColumn("seq", F.lit(None).cast("long"))
+    return _numbered(scanned, F.lit(0)).select(F.col("value").alias("body"), F.col("seq").alias("page"))
 
 
 # ---------------------------------------------------------------- S1 / S2 ----
@@ -57,13 +98,25 @@ USAGE_RECORD = ("date string, actor struct<email_address:string>, terminal_type
 def _elements(pages: DataFrame, schema: str, field: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One row per element of each page: ``record`` is the element's whole JSON
     text (the payload; nothing is cut to a schema), ``r`` the parsed side struct
-    for keys and filters, ``position`` its place in the page. Second frame:
-    pages that are no such document, with their text."""
+    for keys and filters, ``place`` its place in the load. Second frame:
+    pages that are no such document, with their text.
+
+    Pages come in the order of their ``page`` number (a long; null first), then of a
+    hash of the page with its other columns. A frame without that column is
+    numbered as its rows are read, which only repeats for a plain scan of files.
+    A page that comes twice gives its records the same numbers twice."""
     listed = F.from_json("body", f"struct<{field}:array<string>>" if field else "array<string>")
-    keep = [c for c in pages.columns if c != "body"]
-    opened = pages.select("*", F.inline(F.array(F.struct((listed[field] if field else listed).alias("_list")))))
+    keep = [c for c in pages.columns if c not in ("body", "page")]
+    page = F.coalesce(F.col("page").cast("long") + 1, F.lit(0)) if "page" in pages.columns else F.monotonically_increasing_id()
+    marked = pages.select(*keep, "body", page.alias("_page"), F.xxhash64("body", *keep).alias("_hash"))
+    opened = marked.select("*", F.inline(F.array(F.struct((listed[field] if field else listed).alias("_list")))))
     bad = opened.filter(F.col("_list").isNull()).select(F.col("body").alias("record"), F.lit("unreadable page").alias("reason"))
-    rows = opened.select(*keep, F.posexplode("_list").alias("position", "record"))
+    order = ["_page", "_hash"]
+    counted = opened.filter(F.size("_list") > 0).groupBy(*order).agg(F.max(F.size("_list")).cast("long").alias("_n"))
+    # pages meet their starts before they are opened into records
+    opened = opened.filter(F.size("_list") > 0).join(_running_starts(counted, order), order)
+    rows = opened.select(*keep, "_start", F.posexplode("_list").alias("position", "record"))
+    rows = rows.select(*keep, "record", (F.col("_start") + F.col("position")).alias("place"))
     parsed = rows.select("*", F.inline(F.array(F.struct(F.from_json("record", schema).alias("r")))))
     return parsed, bad
 
@@ -80,8 +133,8 @@ def read_usage_report(spark: SparkSession, path: str, received_at: dt.datetime)
     envelope per record with the record's whole text; records without an email
     or a date, and files that are no such document, are the second frame. A
     report file is one document, so it is parsed by one task; parallelism comes
-    from many report files."""
-    doc = spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
+    from many report files. Records are numbered by file and place in the file."""
+    doc = read_pages(spark, path)
     rows, bad = _elements(doc, f"struct<{_fields(USAGE_RECORD)}>", "data")
     day = F.substring(F.col("r.date"), 1, 10)
     key = F.concat(F.lit("claude_code:"), F.col("r.actor.email_address"), F.lit(":"), day)
@@ -97,9 +150,11 @@ SEAT_RECORD = ("user_login string, day string, loc_added_sum int, loc_deleted_su
 def read_usage_ndjson(spark: SparkSession, path: str, received_at: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Seat-tool usage as NDJSON (splittable, one record per line). Blank
     lines are skipped; lines that are not a JSON object with a login and a day
-    are returned (with the line) for the quarantine sink."""
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    parsed = lines.select("value", F.from_json("value", SEAT_RECORD).alias("r"),
+    are returned (with the line) for the quarantine sink. Records are numbered by
+    landing time, file and line; blank and rejected lines keep their numbers."""
+    scanned = _scan_text(spark, path).withColumn("seq", F.lit(None).cast("long"))
+    lines = _numbered(scanned, F.lit(0)).filter(F.length(F.trim("value")) > 0)
+    parsed = lines.select("value", F.col("seq").alias("place"), F.from_json("value", SEAT_RECORD).alias("r"),
                           F.try_parse_json("value").alias("_v"))
     ok = F.col("_v").isNotNull() & F.col("r.user_login").isNotNull() & F.col("r.day").isNotNull()
     good = envelope(parsed.filter(ok), "copilot",
@@ -140,10 +195,13 @@ def scan_envelopes(spark: SparkSession, path: str, streaming: bool = False, fmt:
                      F.col("_metadata.file_block_start").alias("landed_block"))
 
 
-def _numbered(good: DataFrame) -> DataFrame:
+def _numbered(good: DataFrame, at: Column | None = None) -> DataFrame:
     """Arrival numbers for rows without one, in the order of landing time, file, split of
-    the file and row in the split. Splits are counted first; only one row per split
-    is put in order by a single task."""
+    the file and row in the split. A number is the landing time in milliseconds, then
+    the place among all that landed then; where a place needs more bits, later rows are
+    numbered after it. ``at`` sets another start in milliseconds. Splits are counted
+    first; only one row per split is put in order by a single task, and whether
+    these rows are broadcast is left to their measured size."""
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     rows = good.withColumn("_row", row)
     splits = rows.filter(F.col("seq").isNull()).groupBy(*SPLIT).agg(
@@ -151,9 +209,9 @@ def _numbered(good: DataFrame) -> DataFrame:
     order = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # each split starts at its landing time or behind its predecessor, whichever is later
     splits = splits.withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
-    ahead = F.shiftleft(F.unix_millis("landed_at"), PLACE_BITS) - F.col("_before")
+    ahead = F.shiftleft(F.unix_millis("landed_at") if at is None else at.cast("long"), PLACE_BITS) - F.col("_before")
     splits = splits.withColumn("_start", F.col("_before") + F.max(ahead).over(order))
-    joined = rows.join(F.broadcast(splits.select(*SPLIT, "_start", "_first")), SPLIT, "left")
+    joined = rows.join(splits.select(*SPLIT, "_start", "_first"), SPLIT, "left")
     seq = F.coalesce("seq", F.col("_start") + F.col("_row") - F.col("_first"))
     return joined.select(*[seq.alias("seq") if c == "seq" else F.col(c) for c in good.columns])
 
@@ -243,11 +301,23 @@ def land_builds(pages: DataFrame, received_at: dt.datetime) -> tuple[DataFrame,
     return envelope(rows, "jenkins", F.col("_key"), "build.snapshot", payload, received_at), bad
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with a ``place`` each, in the order of a hash of ``_key`` and then of
+    ``_key``; rows that repeat a key and its body share a place."""
+    order = ["_hash", "_name", "_text"]
+    named = rows.withColumns({
+        "_hash": F.shiftrightunsigned(F.xxhash64("_key"), 64 - 2 * PAGE_RUN_BITS),
+        "_name": F.coalesce("_key", F.lit("")), "_text": F.coalesce("_body", F.lit(""))})
+    counted = named.select(*order).distinct().withColumn("_n", F.lit(1).cast("long"))
+    return named.join(_running_starts(counted, order), order).select(*rows.columns, F.col("_start").alias("place"))
+
+
 # -------------------------------------------------------------------- S10 ----
 def assemble_team_snapshots(teams: DataFrame, repos: DataFrame, members: DataFrame, received_at: dt.datetime) -> DataFrame:
     """One snapshot per team (id, name, slug) with its repositories and
     members nested; repos without a full name and members without a login are
-    dropped. The nested lists are bounded by one team's size (a dimension)."""
+    dropped. The nested lists are bounded by one team's size (a dimension).
+    Snapshots are numbered in the order of a hash of the team id."""
     rp = (repos.filter(F.col("full_name").isNotNull()).groupBy("team_id")
           .agg(F.array_sort(F.collect_list(F.struct("full_name"))).alias("repositories")))
     mb = (members.filter(F.col("login").isNotNull()).groupBy("team_id")
@@ -256,17 +326,32 @@ def assemble_team_snapshots(teams: DataFrame, repos: DataFrame, members: DataFra
         mb, F.col("id") == mb.team_id, "left").drop("team_id")
     snap = F.struct("id", "name", "slug", F.coalesce("repositories", F.array()).alias("repositories"),
                     F.coalesce("members", F.array()).alias("members"))
-    return envelope(j, "github", F.concat(F.lit("team:"), F.col("id")), "team.snapshot", F.to_json(snap), received_at)
+    rows = j.select(F.concat(F.lit("team:"), F.col("id")).alias("_key"), F.to_json(snap).alias("_body"))
+    return envelope(_placed(rows), "github", F.col("_key"), "team.snapshot", F.col("_body"), received_at)
 
 
 # -------------------------------------------------------------------- S11 ----
+# Bodies of one millisecond are told apart by their key's hash; this many bits are left
+# for those that share its upper bits, enough for 100,000 bodies in a millisecond.
+RANK_BITS = 4
+
+
 def webhook_key(bodies: DataFrame, received_at: dt.datetime | None = None) -> tuple[DataFrame, DataFrame]:
     """Webhook bodies without a delivery id are keyed by the SHA-256 of
     the raw body; the event type comes from ``webhookEvent`` and a blank one is
-    rejected (second frame)."""
+    rejected (second frame). A body's arrival number is its receive time, then
+    its place in the order of the keys' hashes; a body delivered twice at one time
+    keeps its number."""
     et = F.get_json_object("body", "$.webhookEvent")
     ok = F.length(F.trim(F.coalesce(et, F.lit("")))) > 0
     rec = F.col("received_at") if received_at is None else received_at
-    good = envelope(bodies.filter(ok), "jira", C.sha256_hex("body"), et, F.col("body"), rec)
+    rows = bodies.filter(ok).select(C.sha256_hex("body").alias("_key"), "body", et.alias("_type"), _ts(rec).alias("_at"))
+    if received_at is None:
+        low = F.shiftrightunsigned(F.xxhash64("_key"), 64 - PLACE_BITS + RANK_BITS)
+        order = Window.partitionBy(F.unix_millis("_at"), "_low").orderBy("_key")
+        rows = rows.withColumn("_low", low).withColumn("place", F.shiftleft("_low", RANK_BITS) + F.dense_rank().over(order) - 1)
+    else:
+        rows = _placed(rows.withColumnRenamed("body", "_body")).withColumnRenamed("_body", "body")
+    good = envelope(rows, "jira", F.col("_key"), F.col("_type"), F.col("body"), F.col("_at"))
     bad = bodies.filter(~ok).withColumn("reason", F.lit("blank webhookEvent"))
     return good, bad

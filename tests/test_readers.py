@@ -118,3 +118,61 @@ def test_mart_drops_days_without_rows(spark):
     K.write_mart(spark.createDataFrame([("m", "repo", "r", d, 1.0, 1) for d in days], schema), path)
     K.write_mart(spark.createDataFrame([("m", "repo", "r", days[2], 2.0, 1)], schema), path, (days[1], days[2]))
     assert sorted((str(r.day), r.value) for r in spark.read.parquet(path).collect()) == [("2024-01-01", 1.0), ("2024-01-03", 2.0)]
+
+
+def test_records_of_a_load_are_numbered(spark):
+    """Place in the load: pages by number, then place in the page; unreadable and empty pages take none."""
+    bodies = [(json.dumps([{"sha": f"{p}-{k}"} for k in range(3 + p % 2)]), p) for p in (9000, 7, 4099, 8, 4096)]
+    pages = spark.createDataFrame([*bodies, ("oops", 8000), ("[]", 10)], "body string, page long").repartition(3)
+    good, _ = R.land_commits(pages, T0)
+    got = sorted((r.seq, r.source_id) for r in good.collect())
+    start = got[0][0]
+    assert start == int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) << R.PLACE_BITS
+    assert got == [(start + n, f"commit:{p}-{k}") for n, (p, k) in
+                   enumerate((p, k) for p in (7, 8, 4096, 4099, 9000) for k in range(3 + p % 2))]
+    unnumbered, _ = R.land_commits(spark.createDataFrame([(b,) for b, _ in bodies], "body string"), T0)
+    assert [r.source_id for r in unnumbered.orderBy("seq").collect()] == [
+        f"commit:{p}-{k}" for p in (9000, 7, 4099, 8, 4096) for k in range(3 + p % 2)]
+    later, _ = R.land_commits(pages, T0 + dt.timedelta(milliseconds=1))
+    assert later.agg({"seq": "min"}).head()[0] > got[-1][0]
+    empty, _ = R.land_commits(pages.limit(0), T0)
+    assert empty.collect() == []
+
+
+def test_report_and_line_files_are_numbered(spark):
+    root = tempfile.mkdtemp(prefix="fg-read-", dir="/tmp")
+    for n, name in enumerate("ba"):  # b lands first
+        with open(f"{root}/{name}.json", "w") as f:
+            f.write(json.dumps({"data": [{"date": "2024-01-02", "actor": {"email_address": f"{name}{k}"}} for k in range(12)]}))
+        os.utime(f"{root}/{name}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    good, _ = R.read_usage_report(spark, root, T0)
+    rows = good.orderBy("seq").collect()
+    assert [r.source_id.split(":")[1] for r in rows] == [f"{f}{k}" for f in "ba" for k in range(12)]
+    assert len({r.seq for r in rows}) == 24
+    lines = tempfile.mkdtemp(prefix="fg-read-", dir="/tmp")
+    with open(f"{lines}/x.json", "w") as f:
+        f.writelines(json.dumps({"user_login": f"u{k}", "day": "2024-01-02"}) + ("\n\n{bad\n" if k % 9 == 0 else "\n") for k in range(900))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        good, _ = R.read_usage_ndjson(spark, lines, T0)
+        assert [r.source_id.split(":")[1] for r in good.orderBy("seq").collect()] == [f"u{k}" for k in range(900)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_webhooks_and_team_snapshots_are_numbered(spark):
+    body = '{"webhookEvent":"jira:issue_updated","n":%d}'
+    at = [T0 + dt.timedelta(milliseconds=k // 1500) for k in range(3000)]
+    bodies = spark.createDataFrame([(body % k, at[k]) for k in range(3000)] + [(body % 5, at[5])], "body string, received_at timestamp")
+    good, _ = R.webhook_key(bodies)
+    rows = good.collect()
+    assert len(rows) == 3001 and len({r.seq for r in rows}) == 3000
+    assert max(r.seq for r in rows if r.received_at == at[0]) < min(r.seq for r in rows if r.received_at == at[-1])
+    loaded, _ = R.webhook_key(bodies.select("body"), T0)
+    assert loaded.select("seq").distinct().count() == 3000 and loaded.count() == 3001
+    teams = spark.createDataFrame([(f"t{k}", f"T{k}", f"t{k}") for k in range(50)], "id string, name string, slug string")
+    repos = spark.createDataFrame([("t1", "o/a")], "team_id string, full_name string")
+    members = spark.createDataFrame([("t1", "1", "x")], "team_id string, id string, login string")
+    snaps = R.assemble_team_snapshots(teams, repos, members, T0)
+    first, again = [{r.source_id: r.seq for r in s.collect()} for s in (snaps, R.assemble_team_snapshots(teams.repartition(5), repos, members, T0))]
+    assert len(set(first.values())) == 50 and first == again
