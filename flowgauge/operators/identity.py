@@ -18,6 +18,8 @@ many aliases, or a hot email, never needs more than one small group.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,6 @@ _COMMIT = f"sha string, author {_GH_USER}, commit struct<author:{_GIT_SIG}>"
 _PUSH = f"commits array<struct<author:{_GIT_SIG}>>"
 _JIRA = (f"issue struct<fields:struct<assignee:{_JIRA_USER}, reporter:{_JIRA_USER}>>, "
          f"fields struct<assignee:{_JIRA_USER}, reporter:{_JIRA_USER}>, user {_JIRA_USER}")
-OBS = "struct<source:string,source_user_id:string,name:string,email:string>"
 
 
 def _obs(source: str, uid: Column, name: Column, email: Column) -> Column:
@@ -55,35 +56,41 @@ def observe_identities(events: DataFrame) -> DataFrame:
     PR-family events: the (wrapped) ``user`` when it has an id; commits: the
     platform author (name from the git signature, else the login; email from
     the signature), or the bare git signature; pushes: each commit's git
-    signature; Jira: assignee, reporter and webhook actor with an account id."""
+    signature; Jira: assignee, reporter and webhook actor with an account id.
+
+    Each kind reads its own envelopes (folders of the raw table) and parses them once."""
     et, src = F.col("event_type"), F.col("source")
-    pr_outer = F.from_json("payload", f"pull_request struct<{_PR_USER.replace(' ', ':', 1)}>")
-    pr_flat = F.from_json("payload", _PR_USER)
-    pr_user = F.when(pr_outer["pull_request"].isNotNull(), pr_outer["pull_request"]["user"]).otherwise(pr_flat["user"])
-    commit = F.from_json("payload", _COMMIT)
-    push = F.from_json("payload", _PUSH)
-    jira = F.from_json("payload", _JIRA)
-    jfields = F.when(jira["issue"].isNotNull(), jira["issue"]["fields"]).otherwise(jira["fields"])
-
-    def jira_user(u: Column) -> Column:
-        return F.when(u["accountId"].isNotNull(), _obs("jira", u["accountId"], u["displayName"], u["emailAddress"]))
-
-    gh_author, git_author = commit["author"], commit["commit"]["author"]
-    commit_obs = F.when(gh_author["id"].isNotNull(),
-                        _obs("github", gh_author["id"], F.coalesce(git_author["name"], gh_author["login"]),
-                             git_author["email"])).otherwise(_git_signature(git_author))
-    found = (F.when((src == "github") & et.startswith("pull_request"),
-                    F.array(F.when(pr_user["id"].isNotNull(),
-                                   _obs("github", pr_user["id"], pr_user["login"], pr_user["email"]))))
-             .when((src == "github") & et.startswith("commit"), F.array(commit_obs))
-             .when((src == "github") & (et == "push"),
-                   F.transform(F.coalesce(push["commits"], F.array()), lambda c: _git_signature(c["author"])))
-             .when(src == "jira", F.array(jira_user(jfields["assignee"]), jira_user(jfields["reporter"]),
-                                          jira_user(jira["user"]))))
-    rel = events.filter(src.isin("github", "jira"))
-    return (rel.select(F.posexplode(F.filter(F.coalesce(found, F.array().cast(f"array<{OBS}>")), lambda o: o.isNotNull()))
-                       .alias("pos", "o"), "seq")
-            .select("o.*", "seq", "pos"))
+    github = src == "github"
+
+    def revealed(kind: Column, schema: str, found) -> DataFrame:
+        # one parse a row: the one-row inline keeps it from being copied into every field access
+        row = F.struct(F.from_json("payload", schema).alias("j"), F.col("seq"))
+        opened = events.filter(kind).select(F.inline(F.array(row)))
+        listed = opened.select(F.inline(F.array(F.struct(found(F.col("j")).alias("_found"), F.col("seq")))))
+        return listed.select(F.posexplode(F.filter("_found", lambda o: o.isNotNull())).alias("pos", "o"), "seq")
+
+    def pull_request(j: Column) -> Column:
+        user = F.when(j["pull_request"].isNotNull(), j["pull_request"]["user"]).otherwise(j["user"])
+        return F.array(F.when(user["id"].isNotNull(), _obs("github", user["id"], user["login"], user["email"])))
+
+    def commit(j: Column) -> Column:
+        author, git = j["author"], j["commit"]["author"]
+        named = _obs("github", author["id"], F.coalesce(git["name"], author["login"]), git["email"])
+        return F.array(F.when(author["id"].isNotNull(), named).otherwise(_git_signature(git)))
+
+    def push(j: Column) -> Column:
+        return F.transform(F.coalesce(j["commits"], F.array()), lambda c: _git_signature(c["author"]))
+
+    def jira(j: Column) -> Column:
+        fields = F.when(j["issue"].isNotNull(), j["issue"]["fields"]).otherwise(j["fields"])
+        return F.array(*[F.when(u["accountId"].isNotNull(), _obs("jira", u["accountId"], u["displayName"], u["emailAddress"]))
+                         for u in (fields["assignee"], fields["reporter"], j["user"])])
+
+    parts = [revealed(github & et.startswith("pull_request"), f"pull_request struct<{_PR_USER.replace(' ', ':', 1)}>, {_PR_USER}", pull_request),
+             revealed(github & et.startswith("commit"), _COMMIT, commit),
+             revealed(github & (et == "push"), _PUSH, push),
+             revealed(src == "jira", _JIRA, jira)]
+    return reduce(DataFrame.unionByName, parts).select("o.*", "seq", "pos")
 
 
 def team_member_observations(teams: DataFrame) -> DataFrame:
@@ -127,7 +134,8 @@ def resolve_identities(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_team_snapshots(events: DataFrame) -> DataFrame:
     """E11 over ``team.snapshot`` envelopes: id and name required, repos need
     a full name, members an id, missing arrays are empty."""
-    t = events.select(F.from_json("payload", TEAM).alias("t"), "received_at", "seq")
+    row = F.struct(F.from_json("payload", TEAM).alias("t"), F.col("received_at"), F.col("seq"))
+    t = events.select(F.inline(F.array(row)))  # one parse a row, as above
     t = t.filter(F.col("t.id").isNotNull() & F.col("t.name").isNotNull())
     return t.select(
         F.col("t.id").alias("team_source_id"), F.col("t.name").alias("name"),

@@ -4,7 +4,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flowgauge.operators.identity import manual_teams, resolve_identities
+from flowgauge.operators.identity import manual_teams, observe_identities, resolve_identities
+from flowgauge.plans.identity_plans import observations
 
 
 def serial_resolve(observations):
@@ -82,3 +83,42 @@ def test_manual_teams_last_write_wins(spark):
     got = {r["source_id"]: r["name"] for r in manual_teams(req).collect()}
     assert got == {"platform-team": "  platform   team!! ", "data": "Data"}
     assert random is not None
+
+
+ENV = "source string, event_type string, payload string, received_at timestamp, seq long"
+
+
+def test_each_kind_of_envelope_is_parsed_once(spark):
+    import datetime as dt
+    env = spark.createDataFrame([("github", "push", "{}", dt.datetime(2024, 1, 1), 1)], ENV)
+    plan = observations(env)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 5  # pull requests, commits, pushes, Jira, teams
+
+
+def test_what_each_envelope_reveals(spark):
+    import datetime as dt
+    import json
+    ann = {"id": "1", "login": "ann", "email": "a@x.io"}
+    jane = {"accountId": "j1", "displayName": "Jane", "emailAddress": "j@x.io"}
+    sent = [
+        ("github", "pull_request", {"pull_request": {"user": ann}, "user": {"id": "9", "login": "sender"}}),
+        ("github", "pull_request.snapshot", {"user": ann, "commits": 3}),
+        ("github", "pull_request_review.snapshot", {"user": None}),
+        ("github", "commit.snapshot", {"author": {"id": "2", "login": "bob"}, "commit": {"author": {"email": "b@x.io"}}}),
+        ("github", "commit.snapshot", {"commit": {"author": {"name": "C", "email": "C@x.io"}}}),
+        ("github", "commit.snapshot", {"commit": {"author": {"name": "nobody"}}}),
+        ("github", "push", {"commits": [{"author": {"name": "D"}}, {"author": {"name": "E", "email": "e@x.io"}}]}),
+        ("github", "push", {}),
+        ("jira", "jira:issue_updated", {"issue": {"fields": {"assignee": None, "reporter": jane}}, "user": jane}),
+        ("jira", "issue.snapshot", {"fields": {"assignee": jane}}),
+        ("jenkins", "build.snapshot", {"user": ann}),
+        ("github", "workflow_run", {"user": ann}),
+    ]
+    rows = [(s, e, json.dumps(p), dt.datetime(2024, 1, 1), n) for n, (s, e, p) in enumerate(sent)]
+    rows += [("jira", "issue.snapshot", "{broken", dt.datetime(2024, 1, 1), 98), ("github", "push", None, dt.datetime(2024, 1, 1), 99)]
+    got = sorted(tuple(r) for r in observe_identities(spark.createDataFrame(rows, ENV)).select(
+        "seq", "pos", "source_user_id", "name", "email").collect())
+    assert got == [
+        (0, 0, "1", "ann", "a@x.io"), (1, 0, "1", "ann", "a@x.io"), (3, 0, "2", "bob", "b@x.io"),
+        (4, 0, "email:c@x.io", "C", "C@x.io"), (6, 0, "email:e@x.io", "E", "e@x.io"),
+        (8, 0, "j1", "Jane", "j@x.io"), (8, 1, "j1", "Jane", "j@x.io"), (9, 0, "j1", "Jane", "j@x.io")]
