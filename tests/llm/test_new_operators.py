@@ -77,6 +77,15 @@ def test_merkle_against_brute_force(spark, shared):
     assert any(not r[6] for r in got)
 
 
+@pytest.mark.parametrize("shared", [1 << 14, 9, 0])
+def test_merkle_climb_of_many_steps(spark, monkeypatch, shared):
+    """Rows that span two levels: climbs of several steps below and above the shared nodes."""
+    monkeypatch.setattr(merkle, "BLOCK", 2)
+    rows = [(d, "s", ("en", "de", None, "fr", "ja")[d % 5 if d < 40 else 0], d, f"text {d}") for d in range(110)]
+    got = [tuple(r)[:7] for r in merkle.checked(spark.createDataFrame([(*r, "x", 1) for r in rows], FIELDS), shared_nodes=shared).collect()]
+    assert ordered(got) == ordered(brute_merkle(rows))
+
+
 def test_merkle_small_tables(spark):
     for n in (0, 1, 3):
         docs = spark.createDataFrame([(*r, "x", 1) for r in ODD[:n]], FIELDS)
