@@ -35,7 +35,15 @@ def _holds(rank: Column) -> Column:
 def grouped_percentile(df: DataFrame, keys: list[str], value: str | Column, p: float = 0.5,
                        out: str = "value", count_out: str | None = "sample_size", scale: float | None = None,
                        nonnull_out: str | None = None, bucket_bits: int = BUCKET_BITS) -> DataFrame:
-    """Return ``keys + [out, count_out]``.
+    """Return ``keys + [out, count_out, nonnull_out]`` for one ``p``; see :func:`grouped_percentiles`."""
+    return grouped_percentiles(df, keys, value, {out: p}, count_out, scale, nonnull_out, bucket_bits)
+
+
+def grouped_percentiles(df: DataFrame, keys: list[str], value: str | Column, wanted_ps: dict[str, float],
+                        count_out: str | None = None, scale: float | None = None, nonnull_out: str | None = None,
+                        bucket_bits: int = BUCKET_BITS) -> DataFrame:
+    """Return ``keys``, a column for each ``{name: p}`` and ``count_out``: all of them from one
+    count of the values, one running sum over the prefixes and one join.
 
     ``value`` must be integral (it is cast to LONG); ``scale`` divides the result
     (e.g. microseconds -> hours). ``nonnull_out`` names an optional count of
@@ -50,22 +58,23 @@ def grouped_percentile(df: DataFrame, keys: list[str], value: str | Column, p: f
     ranked = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")).select(
         *keys, "_b", F.sum("_c").over(group).alias("_n_all"), F.sum(known).over(group).alias("_n"),
         F.sum(known).over(upto).alias("_end"), known.alias("_known")).withColumn("_start", F.col("_end") - F.col("_known"))
-    pos = (F.col("_n") - 1) * F.lit(p)
-    low, high = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
-    wanted = F.when(F.col("_n") == 0, F.lit(True)).otherwise(F.col("_b").isNotNull() & (_holds(low) | _holds(high)))
+    at = {name: (F.col("_n") - 1) * F.lit(p) for name, p in wanted_ps.items()}
+    ranks = {name: (F.floor(pos).cast("long"), F.ceil(pos).cast("long")) for name, pos in at.items()}
+    held = reduce(lambda a, b: a | b, [_holds(rank) for pair in ranks.values() for rank in pair])
+    wanted = F.when(F.col("_n") == 0, F.lit(True)).otherwise(F.col("_b").isNotNull() & held)
     picks = ranked.filter(wanted).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_pb"),
                                          F.col("_start").alias("_before"), "_n", "_n_all")
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b").eqNullSafe(F.col("_pb"))]
     inside = counts.join(picks, reduce(lambda a, b: a & b, same))
     within = Window.partitionBy(*keys, "_b").orderBy(_V).rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_end", F.col("_before") + F.sum("_c").over(within)).withColumn("_start", F.col("_end") - F.col("_c"))
-    res = inside.groupBy(*keys).agg(
-        F.max(F.when(_holds(low), F.col(_V))).cast("double").alias("_lo"), F.max(F.when(_holds(high), F.col(_V))).cast("double").alias("_hi"),
-        F.max("_n").alias("_n"), F.max("_n_all").alias("_n_all"))
-    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (pos - F.floor(pos))
-    if scale:
-        q = q / F.lit(scale)
-    cols = [*keys, q.alias(out)]
+    ends = [F.max(F.when(_holds(rank), F.col(_V))).cast("double").alias(f"_{side}{i}")
+            for i, pair in enumerate(ranks.values()) for side, rank in zip(("lo", "hi"), pair)]
+    res = inside.groupBy(*keys).agg(*ends, F.max("_n").alias("_n"), F.max("_n_all").alias("_n_all"))
+    cols = list(keys)
+    for i, (name, pos) in enumerate(at.items()):
+        q = F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (pos - F.floor(pos))
+        cols.append((q / F.lit(scale) if scale else q).alias(name))
     if count_out:
         cols.append(F.col("_n_all").alias(count_out))
     if nonnull_out:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import first_at_or_after, first_within
 from ..operators.filters import in_window, name_matches
-from ..operators.percentile import grouped_percentile
+from ..operators.percentile import grouped_percentiles
 from ..operators.rollup import additive_rollup, medians_rollup, micros_between, scope_fanout
 from . import params as P
 from .params import Params
@@ -126,10 +126,8 @@ def lead_time_percentiles(runs: DataFrame, prs: DataFrame, team_repo: DataFrame,
     vals = lead_values(runs, prs, p).select("repo", F.least("_us", cap).alias("_us"), (F.col("_us") > cap).cast("long").alias("_cut"))
     fanned = scope_fanout(vals, team_repo)
     out = fanned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_changes"), F.sum("_cut").alias("n_capped"))
-    for share in (50, 75, 90):
-        part = grouped_percentile(fanned, keys, "_us", share / 100, out=f"p{share}_hours", count_out=None, scale=3.6e9)
-        out = out.join(part, keys)
-    return out
+    shares = {f"p{share}_hours": share / 100 for share in (50, 75, 90)}
+    return out.join(grouped_percentiles(fanned, keys, "_us", shares, scale=3.6e9), keys)
 
 
 def open_pr_age_buckets(prs: DataFrame, p: Params = P.DEFAULT) -> DataFrame:

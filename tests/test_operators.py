@@ -97,3 +97,21 @@ def test_record_high_guard_matches_serial_loop(spark):
             want = k not in best or ts > best[k]
             assert got[seq] == want, (shift, k, seq)
             best[k] = max(best.get(k, ts), ts)
+
+
+def test_several_percentiles_in_one_pass(spark):
+    """All ``p`` of a group from one count equal those taken alone and numpy's; a group of nulls has none."""
+    import numpy as np
+    from flowgauge.operators.percentile import grouped_percentile, grouped_percentiles
+    rnd = np.random.default_rng(3)
+    groups = {"even": rnd.integers(0, 10**9, 400), "ties": np.repeat([5, 5, 7_000_000_000], 50), "one": np.array([42])}
+    rows = [(g, int(v)) for g, vals in groups.items() for v in vals] + [("none", None), ("ties", None)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    wanted = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
+    got = {r.g: r for r in grouped_percentiles(df, ["g"], "v", wanted, count_out="n", nonnull_out="known").collect()}
+    for g, vals in groups.items():
+        assert np.allclose([got[g][name] for name in wanted], np.quantile(vals, list(wanted.values())))
+    assert (got["ties"].n, got["ties"].known) == (151, 150)
+    assert got["none"].p50 is None and (got["none"].n, got["none"].known) == (1, 0)
+    alone = {r.g: r.value for r in grouped_percentile(df, ["g"], "v", 0.99).collect()}
+    assert alone == {g: r.p99 for g, r in got.items()}
