@@ -22,7 +22,7 @@ from . import views as V
 from .params import DEFAULT, Params
 
 
-LAYOUT_VERSION = "8"
+LAYOUT_VERSION = "9"
 
 
 def input_mark(spark: SparkSession, base: str) -> str:

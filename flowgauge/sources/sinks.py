@@ -2,8 +2,8 @@
 
 Tables are parquet folders. Raw events are append-only and partitioned by
 ``source`` and ``event_type`` (routing then prunes whole folders); state
-tables are partitioned by a hash bucket of their key and merged bucket by
-bucket (plain parquet has no MERGE); the mart uses dynamic partition overwrite
+tables are partitioned by a hash bucket of their key, merged bucket by
+bucket (plain parquet has no MERGE) and split into more buckets as they grow; the mart uses dynamic partition overwrite
 by ``metric_key``. Nothing is read and overwritten in one plan: merged rows
 are checkpointed first.
 """
@@ -53,17 +53,62 @@ def write_quarantine(bad: DataFrame, reason: str | F.Column, path: str) -> None:
         .write.mode("append").parquet(path)
 
 
-STATE_BUCKETS = 64
+STATE_BUCKETS = 8                  # buckets a state table starts with
+BUCKET_BYTES = 128 * 1024 * 1024   # a bucket larger than this on average makes the table split
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _bucket(keys: list[str], buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+
+
+def _layouts(spark: SparkSession, path: str) -> list[int]:
+    """Bucket counts of the whole layouts of a state table, ascending. The last
+    one is current; the one before stays until the next split for its readers."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return []
+    counts = [int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(p) if s.getPath().getName().startswith("buckets=")]
+    return sorted(n for n in counts if _exists(spark, f"{path}/buckets={n}/_SUCCESS"))
+
+
+def _split(spark: SparkSession, keys: list[str], path: str, buckets: int, schema: T.StructType, bucket_bytes: int) -> None:
+    """Write the table anew with more buckets once they hold more than
+    ``bucket_bytes`` on average. The count at least quadruples, so a row is
+    copied a bounded number of times however far the table grows. The new layout
+    becomes current with its ``_SUCCESS`` marker, so a split that is cut off
+    leaves the old one in force."""
+    fs, folder = _hadoop(spark, f"{path}/buckets={buckets}")
+    held = fs.getContentSummary(folder).getLength()
+    wanted = buckets
+    while held > wanted * bucket_bytes:
+        wanted *= 2
+    if wanted == buckets:
+        return
+    wanted *= 2
+    rows = spark.read.schema(schema).parquet(f"{path}/buckets={buckets}").withColumn("bucket", _bucket(keys, wanted))
+    rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "static") \
+        .partitionBy("bucket").parquet(f"{path}/buckets={wanted}")
+    fs, root = _hadoop(spark, path)
+    for status in fs.listStatus(root):
+        if status.getPath().getName() not in (f"buckets={buckets}", f"buckets={wanted}"):
+            fs.delete(status.getPath(), True)
 
 
 def write_state(updates: DataFrame, keys: list[str], path: str, sticky: str | None = None,
-                buckets: int = STATE_BUCKETS) -> None:
+                buckets: int = STATE_BUCKETS, bucket_bytes: int = BUCKET_BYTES) -> None:
     """K2: merge extracted ``updates`` (with ``received_at`` and ``seq``) into
     the latest-state table at ``path``.
 
     The table is partitioned by a hash bucket of the key; only the buckets the
     updates touch are read, merged and replaced (dynamic partition overwrite),
-    so a micro-batch costs the state it touches, not the whole table. Stored
+    so a micro-batch costs the state it touches, not the whole table. It starts
+    with ``buckets`` buckets and splits as it grows (see :func:`_split`), so a
+    bucket stays near ``bucket_bytes`` at any table size. Stored
     rows re-enter as the earliest arrivals (``seq`` = -1): an update replaces a
     row only when strictly newer (D2) and a sticky flag is OR-ed only from
     updates that pass that guard (D3). The merged rows are checkpointed before
@@ -71,18 +116,20 @@ def write_state(updates: DataFrame, keys: list[str], path: str, sticky: str | No
     idempotent, so replaying a micro-batch after a failure (even one that
     replaced only some buckets) gives the same table."""
     from ..operators.state import sticky_flag
+
     spark = updates.sparkSession
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
-    upd = updates.withColumn("bucket", bucket)
+    found = _layouts(spark, path)
+    buckets = found[-1] if found else buckets
+    folder = f"{path}/buckets={buckets}"
+    upd = updates.withColumn("bucket", _bucket(keys, buckets))
+    # explicit schema: a table whose earlier batches had no rows is a bare folder
+    stored = T.StructType([T.StructField("last_received_at" if f.name == "received_at" else f.name, f.dataType)
+                           for f in upd.schema.fields if f.name != "seq"])
     merged = upd
-    # (dynamic partition overwrite commits partitions without a _SUCCESS marker)
-    if _exists(spark, path):
+    if found:
         # the touched bucket numbers: at most `buckets` small integers
         touched = [r[0] for r in upd.select("bucket").distinct().collect()]
-        # explicit schema: a table whose earlier batches had no rows is a bare folder
-        stored = T.StructType([T.StructField("last_received_at" if f.name == "received_at" else f.name, f.dataType)
-                               for f in upd.schema.fields if f.name != "seq"])
-        old = (spark.read.schema(stored).parquet(path).filter(F.col("bucket").isin(touched))
+        old = (spark.read.schema(stored).parquet(folder).filter(F.col("bucket").isin(touched))
                .withColumnRenamed("last_received_at", "received_at").withColumn("seq", F.lit(-1).cast("long")))
         merged = old.unionByName(upd.select(*old.columns))
     state = latest_state(merged, [*keys, "bucket"])
@@ -92,11 +139,14 @@ def write_state(updates: DataFrame, keys: list[str], path: str, sticky: str | No
     out = state.drop("seq").withColumnRenamed("received_at", "last_received_at").hint("rebalance", "bucket")
     checkpoint_dir(spark)
     out = out.checkpoint(eager=True)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    # the first layout is written as a whole and marked by _SUCCESS, later merges replace its buckets
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if found else "static") \
+        .partitionBy("bucket").parquet(folder)
+    _split(spark, keys, path, buckets, stored, bucket_bytes)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    return spark.read.parquet(f"{path}/buckets={_layouts(spark, path)[-1]}").drop("bucket")
 
 
 def write_mart(mart: DataFrame, path: str, window: tuple[dt.date, dt.date] | None = None) -> None:

@@ -1,20 +1,28 @@
 """Continuous ingest (D7): envelope stream -> raw table -> latest-state tables.
 
-``readStream`` over landed envelope files, ``foreachBatch`` per micro-batch:
+Two streams, the second run once after each micro-batch of the first:
 
+**Landing** (:func:`land_batch`, ``readStream`` over landed envelope files):
 0. unreadable envelopes and those that lack a field go to the quarantine (K4);
 1. connector activity (D4) from every delivery, duplicates included;
-2. exact dedup (D1): first arrival per natural key inside the batch, then an
-   anti-join against the stored raw table (state grows with the table, which is
-   the exact semantics; ``dropDuplicatesWithinWatermark`` would bound it at the
-   cost of exactness, see :func:`bounded_dedup`); fresh envelopes are appended
-   under the batch's epoch id;
-3. the batch's fresh envelopes are read back from the raw table (not from the
-   lineage, so a lost executor cannot change what was appended), routed (D6),
-   extracted (E*) and merged into each state table (K2: guard D2, sticky D3).
-
-Raw appends are keyed by the epoch id and state merges are idempotent, so a
-replayed micro-batch leaves the same tables.
+2. the first arrival per natural key of the batch is kept (``landed``).
+
+**Merging** (:func:`merge_batch`, ``readStream`` over ``landed``):
+3. exact dedup (D1): ``dropDuplicates`` on the natural key, without a watermark.
+   The keys seen so far are keyed state in RocksDB, of which only changes are
+   checkpointed, so a micro-batch looks up its own keys and doesn't read the raw
+   table. A batch of ``landed`` is one landing batch and holds a key once, so
+   the row that stays is the first arrival. State is spread over
+   ``spark.sql.shuffle.partitions`` of the first run: size it for the stream;
+4. fresh envelopes are appended to the raw table under the batch's number (K1)
+   and read back (not from the lineage, so a lost executor cannot change what
+   was appended), routed (D6), extracted (E*) and merged into each state table
+   (K2: guard D2, sticky D3).
+
+What a batch lands or appends is written once under its number, state merges are
+idempotent, and a merging batch that was cut off runs again from the state before
+it, so replayed micro-batches leave the same tables. ``landed`` files are deleted
+once a later batch has been merged.
 Batch and stream give the same tables when micro-batches follow arrival order.
 """
 from __future__ import annotations
@@ -44,25 +52,33 @@ STATE_TABLE = {"workflow_run": "workflow_run_state", "jenkins_build": "workflow_
                "jira_issue": "jira_issue_state", "ai_usage": "ai_usage_state"}
 
 
-def process_batch(batch: DataFrame, epoch_id: int, root: str) -> None:
-    spark = batch.sparkSession
+def _once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` unless an earlier attempt of the batch did; the stored rows.
+    They are read in the session ``spark``: that of a stream with state plans
+    without adaptive execution."""
+    if not _exists(spark, path + "/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def land_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, root: str) -> None:
+    """One micro-batch of the landing stream, then the merging stream over what it landed."""
     # S3: envelopes that cannot be read or lack a field are kept as dead letters (K4).
     batch, bad = R.split_envelopes(batch)
     bad.write.mode("overwrite").parquet(f"{root}/quarantine/epoch={epoch_id}")
-    raw_path, act_path = f"{root}/raw_event", f"{root}/connector_activity"
     # Activity over all deliveries (tiny: one row per source).
     act = S.connector_activity(batch).withColumn("epoch", F.lit(epoch_id))
-    act.write.mode("overwrite").parquet(f"{act_path}/epoch={epoch_id}")
-    # D1 + K1: exact dedup against what is stored; appended under this epoch.
-    stored_this_epoch = f"{raw_path}/epoch={epoch_id}"
-    if not _exists(spark, stored_this_epoch + "/_SUCCESS"):
-        fresh = dedup_events(batch)
-        if _exists(spark, raw_path):
-            prior = spark.read.parquet(raw_path).filter(F.col("epoch") != epoch_id).select(*NATURAL_KEY)
-            fresh = fresh.join(prior, NATURAL_KEY, "left_anti")
-        fresh.write.mode("overwrite").parquet(stored_this_epoch)
-    fresh = spark.read.parquet(stored_this_epoch)
-    fresh = fresh.select(*[c for c in fresh.columns if c != "epoch"])
+    act.write.mode("overwrite").parquet(f"{root}/connector_activity/epoch={epoch_id}")
+    landed = _once(spark, dedup_events(batch), f"{root}/landed/epoch={epoch_id}")
+    stream = spark.readStream.schema(landed.schema).option("cleanSource", "delete").parquet(f"{root}/landed/epoch=*")
+    q = (stream.dropDuplicates(NATURAL_KEY).writeStream.foreachBatch(lambda df, n: merge_batch(spark, df, n, root))
+         .option("checkpointLocation", f"{root}/_seen_keys").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def merge_batch(spark: SparkSession, fresh: DataFrame, number: int, root: str) -> None:
+    """One micro-batch of the merging stream: ``fresh`` holds envelopes whose key was not seen before."""
+    fresh = _once(spark, fresh, f"{root}/raw_event/epoch={number}")
     # D6 -> E* -> K2, one merge per state table.
     routed = S.route_events(fresh)
     per_table: dict[str, list[DataFrame]] = {}
@@ -87,7 +103,7 @@ def stream_state(spark: SparkSession, source_path: str, root: str, checkpoint: s
     there are processed (``availableNow``); state tables, and the dead letters in
     ``quarantine``, land under ``root``."""
     stream = R.scan_envelopes(spark, source_path, streaming=True, fmt=fmt)
-    q = (stream.writeStream.foreachBatch(lambda df, eid: process_batch(df, eid, root))
+    q = (stream.writeStream.foreachBatch(lambda df, eid: land_batch(spark, df, eid, root))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q

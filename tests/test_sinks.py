@@ -50,6 +50,47 @@ def test_write_state_guard_and_sticky(spark):
     assert rows == [("P-1", "Done", True), ("P-2", "Open", False)]
 
 
+def _bucket_sizes(path):
+    current = max((n for n in os.listdir(path)), key=lambda n: int(n.partition("=")[2]))
+    folder = os.path.join(path, current)
+    return [sum(os.path.getsize(os.path.join(folder, b, f)) for f in os.listdir(os.path.join(folder, b)) if f.endswith(".parquet"))
+            for b in os.listdir(folder) if b.startswith("bucket=")]
+
+
+def test_state_table_splits_as_it_grows(spark):
+    path = os.path.join(_tmp(), "state")
+    limit = 20_000
+
+    def merge(lo, hi, hour):
+        rows = spark.range(lo, hi, 1, 4).selectExpr(
+            "cast(id AS string) AS k", "sha2(cast(id AS string), 256) AS v", f"timestamp_seconds(1704067200 + {hour} * 3600) AS received_at", "id AS seq")
+        K.write_state(rows, ["k"], path, buckets=2, bucket_bytes=limit)
+
+    merge(0, 100, 0)
+    assert os.listdir(path) == ["buckets=2"]
+    merge(100, 10_000, 1)    # 100 times the rows: more buckets, none of them large
+    assert max(_bucket_sizes(path)) <= limit
+    merge(5_000, 5_010, 2)
+    merge(0, 10, -1)         # older than what is stored
+    got = K.read_state(spark, path)
+    assert got.count() == got.select("k").distinct().count() == 10_000
+    assert got.filter("v <> sha2(k, 256)").count() == 0
+    assert {r["k"] for r in got.filter("last_received_at > timestamp'2024-01-01 01:30:00'").collect()} == {str(i) for i in range(5_000, 5_010)}
+    merge(10_000, 60_000, 3)
+    assert max(_bucket_sizes(path)) <= limit and K.read_state(spark, path).count() == 60_000
+    assert len(os.listdir(path)) == 2  # the layout before stays for readers that hold it
+
+
+def test_split_that_was_cut_off_leaves_the_old_layout(spark):
+    path = os.path.join(_tmp(), "state")
+    rows = spark.createDataFrame([("a", T0, 1), ("b", T0, 2)], "k string, received_at timestamp, seq long")
+    K.write_state(rows, ["k"], path, buckets=2)
+    os.makedirs(os.path.join(path, "buckets=16", "bucket=3"))  # no _SUCCESS
+    assert K.read_state(spark, path).count() == 2
+    K.write_state(rows, ["k"], path, buckets=2)
+    assert K.read_state(spark, path).count() == 2
+
+
 def test_write_mart_replaces_window(spark):
     path = os.path.join(_tmp(), "mart")
     schema = "metric_key string, scope_type string, scope_id string, day date, value double, sample_size long"

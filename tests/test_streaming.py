@@ -2,8 +2,10 @@
 small landed folder."""
 import datetime as dt
 import os
+import shutil
 import tempfile
 
+from flowgauge.sources import readers as R
 from flowgauge.sources.sinks import read_state
 from flowgauge.streaming import stream_state as ST
 
@@ -58,3 +60,39 @@ def test_stream_reads_landed_json_and_keeps_dead_letters(spark):
     assert [r["state"] for r in read_state(spark, out + "/pull_request_state").collect()] == ["open"]
     bad = {r["reason"]: r["record"] for r in ST.quarantine_table(spark, out).collect()}
     assert bad == {"missing: source_id": None, "unreadable line": "{no json"}
+
+
+def _pr(state):
+    return '{"id": 7, "number": 7, "state": "%s", "created_at": "2024-01-01T00:00:00Z", "base": {"repo": {"full_name": "o/a"}}}' % state
+
+
+def test_seen_keys_are_state_not_a_read_of_the_raw_table(spark):
+    root = tempfile.mkdtemp(prefix="fg-stream-", dir="/tmp")
+    src, out, ck = (os.path.join(root, n) for n in ("in", "tables", "ck"))
+    first = [("github", f"pr:{i}", "pull_request.snapshot", T0, "1", _pr("open"), i) for i in range(50)]
+    _land(spark, src, first)
+    ST.stream_state(spark, src, out, ck, fmt="parquet")
+    assert spark.read.parquet(out + "/raw_event").count() == 50
+    # the raw rows of the first run are out of reach; its keys are still known
+    shutil.move(os.path.join(out, "raw_event", "epoch=0"), os.path.join(root, "aside"))
+    later = T0 + dt.timedelta(hours=1)
+    _land(spark, src, [("github", f"pr:{i}", "pull_request.snapshot", later, "1", _pr("open"), 100 + i) for i in range(48, 52)])
+    ST.stream_state(spark, src, out, ck, fmt="parquet")
+    assert sorted(r["source_id"] for r in spark.read.parquet(out + "/raw_event").collect()) == ["pr:50", "pr:51"]
+    activity = ST.connector_activity_table(spark, out).head()
+    assert (activity["deliveries"], activity["last_checked_at"]) == (54, later)
+
+
+def test_replayed_landing_batch_changes_nothing(spark):
+    root = tempfile.mkdtemp(prefix="fg-stream-", dir="/tmp")
+    src, out = os.path.join(root, "in"), os.path.join(root, "tables")
+    _land(spark, src, [("github", "a", "pull_request.snapshot", T0, "1", _pr("open"), 1),
+                       ("github", "a", "pull_request.snapshot", T0, "1", _pr("closed"), 2),
+                       ("github", "b", "pull_request.snapshot", T0 + dt.timedelta(hours=1), "1", _pr("closed"), 3)])
+    batch = R.scan_envelopes(spark, src, fmt="parquet")
+    tables = []
+    for _ in range(2):  # the same epoch twice, as after a crash before its commit
+        ST.land_batch(spark, batch, 0, out)
+        raw = sorted((r["source_id"], r["seq"]) for r in spark.read.parquet(out + "/raw_event").collect())
+        tables.append((raw, [tuple(r) for r in read_state(spark, out + "/pull_request_state").select("state", "last_received_at").collect()]))
+    assert tables[0] == tables[1] == ([("a", 1), ("b", 3)], [("closed", T0 + dt.timedelta(hours=1))])
