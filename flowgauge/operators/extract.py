@@ -48,6 +48,7 @@ SEAT = ("user_login string, day string, loc_added_sum int, loc_deleted_sum int,
 TEAM = "id string, name string, slug string, repositories array<struct<full_name:string>>, members array<struct<id:string,login:string>>"
 
 PR_COMMITS = "pull_request_url string, commits array<struct<sha:string, commit:struct<author:struct<date:string>>>>"
+PR_SIZE = ("number string, additions bigint, deletions bigint, created_at string, base struct<repo:struct<full_name:string>>")
 HISTORY = (f"key string, fields struct<updated:string>, "
            f"changelog struct<items:{_ITEMS}, histories:array<struct<created:string, items:{_ITEMS}>>>")
 
@@ -186,6 +187,17 @@ def extract_pr_commits(events: DataFrame) -> DataFrame:
     return r.filter(repo.isNotNull() & num.isNotNull()).select(repo.alias("repo"), num.cast("long").alias("pr_number"), commits.alias("commits"), *_ENV)
 
 
+def extract_pr_sizes(events: DataFrame) -> DataFrame:
+    """Changed lines (additions + deletions) of every received version of a pull request.
+    Listings carry no line counts: versions without any are left out, not counted as empty."""
+    r = _parsed(events, j=F.from_json(F.col("payload"), _wrapped_schema("pull_request", PR_SIZE)))
+    r = r.select(_pick("j", "pull_request", PR_SIZE).alias("p"), *_ENV)
+    lines = F.coalesce(F.col("p.additions"), F.lit(0)) + F.coalesce(F.col("p.deletions"), F.lit(0))
+    return r.filter(F.coalesce("p.additions", "p.deletions").isNotNull() & F.col("p.base.repo.full_name").isNotNull()).select(
+        F.col("p.base.repo.full_name").alias("repo"), C.long_or_null(F.col("p.number")).alias("number"),
+        C.iso_instant(F.col("p.created_at")).alias("created_at"), lines.alias("lines"), *_ENV).filter(F.col("number").isNotNull())
+
+
 def extract_transitions(events: DataFrame) -> DataFrame:
     """Status changes (issue_key, to_status, at) of ticket envelopes: every entry of a
     changelog history, or the single change of a webhook, dated by the update.

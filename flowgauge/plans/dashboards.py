@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators.paging import page_of
 from ..operators.filters import in_day_window, in_window, repo_like, scope_repos
 from ..operators.percentile import grouped_percentile
 from . import params as P
@@ -158,21 +159,22 @@ def _aging_base(prs: DataFrame, team_repo: DataFrame, p: Params, repo_filter: st
 def aging_prs_page(prs: DataFrame, team_repo: DataFrame, p: Params = P.DEFAULT, repo_filter: str | None = None,
                    sort_by: str = "age", sort_dir: str = "desc", page: int = 0, size: int = 20) -> DataFrame:
     """Q13 (O2): one page of open PRs. Sort keys come from an allow-list; ties
-    are broken by (repo, number) so pages are stable."""
+    are broken by (repo, number) so pages are stable. Deep pages are found by counts
+    (:func:`~flowgauge.operators.paging.page_of`)."""
     size = max(1, min(PAGE_ROWS_MAX, int(size)))
     page = max(0, int(page))
     key = sort_by if sort_by in SORT_KEYS else "age"
     desc = sort_dir.lower() != "asc"
     if key == "repo":
-        order = [F.col("repo").desc() if desc else F.col("repo").asc(), F.col("created_at").asc()]
+        order, cells = [F.col("repo").desc() if desc else F.col("repo").asc(), F.col("created_at").asc()], (F.col("repo"), F.unix_seconds("created_at"), desc, False)
     else:  # no line counts are stored, so "size" falls back to age
-        order = [F.col("created_at").asc() if desc else F.col("created_at").desc()]
+        order, cells = [F.col("created_at").asc() if desc else F.col("created_at").desc()], (F.to_date("created_at"), F.unix_seconds("created_at"), not desc, not desc)
     order += [F.col("repo").asc(), F.col("number").asc()]
     as_of = F.lit(p.as_of).cast("timestamp")
     base = _aging_base(prs, team_repo, p, repo_filter)
     age = C.whole_hours("created_at", as_of)
     band = F.when(age >= P.LATE_HOURS, "late").when(age >= P.AGING_HOURS, "aging").otherwise("fresh")
-    return (base.orderBy(*order).offset(page * size).limit(size)
+    return (page_of(base, order, *cells, page, size)
             .select(F.concat(F.lit("#"), F.col("number").cast("string")).alias("id"), "title", "repo", "author",
                     age.alias("age_hours"), band.alias("age_band"),
                     F.array_join("requested_reviewers", ",").alias("reviewers"),
@@ -206,7 +208,7 @@ def classify(prs: DataFrame, issues: DataFrame, team_repo: DataFrame, p: Params
            .when(F.col("reopened"), "Rework")
            .when(F.lower(F.col("issue_type")) == "bug", "Unplanned")
            .otherwise("Planned"))
-    return both.select("repo", "created_at", cat.alias("category"))
+    return both.select("repo", "created_at", cat.alias("category"), "issue_key")
 
 
 def _category_counts():

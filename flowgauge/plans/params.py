@@ -29,6 +29,9 @@ MK_CFR = "change_failure_rate"
 MK_MTTR = "mttr_p50_hours"
 MK_VELOCITY = "pr_velocity"
 MK_CYCLE = "pr_cycle_time_p50_hours"
+MK_PR_SIZE = "pr_size"
+# Pull requests above this many changed lines are oversized.
+OVERSIZED_LINES = 400
 # Investment categories in display order.
 CATEGORIES = ["Planned", "Unplanned", "Rework", "Unclassifiable"]
 # AI cost defaults: Copilot seat price per month (USD), licensed seats, blended
@@ -54,6 +57,15 @@ STUCK_AFTER_MINUTES = 35
 # Time-to-first-value target (minutes).
 TARGET_MINUTES = 30
 # ----------------------------------------------------------------------------
+# Default limits of pull request flags: hours open, changed lines.
+FLAG_LIMITS = {"age": 168, "size": OVERSIZED_LINES}
+# A goal behind its line by at most this share of the way is at risk, beyond it off track.
+GOAL_SLACK = 0.15
+GOAL_METRICS = (MK_DEPLOY_FREQ, MK_LEAD_TIME, MK_CFR, MK_MTTR, MK_VELOCITY, MK_CYCLE)
+LOWER_IS_BETTER = (MK_LEAD_TIME, MK_CFR, MK_MTTR, MK_CYCLE)
+# Unplanned work: weeks of the rolling baseline, and how far above it counts.
+CREEP_WEEKS = 4
+CREEP_MARGIN = 0.02
 # Upper ends of the age bands of open PRs, in days.
 AGE_BANDS_DAYS = (1, 3, 7, 14)
 

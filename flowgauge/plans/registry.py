@@ -18,6 +18,7 @@ from ..session import prepare
 from ..sources.sinks import _exists, table_root, write_mart, write_raw
 from . import metrics as M
 from . import oracle as O
+from . import params as P
 from . import views as V
 from .params import DEFAULT, Params
 
@@ -178,8 +179,40 @@ register("lead_time_stages", OF.stages_sql())(
 register("ticket_lead_time", OF.tickets_sql())(
     lambda d: FM.ticket_lead_time(d.runs, d.prs, V.transitions(d.spark, d.base), d.team_repo, d.p))
 
-# --- Q8-Q26: dashboards -------------------------------------------------------
+# --- commits, sizes, flags, goals, scope creep ------------------------
+from ..operators.extract import extract_pr_sizes  # noqa: E402
 from . import dashboards as D  # noqa: E402
+from . import oracle_work as OW  # noqa: E402
+from . import work_metrics as WM  # noqa: E402
+
+
+def _sizes(d: Domain) -> DataFrame:
+    return extract_pr_sizes(V.size_events(d.spark, d.base, d.prs))
+
+
+def _stored_sizes(d: Domain) -> DataFrame:
+    """Size histograms as the mart keeps them, written once."""
+    path = d._table("pr_size_daily")
+    write_mart(WM.pr_size_daily(_sizes(d)), path)
+    return d.spark.read.parquet(path)
+
+
+def _classified(d: Domain) -> DataFrame:
+    return D.classify(d.prs, d.issues, d.team_repo, d.p)
+
+
+register("ai_commit_share", OW.ai_commits_sql())(
+    lambda d: WM.ai_commit_share(V.commit_events(d.spark, d.base, d.prs), d.team_repo, d.p))
+register("pr_size_distribution", OW.pr_sizes_sql())(lambda d: WM.pr_size_distribution(_stored_sizes(d), d.team_repo, d.p))
+register("pr_flags", OW.pr_flags_sql())(
+    lambda d: WM.pr_flags(d.prs, _sizes(d), V.flag_limits(d.spark, d.base), d.team_repo, d.p))
+register("goal_progress", OW.goals_sql())(
+    lambda d: WM.goal_progress(V.goals(d.spark, d.base), d.stored_mart, list(P.LOWER_IS_BETTER), d.p))
+register("scope_creep_trend", OW.creep_sql())(lambda d: WM.scope_creep_trend(_classified(d), d.team_repo))
+register("scope_creep_items", OW.creep_items_sql())(
+    lambda d: WM.scope_creep_items(_classified(d), WM.scope_creep_trend(_classified(d), d.team_repo), d.team_repo))
+
+# --- Q8-Q26: dashboards -------------------------------------------------------
 from . import oracle_dash as OD  # noqa: E402
 
 PERSONAL_LOGIN = "dev-7"

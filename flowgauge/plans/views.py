@@ -150,6 +150,75 @@ def transitions(spark: SparkSession, base: str) -> DataFrame:
     return part.select(F.concat(F.lit("PROJ-"), _s("p_partkey")).alias("issue_key"), F.inline(rows))
 
 
+def commit_events(spark: SparkSession, base: str, pr_df: DataFrame | None = None) -> DataFrame:
+    """Push and commit envelopes: one commit per line item, the first four of a pull request in its
+    push (sent twice for every 5th), those from the third on as snapshots too. The part number
+    decides what the message credits."""
+    prepare(spark)
+    li = read_table(spark, base, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
+    p = (pr_df if pr_df is not None else prs(spark, base)).select("repo", "number", "created_at")
+    k, n = F.col("l_partkey"), F.col("l_linenumber")
+    authored = F.timestamp_seconds(F.unix_seconds("created_at") - ((k * 7 + n * 13) % 4000 - 200).cast("long") * 60)
+    texts = ["Fix parser\n\nCo-authored-by: Claude <bot@example.com>",
+             "Fix parser\n\nLonger text.\n\nSigned-off-by: Dev <d@acme.io>\nCo-Authored-By: GitHub Copilot <bot@example.com>",
+             "Tidy up\n\nGenerated with Cursor", "Docs\n\nExplain Co-authored-by: Claude trailers\nin prose", "Co-authored-by: Claude"]
+    message = F.coalesce(F.get(F.array(*[F.lit(t) for t in texts]), (k % 8).cast("int")), F.lit("Routine change"))
+    stamp = F.date_format(authored, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = li.join(p, li.l_orderkey == p.number).select(
+        "repo", "number", "created_at", n.alias("n"), F.sha1(F.concat_ws("-", F.lit("commit"), _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey"))).alias("sha"),
+        message.alias("message"), stamp.alias("stamp"))
+    pushed = F.struct(F.col("sha").alias("id"), "message", F.col("stamp").alias("timestamp"))
+    pushes = rows.filter("n <= 4").groupBy("repo", "number", "created_at").agg(F.collect_list(pushed).alias("commits")).select(
+        F.lit("push").alias("event_type"), F.to_json(F.struct(F.struct(F.col("repo").alias("full_name")).alias("repository"), "commits")).alias("payload"),
+        "created_at", F.explode(F.sequence(F.lit(0), (F.col("number") % 5 == 0).cast("int"))).alias("tag"), "number")
+    body = F.struct("sha", F.concat(F.lit("https://api.github.com/repos/"), "repo", F.lit("/commits/"), "sha").alias("url"),
+                    F.struct("message", F.struct(F.col("stamp").alias("date")).alias("author")).alias("commit"))
+    snaps = rows.filter("n >= 3").select(F.lit("commit.snapshot").alias("event_type"), F.to_json(body).alias("payload"), "created_at", F.lit(2).alias("tag"), "number")
+    return pushes.unionByName(snaps).select("event_type", "payload", F.col("created_at").alias("received_at"), (F.col("number") * 4 + F.col("tag")).alias("seq"))
+
+
+def size_events(spark: SparkSession, base: str, pr_df: DataFrame | None = None) -> DataFrame:
+    """Two versions of every pull request that has line items: half of the additions when
+    opened, all lines some hours later; every second one in a webhook body."""
+    prepare(spark)
+    li = read_table(spark, base, "lineitem", "l_orderkey", "l_quantity", "l_partkey")
+    p = (pr_df if pr_df is not None else prs(spark, base)).select("repo", "number", "created_at")
+    k = F.col("number")
+    rows = li.join(p, li.l_orderkey == p.number).groupBy("repo", "number", "created_at").agg(
+        (F.sum("l_quantity").cast("long") * (k % 5 + 1)).alias("adds"), F.sum(F.col("l_partkey") % 50).cast("long").alias("dels"))
+    stamp = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    def version(adds: Column, dels: Column, at: Column, tag: int) -> Column:
+        inner = F.struct(k.alias("number"), adds.alias("additions"), dels.alias("deletions"), stamp.alias("created_at"),
+                         F.struct(F.struct(F.col("repo").alias("full_name")).alias("repo")).alias("base"))
+        payload = F.when(k % 2 == 0, F.to_json(F.struct(inner.alias("pull_request")))).otherwise(F.to_json(inner))
+        return F.struct(payload.alias("payload"), at.alias("received_at"), (k * 2 + tag).alias("seq"))
+
+    later = F.timestamp_seconds(F.unix_seconds("created_at") + (k % 48 + 1) * 3600)
+    both = F.array(version(F.floor(F.col("adds") / 2), F.lit(0).cast("long"), F.col("created_at"), 0), version(F.col("adds"), F.col("dels"), later, 1))
+    return rows.select(F.inline(both))
+
+
+def flag_limits(spark: SparkSession, base: str) -> DataFrame:
+    """Limits that teams set for themselves, from the first six nations."""
+    n = read_table(spark, base, "nation", "n_nationkey").filter("n_nationkey < 6")
+    k = F.col("n_nationkey").cast("long")
+    limit = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("limit"))
+    return n.select(F.concat(F.lit("team-"), _s("n_nationkey")).alias("team_id"),
+                    F.inline(F.array_compact(F.array(F.when(k % 2 == 0, limit("age", 24 * (k + 1))), F.when(k % 3 == 0, limit("size", 100 + 50 * k))))))
+
+
+def goals(spark: SparkSession, base: str) -> DataFrame:
+    """One goal per nation: a metric, a scope, its time and the values it goes from and to."""
+    k = F.col("n_nationkey").cast("int")
+    scope = F.when(k % 3 == 0, "*").when(k % 3 == 1, F.concat(F.lit("team-"), _s(k % 6))).otherwise(F.concat(F.lit("acme/repo-"), _s("n_nationkey")))
+    return read_table(spark, base, "nation", "n_nationkey").select(
+        k.cast("long").alias("goal_id"), F.get(F.array(*[F.lit(m) for m in P.GOAL_METRICS]), k % len(P.GOAL_METRICS)).alias("metric_key"),
+        F.when(k % 3 == 0, "org").when(k % 3 == 1, "team").otherwise("repo").alias("scope_type"), scope.alias("scope_id"),
+        F.date_add(F.lit("2024-01-10").cast("date"), k).alias("start_day"), F.date_add(F.lit("2024-01-30").cast("date"), 2 * k).alias("end_day"),
+        F.lit(10.0).alias("start_value"), F.when(k % 7 == 0, 10.0).when(k % 2 == 0, 5.0).otherwise(60.0).alias("target_value"))
+
+
 def team_repo(spark: SparkSession, base: str) -> DataFrame:
     prepare(spark)
     u = read_table(spark, base, "events", "user_id").distinct()
