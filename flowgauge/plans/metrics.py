@@ -130,16 +130,17 @@ def lead_time_percentiles(runs: DataFrame, prs: DataFrame, team_repo: DataFrame,
     return out.join(grouped_percentiles(fanned, keys, "_us", shares, scale=3.6e9), keys)
 
 
-def open_pr_age_buckets(prs: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
-    """Open PRs by age at ``as_of``; stale ones had no activity
-    for more than ``P.STALE_PR_DAYS``."""
+def open_pr_age_buckets(prs: DataFrame, reviews: DataFrame, p: Params = P.DEFAULT) -> DataFrame:
+    """Open PRs by age at ``as_of``; stale ones had no activity (opening or review, not the
+    time at which an envelope came in) for more than ``P.STALE_PR_DAYS``."""
     as_of = F.lit(p.as_of).cast("timestamp")
     age = micros_between("created_at", as_of) / 86_400_000_000
     names = F.lit(f"over {P.AGE_BANDS_DAYS[-1]} d")
     for days in reversed(P.AGE_BANDS_DAYS):
         names = F.when(age <= days, F.lit(f"up to {days} d")).otherwise(names)
-    stale = micros_between("last_received_at", as_of) > P.STALE_PR_DAYS * 86_400_000_000
-    return prs.filter(F.col("state") == "open").groupBy(names.alias("bucket")).agg(
+    seen = reviews.filter(F.col("submitted_at") <= as_of).groupBy("repo", F.col("pr_number").alias("number")).agg(F.max("submitted_at").alias("_seen"))
+    stale = micros_between(F.greatest("created_at", "_seen"), as_of) > P.STALE_PR_DAYS * 86_400_000_000
+    return prs.filter(F.col("state") == "open").join(seen, ["repo", "number"], "left").groupBy(names.alias("bucket")).agg(
         F.count(F.lit(1)).alias("n_prs"), F.sum(stale.cast("long")).alias("n_stale"))
 
 

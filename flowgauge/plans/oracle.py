@@ -118,6 +118,7 @@ def open_age_sql(p: Params = P.DEFAULT) -> str:
     bands = " ".join(f"WHEN {now} - created_at <= INTERVAL {d} DAY THEN 'up to {d} d'" for d in P.AGE_BANDS_DAYS)
     body = f"""
 SELECT CASE {bands} ELSE 'over {P.AGE_BANDS_DAYS[-1]} d' END AS bucket, count(*) AS n_prs,
-       CAST(sum(({now} - last_received_at > INTERVAL {P.STALE_PR_DAYS} DAY)::INT) AS BIGINT) AS n_stale
-FROM bench_prs WHERE state = 'open' GROUP BY 1"""
-    return with_views(body, "bench_prs")
+       CAST(sum(CASE WHEN {now} - created_at <= INTERVAL {P.STALE_PR_DAYS} DAY OR EXISTS (FROM bench_reviews r WHERE r.repo = b.repo
+           AND r.pr_number = b.number AND submitted_at BETWEEN {now} - INTERVAL {P.STALE_PR_DAYS} DAY AND {now}) THEN 0 ELSE 1 END) AS BIGINT) AS n_stale
+FROM bench_prs b WHERE state = 'open' GROUP BY 1"""
+    return with_views(body, "bench_prs", "bench_reviews")

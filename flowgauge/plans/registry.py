@@ -167,7 +167,7 @@ register("pr_cycle_time_p50", O.metric_sql("pr_cycle_time_p50"))(
 register("cfr_chain_attribution", O.chain_sql())(lambda d: M.cfr_chain_attribution(d.runs, d.team_repo, d.p))
 register("lead_time_percentiles", O.lead_percentiles_sql())(
     lambda d: M.lead_time_percentiles(d.runs, d.prs, d.team_repo, d.p))
-register("open_pr_age_buckets", O.open_age_sql())(lambda d: M.open_pr_age_buckets(d.prs, d.p))
+register("open_pr_age_buckets", O.open_age_sql())(lambda d: M.open_pr_age_buckets(d.prs, d.reviews, d.p))
 register("build_mart", O.build_mart_sql())(lambda d: d.mart)
 
 # --- stages of a change, tickets -----------------------------------

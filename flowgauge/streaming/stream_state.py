@@ -17,7 +17,8 @@ Two streams, the second run once after each micro-batch of the first:
 4. fresh envelopes are appended to the raw table under the batch's number (K1)
    and read back (not from the lineage, so a lost executor cannot change what
    was appended), routed (D6), extracted (E*) and merged into each state table
-   (K2: guard D2, sticky D3).
+   (K2: guard D2, sticky D3); routed envelopes that name no entity are kept as
+   dead letters (``unkeyed``).
 
 What a batch lands or appends is written once under its number, state merges are
 idempotent, and a merging batch that was cut off runs again from the state before
@@ -27,6 +28,8 @@ Batch and stream give the same tables when micro-batches follow arrival order.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +83,11 @@ def merge_batch(spark: SparkSession, fresh: DataFrame, number: int, root: str) -
     """One micro-batch of the merging stream: ``fresh`` holds envelopes whose key was not seen before."""
     fresh = _once(spark, fresh, f"{root}/raw_event/epoch={number}")
     # D6 -> E* -> K2, one merge per state table.
-    routed = S.route_events(fresh)
+    # The natural key rides in the arrival time through the extractors, which pass it on
+    # untouched, so envelopes that one of them could not key are told apart (K4).
+    place = F.struct("received_at", *NATURAL_KEY)
+    routed = S.route_events(fresh.withColumn("received_at", place))
+    keyed: list[DataFrame] = []
     per_table: dict[str, list[DataFrame]] = {}
     for entity, (extractor, keys, sticky) in ENTITIES.items():
         per_table.setdefault(STATE_TABLE[entity], []).append(extractor(routed[entity]))
@@ -94,7 +101,12 @@ def merge_batch(spark: SparkSession, fresh: DataFrame, number: int, root: str) -
         staged = f"{root}/_updates/{table}"
         updates.write.mode("overwrite").parquet(staged)
         updates = spark.read.schema(updates.schema).parquet(staged)
+        keyed.append(updates.select("received_at.*").select(*NATURAL_KEY))
+        updates = updates.withColumn("received_at", F.col("received_at.received_at"))
         write_state(updates, keys, f"{root}/{table}", sticky=sticky)
+    entity = S.entity_of(F.col("source"), F.col("event_type"))
+    lost = fresh.filter(entity.isNotNull()).join(reduce(DataFrame.unionByName, keyed), NATURAL_KEY, "left_anti")
+    lost.withColumn("reason", F.concat(F.lit("no key: "), entity)).write.mode("overwrite").parquet(f"{root}/unkeyed/batch={number}")
 
 
 def stream_state(spark: SparkSession, source_path: str, root: str, checkpoint: str,
@@ -123,8 +135,12 @@ def bounded_dedup(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
 
 
 def quarantine_table(spark: SparkSession, root: str) -> DataFrame:
-    """Dead letters of all processed micro-batches."""
-    return spark.read.parquet(f"{root}/quarantine")
+    """Dead letters of all processed micro-batches: unreadable or incomplete envelopes, and
+    whole ones that name no entity (a pull request without an id)."""
+    bad = spark.read.parquet(f"{root}/quarantine")
+    if not _exists(spark, f"{root}/unkeyed"):
+        return bad
+    return bad.unionByName(spark.read.parquet(f"{root}/unkeyed"), allowMissingColumns=True)
 
 
 def arrival_slices(env: DataFrame, slices: int = 4) -> list[DataFrame]:

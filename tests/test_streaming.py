@@ -83,6 +83,19 @@ def test_seen_keys_are_state_not_a_read_of_the_raw_table(spark):
     assert (activity["deliveries"], activity["last_checked_at"]) == (54, later)
 
 
+def test_whole_envelopes_without_an_entity_are_dead_letters(spark):
+    root = tempfile.mkdtemp(prefix="fg-stream-", dir="/tmp")
+    src, out = os.path.join(root, "in"), os.path.join(root, "tables")
+    _land(spark, src, [("github", "a", "pull_request.snapshot", T0, "1", _pr("open"), 1),
+                       ("github", "b", "pull_request.snapshot", T0, "1", '{"number": 8}', 2),
+                       ("jira", "b", "issue.snapshot", T0, "1", "{broken", 3),
+                       ("github", "c", "push", T0, "1", "{}", 4)])  # not projected: raw only
+    ST.stream_state(spark, src, out, os.path.join(root, "ck"), fmt="parquet")
+    lost = {(r["source_id"], r["reason"], r["payload"]) for r in ST.quarantine_table(spark, out).collect()}
+    assert lost == {("b", "no key: pull_request", '{"number": 8}'), ("b", "no key: jira_issue", "{broken")}
+    assert spark.read.parquet(out + "/raw_event").count() == 4 and read_state(spark, out + "/pull_request_state").count() == 1
+
+
 def test_replayed_landing_batch_changes_nothing(spark):
     root = tempfile.mkdtemp(prefix="fg-stream-", dir="/tmp")
     src, out = os.path.join(root, "in"), os.path.join(root, "tables")
