@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from ..sources.sinks import _exists, table_root, write_mart, write_raw
+from ..sources.sinks import _exists, move_folder, table_root, write_folders, write_mart, write_raw
 from . import metrics as M
 from . import oracle as O
 from . import params as P
@@ -23,7 +23,7 @@ from . import views as V
 from .params import DEFAULT, Params
 
 
-LAYOUT_VERSION = "9"
+LAYOUT_VERSION = "10"
 
 
 def input_mark(spark: SparkSession, base: str) -> str:
@@ -91,15 +91,11 @@ class Domain:
     @cached_property
     def raw(self) -> DataFrame:
         """The delivery stream as landed by the connectors (redeliveries
-        included), rebuilt from the views once and kept as a parquet landing
-        table partitioned by (source, event_type), so routing prunes files."""
+        included), rebuilt from the views. It isn't stored: routing filters reach
+        the views, so a query builds the kinds of envelopes that it reads."""
         from .raw_events import raw_envelopes
-        path = self._table("landing_envelopes")
-        if not _exists(self.spark, path + "/_SUCCESS"):
-            env = raw_envelopes(self.runs, self.prs, self.reviews, self.issues, self.ai_usage, self.team_repo,
-                                self.teams, self.users)
-            env.write.mode("overwrite").partitionBy("source", "event_type").parquet(path)
-        return self.spark.read.parquet(path)
+        return raw_envelopes(self.runs, self.prs, self.reviews, self.issues, self.ai_usage, self.team_repo,
+                             self.teams, self.users)
 
     @cached_property
     def raw_stored(self) -> DataFrame:
@@ -358,16 +354,19 @@ from ..streaming import stream_state as ST  # noqa: E402
 def _streamed(d: Domain) -> str:
     """Land the delivery stream in arrival order as JSON, slice by slice, and run
     the ingest stream after each; every 101st delivery comes a second time without
-    its ``source_id``. Returns the folder holding the state tables. A slice that
-    was cut off is landed anew; one that was processed is not read again."""
+    its ``source_id``. Returns the folder holding the state tables. All slices are
+    written in one pass beside the landing folder and moved there one at a time; a
+    pass that was cut off is run anew, a slice that was processed is not read again."""
     src, root = d._table("landing_ordered"), d._table("stream")
     if _exists(d.spark, src + "_done/_SUCCESS"):
         return root
-    for i, part in enumerate(ST.arrival_slices(d.raw)):
-        folder = f"{src}/slice-{i}"
-        if not _exists(d.spark, folder + "/_SUCCESS"):
-            faulty = part.filter(F.col("seq") % 101 == 0).withColumn("source_id", F.lit(None).cast("string"))
-            part.unionByName(faulty).write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
+    if not _exists(d.spark, src + "_slices/_SUCCESS"):
+        ids = F.array("source_id")
+        faulty = F.when(F.col("seq") % 101 == 0, F.array(F.col("source_id"), F.lit(None).cast("string"))).otherwise(ids)
+        sent = ST.arrival_slices(d.raw.withColumn("source_id", F.explode(faulty)))
+        write_folders(sent, ["slice"], src + "_slices", "json", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    for i in range(ST.SLICES):
+        move_folder(d.spark, f"{src}_slices/slice={i}", f"{src}/slice-{i}")
         ST.stream_state(d.spark, src + "/slice-*", root, root + "/_checkpoint")
     d.spark.createDataFrame([("done",)], "v string").write.mode("overwrite").parquet(src + "_done")
     return root

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import readers as R
+from ..sources.sinks import FILE_RECORDS
 from .raw_events import iso, user_id
 
 PAGE = 100
@@ -156,7 +157,7 @@ def landed_envelopes(spark, env: DataFrame, folder: str) -> DataFrame:
     ``source_id``, and read them back through the typed scan (S3)."""
     out = env.select("source", F.when(F.col("seq") % 101 != 0, F.col("source_id")).alias("source_id"), "event_type",
                      "received_at", "connector_version", "payload")
-    out.write.mode("overwrite").json(folder)
+    out.write.mode("overwrite").options(compression="gzip", maxRecordsPerFile=FILE_RECORDS).json(folder)
     good, bad = R.read_envelopes(spark, folder)
     return (good.groupBy("source", "event_type").agg(F.count(F.lit(1)).alias("events"))
             .unionByName(bad.groupBy(F.lit("quarantine").alias("source"), F.col("reason").alias("event_type"))

@@ -5,7 +5,7 @@ Tables are parquet folders. Raw events are append-only and partitioned by
 tables are partitioned by a hash bucket of their key, merged bucket by
 bucket (plain parquet has no MERGE) and split into more buckets as they grow; the mart uses dynamic partition overwrite
 by ``metric_key``. Nothing is read and overwritten in one plan: merged rows
-are checkpointed first.
+are stored apart first.
 """
 from __future__ import annotations
 
@@ -33,6 +33,45 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+# Parquet tables of texts; shuffles and spills have the cluster's own codec.
+COMPACT = {"compression": "zstd"}
+# Folders that a task writes side by side; those of more folders sort their rows.
+OPEN_FOLDERS = 32
+# Compressed text can't be split, so a file holds this many records at most.
+FILE_RECORDS = 500_000
+
+
+def write_folders(df: DataFrame, by: list[str], path: str, fmt: str = "parquet", mode: str = "overwrite", **options) -> None:
+    """Write ``df`` with a folder per value of ``by``. For a handful of values a task
+    keeps their files open side by side, instead of sorting its whole rows by them."""
+    packed = {"compression": "gzip", "maxRecordsPerFile": FILE_RECORDS} if fmt == "json" else COMPACT
+    spark, name = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_FOLDERS))
+    try:
+        df.write.mode(mode).options(**packed, **options).partitionBy(*by).format(fmt).save(path)
+    finally:
+        spark.conf.set(name, before)
+
+
+def move_folder(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder on its file system, unless an earlier attempt did. A folder that
+    got no rows was not written: it becomes an empty one."""
+    fs, source = _hadoop(spark, path)
+    _, target = _hadoop(spark, to)
+    if fs.exists(source):
+        fs.mkdirs(target.getParent())
+        if not fs.rename(source, target):
+            raise OSError(f"cannot move {path} to {to}")
+    else:
+        fs.mkdirs(target)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
 def write_raw(env: DataFrame, path: str) -> DataFrame:
     """K1: append envelopes whose natural key is not stored yet (first delivery
     wins, also within the batch). Returns what was appended (lazily: callers
@@ -42,7 +81,7 @@ def write_raw(env: DataFrame, path: str) -> DataFrame:
     if _exists(spark, path):
         stored = spark.read.parquet(path).select(*NATURAL_KEY)
         fresh = fresh.join(stored, NATURAL_KEY, "left_anti")
-    fresh.write.mode("append").partitionBy("source", "event_type").parquet(path)
+    write_folders(fresh, ["source", "event_type"], path, mode="append")
     return fresh
 
 
@@ -92,7 +131,7 @@ def _split(spark: SparkSession, keys: list[str], path: str, buckets: int, schema
     wanted *= 2
     rows = spark.read.schema(schema).parquet(f"{path}/buckets={buckets}").withColumn("bucket", _bucket(keys, wanted))
     rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "static") \
-        .partitionBy("bucket").parquet(f"{path}/buckets={wanted}")
+        .options(**COMPACT).partitionBy("bucket").parquet(f"{path}/buckets={wanted}")
     fs, root = _hadoop(spark, path)
     for status in fs.listStatus(root):
         if status.getPath().getName() not in (f"buckets={buckets}", f"buckets={wanted}"):
@@ -111,7 +150,7 @@ def write_state(updates: DataFrame, keys: list[str], path: str, sticky: str | No
     bucket stays near ``bucket_bytes`` at any table size. Stored
     rows re-enter as the earliest arrivals (``seq`` = -1): an update replaces a
     row only when strictly newer (D2) and a sticky flag is OR-ed only from
-    updates that pass that guard (D3). The merged rows are checkpointed before
+    updates that pass that guard (D3). The merged rows are stored beside the table before
     the overwrite, so the write never reads the files it replaces. The merge is
     idempotent, so replaying a micro-batch after a failure (even one that
     replaced only some buckets) gives the same table."""
@@ -136,12 +175,15 @@ def write_state(updates: DataFrame, keys: list[str], path: str, sticky: str | No
     if sticky:
         state = state.drop(sticky).join(sticky_flag(merged, [*keys, "bucket"], sticky), [*keys, "bucket"], "inner")
     # gathered by bucket; a large bucket is split over several tasks at run time
-    out = state.drop("seq").withColumnRenamed("received_at", "last_received_at").hint("rebalance", "bucket")
-    checkpoint_dir(spark)
-    out = out.checkpoint(eager=True)
+    out = state.drop("seq").withColumnRenamed("received_at", "last_received_at")
+    # staged as a table that goes when the merge is done; checkpoint files would stay, unpacked
+    staged = f"{path}/_merged"
+    out.write.mode("overwrite").options(**COMPACT).parquet(staged)
+    out = spark.read.schema(out.schema).parquet(staged).hint("rebalance", "bucket")
     # the first layout is written as a whole and marked by _SUCCESS, later merges replace its buckets
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if found else "static") \
-        .partitionBy("bucket").parquet(folder)
+        .options(**COMPACT).partitionBy("bucket").parquet(folder)
+    drop_folder(spark, staged)
     _split(spark, keys, path, buckets, stored, bucket_bytes)
 
 

@@ -37,7 +37,7 @@ from ..operators import extract as E
 from ..operators import state as S
 from ..plans import params as P
 from ..sources import readers as R
-from ..sources.sinks import _exists, write_state
+from ..sources.sinks import COMPACT, _exists, drop_folder, write_state
 from ..operators.state import NATURAL_KEY, dedup_events
 
 ENTITIES = {
@@ -60,7 +60,7 @@ def _once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     They are read in the session ``spark``: that of a stream with state plans
     without adaptive execution."""
     if not _exists(spark, path + "/_SUCCESS"):
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**COMPACT).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -99,14 +99,22 @@ def merge_batch(spark: SparkSession, fresh: DataFrame, number: int, root: str) -
         _, keys, sticky = ENTITIES[entity]
         # payloads are parsed once a batch: the merge reads its updates several times
         staged = f"{root}/_updates/{table}"
-        updates.write.mode("overwrite").parquet(staged)
+        updates.write.mode("overwrite").options(**COMPACT).parquet(staged)
         updates = spark.read.schema(updates.schema).parquet(staged)
         keyed.append(updates.select("received_at.*").select(*NATURAL_KEY))
         updates = updates.withColumn("received_at", F.col("received_at.received_at"))
         write_state(updates, keys, f"{root}/{table}", sticky=sticky)
     entity = S.entity_of(F.col("source"), F.col("event_type"))
-    lost = fresh.filter(entity.isNotNull()).join(reduce(DataFrame.unionByName, keyed), NATURAL_KEY, "left_anti")
+    routed_rows = fresh.filter(entity.isNotNull())
+    # told apart by their keys alone, kept by themselves: whole envelopes meet them in a
+    # join that is a broadcast by their measured size, as few are lost
+    staged = f"{root}/_updates/unkeyed"
+    routed_rows.select(*NATURAL_KEY).join(reduce(DataFrame.unionByName, keyed), NATURAL_KEY, "left_anti") \
+        .write.mode("overwrite").options(**COMPACT).parquet(staged)
+    lost_keys = spark.read.schema(fresh.select(*NATURAL_KEY).schema).parquet(staged)
+    lost = routed_rows.join(lost_keys, NATURAL_KEY, "left_semi")
     lost.withColumn("reason", F.concat(F.lit("no key: "), entity)).write.mode("overwrite").parquet(f"{root}/unkeyed/batch={number}")
+    drop_folder(spark, f"{root}/_updates")
 
 
 def stream_state(spark: SparkSession, source_path: str, root: str, checkpoint: str,
@@ -114,10 +122,17 @@ def stream_state(spark: SparkSession, source_path: str, root: str, checkpoint: s
     """Run the ingest stream over landed envelope files (S3) until all that are
     there are processed (``availableNow``); state tables, and the dead letters in
     ``quarantine``, land under ``root``."""
-    stream = R.scan_envelopes(spark, source_path, streaming=True, fmt=fmt)
-    q = (stream.writeStream.foreachBatch(lambda df, eid: land_batch(spark, df, eid, root))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    # shuffle files of a finished step go at once, not with the driver's next garbage collection
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        stream = R.scan_envelopes(spark, source_path, streaming=True, fmt=fmt)
+        q = (stream.writeStream.foreachBatch(lambda df, eid: land_batch(spark, df, eid, root))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     return q
 
 
@@ -143,15 +158,15 @@ def quarantine_table(spark: SparkSession, root: str) -> DataFrame:
     return bad.unionByName(spark.read.parquet(f"{root}/unkeyed"), allowMissingColumns=True)
 
 
-def arrival_slices(env: DataFrame, slices: int = 4) -> list[DataFrame]:
-    """Test harness for the stream: the envelopes cut into successive ranges of
-    arrival numbers. A slice is landed (by many tasks) once its predecessor was
-    processed, as a broker delivers in order. The bounds are a handful of
-    approximate quantiles of ``seq``."""
+SLICES = 4
+
+
+def arrival_slices(env: DataFrame, slices: int = SLICES) -> DataFrame:
+    """Test harness for the stream: the envelopes with the number ``slice`` of the
+    range of arrival numbers they fall in. A slice is landed (by many tasks) once its
+    predecessor was processed, as a broker delivers in order. The bounds are a handful
+    of approximate quantiles of ``seq``."""
     bounds = env.approxQuantile("seq", [i / slices for i in range(1, slices)], 0.001)
-    edges = [None, *bounds, None]
-    found = []
-    for low, high in zip(edges[:-1], edges[1:]):
-        part = env if low is None else env.filter(F.col("seq") > F.lit(low))
-        found.append(part if high is None else part.filter(F.col("seq") <= F.lit(high)))
-    return found
+    if not bounds:
+        return env.withColumn("slice", F.lit(0))
+    return env.filter(F.col("seq").isNotNull()).withColumn("slice", sum((F.col("seq") > F.lit(b)).cast("int") for b in bounds))
