@@ -26,13 +26,14 @@ AI_SOURCES = ["claude_code", "copilot"]
 
 
 def dedup_events(env: DataFrame, key: list[str] = NATURAL_KEY, order: str = "seq") -> DataFrame:
-    """First arrival per natural key wins. An aggregate (``min_by``) rather
-    than a window, so duplicates collapse map-side before the shuffle."""
-    rest = [c for c in env.columns if c not in key]
-    first = env.groupBy(*key).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), F.col(order)).alias("_e"))
-    # Key columns come from the grouping keys, so filters on them (routing by
-    # source/event type) are pushed below the aggregate into the scan.
-    return first.select(*[F.col(k) for k in key], *[F.col("_e")[c].alias(c) for c in rest]).select(*env.columns)
+    """First arrival per natural key wins. Rows are sorted once, behind the
+    shuffle, where they are spread evenly; an aggregate that carries texts also sorts
+    whole envelopes before it, in tasks as large as what the scan or join gave them.
+    A key without any arrival number has no first arrival: only the key is returned."""
+    arrivals = Window.partitionBy(*key).orderBy(F.col(order).asc_nulls_last())
+    first = env.withColumn("_before", F.lag(F.lit(1)).over(arrivals)).filter(F.col("_before").isNull())
+    # Filters on key columns (routing by source/event type) are pushed below the window into the scan.
+    return first.select(*[F.col(c) if c in key else F.when(F.col(order).isNotNull(), F.col(c)).alias(c) for c in env.columns])
 
 
 def latest_state(df: DataFrame, keys: list[str], order: str = "received_at", tie: str = "seq") -> DataFrame:
