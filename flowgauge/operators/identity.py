@@ -13,14 +13,14 @@ a pair of aggregations (no iteration, no graph search):
 3. within a key, the alias with the earliest first observation founds the
    contributor (name, email and bot flag come from it); the others attach.
 
-Both steps are keyed aggregations with map-side combining, so a person with
-many aliases, or a hot email, never needs more than one small group.
+Steps 1 and 2 are keyed aggregations with map-side combining; a window over the
+distinct aliases of a key, sorted by arrival, names the founder.
 """
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -118,12 +118,16 @@ def resolve_identities(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     founders = founders.select(
         "_key",
         F.concat_ws(":", F.col("_fd.source"), F.col("_fd.source_user_id")).alias("contributor_id"),
-        F.col("_fd.source").alias("_fs"), F.col("_fd.source_user_id").alias("_fu"),
         F.coalesce(F.col("_fd.name"), F.col("_fd.source_user_id")).alias("canonical_name"),
         F.col("_fd.email").alias("canonical_email"),
         C.is_bot(F.col("_fd.name"), F.col("_fd.email")).alias("is_bot"))
     contributors = founders.select("contributor_id", "canonical_name", "canonical_email", "is_bot")
-    aliases = keyed.join(founders.select("_key", "contributor_id", "_fs", "_fu"), "_key", "inner").select(
+    # each alias sees its founder in a window over the key: a join of the two would open all payloads twice
+    within = Window.partitionBy("_key").orderBy("first_seq", "source", "source_user_id")
+    founded = keyed.withColumn("_fd", F.first(F.struct("source", "source_user_id")).over(within)).withColumns({
+        "contributor_id": F.concat_ws(":", F.col("_fd.source"), F.col("_fd.source_user_id")),
+        "_fs": F.col("_fd.source"), "_fu": F.col("_fd.source_user_id")})
+    aliases = founded.select(
         "contributor_id", "source", "source_user_id", "name", "email",
         F.when((F.col("source") == F.col("_fs")) & (F.col("source_user_id") == F.col("_fu")),
                F.lit(NEW_CONTRIBUTOR_CONFIDENCE)).otherwise(F.lit(EMAIL_MATCH_CONFIDENCE))
