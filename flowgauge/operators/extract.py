@@ -53,6 +53,20 @@ HISTORY = (f"key string, fields struct<updated:string>, "
            f"changelog struct<items:{_ITEMS}, histories:array<struct<created:string, items:{_ITEMS}>>>")
 
 _ENV = ["received_at", "seq"]
+#: Optional struct column of envelopes (state.deliveries): their natural key, for a dedup of extracted rows.
+DELIVERY = "_delivery"
+
+
+def _env(events: DataFrame) -> list[str]:
+    return [*_ENV, DELIVERY] if DELIVERY in events.columns else _ENV
+
+
+def _keyed(rows: DataFrame, keyed: Column) -> DataFrame:
+    """Rows that can be keyed. Rows with a delivery all stay, marked, because one that
+    can't be keyed may be the first of its delivery."""
+    if DELIVERY not in rows.columns:
+        return rows.filter(keyed)
+    return rows.withColumn(DELIVERY, F.col(DELIVERY).withField("keyed", F.coalesce(keyed, F.lit(False))))
 
 
 def _parsed(events: DataFrame, **parsers: Column) -> DataFrame:
@@ -60,7 +74,7 @@ def _parsed(events: DataFrame, **parsers: Column) -> DataFrame:
     one-element ``inline``; without that boundary the optimizer inlines the
     parsed struct into every field access and into pushed-down filters, and
     the payload would be parsed once per reference."""
-    row = F.struct(*[c.alias(n) for n, c in parsers.items()], *[F.col(c) for c in _ENV])
+    row = F.struct(*[c.alias(n) for n, c in parsers.items()], *[F.col(c) for c in _env(events)])
     return events.select(F.inline(F.array(row)))
 
 
@@ -114,19 +128,19 @@ def _ddl_to_struct_fields(ddl: str) -> str:
 def extract_runs(events: DataFrame) -> DataFrame:
     """Workflow runs. Repo from the run, else the payload, else 'unknown'."""
     r = _parsed(events, j=F.from_json(F.col("payload"), _wrapped_schema("workflow_run", RUN)))
-    r = r.select(_pick("j", "workflow_run", RUN).alias("r"), F.col("j.repository").alias("t"), *_ENV)
-    return r.filter(F.col("r.id").isNotNull()).select(
+    r = r.select(_pick("j", "workflow_run", RUN).alias("r"), F.col("j.repository").alias("t"), *_env(events))
+    return _keyed(r, F.col("r.id").isNotNull()).select(
         C.first_non_blank(F.col("r.repository.full_name"), F.col("t.full_name"), F.lit("unknown")).alias("repo"),
         F.col("r.id").alias("run_id"), F.col("r.conclusion").alias("conclusion"), F.col("r.name").alias("name"),
-        C.iso_instant(F.col("r.updated_at")).alias("ts"), *_ENV)
+        C.iso_instant(F.col("r.updated_at")).alias("ts"), *_env(events))
 
 
 def extract_builds(events: DataFrame) -> DataFrame:
     """Jenkins builds as runs: run_id ``jenkins:{job}:{number}``; repo from
     the first git BuildData action with remote URLs; result mapped (C7); time
     from epoch milliseconds."""
-    b = _parsed(events, b=F.from_json(F.col("payload"), BUILD)).filter(
-        F.col("b.number").isNotNull() & F.col("b.job_name").isNotNull())
+    b = _keyed(_parsed(events, b=F.from_json(F.col("payload"), BUILD)),
+               F.col("b.number").isNotNull() & F.col("b.job_name").isNotNull())
     git = F.filter(F.col("b.actions"), lambda a: (a["_class"] == JENKINS_GIT_BUILD_DATA) & (F.size(a["remoteUrls"]) > 0))
     url = F.get(F.get(git, 0)["remoteUrls"], 0)
     return b.select(
@@ -134,7 +148,7 @@ def extract_builds(events: DataFrame) -> DataFrame:
         F.concat(F.lit("jenkins:"), F.col("b.job_name"), F.lit(":"), F.col("b.number")).alias("run_id"),
         C.build_conclusion(F.col("b.result")).alias("conclusion"),
         F.col("b.job_name").alias("name"),
-        F.timestamp_millis(C.long_or_null(F.col("b.timestamp"))).alias("ts"), *_ENV)
+        F.timestamp_millis(C.long_or_null(F.col("b.timestamp"))).alias("ts"), *_env(events))
 
 
 def ai_assisted_flag(title, body, labels) -> Column:
@@ -147,7 +161,7 @@ def ai_assisted_flag(title, body, labels) -> Column:
 def extract_pull_requests(events: DataFrame) -> DataFrame:
     """Pull requests."""
     r = _parsed(events, j=F.from_json(F.col("payload"), _wrapped_schema("pull_request", PR)))
-    r = r.select(_pick("j", "pull_request", PR).alias("p"), *_ENV).filter(F.col("p.id").isNotNull())
+    r = _keyed(r.select(_pick("j", "pull_request", PR).alias("p"), *_env(events)), F.col("p.id").isNotNull())
     return r.select(
         C.first_non_blank(F.col("p.base.repo.full_name"), F.lit("unknown")).alias("repo"),
         C.long_or_null(F.col("p.id")).alias("pr_id"),
@@ -158,20 +172,19 @@ def extract_pull_requests(events: DataFrame) -> DataFrame:
                  lambda x: x.isNotNull()).alias("requested_reviewers"),
         C.iso_instant(F.col("p.created_at")).alias("created_at"),
         C.iso_instant(F.col("p.merged_at")).alias("merged_at"),
-        ai_assisted_flag(F.col("p.title"), F.col("p.body"), F.col("p.labels")).alias("ai_assisted"), *_ENV)
+        ai_assisted_flag(F.col("p.title"), F.col("p.body"), F.col("p.labels")).alias("ai_assisted"), *_env(events))
 
 
 def extract_reviews(events: DataFrame) -> DataFrame:
     """E5: reviews; repo and PR number come from ``pull_request_url``."""
-    r = _parsed(events, v=F.from_json(F.col("payload"), REVIEW)).filter(
-        F.col("v.id").isNotNull() & F.col("v.pull_request_url").isNotNull())
+    r = _parsed(events, v=F.from_json(F.col("payload"), REVIEW))
     url = F.col("v.pull_request_url")
     repo = F.nullif(F.regexp_extract(url, r"/repos/(.+?)/pulls/(\d+)$", 1), F.lit(""))
     num = F.nullif(F.regexp_extract(url, r"/repos/(.+?)/pulls/(\d+)$", 2), F.lit(""))
-    return r.filter(repo.isNotNull() & num.isNotNull()).select(
+    return _keyed(r, F.col("v.id").isNotNull() & url.isNotNull() & repo.isNotNull() & num.isNotNull()).select(
         repo.alias("repo"), num.cast("long").alias("pr_number"), F.col("v.id").alias("review_id"),
         F.col("v.user.login").alias("reviewer_login"), F.col("v.state").alias("state"),
-        C.iso_instant(F.col("v.submitted_at")).alias("submitted_at"), *_ENV)
+        C.iso_instant(F.col("v.submitted_at")).alias("submitted_at"), *_env(events))
 
 
 def extract_pr_commits(events: DataFrame) -> DataFrame:
@@ -230,8 +243,8 @@ def extract_issues(events: DataFrame) -> DataFrame:
     issue = _pick("j", "issue", ISSUE)
     # a webhook's changelog is the issue's sibling, a snapshot's is its own
     changelog = F.coalesce(F.col("j.changelog"), F.col("j.issue.changelog"))
-    r = r.select(issue.alias("i"), changelog.alias("cl"), *_ENV).filter(
-        F.col("i.key").isNotNull() & F.col("i.id").isNotNull() & F.col("i.fields").isNotNull())
+    r = _keyed(r.select(issue.alias("i"), changelog.alias("cl"), *_env(events)),
+               F.col("i.key").isNotNull() & F.col("i.id").isNotNull() & F.col("i.fields").isNotNull())
     return r.select(
         F.col("i.key").alias("issue_key"), F.col("i.id").alias("issue_id"),
         C.first_non_blank(F.col("i.fields.project.key"), F.lit("unknown")).alias("project_key"),
@@ -239,7 +252,7 @@ def extract_issues(events: DataFrame) -> DataFrame:
         F.col("i.fields.summary").alias("summary"), F.col("i.fields.assignee.displayName").alias("assignee"),
         C.jira_instant(F.col("i.fields.created")).alias("created_at"),
         C.jira_instant(F.col("i.fields.resolutiondate")).alias("resolved_at"),
-        F.when(F.col("cl").isNull(), F.lit(False)).otherwise(reopened_flag(F.col("cl"))).alias("reopened"), *_ENV)
+        F.when(F.col("cl").isNull(), F.lit(False)).otherwise(reopened_flag(F.col("cl"))).alias("reopened"), *_env(events))
 
 
 def seat_cost(sessions, prompts, requests, monthly) -> Column:

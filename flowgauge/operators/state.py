@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .extract import DELIVERY
+
 NATURAL_KEY = ["source", "source_id", "event_type"]
 
 # --- fixed values: event routing (source, event types) -> entity -------------
@@ -36,6 +38,23 @@ def dedup_events(env: DataFrame, key: list[str] = NATURAL_KEY, order: str = "seq
     return first.select(*[F.col(c) if c in key else F.when(F.col(order).isNotNull(), F.col(c)).alias(c) for c in env.columns])
 
 
+def deliveries(env: DataFrame, key: list[str] = NATURAL_KEY, order: str = "seq") -> DataFrame:
+    """Envelopes that carry their natural key through extraction, for :func:`first_rows`. One
+    without an arrival number is never the first of its key (see :func:`dedup_events`)."""
+    return env.filter(F.col(order).isNotNull()).withColumn(DELIVERY, F.struct(*[F.col(c) for c in key]))
+
+
+def first_rows(rows: DataFrame, key: list[str] = NATURAL_KEY, order: str = "seq") -> DataFrame:
+    """D1 behind extraction: of the rows extracted from :func:`deliveries`, those of the first arrival
+    per natural key. The same rows as extraction from :func:`dedup_events`, but payloads are
+    neither shuffled nor sorted. A first arrival that gives no row hides the later ones, too."""
+    flat = rows.select(*[c for c in rows.columns if c != DELIVERY], F.col(DELIVERY)["keyed"].alias("_keyed"),
+                       *[F.col(DELIVERY)[c].alias(f"_key_{c}") for c in key])
+    arrivals = Window.partitionBy(*[f"_key_{c}" for c in key]).orderBy(order)
+    first = flat.withColumn("_before", F.lag(F.lit(1)).over(arrivals)).filter(F.col("_before").isNull() & F.col("_keyed"))
+    return first.select(*[c for c in rows.columns if c != DELIVERY])
+
+
 def latest_state(df: DataFrame, keys: list[str], order: str = "received_at", tie: str = "seq") -> DataFrame:
     """One row per key, the one with the greatest ``order``; among equal
     ``order`` values the earliest arrival wins (an update must be *strictly*
@@ -116,11 +135,17 @@ def drop_replayed(env: DataFrame, stored: DataFrame) -> DataFrame:
     return env.join(stored.select(*NATURAL_KEY), NATURAL_KEY, "left_anti")
 
 
-def rebuild(env: DataFrame, entity: str, extractor, keys: list[str], sticky: str | None = None) -> DataFrame:
-    """Replay raw envelopes into a latest-state table: dedup (D1), route
-    (D6), extract (E*), then latest state (D2) with an optional sticky flag."""
-    rows = extractor(route_events(dedup_events(env))[entity])
-    state = latest_state(rows, keys)
+def narrowed(rows: DataFrame, keys: list[str], only: list[str] | None) -> DataFrame:
+    return rows if only is None else rows.select(*dict.fromkeys([*keys, *only, "received_at", "seq"]))
+
+
+def rebuild(env: DataFrame, entity: str, extractor, keys: list[str], sticky: str | None = None,
+            only: list[str] | None = None) -> DataFrame:
+    """Replay raw envelopes into a latest-state table: route (D6), extract (E*),
+    dedup (D1), then latest state (D2) with an optional sticky flag. ``only`` names the
+    columns wanted beside keys and time; others aren't moved."""
+    rows = first_rows(extractor(route_events(deliveries(env))[entity]))
+    state = latest_state(narrowed(rows, keys, only), keys)
     if sticky:
         flags = sticky_flag(rows, keys, sticky)
         state = state.drop(sticky).join(flags, keys, "inner")

@@ -19,15 +19,14 @@ def _extract_all_runs(routed: dict[str, DataFrame]) -> DataFrame:
     return E.extract_runs(routed["workflow_run"]).unionByName(E.extract_builds(routed["jenkins_build"]))
 
 
-def run_state(env: DataFrame) -> DataFrame:
+def run_state(env: DataFrame, only: list[str] | None = None) -> DataFrame:
     """workflow_run_state from GitHub runs and Jenkins builds."""
-    routed = S.route_events(S.dedup_events(env))
-    rows = _extract_all_runs(routed)
-    return S.latest_state(rows, RUN_KEYS).drop("seq").withColumnRenamed("received_at", "last_received_at")
+    rows = S.first_rows(_extract_all_runs(S.route_events(S.deliveries(env))))
+    return S.latest_state(S.narrowed(rows, RUN_KEYS, only), RUN_KEYS).drop("seq").withColumnRenamed("received_at", "last_received_at")
 
 
-def pr_state(env: DataFrame) -> DataFrame:
-    return S.rebuild(env, "pull_request", E.extract_pull_requests, PR_KEYS)
+def pr_state(env: DataFrame, only: list[str] | None = None) -> DataFrame:
+    return S.rebuild(env, "pull_request", E.extract_pull_requests, PR_KEYS, only=only)
 
 
 def review_state(env: DataFrame) -> DataFrame:
@@ -40,7 +39,8 @@ def issue_state(env: DataFrame) -> DataFrame:
 
 
 def usage_state(env: DataFrame, monthly_seat_usd: float = P.COPILOT_MONTHLY_SEAT_USD) -> DataFrame:
-    return S.rebuild(env, "ai_usage", lambda ev: E.extract_usage(ev, monthly_seat_usd), USAGE_KEYS)
+    rows = E.extract_usage(S.route_events(S.dedup_events(env))["ai_usage"], monthly_seat_usd)  # wider than their payloads
+    return S.latest_state(rows, USAGE_KEYS).drop("seq").withColumnRenamed("received_at", "last_received_at")
 
 
 def dedup_counts(env: DataFrame) -> DataFrame:
@@ -50,14 +50,15 @@ def dedup_counts(env: DataFrame) -> DataFrame:
 
 def late_event_counts(env: DataFrame) -> DataFrame:
     """D8 observed: per entity, events the latest-state guard ignored."""
-    routed = S.route_events(S.dedup_events(env))
+    routed = S.route_events(S.deliveries(env))
+    usage = S.route_events(S.dedup_events(env))["ai_usage"]
     parts = [
-        S.late_events(_extract_all_runs(routed), RUN_KEYS).select(F.lit("workflow_run").alias("entity")),
-        S.late_events(E.extract_pull_requests(routed["pull_request"]), PR_KEYS).select(F.lit("pull_request").alias("entity")),
-        S.late_events(E.extract_reviews(routed["pull_request_review"]), REVIEW_KEYS).select(
+        S.late_events(S.first_rows(_extract_all_runs(routed)), RUN_KEYS).select(F.lit("workflow_run").alias("entity")),
+        S.late_events(S.first_rows(E.extract_pull_requests(routed["pull_request"])), PR_KEYS).select(F.lit("pull_request").alias("entity")),
+        S.late_events(S.first_rows(E.extract_reviews(routed["pull_request_review"])), REVIEW_KEYS).select(
             F.lit("pull_request_review").alias("entity")),
-        S.late_events(E.extract_issues(routed["jira_issue"]), ISSUE_KEYS).select(F.lit("jira_issue").alias("entity")),
-        S.late_events(E.extract_usage(routed["ai_usage"], P.COPILOT_MONTHLY_SEAT_USD), USAGE_KEYS).select(
+        S.late_events(S.first_rows(E.extract_issues(routed["jira_issue"])), ISSUE_KEYS).select(F.lit("jira_issue").alias("entity")),
+        S.late_events(E.extract_usage(usage, P.COPILOT_MONTHLY_SEAT_USD), USAGE_KEYS).select(
             F.lit("ai_usage").alias("entity")),
     ]
     u = parts[0]

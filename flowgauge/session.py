@@ -22,6 +22,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # packed bytes; sorted rows take some ten times as much memory of a task
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     # keyed stream state outside the heap, of which each batch stores its changes
     "spark.sql.streaming.stateStore.providerClass":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowgauge.operators import identity as I
 from flowgauge.operators.state import dedup_events
 from flowgauge.plans import registry, source_plans
+from flowgauge.plans import state_plans as SP
 from flowgauge.sources import sinks as K
 from flowgauge.streaming import stream_state as ST
 
@@ -94,3 +95,33 @@ def test_stream_leaves_no_staged_updates(spark):
     assert not os.path.exists(root + "/tables/_updates")
     lost = ST.quarantine_table(spark, root + "/tables").collect()
     assert [(r["source_id"], r["reason"], r["payload"]) for r in lost] == [("pr:8", "no key: pull_request", "{}")]
+
+
+def test_state_is_rebuilt_without_moving_payloads(spark):
+    for name in ("rebuild_run_state", "rebuild_pr_state", "rebuild_review_state", "rebuild_issue_state"):
+        plan = _plan(registry.QUERIES[name](spark, BASE))  # printed from the result down
+        assert plan.index("lag(1") < plan.index("from_json("), name
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16MB"
+
+
+def test_rows_of_the_first_delivery_only(spark):
+    run = '{"id": "%s", "name": "n", "conclusion": "%s", "repository": {"full_name": "o/a"}}'
+    job = '{"number": "%s", "job_name": "j", "result": "%s"}'
+    rows = [("github", "r:1", "workflow_run.snapshot", T0, "1", run % (1, "first"), 1),
+            ("github", "r:1", "workflow_run.snapshot", T0 + dt.timedelta(hours=1), "1", run % (1, "again"), 2),
+            ("github", "r:1", "workflow_run", T0 - dt.timedelta(hours=1), "1", run % (1, "older"), 3),
+            ("github", "r:2", "workflow_run.snapshot", T0, "1", "{}", 1),  # no run: hides the one delivered later
+            ("github", "r:2", "workflow_run.snapshot", T0, "1", run % (2, "later"), 2),
+            ("github", "r:3", "workflow_run.snapshot", T0, "1", run % (3, "no number"), None),
+            ("github", "r:4", "workflow_run.snapshot", T0, "1", run % (4, "numbered"), 9),
+            ("github", "r:4", "workflow_run.snapshot", T0, "1", run % (4, "no number"), None),
+            ("github", None, "workflow_run.snapshot", T0, "1", run % (5, "y"), 4),
+            ("github", None, "workflow_run.snapshot", T0, "1", run % (6, "x"), 5),
+            ("jenkins", "b:1", "build.snapshot", T0, "1", job % (7, "SUCCESS"), 1),
+            ("jenkins", "b:1", "build.snapshot", T0 + dt.timedelta(hours=1), "1", job % (7, "FAILURE"), 2)]
+    env = spark.createDataFrame(rows, ENV)
+    got = {r["run_id"]: r["conclusion"] for r in SP.run_state(env).collect()}
+    assert got == {"1": "first", "4": "numbered", "5": "y", "jenkins:j:7": "success"}
+    narrow = SP.run_state(env, only=[])
+    assert narrow.columns == ["repo", "run_id", "last_received_at"]
+    assert {(r["run_id"], r["last_received_at"]) for r in narrow.collect()} == {(r["run_id"], r["last_received_at"]) for r in SP.run_state(env).collect()}
