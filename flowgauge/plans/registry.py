@@ -280,7 +280,7 @@ register("setup_status", OA.setup_sql())(lambda d: A.setup_status(d.raw_stored,
 register("connector_health", OA.connector_health_sql())(
     lambda d: A.connector_health(d.raw_stored, S.connector_activity(d.raw), d.p))
 register("repo_sync_status", OA.repo_sync_sql())(
-    lambda d: A.repo_sync_status(SP.pr_state(d.raw_stored), SP.run_state(d.raw_stored),
+    lambda d: A.repo_sync_status(SP.pr_state(d.raw_stored, only=[]), SP.run_state(d.raw_stored, only=[]),
                                  A.sync_triggers(d.spark, d.base, d.p), d.team_repo, d.teams, d.p))
 register("team_list", OA.team_list_sql())(lambda d: A.team_list(d.teams, d.team_repo))
 register("audit_recent", OA.audit_sql())(lambda d: A.audit_recent(d.audit))
