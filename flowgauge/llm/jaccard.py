@@ -21,6 +21,8 @@ has no set and no links. Sets link when |A n B| / |A u B| >= NUMERATOR / DENOMIN
    sets of other components. A group qualifies for a set if their
    sizes can fit and the set's overlap with the union of the group's tokens
    is large enough for a link; only then its members are opened and compared.
+   Under a crowded token groups are joined with groups, once for all such tokens, and their sets ask after that:
+   joining every set under every token it has in common with the group would grow with the square of a cluster.
 5. Components over all links, and one row per document.
 
 No pairs inside a component are emitted, no link between components is lost.
@@ -39,7 +41,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.llm.common import components, documents_of, stored
@@ -60,6 +62,8 @@ GROUP, LEADERS = 512, 16
 ROUNDS = 2
 #: Sets compared with one copy of a group.
 ASKED = 512
+#: Prefix rows of a token beyond which groups, not sets, look for groups under it.
+CROWD = 64
 #: Rows counted in one task.
 COUNT_ROWS = 4_000_000
 SEED = 0x5BD1E995
@@ -381,16 +385,31 @@ def compared(block: pa.Table) -> pa.Table:
     return pa.table([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
+def crowd_pairs(rows: DataFrame, matrix: DataFrame, ends: list[Column]) -> DataFrame:
+    """(key, run): sets and the groups that theirs meets under a crowded token, if labels and sizes of some of them can fit."""
+    groups = rows.groupBy("token", "run").agg(*ends).select("token", F.col("run").alias("own"), *[F.col(c).alias(f"own_{c}") for c in ("least", "most", "first", "last")])
+    other = (F.col("own_first") != F.col("own_last")) | (F.col("first") != F.col("last")) | (F.col("own_first") != F.col("first"))
+    fits = other & (F.col("own_most") >= F.col("least")) & (F.col("own_least") * NUMERATOR <= F.col("most") * DENOMINATOR)
+    met = stored(groups.join(matrix.drop("crowded"), "token").where(fits).groupBy("own", "run").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("first").alias("first"), F.max("last").alias("last")), "met")
+    sets = rows.select("key", "n", "label", F.col("run").alias("own")).distinct()
+    differs = (F.col("label") != F.col("first")) | (F.col("label") != F.col("last"))
+    sized = (F.col("n") >= F.col("least")) & (F.col("n") * NUMERATOR <= F.col("most") * DENOMINATOR)
+    return sets.join(met, "own").where(differs & sized).select("key", "run")
+
+
 def matrix_links(sets: DataFrame, runs: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b): components with linked sets, of which one is in a group that qualifies for the other."""
     placed = sets.select("key", "n", "prefix").join(runs, "key").join(labels, "key")
     rows = stored(placed.select("key", "n", "run", "label", F.explode("prefix")).select("key", "n", "run", "label", "col.*"), "prefix-rows")
     ends = [F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("first"), F.max("label").alias("last")]
-    matrix = rows.where("near").groupBy("token", "run").agg(*ends)
-    asking = rows.select("token", "key", "n", "label")
+    crowded = rows.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > CROWD).select("token", F.lit(True).alias("crowded"))
+    rows = stored(rows.join(crowded, "token", "left").withColumn("crowded", F.col("crowded").isNotNull()), "matrix-rows")
+    matrix = rows.where("near").groupBy("token", "run", "crowded").agg(*ends)
     other = (F.col("label") != F.col("first")) | (F.col("label") != F.col("last"))
     fits = other & (F.col("n") >= F.col("least")) & (F.col("n") * NUMERATOR <= F.col("most") * DENOMINATOR)
-    pairs = stored(asking.join(matrix, "token").where(fits).select("key", "run").distinct(), "candidates")
+    asking = rows.where("not crowded").select("token", "key", "n", "label")
+    alone = asking.join(matrix.where("not crowded").drop("crowded"), "token").where(fits).select("key", "run")
+    pairs = stored(alone.unionByName(crowd_pairs(rows.where("crowded"), matrix.where("crowded"), ends)).distinct(), "candidates")
     salts = pairs.groupBy("run").agg(F.ceil(F.count("*") / ASKED).alias("salts"))
     body = sets.select("key", "tokens").join(labels, "key")
     asked = pairs.join(salts, "run").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts"))).join(body, "key")

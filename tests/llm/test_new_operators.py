@@ -203,6 +203,19 @@ def test_jaccard_against_brute_force(spark, monkeypatch, hot):
     assert ordered(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == ordered(brute_jaccard(rows))
 
 
+def test_jaccard_crowded_tokens_join_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROWD", 2)
+    monkeypatch.setattr(jaccard, "GROUP", 32)
+    made = {}
+    keep = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, tag: made.setdefault(tag, keep(df, tag)) if tag in ("met", "matrix-rows") else keep(df, tag))
+    rows = jaccard_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == ordered(brute_jaccard(rows))
+    crowded = made["matrix-rows"].where("crowded")
+    assert crowded.count() > 0 and made["met"].count() <= crowded.select("run").distinct().count() ** 2
+
+
 def test_jaccard_small_tables(spark):
     for rows in ([], [(1, None)], [(1, "a b c d e f")], [(None, "a"), (None, "a")]):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
