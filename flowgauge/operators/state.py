@@ -33,9 +33,14 @@ def dedup_events(env: DataFrame, key: list[str] = NATURAL_KEY, order: str = "seq
     whole envelopes before it, in tasks as large as what the scan or join gave them.
     A key without any arrival number has no first arrival: only the key is returned."""
     arrivals = Window.partitionBy(*key).orderBy(F.col(order).asc_nulls_last())
-    first = env.withColumn("_before", F.lag(F.lit(1)).over(arrivals)).filter(F.col("_before").isNull())
+    first = env.withColumn("_before", F.lag(F.lit(1)).over(arrivals)).filter(F.col("_before").isNull()).drop("_before")
     # Filters on key columns (routing by source/event type) are pushed below the window into the scan.
-    return first.select(*[F.col(c) if c in key else F.when(F.col(order).isNotNull(), F.col(c)).alias(c) for c in env.columns])
+    return numbered(first, key, order)
+
+
+def numbered(first: DataFrame, key: list[str] = NATURAL_KEY, order: str = "seq") -> DataFrame:
+    """First arrivals; of one without an arrival number only the key."""
+    return first.select(*[F.col(c) if c in key else F.when(F.col(order).isNotNull(), F.col(c)).alias(c) for c in first.columns])
 
 
 def deliveries(env: DataFrame, key: list[str] = NATURAL_KEY, order: str = "seq") -> DataFrame:

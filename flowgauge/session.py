@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -40,6 +42,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def set_for(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Runtime confs (``__`` for a dot) that hold inside the block."""
+    conf = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def freed_shuffles(spark: SparkSession):
+    """Jobs of plans made inside the block delete their shuffle files when they end, not when the
+    driver happens to collect garbage. Only for plans that are run once."""
+    return set_for(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "flowgauge", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the library's defaults.

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..operators.state import NATURAL_KEY, dedup_events, latest_state
-from ..session import checkpoint_dir
+from ..operators.recurring import Recurring, mark
+from ..operators.state import NATURAL_KEY, dedup_events, latest_state, numbered
+from ..session import checkpoint_dir, freed_shuffles, set_for
 
 
 def table_root(spark: SparkSession, *parts: str) -> str:
@@ -45,13 +46,8 @@ def write_folders(df: DataFrame, by: list[str], path: str, fmt: str = "parquet",
     """Write ``df`` with a folder per value of ``by``. For a handful of values a task
     keeps their files open side by side, instead of sorting its whole rows by them."""
     packed = {"compression": "gzip", "maxRecordsPerFile": FILE_RECORDS} if fmt == "json" else COMPACT
-    spark, name = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(OPEN_FOLDERS))
-    try:
+    with set_for(df.sparkSession, spark__sql__maxConcurrentOutputFileWriters=str(OPEN_FOLDERS)), freed_shuffles(df.sparkSession):
         df.write.mode(mode).options(**packed, **options).partitionBy(*by).format(fmt).save(path)
-    finally:
-        spark.conf.set(name, before)
 
 
 def move_folder(spark: SparkSession, path: str, to: str) -> None:
@@ -75,14 +71,20 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 def write_raw(env: DataFrame, path: str) -> DataFrame:
     """K1: append envelopes whose natural key is not stored yet (first delivery
     wins, also within the batch). Returns what was appended (lazily: callers
-    that need it afterwards should read the table back)."""
+    that need it afterwards should read the table back). Envelopes whose key comes
+    once are written where they are read; only the others are shuffled and sorted."""
     spark = env.sparkSession
-    fresh = dedup_events(env)
-    if _exists(spark, path):
-        stored = spark.read.parquet(path).select(*NATURAL_KEY)
-        fresh = fresh.join(stored, NATURAL_KEY, "left_anti")
-    write_folders(fresh, ["source", "event_type"], path, mode="append")
-    return fresh
+    key = mark(*NATURAL_KEY)
+    recurring = Recurring(env.select(key.alias("mark")))
+    again, once = recurring.split(env, key)
+
+    def unseen(rows: DataFrame) -> DataFrame:
+        return rows.join(stored, NATURAL_KEY, "left_anti") if stored is not None else rows
+
+    stored = spark.read.parquet(path).select(*NATURAL_KEY) if _exists(spark, path) else None
+    write_folders(unseen(dedup_events(again).unionByName(numbered(once))), ["source", "event_type"], path, mode="append")
+    recurring.drop()
+    return unseen(dedup_events(env))
 
 
 def write_quarantine(bad: DataFrame, reason: str | F.Column, path: str) -> None:

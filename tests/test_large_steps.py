@@ -6,7 +6,8 @@ import tempfile
 from pyspark.sql import functions as F
 
 from flowgauge.operators import identity as I
-from flowgauge.operators.state import dedup_events
+from flowgauge.operators.recurring import Recurring, mark
+from flowgauge.operators.state import NATURAL_KEY, dedup_events
 from flowgauge.plans import registry, source_plans
 from flowgauge.plans import state_plans as SP
 from flowgauge.sources import sinks as K
@@ -125,3 +126,45 @@ def test_rows_of_the_first_delivery_only(spark):
     narrow = SP.run_state(env, only=[])
     assert narrow.columns == ["repo", "run_id", "last_received_at"]
     assert {(r["run_id"], r["last_received_at"]) for r in narrow.collect()} == {(r["run_id"], r["last_received_at"]) for r in SP.run_state(env).collect()}
+
+
+def test_raw_envelopes_are_shuffled_only_where_their_key_recurs(spark, monkeypatch):
+    path = tempfile.mkdtemp(prefix="fg-raw-", dir="/tmp") + "/raw"
+    given = []
+    monkeypatch.setattr(K, "dedup_events", lambda rows: (given.append(rows.count()), dedup_events(rows))[1])
+    again = spark.createDataFrame([("github", f"push:{i}", "push", T0, "2", "late", 10_000 + i) for i in (7, 8, 8)], ENV)
+    conf = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    K.write_raw(_env(spark).unionByName(again), path)
+    assert min(given) < 40  # of 407: those of two keys, and some whose bit another one set
+    got = spark.read.parquet(path)
+    assert got.count() == 404 and got.filter("payload = 'late'").count() == 0
+    assert conf == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"))
+    assert not [f for f in os.listdir(K.table_root(spark).removeprefix("file:")) if f.startswith("recurring")]
+
+
+def test_raw_table_holds_what_the_dedup_gives(spark):
+    path = tempfile.mkdtemp(prefix="fg-raw-", dir="/tmp") + "/raw"
+    rows = [("s", "a", "t", T0, "1", "first", 1), ("s", "a", "t", T0, "1", "second", 2), ("s", "a", "t", T0, "1", "none", None),
+            ("s", "b", "t", T0, "1", "none", None), ("s", None, "t", T0, "1", "x", 5), ("s", None, "t", T0, "1", "y", 4),
+            ("s", "c", None, T0, "1", "alone", 3), (None, "c", None, T0, "1", None, 3), ("s", "d", "t", T0, "1", "none", None), ("s", "d", "t", T0, "1", "none", None)]
+    env = spark.createDataFrame(rows, ENV)
+    K.write_raw(env, path)
+    columns = env.columns
+    order = lambda r: str(r)
+    stored = sorted(map(tuple, spark.read.parquet(path).select(*columns).collect()), key=order)
+    assert stored == sorted(map(tuple, dedup_events(env).select(*columns).collect()), key=order) and len(stored) == 6
+
+
+def test_recurring_marks(spark):
+    rows = spark.range(3000).selectExpr("id % 2000 AS k", "id AS n")  # 0 to 999 twice
+    found = Recurring(rows.select(mark("k").alias("mark")))
+    again, once = found.split(rows, mark("k"))
+    ids = sorted(r["n"] for r in again.unionByName(once).collect())
+    assert ids == list(range(3000))  # every row on one side
+    assert once.filter("k < 1000").count() == 0 and again.filter("k >= 1000").count() < 300
+    assert found.any_of(rows.filter("k >= 1000"), mark("k"), mark((F.col("k") - 1000).alias("j"))).count() == 1000
+    found.drop()
+    none = Recurring(rows.filter("n < 2000").select(mark("k").alias("mark")))
+    again, once = none.split(rows, mark("k"))
+    assert again.count() == 0 and once.count() == 3000
+    none.drop()
