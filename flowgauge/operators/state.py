@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .extract import DELIVERY
+from .recurring import Recurring, mark
 
 NATURAL_KEY = ["source", "source_id", "event_type"]
 
@@ -106,8 +107,11 @@ def sticky_flag(df: DataFrame, keys: list[str], flag: str, order: str = "receive
 
 
 def late_events(df: DataFrame, keys: list[str], order: str = "received_at", tie: str = "seq") -> DataFrame:
-    """The events the guard ignored (not newer than what had arrived)."""
-    return with_record_high(df, keys, order, tie, "_high").filter(~F.col("_high")).drop("_high")
+    """The events the guard ignored (not newer than what had arrived). Only keys with
+    several events are guarded; one without a time neither is late nor makes another so."""
+    timed = df.filter(F.col(order).isNotNull())
+    recurring = Recurring.planned(timed.select(mark(*keys).alias("mark")))
+    return with_record_high(recurring.again(timed, mark(*keys)), keys, order, tie, "_high").filter(~F.col("_high")).drop("_high")
 
 
 def connector_activity(env: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..operators.recurring import Recurring, mark
+from ..operators.recurring import counted, mark
 from ..operators.state import NATURAL_KEY, dedup_events, latest_state, numbered
 from ..session import checkpoint_dir, freed_shuffles, set_for
 
@@ -74,16 +74,15 @@ def write_raw(env: DataFrame, path: str) -> DataFrame:
     that need it afterwards should read the table back). Envelopes whose key comes
     once are written where they are read; only the others are shuffled and sorted."""
     spark = env.sparkSession
-    key = mark(*NATURAL_KEY)
-    recurring = Recurring(env.select(key.alias("mark")))
-    again, once = recurring.split(env, key)
+    stored = spark.read.parquet(path).select(*NATURAL_KEY) if _exists(spark, path) else None
 
     def unseen(rows: DataFrame) -> DataFrame:
-        return rows.join(stored, NATURAL_KEY, "left_anti") if stored is not None else rows
+        return rows if stored is None else rows.join(stored, NATURAL_KEY, "left_anti")
 
-    stored = spark.read.parquet(path).select(*NATURAL_KEY) if _exists(spark, path) else None
-    write_folders(unseen(dedup_events(again).unionByName(numbered(once))), ["source", "event_type"], path, mode="append")
-    recurring.drop()
+    key = mark(*NATURAL_KEY)
+    with counted(env.select(key.alias("mark"))) as recurring:
+        fresh = dedup_events(recurring.again(env, key)).unionByName(numbered(recurring.once(env, key)))
+        write_folders(unseen(fresh), ["source", "event_type"], path, mode="append")
     return unseen(dedup_events(env))
 
 

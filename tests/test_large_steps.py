@@ -6,7 +6,8 @@ import tempfile
 from pyspark.sql import functions as F
 
 from flowgauge.operators import identity as I
-from flowgauge.operators.recurring import Recurring, mark
+from flowgauge.operators import state as S
+from flowgauge.operators.recurring import Recurring, counted, mark
 from flowgauge.operators.state import NATURAL_KEY, dedup_events
 from flowgauge.plans import registry, source_plans
 from flowgauge.plans import state_plans as SP
@@ -157,14 +158,40 @@ def test_raw_table_holds_what_the_dedup_gives(spark):
 
 def test_recurring_marks(spark):
     rows = spark.range(3000).selectExpr("id % 2000 AS k", "id AS n")  # 0 to 999 twice
-    found = Recurring(rows.select(mark("k").alias("mark")))
-    again, once = found.split(rows, mark("k"))
-    ids = sorted(r["n"] for r in again.unionByName(once).collect())
-    assert ids == list(range(3000))  # every row on one side
-    assert once.filter("k < 1000").count() == 0 and again.filter("k >= 1000").count() < 300
-    assert found.any_of(rows.filter("k >= 1000"), mark("k"), mark((F.col("k") - 1000).alias("j"))).count() == 1000
-    found.drop()
-    none = Recurring(rows.filter("n < 2000").select(mark("k").alias("mark")))
-    again, once = none.split(rows, mark("k"))
-    assert again.count() == 0 and once.count() == 3000
-    none.drop()
+    marks, key = rows.select(mark("k").alias("mark")), mark("k")
+
+    def told(found):
+        again, once = found.again(rows, key), found.once(rows, key)
+        assert sorted(r["n"] for r in again.unionByName(once).collect()) == list(range(3000))  # every row on one side
+        assert once.filter("k < 1000").count() == 0 and again.filter("k >= 1000").count() < 300
+
+    told(Recurring.planned(marks))
+    with counted(marks) as found:
+        told(found)
+    with counted(rows.filter("n < 2000").select(key.alias("mark"))) as none:
+        assert none.again(rows, key).count() == 0 and none.once(rows, key).count() == 3000
+
+
+def test_only_keys_with_several_events_are_guarded(spark, monkeypatch):
+    given, guard = [], S.with_record_high
+    monkeypatch.setattr(S, "with_record_high", lambda rows, *a: (given.append(rows.count()), guard(rows, *a))[1])
+    hour = lambda n: None if n is None else T0 + dt.timedelta(hours=n)
+    rows = [("once", i, hour(i), i) for i in range(400)]
+    rows += [("late", 1, hour(5), 1), ("late", 1, hour(4), 2), ("late", 1, hour(5), 3), ("late", 1, hour(6), 4),
+             ("untimed", 1, None, 1), ("untimed", 1, hour(1), 2), ("untimed", 1, None, 3), ("untimed", 1, hour(1), 4),
+             (None, 1, hour(2), 1), (None, 1, hour(1), 2)]
+    df = spark.createDataFrame(rows, "k string, n int, received_at timestamp, seq long")
+    got = sorted((str(r["k"]), r["seq"]) for r in S.late_events(df, ["k", "n"]).collect())
+    assert got == [("None", 2), ("late", 2), ("late", 3), ("untimed", 4)]
+    assert len(given) == 1 and given[0] < 20  # of 410
+
+
+def test_first_of_its_delivery_still_hides_the_later_ones(spark):
+    pr = '{"id": %d, "number": 1, "state": "open", "base": {"repo": {"full_name": "o/a"}}}'
+    hour = lambda n: T0 + dt.timedelta(hours=n)
+    rows = [("github", "a", "pull_request", hour(9), "1", pr % 7, 1),  # alone in its entity, first of its delivery
+            ("github", "a", "pull_request", hour(1), "1", pr % 8, 5),  # hidden, so not late
+            ("github", "b", "pull_request", hour(3), "1", pr % 8, 2),
+            ("github", "c", "pull_request", hour(2), "1", pr % 8, 3)]  # late
+    got = {r["entity"]: r["late_events"] for r in SP.late_event_counts(spark.createDataFrame(rows, ENV)).collect()}
+    assert got == {"pull_request": 1}
