@@ -2,6 +2,7 @@
 import datetime as dt
 import os
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
@@ -195,3 +196,19 @@ def test_first_of_its_delivery_still_hides_the_later_ones(spark):
             ("github", "c", "pull_request", hour(2), "1", pr % 8, 3)]  # late
     got = {r["entity"]: r["late_events"] for r in SP.late_event_counts(spark.createDataFrame(rows, ENV)).collect()}
     assert got == {"pull_request": 1}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    before = shuffled()
+    K.write_raw(_env(spark).unionByName(_env(spark, 50)), tempfile.mkdtemp(prefix="fg-raw-", dir="/tmp") + "/raw")
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:  # they are deleted in the background
+        time.sleep(0.2)
+    assert not left
